@@ -80,3 +80,11 @@ def bucket_of(bounds: list[int], id_col: Column) -> Column:
         return F.lit(0)
     held = F.array(*(F.lit(b).cast("long") for b in bounds[1:]))
     return F.coalesce(F.size(F.filter(held, lambda b: b <= id_col)), F.lit(0)).cast("int")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of text go to Python in small parts: memory of a worker then follows the longest text and not the number of rows.
+    A session that asks for still smaller batches keeps them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, min(512, int(spark.conf.get(key)) or 512))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units that a Python worker remembers between batches; beyond that it forgets them all and starts anew.
-REMEMBERED = 250_000
+#: Distinct units in each of the two generations that a Python worker remembers, and characters of the longest it remembers.
+REMEMBERED, LONGEST = 100_000, 40
 #: Bytes of text that are worked on at once.
-SLICE = 4_000_000
+SLICE = 1_500_000
 
 
 def slices(texts: pa.Array, limit: int = SLICE):
@@ -25,37 +25,58 @@ def slices(texts: pa.Array, limit: int = SLICE):
         at = to
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow string array without nulls, and the place where each text begins, with the end of the last."""
+    _, offsets, data = texts.cast(pa.string()).buffers()
+    at = np.frombuffer(offsets, "<i4")[texts.offset : texts.offset + len(texts) + 1].astype("int64")
+    return (np.frombuffer(data, "u1") if data else np.zeros(0, "u1"))[at[0] : at[-1]], at - at[0]
+
+
 class Units:
     """ids of texts through `encode`, which gives the id lists of a list of units."""
 
     def __init__(self, encode, dtype="<u4"):
-        self.encode, self.dtype, self.known = encode, np.dtype(dtype), {}
+        self.encode, self.dtype, self.young, self.old = encode, np.dtype(dtype), {}, {}
 
     def of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the units, one after the other, and the number of ids of each."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
+        """All ids of the units, one after the other, and the number of ids of each. The units differ from each other."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = [young.get(u) or old.get(u) for u in units]
+        new = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.known.update(zip(part, (np.asarray(ids, self.dtype).tobytes() for ids in self.encode(part)), strict=True))
-        found = [self.known[u] for u in units]
+            for i, ids in zip(part, self.encode([units[i] for i in part]), strict=True):
+                found[i] = np.array(ids, self.dtype).tobytes()
+        young.update((u, x) for u, x in zip(units, found, strict=True) if len(u) <= LONGEST)
         return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), "int64", len(found)) // self.dtype.itemsize
 
-    def deal(self, units: list[str], codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """codes: the unit at each place; ends: places up to the end of each text. Gives all ids and the ids up to the end of each text."""
-        ids, n = self.of(units)
+    def deal(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data: UTF-8 bytes; starts: where each unit begins (it goes on to the next); ends: where each text ends. Gives all ids, and
+        the ids up to the end of each text."""
+        if not len(starts):
+            return np.zeros(0, self.dtype), np.zeros(len(ends), "int64")
+        offsets = np.append(starts, len(data)).astype("<i4")
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ids, n = self.of(coded.dictionary.to_pylist())
         first, each = (np.cumsum(n) - n)[codes], n[codes]
         upto = np.concatenate([[0], np.cumsum(each)])
         places = np.repeat(first - upto[:-1], each) + np.arange(upto[-1])
-        return ids[places], upto[ends]
+        return ids[places], upto[np.searchsorted(starts, ends)]
+
+
+def simple_first(simple, one, many):
+    """An `encode` for Units: units that match the pattern `simple` are a single word of the vocabulary's rules and go straight to the
+    merges (`one`); the others go through all rules (`many`)."""
 
+    def encode(units: list[str]) -> list:
+        plain = [simple(u) is not None for u in units]
+        rest = iter(many([u for u, p in zip(units, plain, strict=True) if not p]))
+        return [one(u) if p else next(rest) for u, p in zip(units, plain, strict=True)]
 
-def split(pieces: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct strings of an Arrow list array, the code of each item, and the items up to the end of each list."""
-    offsets = pieces.offsets.to_numpy().astype("int64")
-    flat = pieces.flatten().dictionary_encode()
-    return flat.dictionary.to_pylist(), flat.indices.to_numpy().astype("int64"), offsets[1:] - offsets[0]
+    return encode
 
 
 def quiet() -> None:
