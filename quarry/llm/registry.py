@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, lzprint, sharding, sstable
+from quarry.llm import bpe, jaccard, lzprint, mixing, pii, sharding, sstable
 
 
 def queries() -> dict:
-    found = [sstable.op3_sstable_shards, lzprint.op5_lz_fingerprints, sharding.op9_byte_shards, bpe.op10_byte_bpe]
+    found = [
+        sstable.op3_sstable_shards,
+        jaccard.op4_token_group_jaccard,
+        lzprint.op5_lz_fingerprints,
+        mixing.op7_low_discrepancy_mix,
+        pii.op8_weak_supervision_pii,
+        sharding.op9_byte_shards,
+        bpe.op10_byte_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 
