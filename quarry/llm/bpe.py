@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quarry.llm import units
-from quarry.llm.common import documents
+from quarry.llm.common import documents, small_batches
 
 INTS = ArrayType(IntegerType())
 
@@ -52,42 +54,60 @@ def tokenizer_of(path: str, pattern: str):
     return tokenizer, table
 
 
+#: Parts that are one match of the pattern.
+_SIMPLE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _classes() -> np.ndarray:
+    """Of each byte: 1 ASCII letter, 2 digit, 3 other visible ASCII but the apostrophe, 4 apostrophe, 5 space, 0 anything else."""
+    kind = np.zeros(256, "u1")
+    kind[33:127], kind[48:58], kind[65:91], kind[97:123], kind[39], kind[32] = 3, 2, 1, 1, 4, 5
+    return kind
+
+
+_KIND = _classes()
+
+
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places where a match of the pattern surely begins, so that what lies between them can be encoded apart.
+
+    Between ASCII letters, digits and other signs, except beside an apostrophe; and before a space that stands alone between two
+    visible ASCII characters or letters of U+00C0 to U+00FF. All else, such as longer white space, stays within one part.
+    """
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        a, b = kind[:-1], kind[1:]
+        cut[1:-1] = (a != b) & (a > 0) & (b > 0) & (a < 4) & (b < 4)
+        shown = (kind > 0) & (kind < 5)
+        latin = data == 0xC3
+        ends = shown.copy()  # a visible character ends with this byte
+        ends[1:] |= latin[:-1]
+        cut[1:-2] |= (kind[1:-1] == 5) & ends[:-2] & (shown | latin)[2:]
+    cut[at] = True
+    return np.flatnonzero(cut[:-1])
+
+
 class Encoder:
-    """ids of whole texts. A lone space between two characters that are no white space always begins a match of the pattern, so
-    the texts are cut before such spaces and each distinct part is encoded once; texts with other spacing are encoded whole."""
+    """ids of whole texts; each distinct part of a slice of texts is encoded once."""
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer, self.table = tokenizer_of(path, pattern)
-        self.dealer = units.Units(lambda parts: [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        shown, model = {b: c for b, c in byte_characters().items() if chr(b) != c}, self.tokenizer.model
+        encode = units.simple_first(
+            _SIMPLE,
+            lambda part: [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(shown))],
+            lambda parts: [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)],
+        )
+        self.dealer = units.Units(encode)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ids up to the end of each text."""
-        names, codes, ends = units.split(pc.split_pattern(texts, " "))
-        odd = np.fromiter((not n or n[0].isspace() or n[-1].isspace() for n in names), bool, len(names))[codes]
-        firsts = np.concatenate([[0], ends[:-1]]).astype("int64")
-        whole = np.add.reduceat(odd, firsts) > 0 if len(firsts) else np.zeros(0, bool)
-        spaced = np.ones(len(codes), bool)
-        spaced[firsts] = False
-        # units: the parts with a space before them, then the parts as they are
-        used = np.unique(codes + np.where(spaced, 0, len(names)))
-        code = np.searchsorted(used, codes + np.where(spaced, 0, len(names)))
-        texts_of = [" " + names[u] if u < len(names) else names[u - len(names)] for u in used.tolist()]
-        if not whole.any():
-            return self.dealer.deal(texts_of, code, ends)
-        # odd texts become one unit each, encoded afresh and not remembered
-        n, own = len(texts_of), np.flatnonzero(whole)
-        keep = np.repeat(~whole, ends - firsts)
-        ids, counts = self.dealer.of(texts_of)
-        more = [np.asarray(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4") for i in own]
-        ids, counts = np.concatenate([ids, *more]), np.concatenate([counts, [len(m) for m in more]]).astype("int64")
-        length = np.where(whole, 1, ends - firsts)
-        ends = np.cumsum(length)
-        places = np.zeros(int(ends[-1]), "int64")
-        mine = np.repeat(whole, length)
-        places[mine], places[~mine] = n + np.arange(len(own)), code[keep]
-        first, each = (np.cumsum(counts) - counts)[places], counts[places]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        return ids[np.repeat(first - upto[:-1], each) + np.arange(upto[-1])], upto[ends]
+        data, at = units.bytes_of(texts)
+        return self.dealer.deal(data, cuts(data, at), at[1:])
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.table[i] for i in ids])
 
 
 def _parts(ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
@@ -95,18 +115,20 @@ def _parts(ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip((bound[:-1] * 4).tolist(), (bound[1:] * 4).tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None, packed: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None, packed: str | None = None, data: str | None = None) -> DataFrame:
     """docs without `text`, with `ids` array<int>; with `offsets`, also array<int>: the character at which each token begins;
-    with `packed`, also binary: the ids as little-endian unsigned 32-bit integers.
+    with `packed`, also binary: the ids as little-endian unsigned 32-bit integers; with `data`, also binary: the ids decoded.
 
     Null or empty text: no ids. A token may begin inside a character; its offset is then that character's.
     Every other column is carried along; nothing is shuffled.
     """
-    others = [c for c in docs.columns if c not in (text, ids, offsets, packed)]
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c not in (text, ids, offsets, packed, data)]
     kept = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text))
     schema = docs.select(*others).schema.add(ids, INTS)
     schema = schema.add(offsets, INTS) if offsets else schema
     schema = schema.add(packed, "binary") if packed else schema
+    schema = schema.add(data, "binary") if data else schema
 
     def run(batches):
         encoder = Encoder(path, pattern)
@@ -119,8 +141,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 columns = [batch.column(i).slice(at, len(texts)) for i in range(batch.num_columns - 1)]
                 columns.append(pa.ListArray.from_arrays(starts, pa.array(found.astype("int32"))))
                 if offsets:
-                    data = np.frombuffer("".join(texts.to_pylist()).encode(), "u1")
-                    character = np.cumsum((data & 0xC0) != 0x80) - 1
+                    character = np.cumsum((units.bytes_of(texts)[0] & 0xC0) != 0x80) - 1
                     byte = np.cumsum(size[found]) - size[found]
                     bound = np.concatenate([[0], upto])
                     of_text = np.repeat(np.arange(len(upto)), np.diff(bound))
@@ -128,6 +149,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     columns.append(pa.ListArray.from_arrays(starts, pa.array((character[byte] - first).astype("int32"))))
                 if packed:
                     columns.append(pa.array(_parts(found, np.concatenate([[0], upto])), pa.binary()))
+                if data:
+                    bound = [0, *upto.tolist()]
+                    columns.append(pa.array([encoder.decode(found[a:b].tolist()) for a, b in itertools.pairwise(bound)], pa.binary()))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -162,6 +186,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs without its text, with n_tokens, ids_sha256 and, from the decoded ids, decoded_sha256."""
-    encoded = encode(docs, path, pattern, packed="packed")
-    decoded = decode(encoded.withColumn("n_tokens", F.size("ids").cast("long")), path, pattern, text=None)
-    return decoded.withColumns({"ids_sha256": F.sha2("packed", 256), "decoded_sha256": F.sha2("data", 256)}).drop("packed", "data")
+    coded = encode(docs, path, pattern, packed="packed", data="data")
+    return coded.withColumns({"n_tokens": (F.octet_length("packed") / 4).cast("long"), "ids_sha256": F.sha2("packed", 256), "decoded_sha256": F.sha2("data", 256)}).drop("ids", "packed", "data")
