@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, mixing, pii, sharding, sstable
+from quarry.llm import bpe, jaccard, lzprint, mixing, pii, sharding, sstable, voronoi
 
 
 def queries() -> dict:
     found = [
+        voronoi.op1_voronoi_knn,
         sstable.op3_sstable_shards,
         jaccard.op4_token_group_jaccard,
         lzprint.op5_lz_fingerprints,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_voronoi_knn": voronoi.OP1_SQL}
