@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, mixing, pii, sharding, sstable, voronoi
+from quarry.llm import bpe, jaccard, lzprint, mixing, pii, quality, sharding, sstable, voronoi
 
 
 def queries() -> dict:
     found = [
         voronoi.op1_voronoi_knn,
+        quality.op2_factorisation_machine,
         sstable.op3_sstable_shards,
         jaccard.op4_token_group_jaccard,
         lzprint.op5_lz_fingerprints,
