@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, mixing, pii, quality, sharding, sstable, voronoi
+from quarry.llm import bpe, jaccard, lzprint, mixing, pii, quality, repeats, sharding, sstable, voronoi
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         sstable.op3_sstable_shards,
         jaccard.op4_token_group_jaccard,
         lzprint.op5_lz_fingerprints,
+        repeats.op6_repeated_strings,
         mixing.op7_low_discrepancy_mix,
         pii.op8_weak_supervision_pii,
         sharding.op9_byte_shards,
