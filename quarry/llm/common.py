@@ -86,5 +86,10 @@ def small_batches(spark: SparkSession) -> None:
     """Batches of text go to Python in small parts: memory of a worker then follows the longest text and not the number of rows.
     A session that asks for still smaller batches keeps them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, min(512, int(spark.conf.get(key)) or 512))
+    spark.conf.set(key, min(1024, int(spark.conf.get(key)) or 1024))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df, to be joined by a sort-merge join at every size: its sides grow with the corpus, and skewed keys of it can be split."""
+    return df.hint("merge")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing, units
-from quarry.llm.common import documents, partitions, small_batches, text_of, written
+from quarry.llm.common import documents, partitions, small_batches, sorted_join, text_of, written
 
 #: Bytes of an anchor; bytes scanned at once (positions within must fit in 22 bits); segments of one anchor that a task compares at once.
 GRAM, SCAN, TOGETHER = 32, 1 << 21, 20_000
@@ -144,7 +144,7 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
 
     found = written(slim.select("key", "mark", "text").mapInArrow(scan, RUN), "runs")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1")
-    again = found.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
+    again = found.join(sorted_join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed"))), "anchor")
     again = written(again, "repeated-runs")
     whole = again.where("not mixed").select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
 
@@ -152,11 +152,11 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
     classes = mixed.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("key", "mark", "lo", "hi")))
     classes = written(classes, "classes")
     copies = classes.where("n > 1").select("anchor", "class")
-    whole = whole.union(mixed.join(copies, ["anchor", "class"]).select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")))
+    whole = whole.union(mixed.join(sorted_join(copies), ["anchor", "class"]).select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")))
 
     # anchors with a class that stands alone: their segments, from the texts
     tally = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).where("least = 1")
-    wanted = classes.join(tally.select("anchor", (F.col("classes") > TOGETHER).alias("crowded")), "anchor")
+    wanted = classes.join(sorted_join(tally.select("anchor", (F.col("classes") > TOGETHER).alias("crowded"))), "anchor")
     by_text = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "anchor", (F.col("n") == 1).alias("alone"), "crowded")).alias("cuts"))
 
     def cut(batches):
@@ -171,7 +171,7 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _table(rows)
 
-    segments = by_text.join(slim, ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, anchor long, alone boolean, crowded boolean, bytes binary")
+    segments = by_text.join(sorted_join(slim), ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, anchor long, alone boolean, crowded boolean, bytes binary")
     segments = written(segments, "segments")
     volume = segments.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), volume // 2_000_000)
@@ -206,7 +206,7 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
 
     rows = segments.where("crowded").mapInArrow(explode, "key long, mark long, anchor long, from long, h long, i long")
     twice = rows.groupBy("anchor", "h", "i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = rows.join(twice, ["anchor", "h", "i"]).select("key", "mark", "from", (F.col("from") + length).alias("to"))
+    crowded = rows.join(sorted_join(twice), ["anchor", "h", "i"]).select("key", "mark", "from", (F.col("from") + length).alias("to"))
     return whole.union(solved).union(crowded).groupBy("key", "mark").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             if rows:
                 yield _kept(rows)
 
-    return slim.join(repeats, ["key", "mark"], "left").select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return slim.join(sorted_join(repeats), ["key", "mark"], "left").select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _kept(rows: list) -> pa.RecordBatch:
