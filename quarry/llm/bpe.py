@@ -110,6 +110,12 @@ class Encoder:
         return b"".join([self.table[i] for i in ids])
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """A Python worker keeps what it has learnt from one task to the next."""
+    return Encoder(path, pattern)
+
+
 def _parts(ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
     data = ids.astype("<u4").tobytes()
     return [data[a:b] for a, b in zip((bound[:-1] * 4).tolist(), (bound[1:] * 4).tolist(), strict=True)]
@@ -131,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     schema = schema.add(data, "binary") if data else schema
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         size = np.array([len(t) for t in encoder.table])
         for batch in batches:
             at = 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, documents, id_bounds, partitions, text_of
+from quarry.llm.common import bucket_of, documents, id_bounds, partitions, small_batches, text_of
 
 #: Hashes in a signature; the likeness of two has a standard error of 0.06 at most.
 SIGNATURE = 64
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Texts move once: to ordered buckets between sampled ids. The row that begins a bucket goes to the bucket before it as well,
     as a guest, so every task has all neighbours it needs. A task holds two documents at a time.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ids = slim.select(F.col("doc_id").alias("id"))
     nulls = not ids.where(F.col("id").isNull()).isEmpty()

@@ -16,13 +16,14 @@ empty key and comes first. Keys may repeat.
 from __future__ import annotations
 
 import bisect
+import functools
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import units
-from quarry.llm.common import documents, new_path, partitions, text_of
+from quarry.llm.common import documents, new_path, partitions, small_batches, text_of
 
 MAGIC = b"QSST0001"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -143,13 +144,48 @@ class Reader:
         return found
 
 
-def word_encoder(path: str):
-    """Id lists of words by the tokenizers library. The file's own rules split at every white space, so words can be encoded apart."""
+_LOWER = np.arange(256, dtype="u1")
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_KIND = np.zeros(256, "u1")  # 1 letter or digit, 2 other visible ASCII, 0 the apostrophe and all else
+_KIND[33:127] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes without ASCII white space and with small ASCII letters, where each part begins, and where each text ends.
+
+    The vocabulary's own rules put ASCII letters into lower case and split at white space and between letters or digits and other
+    signs; only beside an apostrophe or a character outside ASCII they may join or part in other ways, so no part ends there.
+    Texts with "<|" may hold names of special tokens, which the library finds as they are written; those are cut at white space alone.
+    """
+    data, at = units.bytes_of(texts)
+    space, kind, lower = _SPACE[data], _KIND[data], _LOWER[data]
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for i in np.unique(np.searchsorted(at, special, "right")):
+        kind[at[i - 1] : at[i]], lower[at[i - 1] : at[i]] = 0, data[at[i - 1] : at[i]]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = space[:-1] | ((kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0))
+    cut[at] = True
+    kept = np.concatenate([[0], np.cumsum(~space)])
+    return lower[~space], kept[np.flatnonzero(cut[:-1] & ~np.append(space, True)[:-1])], kept[at[1:]]
+
+
+@functools.lru_cache(maxsize=2)
+def word_units(path: str) -> units.Units:
+    """Ids of words by the tokenizers library; a Python worker keeps what it has learnt from one task to the next."""
     from tokenizers import Tokenizer
 
     units.quiet()
     tokenizer = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    model = tokenizer.model
+    encode = units.simple_first(
+        re.compile(r"[a-z]+|[!-&(-/:-@\[-`{-~]+").fullmatch,
+        lambda word: [t.id for t in model.tokenize(word)],
+        lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)],
+    )
+    return units.Units(encode)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, width: int = 2, shards: int | None = None) -> list:
@@ -162,19 +198,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     width: bytes of an id in the files (2 for vocabularies up to 65,536 ids).
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def write(batches):
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        writer, dealer = None, units.Units(word_encoder(tokenizer_path))
+        writer, dealer = None, word_units(tokenizer_path)
         shard = TaskContext.get().partitionId()
         path = f"{base}/part-{shard:06d}.sst"
         for batch in batches:
             ids_of_docs = batch.column(0).to_pylist()
             done = 0
             for texts in units.slices(batch.column(1)):
-                names, codes, ends = units.split(pc.ascii_split_whitespace(texts))
-                ids, upto = dealer.deal(names, codes, ends)
+                ids, upto = dealer.deal(*words(texts))
                 start = 0
                 for doc_id, end in zip(ids_of_docs[done : done + len(texts)], upto.tolist(), strict=True):
                     writer = writer or Writer(files, path, width)

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units in each of the two generations that a Python worker remembers, and characters of the longest it remembers.
-REMEMBERED, LONGEST = 100_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 #: Bytes of text that are worked on at once.
-SLICE = 1_500_000
+SLICE = 3_000_000
 
 
 def slices(texts: pa.Array, limit: int = SLICE):
