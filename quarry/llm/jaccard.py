@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quarry.llm import hashing, units
-from quarry.llm.common import documents, partitions, small_batches, text_of, written
+from quarry.llm.common import documents, partitions, small_batches, sorted_join, text_of, written
 from quarry.llm.components import components
 
 GROUP, TILE = 64, 4096
@@ -140,6 +141,7 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 
 def _solve(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        alone = len(table) > 0 and table.column("a")[0].as_py() == table.column("b")[0].as_py()  # else a pair of tiles
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("hood", "side", "order", "class", "copies", "tokens")), strict=True), key=lambda r: r[:4])
         out: dict[int, list] = {}
         at = 0
@@ -164,9 +166,9 @@ def _solve(percent: int):
 
             links = dict.fromkeys(parent, 0)
             left, right = sides[0], sides[1]
-            if left:
-                others = right or left
-                for i, js in links_between([r[2] for r in left], [r[2] for r in right] if right else None, percent):
+            if left and (alone or right):
+                others = left if alone else right
+                for i, js in links_between([r[2] for r in left], None if alone else [r[2] for r in right], percent):
                     for j in js.tolist():
                         a, b = left[i], others[j]
                         links[a[0]] += b[1]
@@ -182,8 +184,10 @@ def _solve(percent: int):
     return run
 
 
-def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_links for every row of docs (doc_id, text).
+def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links, component, and the columns of `carry`, for every row of docs (doc_id, text).
+
+    component numbers the component (null for empty sets), as component_id may be null.
 
     Sets: distinct runs of k lower-cased (A-Z) words of the whole text; with fewer words the whole sequence. Two rows are linked
     when 100 * common >= percent * united. class_id: smallest doc_id with the same set; component_id: smallest doc_id that
@@ -213,19 +217,22 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
                     seen.add(name)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype("int32")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs) if signs else np.zeros(0, "i8")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists], names=["doc_id", "n_shingles", "class", "signatures"])
+                kept = [batch.column(c).slice(at, len(texts)) for c in range(batch.num_columns) if c != 1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists], names=schema.names)
                 at += len(texts)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = written(slim.mapInArrow(scan, "doc_id long, n_shingles long, class long, signatures array<long>"), "sets")
-    own = sets.select("doc_id", "n_shingles", "class")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *carry)
+    schema = given.drop("text").schema.add("n_shingles", LongType()).add("class", LongType()).add("signatures", ArrayType(LongType()))
+    sets = written(given.mapInArrow(scan, schema), "sets")
+    own = sets.select("doc_id", *carry, "n_shingles", "class")
     classes = written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")), "classes")
 
     signed = sets.select("class", F.explode("signatures").alias("signature"))
     shared = signed.groupBy("signature").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("signature", "least")
-    stars = signed.join(shared, "signature").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
+    stars = signed.join(sorted_join(shared), "signature").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     hoods = components(stars).select(F.col("a").alias("class"), F.col("component").alias("hood"))
-    hoods = written(hoods.join(classes, "class"), "hoods")
+    hoods = written(hoods.join(sorted_join(classes), "class"), "hoods")
 
     # the sets of these classes, from the text of one document each
     wanted = hoods.select("class", "hood", "copies", "size", F.coalesce("class_id", F.lit(-1)).alias("key"))
@@ -245,13 +252,14 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
                 at += len(texts)
 
     texts = slim.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    members = wanted.join(texts, "key").select("class", "hood", "copies", "text").mapInArrow(tokens, "class long, hood long, copies long, order long, tokens binary")
+    members = wanted.join(sorted_join(texts), "key").select("class", "hood", "copies", "text").mapInArrow(tokens, "class long, hood long, copies long, order long, tokens binary")
 
     # small neighbourhoods share tasks; large ones are cut into tiles, and every pair of tiles is a task of its own
     sizes = written(hoods.groupBy("hood").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")), "hood-sizes")
     shingles_in_all = sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
     tasks = max(4 * partitions(spark), shingles_in_all // 1_000_000)
-    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / 4_000_000)).cast("int")
+    tile = F.least(F.greatest(F.ceil(F.col("n") / 8), F.lit(TILE // 8)), F.lit(TILE))
+    tiles = F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / 2_000_000)).cast("int")
     dealt = members.join(sizes.select("hood", tiles.alias("tiles")), "hood")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     pairs = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side")))).otherwise(
@@ -266,10 +274,28 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     known = classes.join(linked, "class", "left").join(counts, "class", "left").withColumn("component", F.coalesce("component", "class"))
     known = written(known, "known")
     least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = known.join(least, "component").select("class", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = known.join(least, "component").select("class", "class_id", "component_id", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     empty = F.col("n_shingles") == 0
-    return own.join(known, "class", "left").select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return own.join(sorted_join(known), "class", "left").select(
+        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", *carry
+    )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near copies: of each component of `similar_documents` one row stays, that of the smallest doc_id.
+
+    Rows without words are linked with nothing and all stay. Rows with a null doc_id give way to any other; of several rows alike in
+    doc_id and text one stays.
+    """
+    marked = docs.withColumn("mark_of_text", F.xxhash64("text"))
+    found = similar_documents(marked, k, percent, ("mark_of_text",)).where("component is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark_of_text")).alias("first")
+    stay = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(-1)).alias("own_id"), F.col("first.doc_id").isNull().alias("own_null"), F.col("first.mark_of_text").alias("own_mark"))
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    full = marked.where(~wordless).withColumn("own_id", F.coalesce("doc_id", F.lit(-1))).withColumn("own_null", F.col("doc_id").isNull()).withColumn("own_mark", F.col("mark_of_text"))
+    kept = full.join(sorted_join(stay), ["own_id", "own_null", "own_mark"]).dropDuplicates(["own_id", "own_null", "own_mark"])
+    return kept.select(*docs.columns).unionByName(docs.where(wordless))
 
 
 def op4_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(documents(spark, sf_dir))
+    return similar_documents(documents(spark, sf_dir)).drop("component")
