@@ -154,7 +154,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != name]
     schema = docs.select(*others).schema.add(name, "double")
-    rows = docs.select(*others, text_of().alias("text_to_score"))
+    rows = docs.select(*others, text_of().alias("text_to_score"))  # the last column; `text` itself goes along unchanged
 
     def run(batches):
         for batch in batches:
