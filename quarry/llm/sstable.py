@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import units
+from quarry.llm.bpe import byte_characters
 from quarry.llm.common import documents, new_path, partitions, small_batches, text_of
 
 MAGIC = b"QSST0001"
@@ -179,10 +180,14 @@ def word_units(path: str) -> units.Units:
 
     units.quiet()
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
+    model, shown = tokenizer.model, {b: c for b, c in byte_characters().items() if chr(b) != c}
+
+    def one(word: str) -> list[int]:
+        return [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(shown))]
+
     encode = units.simple_first(
-        re.compile(r"[a-z]+|[!-&(-/:-@\[-`{-~]+").fullmatch,
-        lambda word: [t.id for t in model.tokenize(word)],
+        re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+").fullmatch,
+        one,
         lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)],
     )
     return units.Units(encode)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 
 import numpy as np
@@ -35,21 +37,28 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Units:
     """ids of texts through `encode`, which gives the id lists of a list of units."""
 
-    def __init__(self, encode, dtype="<u4"):
-        self.encode, self.dtype, self.young, self.old = encode, np.dtype(dtype), {}, {}
+    def __init__(self, encode, dtype="<u4", remembered: int = REMEMBERED):
+        self.encode, self.dtype, self.young, self.old, self.remembered = encode, np.dtype(dtype), {}, {}, remembered
 
     def of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, one after the other, and the number of ids of each. The units differ from each other."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        found = [young.get(u) or old.get(u) for u in units]
-        new = [i for i, x in enumerate(found) if x is None]
+        found = list(map(young.get, units))
+        missed = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missed:
+            found[i] = old.get(units[i])
+            if found[i] is None:
+                new.append(i)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for i, ids in zip(part, self.encode([units[i] for i in part]), strict=True):
                 found[i] = np.array(ids, self.dtype).tobytes()
-        young.update((u, x) for u, x in zip(units, found, strict=True) if len(u) <= LONGEST)
+        for i in missed:
+            if len(units[i]) <= LONGEST:
+                young[units[i]] = found[i]
         return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), "int64", len(found)) // self.dtype.itemsize
 
     def deal(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,3 +91,10 @@ def simple_first(simple, one, many):
 def quiet() -> None:
     """The tokenizers library would start a thread for each core of the machine; Spark has already one task on each."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system, as workers stay for the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
