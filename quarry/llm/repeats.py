@@ -4,11 +4,10 @@ A window of `length` bytes is repeated if the same bytes start anywhere else. Ev
 it, which equal windows share. So windows are dealt by anchor, and only anchors that occur more than once go on. The windows of
 one anchor that follow each other form a run; runs with equal bytes are one class, and a class of two or more is repeated as a whole.
 
-What is left are anchors with different classes around them. Their segments come together in buckets, each bucket with the
-segments of many shards of the corpus. Every shard's suffixes are ordered by their first bytes, and the orders are merged by refining
-the interleave round by round: two suffixes stay in one interval while their next symbols agree, and the symbol of a round is the
-interval of the suffix further on, so the common prefix doubles each round. Suffixes alone in their interval drop out and nothing is
-sorted anew for them. The intervals that last to `length` bytes are the repeated windows.
+What is left are anchors with different classes around them. Their segments, from all shards of the corpus, come together in buckets, and
+their suffixes are merged by refining the interleave round by round: two suffixes stay in one interval while their next symbols
+agree, and the symbol of a round is the interval of the suffix further on, so the common prefix doubles each round. Suffixes alone in
+their interval drop out and are not sorted again. The intervals that last to `length` bytes are the repeated windows.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ GRAM, SCAN, TOGETHER = 32, 1 << 21, 20_000
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int):
-    """Runs of windows with one anchor: text, first and last window (within the text), hash of the anchor, hash of all bytes of the run.
+    """Runs of windows with one anchor: text, first and last window (within the text), the anchor's place from the first on, its hash, hash of all bytes.
 
     data, at: bytes of texts and where each begins, with the end of the last.
     """
@@ -74,45 +73,50 @@ def _runs(data: np.ndarray, piece: list, length: int) -> tuple[np.ndarray, ...]:
     lo, hi = at[new], at[np.r_[new[1:], True]]
     of = np.searchsorted(bound, lo, "right") - 1
     shift = start[of] - origin[of] - bound[of]
-    return text[of], lo + shift, hi + shift, gram[anchor[new]].astype("i8"), ranges.of(lo, hi + length).astype("i8")
+    return text[of], lo + shift, hi + shift, anchor[new] - lo, gram[anchor[new]].astype("i8"), ranges.of(lo, hi + length).astype("i8")
 
 
-def repeated_windows(segments: list[bytes], shards: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows of `length` bytes start anywhere else in the segments too."""
+def repeated_windows(segments: list[bytes], length: int, group: np.ndarray | None = None, offset: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each segment, which of its windows of `length` bytes start anywhere else in the segments too.
+
+    group, offset: the anchor of each segment and its place there, if any; then windows are held against those of the same anchor alone.
+    As equal windows lie at equal distances from it, suffixes of different distance never share an interval.
+    """
     sizes = np.array([len(s) for s in segments], "i8")
     data = np.frombuffer(b"".join(segments) + bytes(8), "u1")
     starts = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
-    left = np.repeat(starts + sizes, sizes) - np.arange(n)  # bytes from each place to the end of its segment
-    # symbols of 8 bytes: each shard's own in order, then the shards' orders merged
-    packed = np.zeros(n, "u8")
+    place = np.arange(n) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place  # bytes from each place to the end of its segment
+    symbol = np.zeros(n, "u8")  # the first symbol: eight bytes
     for i in range(8):
-        packed = packed << np.uint64(8) | data[i : i + n]
-    shard = np.repeat(np.asarray(shards), sizes)
-    where = np.flatnonzero(left >= 8)
-    own = [np.unique(packed[where[shard[where] == s]]) for s in np.unique(shards)]
-    alphabet = np.unique(np.concatenate(own)) if own else np.zeros(0, "u8")
-    interval = np.full(n, -1, "i8")
-    interval[where] = np.searchsorted(alphabet, packed[where])
-    depth = 8
-    steps = []
+        symbol = symbol << np.uint64(8) | data[i : i + n]
+    if group is not None:
+        symbol = hashing.mix(symbol) ^ hashing.mix(np.repeat(group.astype("u8"), sizes) + (place - np.repeat(offset, sizes)).astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+
+    def intervals(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Interval of each suffix among those of equal key; -1 for suffixes that stand alone."""
+        order = np.argsort(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        number = np.cumsum(new) - 1
+        shared = np.bincount(number, minlength=1)[number] > 1
+        out = np.full(n, -1, "i8")
+        out[at[order[shared]]] = number[shared]
+        return out
+
+    live = np.flatnonzero(left >= 8)
+    interval, depth, steps = intervals(live, symbol[live]), 8, []
     while 2 * depth <= length:
         steps.append((depth, depth))
         depth *= 2
     if depth < length:
         steps.append((depth, length - depth))  # the last symbol overlaps the one before it
     for depth, step in steps:
-        live = np.flatnonzero((interval >= 0) & (left >= depth + step))
+        live = np.flatnonzero(interval >= 0)
+        live = live[left[live] >= depth + step]
         live = live[interval[live + step] >= 0]
-        pair = interval[live] * np.int64(n + 1) + interval[live + step]
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        size = np.bincount(number) if len(pair) else np.zeros(0, "i8")
-        interval = np.full(n, -1, "i8")
-        shared = size[number] > 1
-        interval[live[order[shared]]] = number[shared]
+        interval = intervals(live, interval[live] * np.int64(n + 1) + interval[live + step])
     return [interval[a : a + s - length + 1] >= 0 for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -125,7 +129,7 @@ def spans(windows: np.ndarray, length: int, shift: int = 0) -> list[tuple[int, i
     return list(zip((at[new] + shift).tolist(), (at[np.r_[new[1:], True]] + length + shift).tolist(), strict=True))
 
 
-RUN = "key long, mark long, lo long, hi long, anchor long, class long"
+RUN = "key long, mark long, lo long, hi long, off long, anchor long, class long"
 
 
 def find_repeats(slim: DataFrame, length: int) -> DataFrame:
@@ -137,19 +141,21 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
             at = 0
             for texts in units.slices(batch.column(2)):
                 data, places = units.bytes_of(texts)
-                for text, lo, hi, anchor, name in runs(data, places, length):
+                for text, lo, hi, off, anchor, name in runs(data, places, length):
                     keys = [batch.column(c).take(pa.array(text + at)) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(name)], names=["key", "mark", "lo", "hi", "anchor", "class"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(lo), pa.array(hi), pa.array(off), pa.array(anchor), pa.array(name)], names=["key", "mark", "lo", "hi", "off", "anchor", "class"])
                 at += len(texts)
 
     found = written(slim.select("key", "mark", "text").mapInArrow(scan, RUN), "runs")
+    # written first, so that the join below has plain exchanges on both sides and Spark can split a common anchor
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1")
+    anchors = written(anchors, "anchors")
     again = found.join(sorted_join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed"))), "anchor")
     again = written(again, "repeated-runs")
     whole = again.where("not mixed").select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
 
     mixed = again.where("mixed")
-    classes = mixed.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("key", "mark", "lo", "hi")))
+    classes = mixed.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("key", "mark", "lo", "hi", "off")))
     classes = written(classes, "classes")
     copies = classes.where("n > 1").select("anchor", "class")
     whole = whole.union(mixed.join(sorted_join(copies), ["anchor", "class"]).select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")))
@@ -157,21 +163,21 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
     # anchors with a class that stands alone: their segments, from the texts
     tally = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).where("least = 1")
     wanted = classes.join(sorted_join(tally.select("anchor", (F.col("classes") > TOGETHER).alias("crowded"))), "anchor")
-    by_text = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "anchor", (F.col("n") == 1).alias("alone"), "crowded")).alias("cuts"))
+    by_text = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "off", "anchor", (F.col("n") == 1).alias("alone"), "crowded")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
             rows = []
             for key, mark, cuts, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 data = text.encode()
-                rows += [(key, mark, c["lo"], c["anchor"], c["alone"], c["crowded"], data[c["lo"] : c["hi"] + length]) for c in cuts]
-                if sum(len(r[6]) for r in rows[-len(cuts) :]) > units.SLICE or len(rows) > 4000:
+                rows += [(key, mark, c["lo"], c["off"], c["anchor"], c["alone"], c["crowded"], data[c["lo"] : c["hi"] + length]) for c in cuts]
+                if sum(len(r[7]) for r in rows[-len(cuts) :]) > units.SLICE or len(rows) > 4000:
                     yield _table(rows)
                     rows = []
             if rows:
                 yield _table(rows)
 
-    segments = by_text.join(sorted_join(slim), ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, anchor long, alone boolean, crowded boolean, bytes binary")
+    segments = by_text.join(sorted_join(slim), ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, off long, anchor long, alone boolean, crowded boolean, bytes binary")
     segments = written(segments, "segments")
     volume = segments.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), volume // 2_000_000)
@@ -181,11 +187,12 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
         marks = table.column("mark").to_pylist()
         out = []
         alone, keys, los = (table.column(c).to_pylist() for c in ("alone", "key", "lo"))
+        anchor, off = (table.column(c).to_numpy() for c in ("anchor", "off"))
         seen: dict = {}
         for i, d in enumerate(data):  # a row that is repeated as a whole gives its segment more than once
-            seen.setdefault((table.column("anchor")[i].as_py(), d), i)
-        first = sorted(seen.values())
-        for i, w in zip(first, repeated_windows([data[i] for i in first], [marks[i] & 7 for i in first], length), strict=True):
+            seen.setdefault((anchor[i], d), i)
+        first = np.array(sorted(seen.values()), "i8")
+        for i, w in zip(first.tolist(), repeated_windows([data[i] for i in first.tolist()], length, anchor[first], off[first]), strict=True):
             if alone[i]:
                 out += [(keys[i], marks[i], a, b) for a, b in spans(w, length, los[i])]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -197,7 +204,7 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
     # an anchor with more segments than fit together: each window is a row, and rows with equal bytes are counted
     def explode(batches):
         for batch in batches:
-            for key, mark, lo, anchor, data in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 6)), strict=True):
+            for key, mark, lo, anchor, data in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 7)), strict=True):
                 d = np.frombuffer(data, "u1")
                 n = len(d) - length + 1
                 p = np.arange(n)
@@ -211,8 +218,8 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
 
 
 def _table(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "mark", "lo", "anchor", "alone", "crowded", "bytes"])
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "mark", "lo", "off", "anchor", "alone", "crowded", "bytes"])
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:

@@ -67,7 +67,7 @@ def test_refinement_equals_counting():
         segments = [base[i : i + rng.integers(20, 90)] for i in rng.integers(0, 200, 12)]
         segments = list(dict.fromkeys(segments))
         count = collections.Counter(s[p : p + 20] for s in segments for p in range(len(s) - 19))
-        got = repeats.repeated_windows(segments, [i % 3 for i in range(len(segments))], 20)
+        got = repeats.repeated_windows(segments, 20)
         assert all(g.tolist() == [count[s[p : p + 20]] > 1 for p in range(len(s) - 19)] for s, g in zip(segments, got, strict=True))
 
 
