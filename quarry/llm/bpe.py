@@ -99,7 +99,7 @@ class Encoder:
             lambda part: [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(shown))],
             lambda parts: [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)],
         )
-        self.dealer = units.Units(encode)
+        self.dealer = units.Units(encode, remembered=60_000)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ids up to the end of each text."""
@@ -160,6 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     columns.append(pa.array([encoder.decode(found[a:b].tolist()) for a, b in itertools.pairwise(bound)], pa.binary()))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        units.release()
 
     return kept.mapInArrow(run, schema)
 

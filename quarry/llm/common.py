@@ -44,10 +44,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, and is read with column pruning."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, and is read with column pruning.
+
+    The exchanges behind df serve this write alone, so Spark is told to drop their files when it ends.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,8 +1,9 @@
 """Op 4. Exact n-gram Jaccard join with a token-group matrix.
 
-Documents with the same shingle set form a class. Classes that may be similar come together by part signatures: a pair at or above
-the threshold differs in few shingles, fewer than there are parts of the hash space, so one part at least is the same in both.
-Classes that share part signatures, directly or through others, form a neighbourhood; no similar pair lies across two of them.
+Documents with the same shingle set form a class. Classes that may be similar come together by signatures. At high thresholds these
+are hashes of parts: a linked pair differs in few shingles, fewer than there are parts of the hash space, so one part at least is the
+same in both. At lower ones they are the rarest shingles of each set, one more than a linked set can lack.
+Classes that share signatures, directly or through others, form a neighbourhood; no similar pair lies across two of them.
 
 Inside a neighbourhood the join is a token-group matrix: similar classes stand side by side in groups, each group keeps the union
 of its members' shingles, the overlap of a class with that union bounds its overlap with every member, and only groups whose bound
@@ -11,9 +12,12 @@ reaches the threshold are opened and compared exactly. Large neighbourhoods are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -21,7 +25,10 @@ from quarry.llm import hashing, units
 from quarry.llm.common import documents, partitions, small_batches, sorted_join, text_of, written
 from quarry.llm.components import components
 
-GROUP, TILE = 64, 4096
+#: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood.
+GROUP, TILE, TILE_SHINGLES = 64, 4096, 1_500_000
+#: From this similarity on, in percent, equal parts of the hash space hold enough shingles to tell sets apart; below, rare shingles do.
+PARTS_FROM = 88
 
 
 class Levels:
@@ -44,6 +51,20 @@ class Levels:
         """Shingles that stand in one only of two linked sets of these sizes, at most."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def rarest(self, tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """The rarest shingles of a set, one more than a linked set can lack: two linked sets share one of them at least.
+
+        ranks: of each bucket of shingles, how common it is; shingles of one rank follow their hash. Any order that all sets share
+        would do, but with the rare ones first hardly any sets meet that are not linked.
+        """
+        n = len(tokens)
+        if not n:
+            return tokens
+        keep = n - -(-n * self.percent // 100) + 1
+        bits = np.uint64(64 - int(len(ranks)).bit_length() + 1)
+        order = hashing.mix(tokens) >> np.uint64(8) | ranks[(tokens >> bits).astype("i8")].astype("u8") << np.uint64(56)
+        return tokens[np.argpartition(order, keep - 1)[:keep]]
+
     def level(self, n: int) -> int:
         return int(np.searchsorted(self.upto, n))
 
@@ -64,7 +85,7 @@ class Levels:
             part = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             bound = np.searchsorted(part, np.arange(k + 1, dtype="u8"))
             counts = np.diff(bound)
-            sig = hashing.mix(sums[bound[1:]] - sums[bound[:-1]] + np.arange(k, dtype="u8") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+            sig = hashing.mix(sums[bound[1:]] - sums[bound[:-1]] + np.arange(k, dtype="u8") * np.uint64(0x9E3779B97F4A7C15) + hashing.mix(np.array([level], "u8")))
             thin = counts < 2
             out.append(sig[~thin] if 0 < thin.sum() <= self.slack[level] else sig)
         return np.concatenate(out) if out else np.zeros(0, "u8")
@@ -80,6 +101,49 @@ def shingle_sets(texts: pa.Array, k: int):
         start = end
 
 
+#: Buckets of the sketch of common shingles, as a power of two, at most; and bytes of text for each bucket.
+SKETCH_BITS, BYTES_A_BUCKET = 26, 64
+
+
+def common_ranks(texts: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each hash bucket are, in half powers of two, from all texts.
+
+    Each task counts into a byte for each bucket and compresses its counts; they are added in 64 ranges of buckets. What the driver gets
+    and sends to the tasks has a byte for each bucket: 64 MB at most. Beyond that size of corpus buckets hold more shingles, so fewer
+    differ in rank and more sets meet; which sets are linked does not change.
+    """
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(12, min(SKETCH_BITS, (size // BYTES_A_BUCKET).bit_length()))
+
+    def count(batches):
+        counts = np.zeros(1 << bits, "u1")
+        seen: set[int] = set()
+        for batch in batches:
+            for part in units.slices(batch.column(0)):
+                for tokens in shingle_sets(part, k):
+                    name = set_hash(tokens)
+                    if name not in seen:
+                        seen.add(name)
+                        at = (tokens >> np.uint64(64 - bits)).astype("i8")
+                        counts[at] += counts[at] < 255
+        packer = zstandard.ZstdCompressor(level=1)
+        parts = [packer.compress(c.tobytes()) for c in np.split(counts, 64)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int64()), pa.array(parts, pa.binary())], names=["part", "counts"])
+        del counts, parts, seen
+        units.release()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // 64, "u4")
+        for c in table.column("counts"):
+            total += np.frombuffer(zstandard.decompress(c.as_py()), "u1")
+        rank = np.floor(2 * np.log2(np.maximum(total, 1))).astype("u1")
+        return pa.table({"part": table.column("part")[:1], "ranks": pa.array([zstandard.compress(rank.tobytes())], pa.binary())})
+
+    rows = texts.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, ranks binary").collect()
+    found = [np.frombuffer(zstandard.decompress(bytes(r.ranks)), "u1") for r in sorted(rows, key=lambda r: r.part)]
+    return np.concatenate(found) if found else np.zeros(1 << bits, "u1")
+
+
 def set_hash(tokens: np.ndarray) -> int:
     both = np.array([hashing.mix(tokens).sum(dtype="u8"), np.bitwise_xor.reduce(tokens) if len(tokens) else 0, len(tokens)], "u8")
     return int(hashing.mix(both * np.array([3, 5, 7], "u8")).sum(dtype="u8").astype("i8"))
@@ -141,7 +205,8 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 
 def _solve(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        alone = len(table) > 0 and table.column("a")[0].as_py() == table.column("b")[0].as_py()  # else a pair of tiles
+        first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        itself = any(table.column("itself").to_pylist())  # the first tile is held against itself, too
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("hood", "side", "order", "class", "copies", "tokens")), strict=True), key=lambda r: r[:4])
         out: dict[int, list] = {}
         at = 0
@@ -166,9 +231,13 @@ def _solve(percent: int):
 
             links = dict.fromkeys(parent, 0)
             left, right = sides[0], sides[1]
-            if left and (alone or right):
-                others = left if alone else right
-                for i, js in links_between([r[2] for r in left], None if alone else [r[2] for r in right], percent):
+            found = []
+            if left and itself:
+                found.append((left, links_between([r[2] for r in left], None, percent)))
+            if left and right and first != second:
+                found.append((right, links_between([r[2] for r in left], [r[2] for r in right], percent)))
+            for others, pairs in found:
+                for i, js in pairs:
                     for j in js.tolist():
                         a, b = left[i], others[j]
                         links[a[0]] += b[1]
@@ -178,6 +247,8 @@ def _solve(percent: int):
                             parent[max(x, y)] = min(x, y)
             for name in parent:
                 out.setdefault(name, []).append((root(name), links[name]))
+        del rows
+        units.release()
         flat = [(name, r, n) for name, found in out.items() for r, n in found]
         return pa.table({"class": pa.array([f[0] for f in flat], pa.int64()), "root": pa.array([f[1] for f in flat], pa.int64()), "links": pa.array([f[2] for f in flat], pa.int64())})
 
@@ -201,6 +272,10 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
     spark = docs.sparkSession
     small_batches(spark)
     levels = Levels(percent)
+    ranks = None if percent >= PARTS_FROM else spark.sparkContext.broadcast(common_ranks(docs.select(text_of().alias("text")), k))
+
+    def signatures(tokens: np.ndarray) -> np.ndarray:
+        return levels.signatures(tokens) if ranks is None else levels.rarest(tokens, ranks.value)
 
     def scan(batches):
         seen: set[int] = set()
@@ -213,13 +288,14 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
                     sizes.append(len(tokens))
                     names.append(name)
                     # copies in one task have the same signatures
-                    signs.append(np.zeros(0, "i8") if name in seen or not len(tokens) else levels.signatures(tokens).astype("i8"))
+                    signs.append(np.zeros(0, "i8") if name in seen or not len(tokens) else signatures(tokens).astype("i8"))
                     seen.add(name)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype("int32")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs) if signs else np.zeros(0, "i8")))
                 kept = [batch.column(c).slice(at, len(texts)) for c in range(batch.num_columns) if c != 1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists], names=schema.names)
                 at += len(texts)
+        units.release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *carry)
@@ -248,23 +324,48 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
                         keep.append(i)
                         data.append(t.tobytes())
                         order.append(int(t[0] >> np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in range(3)), pa.array(order, pa.int64()), pa.array(data, pa.binary())], names=["class", "hood", "copies", "order", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in range(4)), pa.array(order, pa.int64()), pa.array(data, pa.binary())], names=["class", "hood", "copies", "size", "order", "tokens"])
                 at += len(texts)
+        units.release()
 
     texts = slim.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    members = wanted.join(sorted_join(texts), "key").select("class", "hood", "copies", "text").mapInArrow(tokens, "class long, hood long, copies long, order long, tokens binary")
-
-    # small neighbourhoods share tasks; large ones are cut into tiles, and every pair of tiles is a task of its own
-    sizes = written(hoods.groupBy("hood").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")), "hood-sizes")
-    shingles_in_all = sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
-    tasks = max(4 * partitions(spark), shingles_in_all // 1_000_000)
-    tile = F.least(F.greatest(F.ceil(F.col("n") / 8), F.lit(TILE // 8)), F.lit(TILE))
-    tiles = F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / 2_000_000)).cast("int")
-    dealt = members.join(sizes.select("hood", tiles.alias("tiles")), "hood")
+    members = wanted.join(sorted_join(texts), "key").select("class", "hood", "copies", "size", "text").mapInArrow(tokens, "class long, hood long, copies long, size long, order long, tokens binary")
+    members = written(members, "members")  # the texts' exchange is not needed any longer
+
+    # Small neighbourhoods share tasks. Large ones are cut by size into bands, as linked sets lie in the same or the next band, and
+    # bands into tiles; each pair of tiles that can hold links is a task, and a tile meets itself together with its first later partner.
+    band = F.floor(F.log("size") / (math.log(100 / percent) * 1.0001)).cast("int")
+    counts = hoods.withColumn("band", band).groupBy("hood", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    in_hood, by_band = Window.partitionBy("hood"), Window.partitionBy("hood").orderBy("band")
+    whole = (F.sum("n").over(in_hood) <= TILE // 8) & (F.sum("shingles").over(in_hood) <= 500_000)
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
+
+    def beside(step: int) -> Column:
+        return F.when(F.lag("band", -step).over(by_band) == F.col("band") + step, F.lag("tiles", -step).over(by_band)).otherwise(0)
+
+    counts = written(counts.withColumn("whole", whole).withColumn("tiles", tiles).withColumns({"after": beside(1), "before": beside(-1)}), "bands")
+    shingles_in_all = counts.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
+    tasks = max(4 * partitions(spark), shingles_in_all // 400_000)
+    dealt = members.withColumn("band", band).join(counts.select("hood", "band", "whole", "tiles", "after", "before"), ["hood", "band"])
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    pairs = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).cast("int").alias("a"), F.greatest(t, F.col("tile")).cast("int").alias("b"), (F.col("tile") > t).cast("int").alias("side")))
-    )
+
+    def number(b: Column, t: Column) -> Column:
+        return b.cast("long") * 1_000_000 + t
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(a: Column, b: Column, side: Column, itself: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), side.cast("int").alias("side"), itself.alias("itself"))
+
+    b, own_tile = F.col("band"), F.col("tile")
+    # the first later partner of a tile: the next tile of its band, else the first of the next band, else none
+    last = own_tile == F.col("tiles") - 1
+    lonely = F.when(last & (F.col("after") == 0), F.array(pair(number(b, own_tile), number(b, own_tile), F.lit(0), F.lit(True)))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,side:int,itself:boolean>>"))
+    same = F.transform(F.filter(upto(F.col("tiles")), lambda t: t != own_tile), lambda t: pair(number(b, F.least(t, own_tile)), number(b, F.greatest(t, own_tile)), own_tile > t, F.greatest(t, own_tile) == F.least(t, own_tile) + 1))
+    later = F.transform(upto(F.col("after")), lambda t: pair(number(b, own_tile), number(b + 1, t), F.lit(0), last & (t == 0)))
+    earlier = F.transform(upto(F.col("before")), lambda t: pair(number(b - 1, t), number(b, own_tile), F.lit(1), F.lit(False)))
+    pairs = F.when(F.col("whole"), F.array(pair(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(0), F.lit(True)))).otherwise(F.concat(lonely, same, later, earlier))
     dealt = dealt.withColumn("pair", F.explode(pairs)).select("hood", "pair.*", "order", "class", "copies", "tokens")
     work = F.when(F.col("a") < 0, F.pmod(F.xxhash64("hood"), F.lit(tasks))).otherwise(F.xxhash64("hood", "a", "b"))
     solved = written(dealt.withColumn("work", work).groupBy("work", "a", "b").applyInArrow(_solve(percent), "class long, root long, links long"), "solved")

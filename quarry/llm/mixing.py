@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, written
+from quarry.llm.common import documents, sorted_join, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Slots of a schedule at least (unless there are fewer words), and words of a slot's block at most.
@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     taken = taken.withColumn("copies", F.round(F.col("taken") / (F.col("rows") * F.greatest("size", F.lit(1)))).cast("int"))
     left, right = docs.withColumn("words_of_text", n_words()), taken.select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.col("size").alias("own_size"), "copies")
     same = left["doc_id"].eqNullSafe(right["own_id"]) & left["source"].eqNullSafe(right["own_source"]) & (left["words_of_text"] == right["own_size"])
-    return left.join(right.where("copies > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return left.join(sorted_join(right.where("copies > 0")), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
                 score = machine.score(features(texts))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(len(others))), pa.array(score)], names=schema.names)
                 at += len(texts)
+        units.release()
 
     return rows.mapInArrow(run, schema)
 

@@ -18,8 +18,8 @@ def shingles(text, k=3):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows, percent=90):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=90, k=3):
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -73,6 +73,44 @@ def test_equals_brute_force(spark, monkeypatch, seed, n, small):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("percent,k", [(80, 5), (60, 2)])
+def test_lower_thresholds(spark, percent, k):
+    texts = corpus(percent, 260)
+    rows = list(enumerate(texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()), key=str)
+    assert got == brute(rows, percent, k)
+
+
+def test_one_of_each_group_stays(spark):
+    texts = corpus(7, 200)
+    rows = [(i if i not in (30, 31, 77) else None, t, "x") for i, t in enumerate(texts)] + [(20, texts[20], "x"), (None, texts[30], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = jaccard.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    component = {}
+    sets = [shingles(t, 5) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    for i, r in enumerate(rows):
+        if sets[i]:
+            component.setdefault(root(i), []).append((r[0] is None, r[0] or 0, i))
+    empty = [(d, t) for (d, t, _), s in zip(rows, sets, strict=True) if not s]
+    assert len(got) == len(component) + len(empty)
+    firsts = {min(c)[1] for c in component.values() if not min(c)[0]}
+    assert {d for d, t in got if d is not None and (t or "").strip()} == firsts and [x for x in got if not (x[1] or "").strip()] == sorted(empty, key=str)
+
+
 def test_empty_table(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
