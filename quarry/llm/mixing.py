@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, sorted_join, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Slots of a schedule at least (unless there are fewer words), and words of a slot's block at most.
-LEAST_SLOTS, MOST_WORDS = 1 << 16, 512
+#: Slots of a schedule at least (unless there are fewer words), words of a slot's block at most, and slots of a source at least.
+LEAST_SLOTS, MOST_WORDS, LEAST_EACH = 1 << 16, 512, 256
 CELLS = 4096
 # (sqrt(5) - 1) / 2 to 60 digits, so that its multiples keep their fractions
 _GOLDEN = Fraction(math.isqrt(5 * 10**120) - 10**60, 2 * 10**60)
@@ -42,15 +42,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return levels.withColumn("target", F.least(cap * F.col("source_size"), level * F.col("weight")).cast("double")).select("source", "number", "source_size", "target")
 
 
+def in_blocks(targets: DataFrame, block: int) -> DataFrame:
+    """targets with blocks, the number of equal parts of each source's stream, and due, the slots that its target comes to.
+
+    A part has at most `block` words, and so few that the target comes to LEAST_EACH slots or the part to one word. Parts of a
+    source differ by one word at most, so none of its slots is spent on a rest.
+    """
+    own = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.col("target") / LEAST_EACH))
+    cut = targets.withColumn("blocks", F.ceil(F.col("source_size") / own))
+    return cut.withColumn("due", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+
+
+def _first_word(block: str) -> Column:
+    """Where a block of the source's stream begins. Decimals, as the product may leave 64 bits."""
+    return F.expr(f"cast({block} as decimal(19, 0)) * cast(source_size as decimal(19, 0)) div blocks")
+
+
+def _block_of(word: str) -> Column:
+    """The last block that begins at or before a word of the source's stream."""
+    return F.expr(f"(cast({word} + 1 as decimal(19, 0)) * cast(blocks as decimal(18, 0)) - 1) div source_size")
+
+
 def schedule(spark: SparkSession, targets: DataFrame, words: int, block: int, cap: int = 3) -> DataFrame:
     """slot, number (of the source), rank (of the slot among its source's), block (of the source's stream that the slot takes).
 
-    Slot i lies at the fraction of i times the golden ratio, and belongs to the source whose part of the cumulative targets
-    holds that point; so every stretch of the schedule has the mix of the whole. Ranks run over the source's blocks again and
+    Slot i lies at the fraction of i times the golden ratio, and belongs to the source whose part of the cumulative slots due
+    holds that point; so every stretch of the schedule has the mix of the whole. Without words there are no slots. Ranks run over the source's blocks again and
     again; a rank beyond cap rounds is left out. Points find their source by equal cell of a grid, so no list of sources is
     held anywhere, and ranks come from counts of stretches of slots, so a large source is no single task.
     """
-    slots = round(words / block) if words else 0
+    targets = in_blocks(targets, block)
+    slots = round(targets.agg(F.sum("due")).first()[0] or 0) if words else 0
     stretch = max(4096, math.isqrt(slots))
     fine, coarse = float(_GOLDEN), float(_GOLDEN * (1 << 20) % 1)  # i = high * 2^20 + low keeps the fraction exact enough for any i
     def part(x: Column) -> Column:
@@ -59,13 +81,13 @@ def schedule(spark: SparkSession, targets: DataFrame, words: int, block: int, ca
     low, high = F.col("slot") % (1 << 20), F.floor(F.col("slot") / (1 << 20))
     points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", part(part(low * fine) + part(high * coarse)))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
-    upto = F.sum("target").over(Window.orderBy("number"))
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
+    upto = F.sum("due").over(Window.orderBy("number"))
+    total = F.sum("due").over(Window.partitionBy(F.lit(0)))
     parts = targets.where("target > 0").withColumn("to", upto / total).withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("number")), F.lit(0.0)))
     parts = parts.withColumn("to", F.when(F.lead("number").over(Window.orderBy("number")).isNull(), F.lit(2.0)).otherwise(F.col("to")))
-    cells = parts.select("number", "from", "to", "source_size", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.floor(F.col("to") * CELLS), F.lit(CELLS)))).alias("cell"))
+    cells = parts.select("number", "from", "to", "blocks", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.floor(F.col("to") * CELLS), F.lit(CELLS)))).alias("cell"))
     dealt = points.join(cells, "cell").where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))
-    dealt = dealt.select("slot", "number", F.floor(F.col("slot") / stretch).alias("stretch"), F.ceil(F.col("source_size") / block).alias("blocks"))
+    dealt = dealt.select("slot", "number", F.floor(F.col("slot") / stretch).alias("stretch"), "blocks")
     before = Window.partitionBy("number").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("number", "stretch").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("number", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranks_before"))
@@ -78,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, source, text).
 
     size counts words (null text: 0). Each source's documents are shuffled by a hash of seed and doc_id and laid end to end; the
-    stream is cut into blocks of `block` words, and `schedule` takes blocks. taken: the document's words in the blocks taken,
+    stream is cut into equal blocks of `block` words or less, and `schedule` takes blocks. taken: the document's words in the blocks taken,
     counted as often as they are taken; at most cap times its size. Null sources form one source, the last. Rows with equal
     doc_id are rows of their own. A document without words takes 0; so does every one if there are no words at all. Reruns agree.
 
@@ -90,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     slim = written(slim.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
     rows, words = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block or max(1, min(words // LEAST_SLOTS, MOST_WORDS))
-    targets = written(source_targets(slim, weights, cap), "targets")
+    targets = written(in_blocks(source_targets(slim, weights, cap), block), "targets")
     known = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     known = known.withColumn("range", F.pmod("place", F.lit(max(1, math.isqrt(rows)))))
     past = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,9 +121,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     order = Window.partitionBy("number", "range").orderBy("place", "doc_id", "size")
     placed = known.withColumn("row", F.row_number().over(order)).withColumn("from", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(ranges, ["number", "range"]).withColumn("from", F.col("from") + F.col("words_before")).withColumn("to", F.col("from") + F.col("size"))
-    covered = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))
+    covered = F.when(F.col("size") > 0, F.sequence(_block_of("`from`"), _block_of("(`to` - 1)")))
     parts = placed.withColumn("block", F.explode_outer(covered))
-    held = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
+    held = F.least("to", _first_word("(block + 1)")) - F.greatest("from", _first_word("block"))
     times = schedule(spark, targets, words, block, cap).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = parts.withColumn("held", held).join(times, ["number", "block"], "left")
     key = ["number", "range", "row"]

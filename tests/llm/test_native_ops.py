@@ -65,6 +65,25 @@ def test_schedule_is_even(spark):
         assert [r["rank"] for r in rows if r.number == k] == list(range((ones == k).sum()))
 
 
+def test_small_sources_reach_their_targets_beside_a_large_one(spark):
+    rows = [(i, "large", "w " * 1000) for i in range(900)]
+    rows += [(10_000 + 100 * k + j, f"small{k:02}", "w " * (10 if k % 2 else 70)) for k in range(40) for j in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(df, block=512).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["small01"] == 300 and target["small00"] == 2100
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 10 for s in target), (taken, target)
+
+
+def test_blocks_of_a_stream_are_equal(spark):
+    t = spark.createDataFrame([(s, b, w) for s, b in [(7, 3), (700, 256), (10**12 + 1, 2 * 10**9)] for w in (0, 1, 2, 6, s - 1) if w < s], "source_size long, blocks long, word long")
+    for r in t.withColumn("block", mixing._block_of("word")).withColumn("begin", mixing._first_word("block")).withColumn("end", mixing._first_word("(block + 1)")).collect():
+        assert r.begin == r.block * r.source_size // r.blocks <= r.word < r.end == (r.block + 1) * r.source_size // r.blocks
+
+
 def test_empty_mix(spark):
     schema = "doc_id long, source string, text string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
