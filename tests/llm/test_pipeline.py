@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from quarry.llm import quality
+from quarry.llm import pii, quality
 from tests.llm.test_jaccard import shingles
 from tests.llm.test_native_ops import WORD, plain_spans, plain_targets
 
@@ -98,6 +98,28 @@ def test_stages_in_order(spark, sf_dir, docs):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == want
 
 
+def test_overlapping_spans_are_cut_from_the_text_as_given(spark, sf_dir):
+    texts = ["call +33.1.23.45.67.89 now", "a@1.2.3.4 x", "+1 4111 1111 1111 1111.2.3.4", "é😀 1.2.3.4@b.co, +49-30.1234567", "none", "", None, "tel (212) 555-0100 or +1 (743) 555-3824"]
+    texts += [f"call our phone (212) 555-{1000 + i} today, then a.b@c.de" for i in range(300)] + [f"mail joe.{i} [at] host{i} [dot] com now 10.0.0.{i % 250}" for i in range(300)]
+    given = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    spans = {r.doc_id: r.spans for r in pii.detect(given).collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.redact_personal_data(spark, given, sf_dir).collect()}
+    assert len(got) == len(texts) and [x.kind for x in spans[8]] == ["phone", "email"] and [x.kind for x in spans[308]] == ["email", "ip"]
+    for i, t in enumerate(texts):
+        united = []
+        for x in spans[i]:
+            if united and x.start < united[-1][1]:
+                united[-1][1] = max(united[-1][1], x.end)
+            else:
+                united.append([x.start, x.end, x.kind])
+        want = t
+        for a, b, k in reversed(united):
+            want = want[:a] + f"<{k.upper()}>" + want[b:]
+        assert got[i].text == want, t
+        assert got[i].n_chars == (None if t is None else len(want))
+    assert got[0].text == "call <PHONE> now"
+
+
 def test_empty_table(spark, sf_dir):
     given = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
