@@ -83,6 +83,12 @@ def sanitize_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.sanitize(F.concat(F.substring("text", 1, 300), F.lit(_DIRTY))).alias("clean"))
 
 
+@query(SQL["sanitize_text"].replace("substring(text, 1, 300)", "text"))
+def sanitize_text_whole(spark, sf):
+    """sanitize_text over whole texts."""
+    return read(spark, sf, "documents").select("doc_id", T.sanitize(F.concat("text", F.lit(_DIRTY))).alias("clean"))
+
+
 @query(r"""
 SELECT page_id, n AS clean_name, CASE WHEN contains(n, '.') THEN lower(split_part(n, '.', -1)) ELSE '' END AS file_type,
  CASE WHEN n = '' THEN 400 WHEN (CASE WHEN contains(n, '.') THEN lower(split_part(n, '.', -1)) ELSE '' END) <> 'pdf' THEN 415 WHEN page_id % 7 = 0 THEN 413 WHEN page_id % 5 = 0 THEN 422 ELSE 200 END AS status_code
