@@ -366,6 +366,36 @@ def contiguous_islands(spark, sf):
     return out.join(ranks, ["document_id", "chunk_index"]).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "retrieval_rank", "expanded_context")
 
 
+def every_seed(spark, sf) -> DataFrame:
+    """Seeds a quarter and half way down and at the end of every document; each ten documents that follow one another are a request."""
+    n = F.col("last") + 1
+    at = F.array_distinct(F.array(F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.col("last")))
+    d = lines(spark, sf).groupBy("document_id").agg(F.max("node_index").alias("last")).select("document_id", F.explode(at).alias("node_index"))
+    number = F.col("document_id").cast("long")
+    r = F.pmod(number, F.lit(10)) * (1 << 32) + F.col("node_index")
+    return d.select(F.floor(number / 10).alias("query_id"), "document_id", "node_index", (1 / (1 + r)).alias("score"), (r + 1).alias("rank"))
+
+
+_EVERY = f"""WITH {LINES}, ends AS (SELECT document_id, CAST(document_id AS BIGINT) AS number, max(node_index) + 1 AS n FROM lines GROUP BY document_id),
+seeds AS (SELECT document_id, number // 10 AS query_id, spot AS seed, number % 10 * 4294967296 + spot AS rank FROM (SELECT DISTINCT document_id, number, unnest([n // 4, n // 2, n - 1]) AS spot FROM ends)),
+expanded AS (SELECT l.*, s.query_id, s.seed, s.rank FROM lines l JOIN seeds s ON l.document_id = s.document_id AND l.node_index BETWEEN s.seed - 1 AND s.seed + 1 QUALIFY row_number() OVER (PARTITION BY l.node_id ORDER BY abs(s.seed - l.node_index), s.rank) = 1)"""
+
+
+@query(f"{_EVERY} SELECT query_id, node_id AS chunk_id, content, CAST(seed AS INTEGER) AS seed_chunk_index, rank AS retrieval_rank, seed <> node_index AS is_neighbor, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY CAST(document_id AS BIGINT)) - 1 AS INTEGER) AS document_rank FROM expanded")
+def neighbor_expansion_whole(spark, sf):
+    """neighbor_expansion from seeds in every document, a request for each ten."""
+    out = context.expand(every_seed(spark, sf), lines(spark, sf))
+    return out.select("query_id", "chunk_id", "content", F.col("seed_chunk_index").cast("int").alias("seed_chunk_index"), "retrieval_rank", "is_neighbor", F.col("document_rank").cast("int").alias("document_rank"))
+
+
+@query(f"""{_EVERY}, runs AS (SELECT *, node_index - row_number() OVER (PARTITION BY document_id ORDER BY node_index) AS island FROM expanded)
+SELECT query_id, document_id, CAST(min(node_index) AS INTEGER) AS chunk_index, string_agg(node_id, ',' ORDER BY node_index) AS chunk_ids, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS INTEGER) AS place, count(*) > 1 AS expanded_context FROM runs GROUP BY query_id, document_id, island""")
+def contiguous_islands_whole(spark, sf):
+    """contiguous_islands from seeds in every document, a request for each ten."""
+    out = context.merge(context.expand(every_seed(spark, sf), lines(spark, sf)))
+    return out.select("query_id", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("chunk_ids", ",").alias("chunk_ids"), F.col("place").cast("int").alias("place"), "expanded_context")
+
+
 @query(f"""
 WITH {LINES}, pairs AS (SELECT a.document_id, a.content AS l, b.content AS r FROM lines a JOIN lines b ON a.document_id = b.document_id AND a.node_index = 0 AND b.node_index = 1)
 SELECT document_id, CASE WHEN k = 0 THEN l || chr(10) || r ELSE l || substr(r, k + 1) END AS joined FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(length(l), length(r), 2000) + 1), lambda k: right(l, k) = left(r, k))), 0) AS k FROM pairs)""")
