@@ -405,6 +405,16 @@ def overlap_merge_text(spark, sf):
     return two.select("document_id", T.join_overlap(F.col("l"), F.col("r")).alias("joined"))
 
 
+@query(f"""
+WITH {LINES}, pairs AS (SELECT a.document_id, a.node_index, a.content AS l, b.content AS r FROM lines a JOIN lines b ON a.document_id = b.document_id AND b.node_index = a.node_index + 1)
+SELECT document_id, node_index, CASE WHEN k = 0 THEN l || chr(10) || r ELSE l || substr(r, k + 1) END AS joined FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(length(l), length(r), 2000) + 1), lambda k: right(l, k) = left(r, k))), 0) AS k FROM pairs)""")
+def overlap_merge_text_whole(spark, sf):
+    """overlap_merge_text for every line and its successor."""
+    after = F.lead("content").over(Window.partitionBy("document_id").orderBy("node_index"))
+    two = lines(spark, sf).select("document_id", "node_index", F.col("content").alias("l"), after.alias("r")).where("r is not null")
+    return two.select("document_id", "node_index", T.join_overlap(F.col("l"), F.col("r")).alias("joined"))
+
+
 @query()
 def rag_contexts(spark, sf):
     nodes, vectors, postings, requests = _hybrid(spark, sf, "licensed under", "the and", "que de la")
