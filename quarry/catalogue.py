@@ -198,13 +198,13 @@ def json_export(spark, sf):
 
 @query()
 def pdf_spans_to_blocks(spark, sf):
-    """Text lines set as positioned spans in two columns, with a table of three columns on each page."""
-    n = lines(spark, sf).where("node_index < 24")
-    at = F.col("node_index")
-    title = F.when(at == 0, "Bảng 1").when(at == 4, "(Nguồn: x)").otherwise(F.left("content", F.lit(40)))
-    cells = F.when(at.between(1, 3), F.array(*(F.struct(F.lit(75.0 + 100 * i).alias("x"), F.concat(F.left("content", F.lit(8)), F.lit(f" {i}")).alias("text")) for i in range(3)))).otherwise(F.array(F.struct(F.when(at % 2 == 0, 75.0).otherwise(319.0).alias("x"), title.alias("text"))))
-    spans = n.select("document_id", F.lit(1).alias("page_number"), F.lit(595.0).alias("page_width"), F.explode(cells).alias("s"), (F.lit(800.0) - at * 12).alias("y"))
-    return pdf.spans_to_blocks(spans.select("document_id", "page_number", "page_width", "s.x", "y", "s.text")).select("document_id", "block_ordinal", "block_type", "text", "title", "column")
+    """Text lines set as positioned spans in two columns, 24 to a page, with a table of three columns on each page."""
+    n = lines(spark, sf)
+    at = F.col("node_index") % 24
+    title = F.when(at == 0, F.concat(F.lit("Bảng 1 "), "content")).when(at == 4, F.concat(F.lit("(Nguồn: x) "), "content")).otherwise(F.col("content"))
+    cells = F.when(at.between(1, 3), F.array(*(F.struct(F.lit(75.0 + 100 * i).alias("x"), F.concat("content", F.lit(f" {i}")).alias("text")) for i in range(3)))).otherwise(F.array(F.struct(F.when(at % 2 == 0, 75.0).otherwise(319.0).alias("x"), title.alias("text"))))
+    spans = n.select("document_id", (F.floor(F.col("node_index") / 24) + 1).cast("int").alias("page_number"), F.lit(595.0).alias("page_width"), F.explode(cells).alias("s"), (F.lit(800.0) - at * 12).alias("y"))
+    return pdf.spans_to_blocks(spans.select("document_id", "page_number", "page_width", "s.x", "y", "s.text")).select("document_id", "page_number", "block_ordinal", "block_type", "text", "title", "column")
 
 
 # ---- chunks and embeddings
