@@ -268,6 +268,12 @@ def vector_topk_batch(spark, sf):
     return _vector(spark, sf, "vec_id < 100")
 
 
+@query(_vector_sql("q.vec_id % 50 = 0"))
+def vector_topk_batch_whole(spark, sf):
+    """vector_topk_batch for every row whose id is divisible by 50."""
+    return _vector(spark, sf, "vec_id % 50 = 0")
+
+
 # ---- full text
 
 def document_postings(spark, sf) -> DataFrame:
