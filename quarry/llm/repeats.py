@@ -4,10 +4,12 @@ A window of `length` bytes is repeated if the same bytes start anywhere else. Ev
 it, which equal windows share. So windows are dealt by anchor, and only anchors that occur more than once go on. The windows of
 one anchor that follow each other form a run; runs with equal bytes are one class, and a class of two or more is repeated as a whole.
 
-What is left are anchors with different classes around them. Their segments, from all shards of the corpus, come together in buckets, and
-their suffixes are merged by refining the interleave round by round: two suffixes stay in one interval while their next symbols
-agree, and the symbol of a round is the interval of the suffix further on, so the common prefix doubles each round. Suffixes alone in
-their interval drop out and are not sorted again. The intervals that last to `length` bytes are the repeated windows.
+What is left are anchors with different classes around them. Their segments come together in buckets. In a bucket the segments are
+dealt to shards, each shard gets its own Burrows-Wheeler transform, and the transforms are merged by refining their interleave: round
+h turns the interleave that is right for h symbols into the one for h + 1 by one stable pass over the merged transform, and the places
+where neighbours part in a round are where their common prefix ends. No suffix of another shard is compared or sorted again. The
+intervals that last to `length` bytes are the repeated windows. A symbol is a block of bytes, a string of the transform every
+block of a segment at one offset, so 400 bytes take 8 rounds and not 400.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from quarry.llm.common import documents, partitions, small_batches, sorted_join,
 
 #: Bytes of an anchor; bytes scanned at once (positions within must fit in 22 bits); segments of one anchor that a task compares at once.
 GRAM, SCAN, TOGETHER = 32, 1 << 21, 20_000
+#: Segments from which an anchor is a group of its own; shards of a group; rows of an anchor for each part of a hot class, and parts at most.
+ALONE, SHARDS, PART, PARTS = 200, 8, 4096, 64
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int):
@@ -76,48 +80,125 @@ def _runs(data: np.ndarray, piece: list, length: int) -> tuple[np.ndarray, ...]:
     return text[of], lo + shift, hi + shift, anchor[new] - lo, gram[anchor[new]].astype("i8"), ranges.of(lo, hi + length).astype("i8")
 
 
+def symbol_bytes(length: int) -> int:
+    """Bytes of a symbol: the largest divisor of `length` that leaves six symbols or more, so that a window is a whole number of symbols."""
+    return max(d for d in range(1, max(1, length // 6) + 1) if length % d == 0)
+
+
+def _numbered(parts: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the runs that `parts`, set where neighbours part, leaves."""
+    out = np.zeros(len(parts) + 1, "i4")
+    np.cumsum(parts, out=out[1:])
+    return out
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers below 2^32."""
+    both = key.astype("u8") << np.uint64(32)
+    both |= np.arange(len(key), dtype="u8")
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).astype("i8")
+
+
+class Transform:
+    """The Burrows-Wheeler transform of one shard, with its suffixes sorted by their first `depth` symbols.
+
+    symbol: of each suffix its first symbol, 0 for the empty suffix that ends a string; after: the suffix one symbol further on (an
+    empty one stays where it is); before: the symbol in front of it, 0 where its string begins.
+    """
+
+    def __init__(self, symbol: np.ndarray, after: np.ndarray, before: np.ndarray, depth: int):
+        rank, reach, jump = symbol, 1, after
+        while reach < depth:  # ranks by twice as many symbols
+            key = rank.astype("u8") << np.uint64(32) | rank[jump].astype("u8")
+            order = np.argsort(key)
+            rank = np.empty_like(rank)
+            rank[order] = _numbered(np.diff(key[order]) != 0)
+            reach, jump = 2 * reach, jump[jump]
+        self.suffixes = _order(rank)
+        self.bwt = before[self.suffixes]
+
+
+def interleave(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each suffix in the merged order of all shards by `depth` symbols, and the number of its interval.
+
+    Suffixes of one interval have their first `depth` symbols in common; where a round sets a new bound, the common prefix of the
+    neighbours is that round's number.
+    """
+    bwt = np.concatenate([t.bwt for t in shards])
+    shard = np.repeat(np.arange(len(shards), dtype="u1"), [len(t.bwt) for t in shards])
+    interval = np.zeros(len(bwt), "i4")
+    for _ in range(depth):
+        merged = np.empty_like(bwt)
+        merged[np.argsort(shard, kind="stable")] = bwt  # every shard's transform in its own order, at its places in the interleave
+        source = _order(merged)  # a stable pass by symbol
+        symbol, was = merged[source], interval[source]
+        parts = np.diff(was) != 0
+        parts &= symbol[1:] > 0
+        parts |= np.diff(symbol) != 0
+        shard, interval = shard[source], _numbered(parts)
+    return shard, interval
+
+
 def repeated_windows(segments: list[bytes], length: int, group: np.ndarray | None = None, offset: np.ndarray | None = None) -> list[np.ndarray]:
     """For each segment, which of its windows of `length` bytes start anywhere else in the segments too.
 
     group, offset: the anchor of each segment and its place there, if any; then windows are held against those of the same anchor alone.
-    As equal windows lie at equal distances from it, suffixes of different distance never share an interval.
+    As equal windows lie at equal distances from it, symbols of different distance differ.
     """
     sizes = np.array([len(s) for s in segments], "i8")
-    data = np.frombuffer(b"".join(segments) + bytes(8), "u1")
+    if not len(sizes):
+        return []
+    step = symbol_bytes(length)
+    data = np.frombuffer(b"".join(segments), "u1")
     starts = np.cumsum(sizes) - sizes
-    n = int(sizes.sum())
-    place = np.arange(n) - np.repeat(starts, sizes)
-    left = np.repeat(sizes, sizes) - place  # bytes from each place to the end of its segment
-    symbol = np.zeros(n, "u8")  # the first symbol: eight bytes
-    for i in range(8):
-        symbol = symbol << np.uint64(8) | data[i : i + n]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(data)) - starts[own]
+    left = sizes[own] - place  # bytes from each place to the end of its segment
+    begins = np.flatnonzero(left >= step)
+    name = hashing.Ranges(data).grams(step)[begins] if len(begins) else np.zeros(0, "u8")
     if group is not None:
-        symbol = hashing.mix(symbol) ^ hashing.mix(np.repeat(group.astype("u8"), sizes) + (place - np.repeat(offset, sizes)).astype("u8") * np.uint64(0x9E3779B97F4A7C15))
-
-    def intervals(at: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Interval of each suffix among those of equal key; -1 for suffixes that stand alone."""
-        order = np.argsort(key)
-        key = key[order]
-        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        shared = np.bincount(number, minlength=1)[number] > 1
-        out = np.full(n, -1, "i8")
-        out[at[order[shared]]] = number[shared]
-        return out
-
-    live = np.flatnonzero(left >= 8)
-    interval, depth, steps = intervals(live, symbol[live]), 8, []
-    while 2 * depth <= length:
-        steps.append((depth, depth))
-        depth *= 2
-    if depth < length:
-        steps.append((depth, length - depth))  # the last symbol overlaps the one before it
-    for depth, step in steps:
-        live = np.flatnonzero(interval >= 0)
-        live = live[left[live] >= depth + step]
-        live = live[interval[live + step] >= 0]
-        interval = intervals(live, interval[live] * np.int64(n + 1) + interval[live + step])
-    return [interval[a : a + s - length + 1] >= 0 for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        of = own[begins]
+        name ^= hashing.mix(group.astype("u8")[of] + (place[begins] - offset[of]).astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(name)
+    symbol = np.zeros(len(data), "u4")
+    if len(name):
+        symbol[begins[order]] = _numbered(np.diff(name[order]) != 0) + 1
+
+    # a window with a symbol that occurs once is not repeated; strings without any other window stay out
+    good = (np.bincount(symbol)[symbol] > 1) & (symbol > 0)
+    windows = left >= length
+    for at in range(0, length, step):
+        windows[: len(data) - at] &= good[at:]
+    string = own * step + place % step
+    kept = np.zeros(len(sizes) * step, bool)
+    kept[string[windows]] = True
+    begins = begins[kept[string[begins]]]
+
+    # segments in shards of about equal bytes
+    share = np.minimum((starts * SHARDS) // max(1, len(data)), SHARDS - 1)
+    out = np.zeros(len(data), bool)
+    shards, positions = [], []
+    for k in np.unique(share).tolist():
+        of = np.flatnonzero(share == k)
+        a, b = starts[of[0]], starts[of[-1]] + sizes[of[-1]]
+        at = begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)]
+        ends = at[left[at] < 2 * step]  # the last symbol of each string
+        index = np.empty(b - a, "i8")
+        index[at - a] = np.arange(len(at))
+        after = np.empty(len(at) + len(ends), "i8")
+        after[: len(at)] = index[np.minimum(at + step, b - 1) - a]
+        after[index[ends - a]] = after[len(at) :] = len(at) + np.arange(len(ends))
+        before = np.concatenate([np.where(place[at] >= step, symbol[at - step], np.uint32(0)), symbol[ends]])
+        shards.append(Transform(np.concatenate([symbol[at], np.zeros(len(ends), "u4")]), after, before, length // step))
+        positions.append(np.concatenate([at, np.full(len(ends), -1)])[shards[-1].suffixes])
+    shard, interval = interleave(shards, length // step)
+    position = np.empty(len(shard), "i8")
+    position[np.argsort(shard, kind="stable")] = np.concatenate(positions)
+    whole = (position >= 0) & (left[position] >= length)
+    position, interval = position[whole], interval[whole]
+    out[position] = np.bincount(interval)[interval] > 1
+    return [out[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def spans(windows: np.ndarray, length: int, shift: int = 0) -> list[tuple[int, int]]:
@@ -150,34 +231,38 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
     # written first, so that the join below has plain exchanges on both sides and Spark can split a common anchor
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1")
     anchors = written(anchors, "anchors")
-    again = found.join(sorted_join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed"))), "anchor")
+    again = found.join(sorted_join(anchors.select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed"))), "anchor")
     again = written(again, "repeated-runs")
-    whole = again.where("not mixed").select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
+    ranges = [F.col("lo").alias("from"), (F.col("hi") + length).alias("to")]
+    whole = again.where("not mixed").select("key", "mark", *ranges)
 
-    mixed = again.where("mixed")
-    classes = mixed.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("key", "mark", "lo", "hi", "off")))
+    # rows and classes of a common anchor are dealt by parts as well, so that a hot class is many tasks
+    parts = F.least(F.lit(PARTS), F.floor(F.col("n") / PART) + 1).cast("int")
+    mixed = again.where("mixed").withColumn("parts", parts)
+    classes = mixed.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"), *(F.first(c).alias(c) for c in ("key", "mark", "lo", "hi", "off")))
     classes = written(classes, "classes")
-    copies = classes.where("n > 1").select("anchor", "class")
-    whole = whole.union(mixed.join(sorted_join(copies), ["anchor", "class"]).select("key", "mark", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")))
+    copies = classes.where("n > 1").select("anchor", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = mixed.withColumn("part", F.pmod(F.xxhash64("key", "mark", "lo"), F.col("parts")).cast("int"))
+    whole = whole.union(rows.join(sorted_join(copies), ["anchor", "class", "part"]).select("key", "mark", *ranges))
 
     # anchors with a class that stands alone: their segments, from the texts
     tally = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).where("least = 1")
-    wanted = classes.join(sorted_join(tally.select("anchor", (F.col("classes") > TOGETHER).alias("crowded"))), "anchor")
-    by_text = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "off", "anchor", (F.col("n") == 1).alias("alone"), "crowded")).alias("cuts"))
+    wanted = classes.join(sorted_join(tally.select("anchor", "classes")), "anchor")
+    by_text = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi", "off", "anchor", (F.col("n") == 1).alias("alone"), "classes")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
             rows = []
             for key, mark, cuts, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 data = text.encode()
-                rows += [(key, mark, c["lo"], c["off"], c["anchor"], c["alone"], c["crowded"], data[c["lo"] : c["hi"] + length]) for c in cuts]
+                rows += [(key, mark, c["lo"], c["off"], c["anchor"], c["alone"], c["classes"], data[c["lo"] : c["hi"] + length]) for c in cuts]
                 if sum(len(r[7]) for r in rows[-len(cuts) :]) > units.SLICE or len(rows) > 4000:
                     yield _table(rows)
                     rows = []
             if rows:
                 yield _table(rows)
 
-    segments = by_text.join(sorted_join(slim), ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, off long, anchor long, alone boolean, crowded boolean, bytes binary")
+    segments = by_text.join(sorted_join(slim), ["key", "mark"]).select("key", "mark", "cuts", "text").mapInArrow(cut, "key long, mark long, lo long, off long, anchor long, alone boolean, classes long, bytes binary")
     segments = written(segments, "segments")
     volume = segments.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), volume // 2_000_000)
@@ -198,7 +283,8 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["key", "mark", "from", "to"])
 
-    calm = segments.where("not crowded").withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
+    bucket = F.when(F.col("classes") > ALONE, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(buckets)))
+    calm = segments.where(F.col("classes") <= TOGETHER).withColumn("bucket", bucket)
     solved = calm.groupBy("bucket").applyInArrow(merge, "key long, mark long, from long, to long")
 
     # an anchor with more segments than fit together: each window is a row, and rows with equal bytes are counted
@@ -211,15 +297,15 @@ def find_repeats(slim: DataFrame, length: int) -> DataFrame:
                 h = [hashing.Ranges(d, s).of(p, p + length).astype("i8") for s in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x)) for x in (key, mark, anchor)), pa.array(p + lo), *map(pa.array, h)], names=["key", "mark", "anchor", "from", "h", "i"])
 
-    rows = segments.where("crowded").mapInArrow(explode, "key long, mark long, anchor long, from long, h long, i long")
+    rows = segments.where(F.col("classes") > TOGETHER).mapInArrow(explode, "key long, mark long, anchor long, from long, h long, i long")
     twice = rows.groupBy("anchor", "h", "i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     crowded = rows.join(sorted_join(twice), ["anchor", "h", "i"]).select("key", "mark", "from", (F.col("from") + length).alias("to"))
     return whole.union(solved).union(crowded).groupBy("key", "mark").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
 def _table(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "mark", "lo", "off", "anchor", "alone", "crowded", "bytes"])
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "mark", "lo", "off", "anchor", "alone", "classes", "bytes"])
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
@@ -237,7 +323,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs (doc_id, text).
 
     Removed is each byte covered by a string of `length` bytes that also starts anywhere else, in the same text or another; all
-    is judged on the input, and strings never cross texts. A null text counts as empty. Repeated rows are texts of their own, so
+    is judged on the input, and strings never cross texts. A null text counts as empty, an empty table gives no rows, and a very long
+    text is scanned in parts that overlap. Repeated rows are texts of their own, so
     they remove each other if they are long enough. Null doc_ids take part like any other. Other columns are ignored.
     kept may break a character of UTF-8, as bytes are removed.
     """
@@ -272,5 +359,6 @@ def _kept(rows: list) -> pa.RecordBatch:
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text is what stays, as UTF-8, with U+FFFD for what is left of a character that was cut."""
     out = remove_repeats(documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
