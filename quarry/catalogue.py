@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import embedding, fulltext
 from quarry.functions import text as T
 from quarry.operators import context, layout, search, store
-from quarry.plans import generation, retrieval
+from quarry.plans import generation, prepared, retrieval
 from quarry.sources import pdf
 
 QUERIES: dict = {}
@@ -77,15 +77,9 @@ _DIRTY = "\r\n\x01é​\tz\rq­\x7f"
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(nfc_normalize(replace(replace(substring(text, 1, 300) || chr(13) || chr(10) || chr(1) || 'e' || chr(769) || chr(8203) || chr(9) || 'z' || chr(13) || 'q' || chr(173) || chr(127), chr(13) || chr(10), chr(10)), chr(13), chr(10))),
+SELECT doc_id, regexp_replace(nfc_normalize(replace(replace(text || chr(13) || chr(10) || chr(1) || 'e' || chr(769) || chr(8203) || chr(9) || 'z' || chr(13) || 'q' || chr(173) || chr(127), chr(13) || chr(10), chr(10)), chr(13), chr(10))),
  '[\p{Cf}\x{01}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]', '', 'g') AS clean FROM documents""")
 def sanitize_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.sanitize(F.concat(F.substring("text", 1, 300), F.lit(_DIRTY))).alias("clean"))
-
-
-@query(SQL["sanitize_text"].replace("substring(text, 1, 300)", "text"))
-def sanitize_text_whole(spark, sf):
-    """sanitize_text over whole texts."""
     return read(spark, sf, "documents").select("doc_id", T.sanitize(F.concat("text", F.lit(_DIRTY))).alias("clean"))
 
 
@@ -147,7 +141,18 @@ def page_elements(spark, sf) -> DataFrame:
     return rows.select("document_id", "element_ordinal", F.regexp_replace("e.text", "<[^>]*>", "").alias("text"), "e.category", F.lit("Text").alias("class_name"), none("string").alias("element_id"), none("int").alias("page_number"), none("array<array<double>>").alias("points"), none(box).alias("bbox"), none("string").alias("text_as_html"), none("string").alias("image_path"), none("binary").alias("image_bytes"), none("string").alias("filename"), none("string").alias("filetype"), none("string").alias("parent_id"), none("array<string>").alias("languages"))
 
 
-@query()
+def _found(tag: str, kind: str) -> str:
+    return rf"list_transform(regexp_extract_all(html, '(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1), lambda x: struct_pack(category := '{kind}', body := x))"
+
+
+#: SQL of the text blocks of the pages: tags and control characters gone, blank ones left out, numbered in order.
+_PAGE_BLOCKS = rf"""WITH found AS (SELECT CAST(page_id AS VARCHAR) AS document_id, list_concat(list_concat({_found("h1", "Title")}, {_found("p", "NarrativeText")}), {_found("li", "ListItem")}) AS l FROM pages),
+each AS (SELECT document_id, i, l[i].category AS category, regexp_replace(nfc_normalize(replace(replace(regexp_replace(l[i].body, '<[^>]*>', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10))), '[\p{{Cf}}\x{{00}}-\x{{08}}\x{{0B}}-\x{{1F}}\x{{7F}}-\x{{9F}}]', '', 'g') AS text
+ FROM found, unnest(range(1, len(l) + 1)) AS r(i)),
+blocks AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS INTEGER) AS block_ordinal, category, text FROM each WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')"""
+
+
+@query(f"{_PAGE_BLOCKS} SELECT document_id, block_ordinal, 'text' AS block_type, category, text FROM blocks")
 def page_elements_to_blocks(spark, sf):
     return layout.elements_to_blocks(page_elements(spark, sf)).select("document_id", "block_ordinal", "block_type", "category", "text")
 
@@ -191,7 +196,7 @@ def route_nodes(spark, sf):
     return nodes.select("document_id", "node_index", "node_type", "content", "metadata.image_name")
 
 
-@query()
+@query(f"""{_PAGE_BLOCKS} SELECT document_id, block_ordinal, '{{"block_type":"text","page_number":1,"text":' || CAST(to_json(text) AS VARCHAR) || ',"category":"' || category || '","bbox":[0.0,0.0,0.0,0.0]}}' AS json FROM blocks""")
 def json_export(spark, sf):
     return layout.blocks_as_json(layout.elements_to_blocks(page_elements(spark, sf)))
 
@@ -225,10 +230,10 @@ _BYTE = "CAST(('0x' || substr(h, CAST(2 * (i % 32) + 1 AS INTEGER), 2)) AS INTEG
 
 @query(f"""
 WITH h AS (SELECT item_id, sha256(text) AS h FROM benchmark), raw AS (SELECT item_id, i, (({_BYTE} + 17 * i) % 256)::DOUBLE / 255.0::DOUBLE - 0.5::DOUBLE AS x FROM h, range(0, 256) r(i))
-SELECT item_id, CAST(i AS INTEGER) AS place, round(x / n, 6) AS value FROM (SELECT item_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS n FROM raw) WHERE i < 8""")
+SELECT item_id, CAST(i AS INTEGER) AS place, round(x / n, 6) AS value FROM (SELECT item_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS n FROM raw)""")
 def mock_embedding_head(spark, sf):
     v = embedding.checked(embedding.mock_embedding(F.col("text"), 256), 256)
-    return read(spark, sf, "benchmark").select("item_id", F.posexplode(F.slice(v, 1, 8)).alias("place", "x")).select("item_id", "place", F.round("x", 6).alias("value"))
+    return read(spark, sf, "benchmark").select("item_id", F.posexplode(v).alias("place", "x")).select("item_id", "place", F.round("x", 6).alias("value"))
 
 
 # ---- vector search
@@ -263,14 +268,9 @@ def vector_topk_filtered(spark, sf):
     return _vector(spark, sf, "vec_id in (3, 4)", True)
 
 
-@query(_vector_sql("q.vec_id < 100"))
-def vector_topk_batch(spark, sf):
-    return _vector(spark, sf, "vec_id < 100")
-
-
 @query(_vector_sql("q.vec_id % 50 = 0"))
-def vector_topk_batch_whole(spark, sf):
-    """vector_topk_batch for every row whose id is divisible by 50."""
+def vector_topk_batch(spark, sf):
+    """Every row whose id is divisible by 50 against all rows."""
     return _vector(spark, sf, "vec_id % 50 = 0")
 
 
@@ -309,27 +309,45 @@ def fts_rank_two_terms(spark, sf):
     return search.fulltext_hits(document_postings(spark, sf), asked(spark, "the and")).select("document_id", F.round("score", 6).alias("score"))
 
 
+def _ranks(nodes: str, queries: str, key: str) -> str:
+    """SQL of texts(query_id, key, score): cover density of up to three distinct words for each query over `nodes` (key, content). A cover ends at a hit where the
+    oldest of the newest hits of all words has moved on."""
+    return f"""
+words AS (SELECT query_id, w[k] AS t, k, len(w) AS n FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {queries}) x, unnest(range(1, len(w) + 1)) AS u(k)),
+places AS (SELECT {key}, l[p] AS t, p FROM (SELECT {key}, {TOKENS} AS l FROM {nodes}) x, unnest(range(1, len(l) + 1)) AS u(p)),
+found AS (SELECT query_id, {key}, k, n, p, row_number() OVER (PARTITION BY query_id, {key} ORDER BY p) AS i FROM places JOIN words USING (t)),
+newest AS (SELECT *, max(CASE WHEN k = 1 THEN i END) OVER w AS i1, max(CASE WHEN k = 2 THEN i END) OVER w AS i2, max(CASE WHEN k = 3 THEN i END) OVER w AS i3,
+ max(CASE WHEN k = 1 THEN p END) OVER w AS p1, max(CASE WHEN k = 2 THEN p END) OVER w AS p2, max(CASE WHEN k = 3 THEN p END) OVER w AS p3 FROM found WINDOW w AS (PARTITION BY query_id, {key} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+covered AS (SELECT query_id, {key}, p, i, least(i1, i2, i3) AS i0, least(p1, p2, p3) AS p0 FROM newest WHERE i1 IS NOT NULL AND (n < 2 OR i2 IS NOT NULL) AND (n < 3 OR i3 IS NOT NULL)),
+moved AS (SELECT *, lag(i0) OVER (PARTITION BY query_id, {key} ORDER BY p) AS was FROM covered),
+texts AS (SELECT query_id, {key}, sum(0.1::DOUBLE / (1 + (p - p0) - (i - i0))) AS score FROM moved WHERE was IS NULL OR i0 > was GROUP BY query_id, {key})"""
+
+
+@query(f"WITH ask AS (SELECT 0 AS query_id, 'que de la' AS query), nodes AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text AS content FROM documents), {_ranks('nodes', 'ask', 'document_id')} SELECT document_id, round(score, 6) AS score FROM texts")
+def fts_rank_three_terms(spark, sf):
+    return search.fulltext_hits(document_postings(spark, sf), asked(spark, "que de la")).select("document_id", F.round("score", 6).alias("score"))
+
+
 # ---- fusion, hybrid search, contexts
 
 @query("""
-WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20), t AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20)
+WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings), t AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS r FROM embeddings)
 SELECT CAST(coalesce(v.vec_id, t.vec_id) AS VARCHAR) AS node_id, CAST(row_number() OVER (ORDER BY coalesce(1::DOUBLE / (60 + v.r), 0) + coalesce(1::DOUBLE / (60 + t.r), 0) DESC, v.r NULLS LAST, t.r) AS INTEGER) AS rank,
  round(coalesce(1::DOUBLE / (60 + v.r), 0) + coalesce(1::DOUBLE / (60 + t.r), 0), 9) AS score FROM v FULL JOIN t USING (vec_id) QUALIFY rank <= 10""")
 def rrf_fusion(spark, sf):
     def ranked(i):
-        w = Window.orderBy(F.element_at("embedding", i).desc(), "vec_id")
-        top = read(spark, sf, "embeddings").select("vec_id", F.element_at("embedding", i).alias("e")).orderBy(F.col("e").desc(), "vec_id").limit(20)
-        return top.select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").cast("string").alias("node_id"), F.lit("d").alias("document_id"), F.col("vec_id").cast("int").alias("node_index"), F.row_number().over(Window.orderBy(F.col("e").desc(), "vec_id")).alias("rank")) if w is not None else top
+        w = Window.partitionBy("query_id").orderBy(F.element_at("embedding", i).desc(), "vec_id")
+        one = read(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").cast("string").alias("node_id"), F.lit("d").alias("document_id"), F.col("vec_id").cast("int").alias("node_index"), "vec_id", "embedding")
+        return one.withColumn("rank", F.row_number().over(w)).drop("vec_id", "embedding")
 
     out = search.fuse(ranked(1), ranked(2), asked(spark, "x", top_k=10))
     return out.select("node_id", F.col("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
 
 
 def _hybrid(spark, sf, *queries, top_k=5):
-    nodes = lines(spark, sf)
-    vectors, postings = retrieval.prepared(nodes, lambda c: embedding.mock_embedding(c, 256))
+    """Nodes, vectors and postings from the store of the lines, and requests with vectors."""
     requests = retrieval.embedded(asked(spark, *queries, top_k=top_k), lambda c: embedding.mock_embedding(c, 256))
-    return nodes, vectors, postings, requests
+    return *prepared.search_tables(prepared.line_store(spark, f"{sf}/documents.parquet")), requests
 
 
 @query(f"""
@@ -340,38 +358,48 @@ def fulltext_topk(spark, sf):
     return search.fulltext_top_k(postings, asked(spark, "Licensed")).select("node_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+def _offline(text: str, kind: str) -> str:
+    """SQL of the offline embedding of a text."""
+    byte = f"CAST(('0x' || substr(sha256({text}), CAST(2 * (i % 32) + 1 AS INTEGER), 2)) AS INTEGER)"
+    raw = f"list_transform(range(0, 256), lambda i: (({byte} + 17 * i) % 256)::DOUBLE / 255.0::DOUBLE - 0.5::DOUBLE)"
+    return f"list_transform([{raw}], lambda r: list_transform(r, lambda x: CAST(x / sqrt(list_dot_product(r, r)) AS {kind})))[1]::DOUBLE[]"
+
+
+def _hybrid_sql(*queries: str, top_k: int = 5) -> str:
+    """SQL of hits(query_id, document_id, node_index, node_id, score, rank): fusion of twice top_k hits by vector and by text."""
+    values = ", ".join(f"({i}, '{q}')" for i, q in enumerate(queries))
+    return f"""WITH {LINES}, ask(query_id, query) AS (VALUES {values}), {_ranks("lines", "ask", "node_id")},
+units AS (SELECT node_id, document_id, node_index, {_offline("content", "FLOAT")} AS u FROM lines), wanted AS (SELECT query_id, {_offline("query", "DOUBLE")} AS q FROM ask),
+near AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(u, q) DESC, document_id, node_index) AS v FROM units, wanted QUALIFY v <= {2 * top_k}),
+said AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, node_index) AS t FROM texts JOIN lines USING (node_id) QUALIFY t <= {2 * top_k}),
+fused AS (SELECT query_id, node_id, v, t, coalesce(1::DOUBLE / (60 + v), 0) + coalesce(1::DOUBLE / (60 + t), 0) AS score FROM near FULL JOIN said USING (query_id, node_id)),
+hits AS (SELECT query_id, document_id, node_index, node_id, content, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v NULLS LAST, t) AS rank FROM fused JOIN lines USING (node_id) QUALIFY rank <= {top_k})"""
+
+
+def _contexts_sql(*queries: str) -> str:
+    """SQL of contexts(query_id, place, chunk_id, document_id, score, content, chunk_indexes): hits with their neighbours, runs folded at their overlaps."""
+    return f"""{_hybrid_sql(*queries).replace("WITH ", "WITH RECURSIVE ", 1)},
+around AS (SELECT h.query_id, l.document_id, l.node_index, l.node_id, l.content, h.score, h.rank FROM lines l JOIN hits h ON l.document_id = h.document_id AND l.node_index BETWEEN h.node_index - 1 AND h.node_index + 1
+ QUALIFY row_number() OVER (PARTITION BY h.query_id, l.node_id ORDER BY abs(h.node_index - l.node_index), h.rank) = 1),
+firsts AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS document_rank FROM hits GROUP BY query_id, document_id),
+runs AS (SELECT *, node_index - row_number() OVER (PARTITION BY query_id, document_id ORDER BY node_index) AS island FROM around),
+parts AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, island ORDER BY node_index) AS j, count(*) OVER (PARTITION BY query_id, document_id, island) AS m FROM runs),
+folded AS (SELECT query_id, document_id, island, j, m, content AS body FROM parts WHERE j = 1
+ UNION ALL SELECT query_id, document_id, island, j, m, CASE WHEN k = 0 THEN body || chr(10) || content ELSE body || substr(content, k + 1) END FROM (
+  SELECT f.query_id, f.document_id, f.island, p.j, p.m, f.body, p.content, coalesce(list_max(list_filter(range(1, least(length(f.body), length(p.content), 2000) + 1), lambda k: right(f.body, k) = left(p.content, k))), 0) AS k
+  FROM folded f JOIN parts p ON p.query_id = f.query_id AND p.document_id = f.document_id AND p.island = f.island AND p.j = f.j + 1)),
+merged AS (SELECT query_id, document_id, island, max(score) AS score, min(rank) AS rank, min(node_index) AS chunk_index, CASE WHEN count(*) > 1 THEN arg_min(node_id, j) || '..' || arg_max(node_id, j) ELSE min(node_id) END AS chunk_id,
+ string_agg(CAST(node_index AS VARCHAR), ',' ORDER BY node_index) AS chunk_indexes FROM parts GROUP BY query_id, document_id, island),
+contexts AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, document_rank, document_id, chunk_index) AS INTEGER) AS place, chunk_id, document_id, score, body AS content, chunk_indexes
+ FROM merged JOIN firsts USING (query_id, document_id) JOIN folded USING (query_id, document_id, island) WHERE j = m)"""
+
+
+@query(f"""{_hybrid_sql("licensed under", "the and", "que de la", "!!!")} SELECT query_id, rank, node_id AS chunk_id, round(score, 9) AS score, content FROM hits""")
 def hybrid_search(spark, sf):
     nodes, vectors, postings, requests = _hybrid(spark, sf, "licensed under", "the and", "que de la", "!!!")
     return search.hits(search.retrieve(vectors, postings, requests), nodes).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "content")
 
 
-def fixed_seeds(spark, sf) -> DataFrame:
-    """Three seeds in each document that is divisible by 10: lines 2, 4 and 9, ranked by document."""
-    d = lines(spark, sf).where("cast(document_id as long) % 10 = 0 and node_index in (2, 4, 9)")
-    r = F.col("document_id").cast("long") * 10 + F.col("node_index")
-    return d.select(F.lit(0).cast("long").alias("query_id"), "document_id", "node_index", (1 / (1 + r)).alias("score"), (r + 1).alias("rank"))
-
-
-_EXPANDED = f"""WITH {LINES}, seeds AS (SELECT document_id, node_index AS seed, CAST(document_id AS BIGINT) * 10 + node_index AS rank FROM lines WHERE CAST(document_id AS BIGINT) % 10 = 0 AND node_index IN (2, 4, 9)),
-expanded AS (SELECT l.*, s.seed, s.rank FROM lines l JOIN seeds s ON l.document_id = s.document_id AND l.node_index BETWEEN s.seed - 1 AND s.seed + 1 QUALIFY row_number() OVER (PARTITION BY l.node_id ORDER BY abs(s.seed - l.node_index), s.rank) = 1)"""
-
-
-@query(f"{_EXPANDED} SELECT node_id AS chunk_id, content, CAST(seed AS INTEGER) AS seed_chunk_index, rank AS retrieval_rank, seed <> node_index AS is_neighbor, CAST(dense_rank() OVER (ORDER BY CAST(document_id AS BIGINT)) - 1 AS INTEGER) AS document_rank FROM expanded")
-def neighbor_expansion(spark, sf):
-    out = context.expand(fixed_seeds(spark, sf), lines(spark, sf))
-    return out.select("chunk_id", "content", F.col("seed_chunk_index").cast("int").alias("seed_chunk_index"), "retrieval_rank", "is_neighbor", F.col("document_rank").cast("int").alias("document_rank"))
-
-
-@query(f"""{_EXPANDED}, runs AS (SELECT *, node_index - row_number() OVER (PARTITION BY document_id ORDER BY node_index) AS island FROM expanded)
-SELECT document_id, CAST(min(node_index) AS INTEGER) AS chunk_index, string_agg(node_id, ',' ORDER BY node_index) AS chunk_ids, min(rank) AS retrieval_rank, count(*) > 1 AS expanded_context FROM runs GROUP BY document_id, island""")
-def contiguous_islands(spark, sf):
-    out = context.merge(context.expand(fixed_seeds(spark, sf), lines(spark, sf)).withColumn("retrieval_rank", F.col("retrieval_rank")))
-    best = context.expand(fixed_seeds(spark, sf), lines(spark, sf)).select(F.col("chunk_id").alias("id"), "retrieval_rank")
-    ranks = out.select("document_id", "chunk_index", F.explode("chunk_ids").alias("id")).join(best, "id").groupBy("document_id", "chunk_index").agg(F.min("retrieval_rank").alias("retrieval_rank"))
-    return out.join(ranks, ["document_id", "chunk_index"]).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "retrieval_rank", "expanded_context")
-
-
 def every_seed(spark, sf) -> DataFrame:
     """Seeds a quarter and half way down and at the end of every document; each ten documents that follow one another are a request."""
     n = F.col("last") + 1
@@ -388,67 +416,65 @@ expanded AS (SELECT l.*, s.query_id, s.seed, s.rank FROM lines l JOIN seeds s ON
 
 
 @query(f"{_EVERY} SELECT query_id, node_id AS chunk_id, content, CAST(seed AS INTEGER) AS seed_chunk_index, rank AS retrieval_rank, seed <> node_index AS is_neighbor, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY CAST(document_id AS BIGINT)) - 1 AS INTEGER) AS document_rank FROM expanded")
-def neighbor_expansion_whole(spark, sf):
-    """neighbor_expansion from seeds in every document, a request for each ten."""
+def neighbor_expansion(spark, sf):
+    """From seeds in every document, a request for each ten."""
     out = context.expand(every_seed(spark, sf), lines(spark, sf))
     return out.select("query_id", "chunk_id", "content", F.col("seed_chunk_index").cast("int").alias("seed_chunk_index"), "retrieval_rank", "is_neighbor", F.col("document_rank").cast("int").alias("document_rank"))
 
 
 @query(f"""{_EVERY}, runs AS (SELECT *, node_index - row_number() OVER (PARTITION BY document_id ORDER BY node_index) AS island FROM expanded)
 SELECT query_id, document_id, CAST(min(node_index) AS INTEGER) AS chunk_index, string_agg(node_id, ',' ORDER BY node_index) AS chunk_ids, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS INTEGER) AS place, count(*) > 1 AS expanded_context FROM runs GROUP BY query_id, document_id, island""")
-def contiguous_islands_whole(spark, sf):
-    """contiguous_islands from seeds in every document, a request for each ten."""
+def contiguous_islands(spark, sf):
+    """From seeds in every document, a request for each ten."""
     out = context.merge(context.expand(every_seed(spark, sf), lines(spark, sf)))
     return out.select("query_id", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("chunk_ids", ",").alias("chunk_ids"), F.col("place").cast("int").alias("place"), "expanded_context")
 
 
-@query(f"""
-WITH {LINES}, pairs AS (SELECT a.document_id, a.content AS l, b.content AS r FROM lines a JOIN lines b ON a.document_id = b.document_id AND a.node_index = 0 AND b.node_index = 1)
-SELECT document_id, CASE WHEN k = 0 THEN l || chr(10) || r ELSE l || substr(r, k + 1) END AS joined FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(length(l), length(r), 2000) + 1), lambda k: right(l, k) = left(r, k))), 0) AS k FROM pairs)""")
-def overlap_merge_text(spark, sf):
-    n = lines(spark, sf).where("node_index < 2")
-    two = n.groupBy("document_id").agg(F.max(F.when(F.col("node_index") == 0, F.col("content"))).alias("l"), F.max(F.when(F.col("node_index") == 1, F.col("content"))).alias("r")).where("r is not null")
-    return two.select("document_id", T.join_overlap(F.col("l"), F.col("r")).alias("joined"))
-
-
 @query(f"""
 WITH {LINES}, pairs AS (SELECT a.document_id, a.node_index, a.content AS l, b.content AS r FROM lines a JOIN lines b ON a.document_id = b.document_id AND b.node_index = a.node_index + 1)
 SELECT document_id, node_index, CASE WHEN k = 0 THEN l || chr(10) || r ELSE l || substr(r, k + 1) END AS joined FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(length(l), length(r), 2000) + 1), lambda k: right(l, k) = left(r, k))), 0) AS k FROM pairs)""")
-def overlap_merge_text_whole(spark, sf):
-    """overlap_merge_text for every line and its successor."""
+def overlap_merge_text(spark, sf):
+    """Every line with its successor."""
     after = F.lead("content").over(Window.partitionBy("document_id").orderBy("node_index"))
     two = lines(spark, sf).select("document_id", "node_index", F.col("content").alias("l"), after.alias("r")).where("r is not null")
     return two.select("document_id", "node_index", T.join_overlap(F.col("l"), F.col("r")).alias("joined"))
 
 
-@query()
+@query(f"""{_contexts_sql("licensed under", "the and", "que de la")} SELECT query_id, place, chunk_id, document_id, round(score, 9) AS score, content, chunk_indexes FROM contexts""")
 def rag_contexts(spark, sf):
     nodes, vectors, postings, requests = _hybrid(spark, sf, "licensed under", "the and", "que de la")
     out = retrieval.contexts(nodes, vectors, postings, requests)
     return out.select("query_id", F.col("place").cast("int").alias("place"), "chunk_id", "document_id", F.round("score", 9).alias("score"), "content", F.array_join(F.transform("chunk_indexes", lambda x: x.cast("string")), ",").alias("chunk_indexes"))
 
 
+_SYSTEM = "'" + generation.SYSTEM.replace("'", "''") + "'"
+
+
 @query(r"""
 SELECT item_id, '=== CONTEXT CHUNKS ===' || chr(10) || CASE WHEN item_id % 4 = 0 THEN 'No relevant context was retrieved.' ELSE '<source id="2">' || chr(10) || 'Citation: [Source #2]' || chr(10) || 'Metadata: Document ID: d, Page: 3, Chunk ID: c' || CAST(item_id AS VARCHAR) || chr(10) || 'Content:' || chr(10) || substr(trim(text), 1, 6000) || chr(10) || '</source>' END
  || chr(10) || chr(10) || '=== USER QUESTION ===' || chr(10) || 'q' || CAST(item_id AS VARCHAR) || chr(10) || chr(10) || '=== REQUIRED OUTPUT ===' || chr(10) || 'Provide the answer followed by valid inline source citations.' || chr(10) || chr(10) || '=== ANSWER ===' AS human,
  CASE WHEN item_id % 4 = 0 THEN 'Tài liệu đã truy xuất không chứa đủ thông tin để trả lời câu hỏi ''q' || CAST(item_id AS VARCHAR) || ''' trong pipeline RAG. (Phản hồi mock)'
- ELSE 'Đây là phản hồi mô phỏng của pipeline RAG cho câu hỏi ''q' || CAST(item_id AS VARCHAR) || '''. Nội dung trả lời phải được đối chiếu với các ngữ cảnh [Source #1] được trả về cùng phản hồi. (Phản hồi mock)' END AS answer, true AS citations_valid
-FROM benchmark""")
+ ELSE 'Đây là phản hồi mô phỏng của pipeline RAG cho câu hỏi ''q' || CAST(item_id AS VARCHAR) || '''. Nội dung trả lời phải được đối chiếu với các ngữ cảnh [Source #1] được trả về cùng phản hồi. (Phản hồi mock)' END AS answer, true AS citations_valid, @system || chr(10) || chr(10) || 'Additional response requirements:' || chr(10) || 'short' AS system
+FROM benchmark""".replace("@system", _SYSTEM))
 def prompt_and_answer(spark, sf):
     b = read(spark, sf, "benchmark")
     requests = b.select(F.col("item_id").alias("query_id"), F.concat(F.lit(" q"), F.col("item_id").cast("string")).alias("query"), F.lit("short").alias("system_instruction"))
     blank = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("place"), F.lit("d").alias("document_id"), F.lit(None).cast("int").alias("page"), F.lit("x").alias("chunk_id"), F.lit(" \n").alias("content"))
     found = b.where("item_id % 4 <> 0").select(F.col("item_id").alias("query_id"), F.lit(2).alias("place"), F.lit("d").alias("document_id"), F.lit(3).alias("page"), F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("chunk_id"), F.col("text").alias("content"))
     out = generation.answer(generation.build_prompts(requests, blank.unionByName(found)))
-    return out.select(F.col("query_id").alias("item_id"), "human", "answer", "citations_valid")
+    return out.select(F.col("query_id").alias("item_id"), "human", "answer", "citations_valid", "system")
 
 
-@query()
+@query(f"""{_contexts_sql("licensed under", "the and")},
+shown AS (SELECT query_id, string_agg('<source id="' || place || '">' || chr(10) || 'Citation: [Source #' || place || ']' || chr(10) || 'Metadata: Document ID: ' || document_id || ', Chunk ID: ' || chunk_id || chr(10) || 'Content:' || chr(10) || substr(content, 1, 6000) || chr(10) || '</source>', chr(10) || chr(10) ORDER BY place) AS sources
+ FROM contexts GROUP BY query_id)
+SELECT query_id, {_SYSTEM} AS system, '=== CONTEXT CHUNKS ===' || chr(10) || sources || chr(10) || chr(10) || '=== USER QUESTION ===' || chr(10) || query || chr(10) || chr(10) || '=== REQUIRED OUTPUT ===' || chr(10) || 'Provide the answer followed by valid inline source citations.' || chr(10) || chr(10) || '=== ANSWER ===' AS human,
+ 'Đây là phản hồi mô phỏng của pipeline RAG cho câu hỏi ''' || query || '''. Nội dung trả lời phải được đối chiếu với các ngữ cảnh [Source #1] được trả về cùng phản hồi. (Phản hồi mock)' AS answer, true AS citations_valid FROM shown JOIN ask USING (query_id)""")
 def chat_answers(spark, sf):
     return retrieval.chat(*_hybrid(spark, sf, "licensed under", "the and")).select("query_id", "system", "human", "answer", "citations_valid")
 
 
-# ---- extensions described with the tables: BM25, parents, evaluation
+# ---- parents, health, conversations
 
 @query(f"WITH {LINES}, c AS (SELECT node_id AS id, document_id, node_index FROM lines) SELECT c.id AS node_id, p.id AS parent_id FROM c JOIN c p ON c.document_id = p.document_id AND p.node_index = c.node_index - c.node_index % 4")
 def parent_chunks(spark, sf):
@@ -456,7 +482,10 @@ def parent_chunks(spark, sf):
     return n.join(n.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id", "parent_id")
 
 
-@query()
+@query("""
+WITH required(relation, name) AS (VALUES ('documents', 'doc_id'), ('documents', 'text'), ('embeddings', 'vec_id'), ('embeddings', 'embedding'), ('pages', 'page_id'), ('pages', 'html'), ('benchmark', 'item_id'), ('benchmark', 'text'), ('labels', 'doc_id'), ('labels', 'quality'),
+ ('conversations', 'conv_id'), ('conversations', 'turn'), ('conversations', 'text'))
+SELECT relation, coalesce(string_agg(CASE WHEN c.column_name IS NULL THEN name END, ',' ORDER BY name), '') AS missing FROM required LEFT JOIN (SELECT DISTINCT table_name, column_name FROM information_schema.columns) c ON c.table_name = relation AND c.column_name = name GROUP BY relation""")
 def schema_health(spark, sf):
     tables = {t: read(spark, sf, t) for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")}
     required = {"documents": ["doc_id", "text"], "embeddings": ["vec_id", "embedding"], "pages": ["page_id", "html"], "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality"], "conversations": ["conv_id", "turn", "text"]}

@@ -6,6 +6,7 @@ import math
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,54 +70,55 @@ class QuotaExceeded(RuntimeError):
         self.headers = {"Retry-After": seconds}
 
 
-def causes(error: BaseException):
-    seen = set()
-    while error is not None and id(error) not in seen:
-        seen.add(id(error))
-        yield error
-        error = error.__cause__ or error.__context__
+#: What providers say when they are asked too often, and how they word a wish to wait.
+OFTEN = re.compile(r"resource_exhausted|429.*(?:quota|rate limit)|(?:quota|rate limit).*429", re.IGNORECASE | re.DOTALL)
+WISH = re.compile(r"(?:retry\s+in\s+|retryDelay['\"]?\s*:\s*['\"])([0-9]+(?:\.[0-9]+)?)s", re.IGNORECASE)
 
 
-def is_rate_limit(error: BaseException) -> bool:
-    """Status 429 anywhere in the chain of causes, or a message that says so."""
-    for e in causes(error):
-        if 429 in (getattr(e, "status_code", None), getattr(getattr(e, "response", None), "status_code", None)):
-            return True
-        said = str(e).lower()
-        if "resource_exhausted" in said or ("429" in said and ("quota" in said or "rate limit" in said)):
-            return True
-    return False
+@dataclass(frozen=True)
+class Refusal:
+    """What an exception and all that led to it tell: messages, status codes, and the values of retry-after headers."""
 
+    messages: tuple[str, ...]
+    codes: frozenset
+    headers: tuple
 
-#: How providers word a wish to wait.
-RETRY_HINTS = (r"retry\s+in\s+([0-9]+(?:\.[0-9]+)?)s", r"retryDelay['\"]?\s*:\s*['\"]([0-9]+(?:\.[0-9]+)?)s")
+    @classmethod
+    def of(cls, error: BaseException) -> Refusal:
+        told = {id(error): error}
+        newest = error
+        while (newest := newest.__cause__ or newest.__context__) is not None and id(newest) not in told:
+            told[id(newest)] = newest
+        responses = [r for e in told.values() if (r := getattr(e, "response", None)) is not None]
+        codes = frozenset(getattr(x, "status_code", None) for x in (*told.values(), *responses))
+        headers = (dict(getattr(r, "headers", None) or {}) for r in responses)
+        return cls(tuple(map(str, told.values())), codes, tuple(v for h in headers for k, v in h.items() if k.lower() == "retry-after"))
 
+    @property
+    def too_often(self) -> bool:
+        return 429 in self.codes or any(map(OFTEN.search, self.messages))
 
-def retry_delay(error: BaseException, attempt: int, base: float = SETTINGS.retry_base_seconds, most: float = SETTINGS.retry_max_seconds) -> float:
-    """The longest wait that the chain of causes asks for, else base * 2^attempt; `most` at most."""
-    asked = []
-    for e in causes(error):
-        header = (getattr(getattr(e, "response", None), "headers", None) or {}).get("retry-after")
-        try:
-            asked += [float(header)] if header is not None else []
-        except (TypeError, ValueError):
-            pass
-        asked += [float(x) for p in RETRY_HINTS for x in re.findall(p, str(e), re.IGNORECASE)]
-    return min(max(asked) if asked else base * 2**attempt, most)
+    def wait(self, usual: float, most: float) -> float:
+        """The longest wait that is asked for, else the usual one; `most` at most."""
+        numbers = [str(h) for h in self.headers if re.fullmatch(r"\s*[0-9]+(?:\.[0-9]+)?\s*", str(h))]
+        numbers += [x for m in self.messages for x in WISH.findall(m)]
+        return min(most, max(map(float, numbers), default=usual))
 
 
-def with_retries(call: Callable, retries: int = SETTINGS.max_retries, sleep: Callable = time.sleep, provider: str = "The provider's"):
-    for attempt in range(retries + 1):
+def with_retries(call: Callable, retries: int = SETTINGS.max_retries, sleep: Callable = time.sleep, provider: str = "The provider's", base: float = SETTINGS.retry_base_seconds, most: float = SETTINGS.retry_max_seconds):
+    """call(), again after a wait as long as the provider is asked too often; other errors pass. The usual wait doubles each time."""
+    usual = [base * 2**i for i in range(retries + 1)]
+    while True:
         try:
             return call()
-        except Exception as e:  # noqa: BLE001
-            if not is_rate_limit(e):
+        except Exception as e:
+            refusal = Refusal.of(e)
+            if not refusal.too_often:
                 raise
-            delay = retry_delay(e, attempt)
-            if attempt == retries:
-                raise QuotaExceeded(provider, delay) from e
-            sleep(delay)
-    raise AssertionError("unreachable")
+            pause = refusal.wait(usual.pop(0), most)
+            if not usual:
+                raise QuotaExceeded(provider, pause) from e
+        sleep(pause)
 
 
 def embed_texts(texts: list[str], embed: Callable, dimension: int, **how) -> list[list[float]]:

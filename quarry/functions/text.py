@@ -75,41 +75,49 @@ def markdown(rows: Column) -> Column:
     return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, "").otherwise(F.element_at(F.transform(F.array(width), table), 1))
 
 
-class _Table(HTMLParser):
-    """Events of table tags; a row counts when it is closed, and text counts inside a cell only."""
+class _Events(HTMLParser):
+    """What the markup says, in order: (tag, None), (/tag, None) or ("", text)."""
 
     def __init__(self):
         super().__init__()
-        self.rows, self.row, self.cell = [], [], None
+        self.found: list[tuple[str, str | None]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th"):
-            self.cell = []
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        self.found.append((tag, None))
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.row.append("".join(self.cell).strip())
-            self.cell = None
-        elif tag == "tr" and self.row:
-            self.rows.append(self.row)
+        self.found.append((f"/{tag}", None))
+
+    def handle_data(self, data):
+        self.found.append(("", data))
 
 
 def parse_html_rows(html: str | None) -> list[list[str]]:
-    if not html or "<table" not in html.lower():
+    """Rows of the tables in `html`, each as often as it is closed, as it stands at the end of the text. A cell's end tag adds the text since the last
+    cell began, so a stray one repeats the cell before it; text outside cells, and rows without cells or never closed, are left out."""
+    if "<table" not in (html or "").lower():
         return []
-    table = _Table()
+    events = _Events()
     try:
-        table.feed(html)
-        table.close()
+        events.feed(html)
     except Exception:  # noqa: BLE001 - broken markup gives no rows
         return []
-    return [list(r) for r in table.rows]
+    rows: list[list[str]] = [[]]
+    closed, cell, inside = [], "", False
+    for what, data in events.found:
+        match what:
+            case "" if inside:
+                cell += data
+            case "td" | "th":
+                cell, inside = "", True
+            case "/td" | "/th":
+                rows[-1].append(cell.strip())
+                inside = False
+            case "tr":
+                rows.append([])
+            case "/tr" if rows[-1]:
+                closed.append(len(rows) - 1)
+    return [list(rows[i]) for i in closed]
 
 
 def html_rows(c: Column) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fulltext
 from quarry.operators import search
-from quarry.schema import SETTINGS
+from quarry.schema import NODES
 
+#: Rows of a file at most; what a bulk insert flushes at once.
+RECORDS_PER_FILE = 1_000_000
 TABLES = ("documents", "nodes", "vectors", "postings")
-MANIFEST = "batch_id string, kind string, n_documents long, n_nodes long, committed_at timestamp"
+MANIFEST = "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long, committed_at timestamp"
 
 
 class DocumentNotFound(KeyError):
@@ -20,9 +22,11 @@ class DocumentNotFound(KeyError):
 
 
 class Store:
-    """Tables under one path, partitioned by batch. Readers take committed batches only, so a failed ingest leaves nothing visible.
+    """Tables under one path, partitioned by the attempt that wrote them. Readers take the attempts that the manifest names, so a failed ingest leaves
+    nothing visible, and a batch that is tried again writes under a new attempt and never beside its own remains.
 
-    This is weaker than a database transaction: two writers that delete and add the same document at once are not ordered.
+    This is weaker than a database transaction: two writers that delete and add the same document at once are not ordered. Two attempts of
+    one batch that both end count once: the manifest's first row of a batch holds.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -32,36 +36,46 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _append(self, df: DataFrame, name: str, batch: str) -> None:
-        df.withColumn("batch_id", F.lit(batch)).write.mode("append").partitionBy("batch_id").option("maxRecordsPerFile", 1_000_000).parquet(f"{self.path}/{name}")
+    def _append(self, df: DataFrame, name: str, attempt: str) -> None:
+        df.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy("attempt_id").option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(f"{self.path}/{name}")
 
-    def _commit(self, batch: str, kind: str, documents: int, nodes: int) -> None:
-        row = self.spark.createDataFrame([(batch, kind, documents, nodes)], "batch_id string, kind string, n_documents long, n_nodes long")
+    def _commit(self, batch: str, attempt: str, kind: str, documents: int, nodes: int) -> None:
+        row = self.spark.createDataFrame([(batch, attempt, kind, documents, nodes)], "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long")
         row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest") if self._exists("manifest") else self.spark.createDataFrame([], MANIFEST)
+        """A row for each committed batch: the first that was written for it."""
+        if not self._exists("manifest"):
+            return self.spark.createDataFrame([], MANIFEST)
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        names = [c.split()[0] for c in MANIFEST.split(", ")]
+        first = F.min(F.struct("committed_at", "attempt_id", *(c for c in names if c not in ("committed_at", "attempt_id", "batch_id")))).alias("m")
+        return rows.groupBy("batch_id").agg(first).select(*(F.col(c if c == "batch_id" else f"m.{c}") for c in names))
 
     def publish(self, documents: DataFrame, nodes: DataFrame, batch_id: str | None = None) -> int:
         """Writes documents and nodes (with embeddings), their unit vectors and postings, then the manifest row. Gives the number of nodes.
 
-        Nodes are clustered by document, postings by lexeme, so lookups skip most row groups. A batch_id that is committed already is
-        left as it is, so a repeated call does nothing.
+        Nodes and vectors are clustered by document, postings by lexeme, so lookups skip most row groups. A batch_id that is committed already
+        is left as it is, so a repeated call does nothing.
         """
-        batch = batch_id or uuid.uuid4().hex
-        if self.manifest().where(F.col("batch_id") == batch).count():
+        batch, attempt = batch_id or uuid.uuid4().hex, uuid.uuid4().hex
+        if batch_id and self.manifest().where(F.col("batch_id") == batch).count():
             return 0
-        counts = nodes.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        own = NODES.split(", ")
+        nodes = nodes.select(*(c.split()[0] for c in own if c.split()[0] in nodes.columns), *(c for c in nodes.columns if c not in {x.split()[0] for x in own}))
+        self._append(nodes.repartition("document_id").sortWithinPartitions("document_id", "node_index"), "nodes", attempt)
+        written = self.spark.read.parquet(f"{self.path}/nodes").where(F.col("attempt_id") == attempt).drop("attempt_id")
+        counts = written.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         whole = documents.drop("chunk_count").join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        known = whole.columns
-        whole = whole if "created_at" in known else whole.withColumn("created_at", F.current_timestamp())
-        self._append(whole, "documents", batch)
-        self._append(nodes.repartition("document_id").sortWithinPartitions("document_id", "node_index"), "nodes", batch)
-        written = self.spark.read.parquet(f"{self.path}/nodes").where(F.col("batch_id") == batch)
-        self._append(search.normalised(written), "vectors", batch)
-        self._append(fulltext.postings(written, ["node_id", "document_id", "node_index"]).repartitionByRange("lexeme", "node_id").sortWithinPartitions("lexeme", "document_id", "node_index"), "postings", batch)
+        kinds = {"document_id": "string", "filename": "string", "file_type": "string", "file_size": "int", "deleted_at": "timestamp_ntz"}
+        for c, kind in kinds.items():
+            whole = whole.withColumn(c, F.col(c).cast(kind) if c in whole.columns else F.lit(None).cast(kind))
+        whole = whole.withColumn("created_at", (F.col("created_at") if "created_at" in whole.columns else F.current_timestamp()).cast("timestamp_ntz"))
+        self._append(whole, "documents", attempt)
+        self._append(search.normalised(written), "vectors", attempt)
+        self._append(fulltext.postings(written, ["node_id", "document_id", "node_index"]).repartitionByRange("lexeme", "node_id").sortWithinPartitions("lexeme", "document_id", "node_index"), "postings", attempt)
         n = written.count()
-        self._commit(batch, "add", documents.count(), n)
+        self._commit(batch, attempt, "add", documents.count(), n)
         return n
 
     def delete(self, document_ids: list[str] | DataFrame) -> None:
@@ -72,16 +86,17 @@ class Store:
             raise DocumentNotFound(missing[0].document_id)
         batch = uuid.uuid4().hex
         self._append(gone.distinct(), "deleted", batch)
-        self._commit(batch, "delete", gone.count(), 0)
+        self._commit(batch, batch, "delete", gone.count(), 0)
 
     def table(self, name: str, hide_deleted_at: bool = False) -> DataFrame:
         """Committed rows whose document has not been deleted by a later batch. hide_deleted_at also leaves out softly deleted documents."""
-        rows = self.spark.read.parquet(f"{self.path}/{name}").join(F.broadcast(self.manifest().where("kind = 'add'").select("batch_id", "committed_at")), "batch_id")
+        known = self.manifest().select("attempt_id", "kind", "committed_at")
+        rows = self.spark.read.parquet(f"{self.path}/{name}").join(known.where("kind = 'add'").drop("kind"), "attempt_id")
         if self._exists("deleted"):
-            gone = self.spark.read.parquet(f"{self.path}/deleted").join(self.manifest().where("kind = 'delete'").select("batch_id", F.col("committed_at").alias("gone_at")), "batch_id")
+            gone = self.spark.read.parquet(f"{self.path}/deleted").join(known.where("kind = 'delete'").select("attempt_id", F.col("committed_at").alias("gone_at")), "attempt_id")
             gone = gone.groupBy("document_id").agg(F.max("gone_at").alias("gone_at"))
             rows = rows.join(gone, "document_id", "left").where("gone_at is null or gone_at < committed_at").drop("gone_at")
-        rows = rows.drop("batch_id", "committed_at")
+        rows = rows.drop("attempt_id", "committed_at")
         return rows.where("deleted_at is null") if hide_deleted_at and "deleted_at" in rows.columns else rows
 
     def documents(self) -> DataFrame:
@@ -93,6 +108,14 @@ class Store:
     def nodes_of(self, document_id: str) -> DataFrame:
         return self.table("nodes").where(F.col("document_id") == document_id).orderBy("node_index")
 
+    def vectors(self) -> DataFrame:
+        """Unit vectors of the nodes, as vector search takes them."""
+        return self.table("vectors")
+
+    def postings(self) -> DataFrame:
+        """Postings of the nodes, sorted by lexeme, as full-text search takes them."""
+        return self.table("postings")
+
     def health(self) -> DataFrame:
         """probe, healthy for the engine, each table, and what a probe finds wrong makes unhealthy."""
         rows = [("engine", self.spark.sql("select 1").first()[0] == 1)]
@@ -118,5 +141,3 @@ def envelope(data, message: str = "OK", success: bool = True):
     """A struct column as responses are wrapped."""
     return F.struct(F.lit(success).alias("success"), F.lit(message).alias("message"), data.alias("data"), F.lit("now").alias("timestamp"))
 
-
-INSERT_BATCH = SETTINGS.insert_batch

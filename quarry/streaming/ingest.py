@@ -14,13 +14,14 @@ def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batc
 
 
 def publish_stream(stream: DataFrame, store: Store, to_documents: Callable[[DataFrame], DataFrame], to_nodes: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest"):
-    """Every operator up to node building works document by document, so the stream keeps no state. A batch that is tried again after a failure has the
-    same id and is published once."""
+    """Every operator up to node building works document by document, so the stream keeps no state. A batch is named by the id of the query, which its
+    checkpoint keeps, and its number there: one that is tried again after a failure is published once, and a new checkpoint begins new batches."""
 
     def publish(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
         batch.persist()
         try:
-            store.publish(to_documents(batch), to_nodes(batch), f"{name}-{number}")
+            store.publish(to_documents(batch), to_nodes(batch), f"{name}-{query}-{number}")
         finally:
             batch.unpersist()
 

@@ -42,3 +42,33 @@ def test_stream(spark, tmp_path):
         stream = ingest.stream_documents(spark, source, "doc_id long, text string")
         ingest.publish_stream(stream, store, as_docs, as_nodes, str(tmp_path / "c")).awaitTermination(120)
     assert store.table("nodes").count() == 2 and store.manifest().count() == 1
+    # a stream of other files under a new checkpoint numbers its batches from 0 again; none of them is taken for one that is there
+    other = str(tmp_path / "in2")
+    spark.createDataFrame([(2, "e f"), (3, "g")], "doc_id long, text string").coalesce(1).write.parquet(other)
+    stream = ingest.stream_documents(spark, other, "doc_id long, text string")
+    ingest.publish_stream(stream, store, as_docs, as_nodes, str(tmp_path / "c2")).awaitTermination(120)
+    assert {r.document_id: r.chunk_count for r in store.documents().collect()} == {"1": 2, "2": 1, "3": 1} and store.table("postings").count() == 7
+
+
+@pytest.mark.parametrize("fails", ["documents", "nodes", "vectors", "postings", "manifest"])
+def test_retry_after_a_failure_counts_once(spark, tmp_path, monkeypatch, fails):
+    store = Store(spark, str(tmp_path / "s"))
+    append, commit, failures = store._append, store._commit, [fails]
+
+    def broken(df, name, attempt):
+        append(df, name, attempt)
+        if failures and failures[0] == name:
+            raise OSError("the write of " + failures.pop())
+
+    def uncommitted(*args):
+        if failures:
+            raise OSError(failures.pop())
+        commit(*args)
+
+    monkeypatch.setattr(store, "_append", broken)
+    monkeypatch.setattr(store, "_commit", uncommitted)
+    with pytest.raises(OSError):
+        store.publish(*made(spark, 1), batch_id="b")
+    assert store.manifest().count() == 0
+    assert store.publish(*made(spark, 1), batch_id="b") == 2 and store.publish(*made(spark, 1), batch_id="b") == 0
+    assert [store.table(t).count() for t in ("documents", "nodes", "vectors", "postings")] == [1, 2, 2, 7]

@@ -36,7 +36,7 @@ def test_markdown(spark):
 
 def test_html_rows(spark):
     html = "<table><tr><th>Name</th><th>Role</th></tr><tr><td>Alice</td><td>Admin</td></tr><tr><td>lost</table>"
-    assert one(spark, T.html_rows, html, "<p>none</p>", None, "<TABLE><tr><td>a</td></tr></tr>") == [[["Name", "Role"], ["Alice", "Admin"]], [], [], [["a"], ["a"]]]
+    assert one(spark, T.html_rows, html, "<p>none</p>", None, "<TABLE><tr><td>a</td></tr></tr>", "<table><tr><td>a</td></td><td>b</td></tr>") == [[["Name", "Role"], ["Alice", "Admin"]], [], [], [["a"], ["a"]], [["a", "a", "b"]]]
 
 
 def test_text_rows(spark):
