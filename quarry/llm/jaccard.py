@@ -7,7 +7,8 @@ Classes that share signatures, directly or through others, form a neighbourhood;
 
 Inside a neighbourhood the join is a token-group matrix: similar classes stand side by side in groups, each group keeps the union
 of its members' shingles, the overlap of a class with that union bounds its overlap with every member, and only groups whose bound
-reaches the threshold are opened and compared exactly. Large neighbourhoods are cut into tiles, and pairs of tiles are tasks.
+reaches the threshold are opened and compared exactly. Large neighbourhoods, most of them chains of sets that are not similar, are first
+parted by their own exact counts of shingles; what stays large is cut into tiles, and pairs of tiles are tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from quarry.llm import hashing, units
 from quarry.llm.common import documents, partitions, small_batches, sorted_join, text_of, written
 from quarry.llm.components import components
 
-#: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood.
-GROUP, TILE, TILE_SHINGLES = 64, 4096, 1_500_000
+#: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood; shingles of a
+#: neighbourhood that is one task as a whole.
+GROUP, TILE, TILE_SHINGLES, WHOLE_SHINGLES = 64, 256, 1_500_000, 500_000
 #: From this similarity on, in percent, equal parts of the hash space hold enough shingles to tell sets apart; below, rare shingles do.
 PARTS_FROM = 88
 
@@ -108,12 +110,13 @@ SKETCH_BITS, BYTES_A_BUCKET = 26, 64
 def common_ranks(texts: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of each hash bucket are, in half powers of two, from all texts.
 
-    Each task counts into a byte for each bucket and compresses its counts; they are added in 64 ranges of buckets. What the driver gets
-    and sends to the tasks has a byte for each bucket: 64 MB at most. Beyond that size of corpus buckets hold more shingles, so fewer
-    differ in rank and more sets meet; which sets are linked does not change.
+    Each task counts into a byte for each bucket and compresses its counts; they are added in ranges of buckets, whose number grows with the corpus.
+    What the driver gets and sends to the tasks has a byte for each bucket: 64 MB at most. Beyond that size of corpus buckets hold more
+    shingles, so fewer differ in rank and more sets meet; `parted` sets them apart again, and which sets are linked does not change.
     """
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(12, min(SKETCH_BITS, (size // BYTES_A_BUCKET).bit_length()))
+    ranges = 1 << max(6, min(12, (size >> 26).bit_length()))
 
     def count(batches):
         counts = np.zeros(1 << bits, "u1")
@@ -127,13 +130,13 @@ def common_ranks(texts: DataFrame, k: int) -> np.ndarray:
                         at = (tokens >> np.uint64(64 - bits)).astype("i8")
                         counts[at] += counts[at] < 255
         packer = zstandard.ZstdCompressor(level=1)
-        parts = [packer.compress(c.tobytes()) for c in np.split(counts, 64)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int64()), pa.array(parts, pa.binary())], names=["part", "counts"])
+        parts = [packer.compress(c.tobytes()) for c in np.split(counts, ranges)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int64()), pa.array(parts, pa.binary())], names=["part", "counts"])
         del counts, parts, seen
         units.release()
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // 64, "u4")
+        total = np.zeros((1 << bits) // ranges, "u4")
         for c in table.column("counts"):
             total += np.frombuffer(zstandard.decompress(c.as_py()), "u1")
         rank = np.floor(2 * np.log2(np.maximum(total, 1))).astype("u1")
@@ -255,6 +258,52 @@ def _solve(percent: int):
     return run
 
 
+def small(n: Column, shingles: Column) -> Column:
+    """Whether a neighbourhood is compared as a whole, in one task."""
+    return (n <= TILE) & (shingles <= WHOLE_SHINGLES)
+
+
+def parted(members: DataFrame, percent: int) -> DataFrame:
+    """members (class, hood, size, tokens, ...) with large neighbourhoods parted into those that similar sets need; sets that are alone then are left out.
+
+    In a neighbourhood each shingle is counted exactly. Shingles that one set only holds meet nothing; of the others each set gives the rarest,
+    as many as a linked set could not lack, and sets that share one of these stay together. Only large neighbourhoods are exploded, into one row for
+    each shingle of each set; the lists that are collected have the length of one set.
+    """
+    sizes = members.groupBy("hood").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    large = sizes.where(~small(F.col("n"), F.col("shingles"))).select("hood", F.lit(True).alias("large"))
+    marked = members.join(large, "hood", "left")
+    big = marked.where("large")
+    if big.isEmpty():
+        return members
+
+    def explode(batches):
+        for batch in batches:
+            n = np.array([len(t) // 8 for t in batch.column(3).to_pylist()])
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
+            for at in range(0, len(tokens), 1 << 18):
+                row = pa.array(np.repeat(np.arange(len(n)), n)[at : at + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), pa.array(tokens[at : at + (1 << 18)])], names=["class", "hood", "size", "token"])
+
+    rows = written(big.select("class", "hood", "size", "tokens").mapInArrow(explode, "class long, hood long, size long, token long"), "shingles")
+    held = rows.groupBy("hood", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(sorted_join(held), ["hood", "token"]).groupBy("class", "hood", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    least = F.floor((F.col("size") * percent + 99) / 100)
+    due = F.col("size") - least + 1 - (F.col("size") - F.size("shared"))  # of the first ones, those that others hold as well
+    signed = shared.where(due > 0).select("class", "hood", F.explode(F.slice("shared", F.lit(1), F.least(due, F.size("shared")).cast("int"))).alias("s"))
+    signed = written(signed.select("class", F.xxhash64("hood", "s.token").alias("signature")), "rarest")
+    found = components(stars_of(signed)).select(F.col("a").alias("class"), F.col("component").alias("part"))
+    apart = big.drop("large").join(sorted_join(found), "class").withColumn("hood", F.col("part")).drop("part")
+    rest = marked.where("large is null").drop("large")
+    return written(rest.select(*members.columns).unionByName(apart.select(*members.columns)), "parted")
+
+
+def stars_of(signed: DataFrame) -> DataFrame:
+    """Links from each class to the least one that shares a signature (class, signature) with it."""
+    shared = signed.groupBy("signature").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("signature", "least")
+    return signed.join(sorted_join(shared), "signature").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links, component, and the columns of `carry`, for every row of docs (doc_id, text).
 
@@ -266,6 +315,8 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
     doc_id takes part like any other, but is never the smallest; rows of such ids alone have null for component and class.
     Repeated rows are rows of their own, linked with each other. Other columns are ignored.
 
+    An empty table gives no rows; a very long text is a set like any other, and its signatures grow with it.
+
     Shingles, sets and signatures are 64-bit hashes. Copies collapse into their class before anything is compared, so a group
     of copies costs one comparison whatever its size; links within a class are counted and not listed.
     """
@@ -305,9 +356,7 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
     classes = written(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")), "classes")
 
     signed = sets.select("class", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("signature", "least")
-    stars = signed.join(sorted_join(shared), "signature").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    hoods = components(stars).select(F.col("a").alias("class"), F.col("component").alias("hood"))
+    hoods = components(stars_of(signed)).select(F.col("a").alias("class"), F.col("component").alias("hood"))
     hoods = written(hoods.join(sorted_join(classes), "class"), "hoods")
 
     # the sets of these classes, from the text of one document each
@@ -330,14 +379,14 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
 
     texts = slim.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
     members = wanted.join(sorted_join(texts), "key").select("class", "hood", "copies", "size", "text").mapInArrow(tokens, "class long, hood long, copies long, size long, order long, tokens binary")
-    members = written(members, "members")  # the texts' exchange is not needed any longer
+    members = parted(written(members, "members"), percent)  # written: the texts' exchange is not needed any longer
 
     # Small neighbourhoods share tasks. Large ones are cut by size into bands, as linked sets lie in the same or the next band, and
     # bands into tiles; each pair of tiles that can hold links is a task, and a tile meets itself together with its first later partner.
     band = F.floor(F.log("size") / (math.log(100 / percent) * 1.0001)).cast("int")
-    counts = hoods.withColumn("band", band).groupBy("hood", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    counts = members.withColumn("band", band).groupBy("hood", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     in_hood, by_band = Window.partitionBy("hood"), Window.partitionBy("hood").orderBy("band")
-    whole = (F.sum("n").over(in_hood) <= TILE // 8) & (F.sum("shingles").over(in_hood) <= 500_000)
+    whole = small(F.sum("n").over(in_hood), F.sum("shingles").over(in_hood))
     tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
 
     def beside(step: int) -> Column:

@@ -64,6 +64,7 @@ def corpus(seed, n):
 def test_equals_brute_force(spark, monkeypatch, seed, n, small):
     if small:  # tiles and groups of a few sets
         monkeypatch.setattr(jaccard, "TILE", 8)
+        monkeypatch.setattr(jaccard, "WHOLE_SHINGLES", 900)
         monkeypatch.setattr(jaccard, "GROUP", 4)
     texts = corpus(seed, n)
     ids = [None if i in (40, 41) else (i * 7919) % 10007 for i in range(n)]
@@ -73,8 +74,9 @@ def test_equals_brute_force(spark, monkeypatch, seed, n, small):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("percent,k", [(80, 5), (60, 2)])
-def test_lower_thresholds(spark, percent, k):
+@pytest.mark.parametrize("percent,k,tile", [(80, 5, 256), (60, 2, 256), (80, 5, 6), (60, 2, 6)])
+def test_lower_thresholds(spark, monkeypatch, percent, k, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
     texts = corpus(percent, 260)
     rows = list(enumerate(texts))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()), key=str)
@@ -111,6 +113,28 @@ def test_one_of_each_group_stays(spark):
     assert {d for d, t in got if d is not None and (t or "").strip()} == firsts and [x for x in got if not (x[1] or "").strip()] == sorted(empty, key=str)
 
 
+def test_chains_of_unlike_sets_are_parted(spark, monkeypatch):
+    """Sets that share rare shingles with the next one only are one neighbourhood at first, and none of them is compared in the end; copies among them are found."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 50).astype("u8")) for _ in range(12)]
+    sets = [np.unique(np.concatenate([a, b[:4]])) for a, b in zip(sets, [*sets[1:], sets[0]], strict=True)]
+    sets.append(np.unique(np.concatenate([sets[3][:-1], np.array([5], "u8")])))
+    rows = [(i, 0, 1, len(s), int(s[0] >> np.uint64(1)), bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "class long, hood long, copies long, size long, order long, tokens binary")
+    assert {(r["class"], r.hood) for r in jaccard.parted(df, 80).collect()} == {(3, 3), (12, 3)}
+    whole = spark.createDataFrame(rows[:4], df.schema)
+    assert jaccard.parted(whole, 80).count() == 4
+
+
+def test_long_text(spark):
+    w = [f"w{i % 7919}x{i % 13}" for i in range(60_000)]
+    other = [*w[:30_000], "new", *w[30_000:]]
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(w[:40_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_table(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
