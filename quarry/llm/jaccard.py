@@ -26,9 +26,10 @@ from quarry.llm import hashing, units
 from quarry.llm.common import documents, partitions, small_batches, sorted_join, text_of, written
 from quarry.llm.components import components
 
-#: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood; shingles of a
-#: neighbourhood that is one task as a whole.
-GROUP, TILE, TILE_SHINGLES, WHOLE_SHINGLES = 64, 256, 1_500_000, 500_000
+#: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood.
+GROUP, TILE, TILE_SHINGLES = 64, 1024, 1_500_000
+#: Sets and shingles up to which a neighbourhood is one task, and beyond which it is parted first.
+WHOLE, WHOLE_SHINGLES, PARTED, PARTED_SHINGLES = 512, 500_000, 4096, 4_000_000
 #: From this similarity on, in percent, equal parts of the hash space hold enough shingles to tell sets apart; below, rare shingles do.
 PARTS_FROM = 88
 
@@ -258,11 +259,6 @@ def _solve(percent: int):
     return run
 
 
-def small(n: Column, shingles: Column) -> Column:
-    """Whether a neighbourhood is compared as a whole, in one task."""
-    return (n <= TILE) & (shingles <= WHOLE_SHINGLES)
-
-
 def parted(members: DataFrame, percent: int) -> DataFrame:
     """members (class, hood, size, tokens, ...) with large neighbourhoods parted into those that similar sets need; sets that are alone then are left out.
 
@@ -271,11 +267,11 @@ def parted(members: DataFrame, percent: int) -> DataFrame:
     each shingle of each set; the lists that are collected have the length of one set.
     """
     sizes = members.groupBy("hood").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    large = sizes.where(~small(F.col("n"), F.col("shingles"))).select("hood", F.lit(True).alias("large"))
+    large = sizes.where((F.col("n") > PARTED) | (F.col("shingles") > PARTED_SHINGLES)).select("hood", F.lit(True).alias("large"))
+    if large.isEmpty():
+        return members
     marked = members.join(large, "hood", "left")
     big = marked.where("large")
-    if big.isEmpty():
-        return members
 
     def explode(batches):
         for batch in batches:
@@ -386,7 +382,7 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90, carry: tup
     band = F.floor(F.log("size") / (math.log(100 / percent) * 1.0001)).cast("int")
     counts = members.withColumn("band", band).groupBy("hood", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     in_hood, by_band = Window.partitionBy("hood"), Window.partitionBy("hood").orderBy("band")
-    whole = small(F.sum("n").over(in_hood), F.sum("shingles").over(in_hood))
+    whole = (F.sum("n").over(in_hood) <= WHOLE) & (F.sum("shingles").over(in_hood) <= WHOLE_SHINGLES)
     tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
 
     def beside(step: int) -> Column:

@@ -64,7 +64,8 @@ def corpus(seed, n):
 def test_equals_brute_force(spark, monkeypatch, seed, n, small):
     if small:  # tiles and groups of a few sets
         monkeypatch.setattr(jaccard, "TILE", 8)
-        monkeypatch.setattr(jaccard, "WHOLE_SHINGLES", 900)
+        monkeypatch.setattr(jaccard, "WHOLE", 8)
+        monkeypatch.setattr(jaccard, "PARTED_SHINGLES", 900)
         monkeypatch.setattr(jaccard, "GROUP", 4)
     texts = corpus(seed, n)
     ids = [None if i in (40, 41) else (i * 7919) % 10007 for i in range(n)]
@@ -76,7 +77,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, n, small):
 
 @pytest.mark.parametrize("percent,k,tile", [(80, 5, 256), (60, 2, 256), (80, 5, 6), (60, 2, 6)])
 def test_lower_thresholds(spark, monkeypatch, percent, k, tile):
-    monkeypatch.setattr(jaccard, "TILE", tile)
+    for name in ("TILE", "WHOLE", "PARTED"):
+        monkeypatch.setattr(jaccard, name, tile)
     texts = corpus(percent, 260)
     rows = list(enumerate(texts))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()), key=str)
@@ -115,7 +117,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_chains_of_unlike_sets_are_parted(spark, monkeypatch):
     """Sets that share rare shingles with the next one only are one neighbourhood at first, and none of them is compared in the end; copies among them are found."""
-    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "PARTED", 4)
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 62, 50).astype("u8")) for _ in range(12)]
     sets = [np.unique(np.concatenate([a, b[:4]])) for a, b in zip(sets, [*sets[1:], sets[0]], strict=True)]
