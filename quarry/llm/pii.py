@@ -1,10 +1,17 @@
-"""Op 8. Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides. DataFrame functions only."""
+"""Op 8. Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides. DataFrame functions only.
+
+Regexes, gazetteers and the words around a candidate vote; expectation-maximisation over the counts of vote patterns estimates how far each
+labeler is to be trusted and so a probability for each pattern. These probabilities are the labels of a logistic span classifier, which
+does not see the votes: its features are the shape of the span and the words beside it, hashed. It decides on every candidate that the
+base rules do not name.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +27,14 @@ FAMILIES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "hidden_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+)++",
+    "spoken_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20[A-Za-z0-9-]{1,63}+)++",
+    "broken_ip": r"(?<![0-9.])[0-9]{1,3}+(?:[\[({]\.[\])}][0-9]{1,3}+){3}(?![0-9])",
+    "dotted_card": r"(?<![0-9.])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
+    "trunk_phone": r"(?<![0-9A-Za-z+.-])00[1-9][0-9]{0,2}(?:[\x20./-]?\(?[0-9]{2,5}\)?){2,4}(?![0-9A-Za-z])",
     "local_phone": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]\x20)(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z])",
 }
 BASE = ("email", "ip", "card", "phone")
-KIND = {"hidden_email": "email", "local_phone": "phone"}
+KIND = {"hidden_email": "email", "spoken_email": "email", "broken_ip": "ip", "dotted_card": "card", "trunk_phone": "phone", "local_phone": "phone"}
 #: Words that stand before personal data of a kind, and words that stand before other numbers.
 CONTEXT = {
     "email": r"e-?mail|mail|contact|correo|courriel|write|reach|adress",
@@ -31,6 +42,7 @@ CONTEXT = {
     "card": r"card|visa|master|credit|debit|pay|karte|carte|tarjeta",
     "phone": r"phone|tel\b|tel[.:]|call|mobile|cell|fax|tél|telefon|teléfono|contact",
 }
+BESIDE = r"^[\s,;.)]*(?:or|and|und|oder|ou|et|o|y)?[\s,;.(]*(?:e-?mail|phone|tel|call|fax|mobile|contact|card|expires|exp|cvc|cvv|host|server|login)\b"
 AGAINST = r"version|\bv\.?$|isbn|build|chapter|section|§|№|no\.$|page|id\b"
 #: Gazetteers of top-level domains and of first digits of cards and of dialling codes.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|it|nl|ch|at|be|br|mx|ar|au|jp|cn|in"
@@ -38,7 +50,9 @@ CARDS = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[068]|6(?:011|5|4))"
 DIALLING = r"^\+(?:1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 #: Probability from which the classifier adds a candidate that the base rules do not name.
 ADDED_FROM = 0.9
-LABELERS = ("rule", "shape", "gazetteer", "context", "against")
+LABELERS = ("rule", "shape", "gazetteer", "context", "beside", "against")
+#: Candidates that the classifier is fitted on at most: those of smallest hash. Buckets of its features; features of a candidate.
+TRAIN_SPANS, BUCKETS, FEATURES = 8192, 1024, 11
 
 
 def _octets(m: Column) -> Column:
@@ -57,17 +71,15 @@ def _luhn(digits: Column) -> Column:
 
 
 def valid(family: str, m: Column) -> Column:
-    """Whether a match of a base family holds."""
-    if family == "email":
+    """Whether a match of a base family holds, or what it would be in plain writing."""
+    kind, digits = KIND.get(family, family), F.regexp_replace(m, "[^0-9]", "")
+    if kind == "email":
         return F.lit(True)
-    if family == "ip":
-        return _octets(m)
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    if family == "card":
+    if kind == "ip":
+        return _octets(F.regexp_replace(m, r"[^0-9.]", ""))
+    if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
-    if family == "phone":
-        return F.length(digits).between(10, 15)
-    return F.lit(False)
+    return F.length(digits).between(10, 15)
 
 
 def votes(family: str, m: Column, before: Column, after: Column) -> list[Column]:
@@ -76,26 +88,43 @@ def votes(family: str, m: Column, before: Column, after: Column) -> list[Column]
     shape = {
         "email": ~m.rlike(r"^[.-]|\.\.|[.-]@|@-"),
         "ip": ~m.rlike(r"(?:^|\.)0[0-9]") & ~after.rlike(r"^\.?[0-9]"),
-        "card": m.rlike(r"^(?:[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"),
-        "phone": m.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$"),
+        "card": m.rlike(r"^(?:[0-9]{14,19}|[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"),
+        "phone": m.rlike(r"^\+?[0-9]{0,5}[ ./-]?\(?[0-9]{2,4}\)?(?:[ ./-]?\(?[0-9]{2,5}\)?){1,4}$"),
     }[kind]
     gazetteer = {
         "email": F.lower(m).rlike(rf"[. )\]](?:{DOMAINS})$"),
-        "ip": m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.") & ~m.rlike(r"^127\."),
+        "ip": m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])[\[({.]") & ~m.rlike(r"^127[\[({.]"),
         "card": digits.rlike(CARDS),
-        "phone": F.lit(True) if family == "local_phone" else m.rlike(DIALLING),
+        "phone": F.lit(True) if family == "local_phone" else F.regexp_replace(m, "^00", "+").rlike(DIALLING),
     }[kind]
     near = F.lower(before)
-    rule = valid(family, m).cast("int") if family in BASE else F.lit(-1)
+    # a rule that a family of its own kind always keeps tells nothing
+    rule = valid(family, m).cast("int") if family in BASE or kind in ("ip", "card") or family == "trunk_phone" else F.lit(-1)
     return [
         rule,
         shape.cast("int"),
         gazetteer.cast("int"),
         F.when(near.rlike(CONTEXT[kind]), F.lit(1)).otherwise(F.lit(-1)),
+        F.when(F.lower(after).rlike(BESIDE), F.lit(1)).otherwise(F.lit(-1)),
         F.when(near.rlike(AGAINST) | after.rlike(r"^[A-Za-z0-9]"), F.lit(0)).otherwise(F.lit(-1)),
     ]
 
 
+def features(family: str, m: Column, before: Column, after: Column) -> Column:
+    """Buckets of what the classifier sees: kind, family, shape, signs, length and digits of the span, and the words and signs beside it."""
+
+    def sign(c: Column) -> Column:
+        return F.when(c == "", "").when(c.rlike(r"\p{L}"), "a").when(c.rlike(r"\p{N}"), "0").when(c.rlike(r"\s"), " ").otherwise(c)
+
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "0"), "[A-Za-z]+", "a"), "(?:a[._-]?)+a", "a")
+    near = F.lower(before)
+    seen = [
+        F.lit(KIND.get(family, family)), F.lit(family), shape, F.regexp_replace(m, "[A-Za-z0-9]+", ""), F.floor(F.length(m) / 4).cast("string"), F.length(F.regexp_replace(m, "[^0-9]", "")).cast("string"),
+        F.regexp_extract(near, r"(\p{L}+)[^\p{L}]*$", 1), F.regexp_extract(near, r"(\p{L}+)[^\p{L}]+\p{L}+[^\p{L}]*$", 1), sign(F.right(before, F.lit(1))), F.regexp_extract(F.lower(after), r"^[^\p{L}]*(\p{L}+)", 1), sign(F.left(after, F.lit(1))),
+    ]
+    return F.array(*(F.pmod(F.xxhash64(F.lit(i), x), F.lit(BUCKETS)).cast("int") for i, x in enumerate(seen)))
+
+
 def matches(text: Column, family: str) -> Column:
     return F.regexp_extract_all(text, F.lit(FAMILIES[family]), F.lit(0))
 
@@ -110,14 +139,14 @@ def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
     def spans(f: str) -> Column:
         between = F.split(F.col("_text"), FAMILIES[f], -1)
-        pair = F.transform(F.arrays_zip(F.col(f"_m_{f}").alias("m"), between.alias("b"), F.slice(between, 2, 1 << 30).alias("a")), lambda x: F.struct(F.length(x["b"]).alias("gap"), x["m"].alias("m"), F.right(x["b"], F.lit(32)).alias("before"), F.left(x["a"], F.lit(4)).alias("after")))
+        pair = F.transform(F.arrays_zip(F.col(f"_m_{f}").alias("m"), between.alias("b"), F.slice(between, 2, 1 << 30).alias("a")), lambda x: F.struct(F.length(x["b"]).alias("gap"), x["m"].alias("m"), F.right(x["b"], F.lit(32)).alias("before"), F.left(x["a"], F.lit(24)).alias("after")))
         return F.when(F.size(f"_m_{f}") > 0, F.filter(pair, lambda x: x["m"].isNotNull()))
 
     return with_m.select(*[c for c in base.columns if c != "_text"], *(spans(f).alias(f) for f in FAMILIES))
 
 
 def _guard(f: str, found: Column) -> Column:
-    need = {"email": "@", "phone": "+", "ip": ".", "hidden_email": "dot"}.get(f)
+    need = {"email": "@", "phone": "+", "ip": ".", "hidden_email": "dot", "spoken_email": " dot ", "trunk_phone": "00"}.get(f)
     return F.when(F.contains(F.col("_text"), F.lit(need)), found).otherwise(F.array().cast("array<string>")) if need else found
 
 
@@ -128,99 +157,147 @@ def _pattern_of(f: str, m: Column, before: Column, after: Column) -> Column:
     return F.concat_ws(",", F.lit(f), *(v.cast("string") for v in votes(f, m, before, after)), length)
 
 
-def spans_of(found: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each candidate of `candidates`: the key columns, family, start, end, pattern. One exchange of the candidates by
-    their row, for the running sums of lengths."""
+ONE = "struct<gap:int,m:string,before:string,after:string>"
+
+
+def _of_family(f: str) -> Column:
+    return F.coalesce(F.col(f), F.array().cast(f"array<{ONE}>"))
+
+
+def seen(found: DataFrame) -> DataFrame:
+    """pattern, features, chance (a hash that orders candidates) of every candidate of `candidates`."""
+
+    def listed_as(f: str) -> Column:
+        def one(x: Column) -> Column:
+            args = x["m"], x["before"], x["after"]
+            return F.struct(_pattern_of(f, *args).alias("pattern"), features(f, *args).alias("features"), F.xxhash64(*args).alias("chance"))
+
+        return F.transform(_of_family(f), one)
+
+    return found.select(F.explode(F.concat(*map(listed_as, FAMILIES))).alias("c")).select("c.*")
+
+
+def spans_of(found: DataFrame, key: list[str], model: Model) -> DataFrame:
+    """A row for each candidate of `candidates` that counts as personal data: the key columns, family, start, end. One exchange of the
+    candidates by their row, for the running sums of lengths."""
 
     def listed_as(f: str) -> Column:
         def one(x: Column, i: Column) -> Column:
-            return F.struct(F.lit(f).alias("family"), i.alias("at"), x["gap"].alias("gap"), F.length(x["m"]).alias("long"), _pattern_of(f, x["m"], x["before"], x["after"]).alias("pattern"))
+            return F.struct(F.lit(f).alias("family"), i.alias("at"), x["gap"].alias("gap"), F.length(x["m"]).alias("long"), model.holds(f, x).alias("hit"))
 
-        return F.transform(F.coalesce(F.col(f), F.array().cast("array<struct<gap:int,m:string,before:string,after:string>>")), one)
+        return F.transform(_of_family(f), one)
 
     every = F.concat(*map(listed_as, FAMILIES))
     rows = found.select(*key, F.explode(every).alias("c")).select(*key, "c.*")
     upto = F.sum(F.col("gap") + F.col("long")).over(Window.partitionBy(*key, "family").orderBy("at"))
-    return rows.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.col("long")).select(*key, "family", "start", "end", "pattern")
+    return rows.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.col("long")).where("hit").select(*key, "family", "start", "end")
 
 
 @dataclass
 class Model:
-    """added: patterns of candidates beyond the base rules that count as personal data; reliabilities: of each labeler."""
+    """posterior: of each vote pattern, the probability that such a candidate is personal data; reliabilities: of each labeler for each kind; weights:
+    of the classifier's feature buckets, the last one the bias."""
 
-    added: list[str]
+    posterior: dict[str, float]
     reliabilities: dict[str, float]
-    scores: dict[str, float]
-
-
-def fit(pattern_counts: list[tuple[str, int]], rounds: int = 60) -> Model:
-    """Reliabilities by expectation-maximisation over the vote patterns, then a logistic classifier on the resulting probabilities.
-
-    A pattern is a family, a vote of each labeler and a length class: at most 6 * 3^5 * 2 of them, whatever the input. Each
-    labeler has, for each kind of data, a chance to vote 1 on personal data and on other candidates; abstentions say nothing.
+    weights: list[float]
+
+    def score(self, buckets: Column) -> Column:
+        known = F.array(*map(F.lit, self.weights[:-1]))
+        raw = F.aggregate(buckets, F.lit(self.weights[-1]), lambda s, i: s + F.element_at(known, i + 1))
+        return 1 / (1 + F.exp(-raw))
+
+    def holds(self, family: str, x: Column) -> Column:
+        """A base candidate whose rule holds; any other one that the classifier takes, that is likely by the votes, and that neither the
+        rule nor the words around it speak against."""
+        if family in BASE:
+            return valid(family, x["m"])
+        args = x["m"], x["before"], x["after"]
+        likely = sorted(p for p, q in self.posterior.items() if p.startswith(f"{family},") and q >= 0.5 and "0" not in (p.split(",")[1], p.split(",")[len(LABELERS)]))
+        if not likely:
+            return F.lit(False)
+        return F.when(_pattern_of(family, *args).isin(likely), self.score(features(family, *args)) >= ADDED_FROM).otherwise(F.lit(False))
+
+    @property
+    def families(self) -> list[str]:
+        """Families beyond the base of which a candidate can hold."""
+        return [f for f in FAMILIES if f not in BASE and any(p.startswith(f"{f},") and q >= 0.5 for p, q in self.posterior.items())]
+
+
+def weigh(pattern_counts: list[tuple[str, int]], rounds: int = 60) -> tuple[dict[str, float], dict[str, float]]:
+    """Probabilities of the vote patterns and reliabilities of the labelers, by expectation-maximisation.
+
+    A pattern is a family, a vote of each labeler and a length class: a bounded number, whatever the input. Each labeler has, for each
+    kind of data, a chance to vote 1 on personal data and on other candidates; abstentions say nothing. What the base rules say of their own
+    families is known and stays; it ties the estimates down, as labelers that always agree could else stand for either side.
     """
-    rows = [(p, p.split(",")[0], [int(v) for v in p.split(",")[1:6]], p.split(",")[6], n) for p, n in sorted(pattern_counts)]
-    posterior = {p: (0.9 if v[0] == 1 else 0.1 if v[0] == 0 else 0.5 + 0.15 * sum(1 if x == 1 else -1 if x == 0 else 0 for x in v[1:])) for p, _, v, _, _ in rows}
+    rows = [(p, p.split(",")[0], [int(v) for v in p.split(",")[1 : len(LABELERS) + 1]], n) for p, n in sorted(pattern_counts)]
+    posterior = {p: min(0.95, max(0.05, 0.5 + 0.15 * sum(1 if x == 1 else -1 if x == 0 else 0 for x in v))) for p, _, v, _ in rows}
+    known = {p: 0.99 if v[0] == 1 else 0.01 for p, f, v, _ in rows if f in BASE}
+    posterior |= known
     right: dict = {}
+    kinds = sorted({KIND.get(f, f) for _, f, *_ in rows})
     for _ in range(rounds):
-        total = sum(n for *_, n in rows)
-        prior = (sum(posterior[p] * n for p, *_, n in rows) + 1) / (total + 2) if rows else 0.5
-        kinds = sorted({KIND.get(f, f) for _, f, *_ in rows})
-        right = {}
+        right, prior = {}, {}
         for kind in kinds:
+            own = [(posterior[p], n) for p, f, _, n in rows if KIND.get(f, f) == kind]
+            prior[kind] = (sum(q * n for q, n in own) + 1) / (sum(n for _, n in own) + 2)
             for k in range(len(LABELERS)):
-                one = [(posterior[p], v[k], n) for p, f, v, _, n in rows if KIND.get(f, f) == kind and v[k] >= 0]
+                one = [(posterior[p], v[k], n) for p, f, v, n in rows if KIND.get(f, f) == kind and v[k] >= 0]
                 # smoothed towards labelers that are right four times in five
                 yes = (sum(q * n for q, v, n in one if v == 1) + 8) / (sum(q * n for q, _, n in one) + 10)
                 no = (sum((1 - q) * n for q, v, n in one if v == 1) + 2) / (sum((1 - q) * n for q, _, n in one) + 10)
                 right[kind, k] = yes, no
-        for p, f, v, _, _ in rows:
-            odds = math.log(prior / (1 - prior))
+        for p, f, v, _ in rows:
+            if p in known:
+                continue
+            odds = math.log(prior[KIND.get(f, f)] / (1 - prior[KIND.get(f, f)]))
             for k, vote in enumerate(v):
                 if vote >= 0:
                     yes, no = right[KIND.get(f, f), k]
                     odds += math.log(yes / no) if vote else math.log((1 - yes) / (1 - no))
             posterior[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    names = ["bias", *(f for f in FAMILIES), *(f"{x}{s}" for x in LABELERS for s in "+-"), "long"]
-    weights = dict.fromkeys(names, 0.0)
-
-    def features(f: str, v: list[int], size: str) -> list[str]:
-        return ["bias", f, *(f"{x}{'+' if y else '-'}" for x, y in zip(LABELERS, v, strict=True) if y >= 0), *(["long"] if size == "l" else [])]
-
-    whole = sum(math.log1p(n) for *_, n in rows) or 1.0
-    for _ in range(400):
-        slope = {k: 1e-3 * w for k, w in weights.items()}
-        for p, f, v, size, n in rows:
-            own = features(f, v, size)
-            miss = 1 / (1 + math.exp(-sum(weights[x] for x in own))) - posterior[p]
-            for x in own:
-                slope[x] += miss * math.log1p(n) / whole
-        weights = {k: w - 2.0 * slope[k] for k, w in weights.items()}
-    scores = {p: 1 / (1 + math.exp(-sum(weights[x] for x in features(f, v, size)))) for p, f, v, size, _ in rows}
-    # what a base rule has turned down stays out; an added candidate needs the classifier and no vote against it
-    added = [p for p, f, v, _, _ in rows if f not in BASE and scores[p] >= ADDED_FROM and posterior[p] >= ADDED_FROM and v[4] != 0]
-    reliability = {f"{kind}:{LABELERS[k]}": (yes + 1 - no) / 2 for (kind, k), (yes, no) in right.items()}
-    return Model(added, reliability, scores)
-
-
-def is_personal(model: Model, pattern_col: Column) -> Column:
-    """A base candidate whose rule holds, or another one that the model adds."""
-    base = pattern_col.rlike(rf"^(?:{'|'.join(BASE)}),1,")
-    return base | pattern_col.isin(model.added) if model.added else base
+    return posterior, {f"{kind}:{LABELERS[k]}": (yes + 1 - no) / 2 for (kind, k), (yes, no) in right.items()}
+
+
+def train(buckets: np.ndarray, target: np.ndarray, steps: int = 300) -> list[float]:
+    """Weights of a logistic classifier on probabilities as labels, with weight decay, by Adam. Without rows all are 0."""
+    w = np.zeros(BUCKETS + 1)
+    if not len(target):
+        return w.tolist()
+    index = np.column_stack([buckets, np.full(len(buckets), BUCKETS)])
+    a, b = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        miss = 1 / (1 + np.exp(-np.clip(w[index].sum(1), -30, 30))) - target
+        slope = np.bincount(index.ravel(), np.repeat(miss, index.shape[1]), BUCKETS + 1) / len(target) + 1e-4 * w
+        a += 0.1 * (slope - a)
+        b += 0.01 * (slope * slope - b)
+        w = w - 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    return w.tolist()
+
+
+def fit(found: DataFrame) -> Model:
+    """The model of the candidates of a table. The driver gets a count for each vote pattern, and features of TRAIN_SPANS candidates at most: all
+    candidates count for the labelers, and the classifier learns from those of smallest hash."""
+    every = seen(found)
+    counts = every.groupBy("pattern").count().collect()  # bounded by the number of patterns
+    posterior, reliabilities = weigh([(r["pattern"], r["count"]) for r in counts])
+    rows = every.orderBy("chance", "pattern", "features").limit(TRAIN_SPANS).collect()
+    buckets = np.array([r.features for r in rows], "i8").reshape(len(rows), FEATURES)
+    return Model(posterior, reliabilities, train(buckets, np.array([posterior[r.pattern] for r in rows])))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (array of start, kind_no, end, kind), spans (the same with what the model adds).
 
-    Every row of docs gives a row; a null text counts as empty, an empty one has no spans, repeated rows are rows of their own.
-    Positions are code points. Added spans that overlap a base span are left out. What is shuffled are candidates, not texts.
+    Every row of docs gives a row; a null text counts as empty, an empty one has no spans, repeated rows are rows of their own, an empty table gives no rows.
+    Every search is linear in the text, so very long ones are whole. Positions are code points. Added spans that overlap a base
+    span are left out. What is shuffled are candidates, not texts.
     """
     found = written(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), [F.col("doc_id"), F.monotonically_increasing_id().alias("row")]), "candidates")
-    spans = spans_of(found, ["row"])
-    counts = spans.groupBy("pattern").count().collect()  # bounded by the number of patterns
-    model = fit([(r["pattern"], r["count"]) for r in counts])
+    model = fit(found)
     kind_no = F.array_position(F.array(*map(F.lit, BASE)), F.col("kind")).cast("int")
-    own = spans.where(is_personal(model, F.col("pattern"))).withColumn("is_base", F.col("family").isin(*BASE))
+    own = spans_of(found, ["row"], model).withColumn("is_base", F.col("family").isin(*BASE))
     kind = F.col("family")
     for f, k in KIND.items():
         kind = F.when(F.col("family") == f, F.lit(k)).otherwise(kind)
@@ -249,21 +326,18 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of `detect` in `text` replaced by <KIND>, and n_chars, if there, brought up to date. Null text stays null.
 
-    All families are searched in the text as given. Spans that overlap go as one, under the kind of the first (by start, then by
-    the order of families). Two readings of the texts: one counts vote patterns for the model, one cuts each text. No text is shuffled.
+    All families are searched in the text as given, once: what they find is written beside the row, the model is fitted on it, and each text
+    is cut from that table. Spans that overlap go as one, under the kind of the first (by start, then by the order of families). No text
+    is shuffled. An empty table gives no rows, repeated rows are rows of their own, and other columns go along as they are.
     """
-
-    def patterns(f: str) -> Column:
-        return F.coalesce(F.transform(F.col(f), lambda x: _pattern_of(f, x["m"], x["before"], x["after"])), F.array().cast("array<string>"))
-
-    rows = candidates(docs.select("text"), []).select(F.explode(F.concat(*map(patterns, FAMILIES))).alias("pattern"))
-    model = fit([(r["pattern"], r["count"]) for r in rows.groupBy("pattern").count().collect()])
+    held = written(candidates(docs, [F.struct(*docs.columns).alias("_row")]), "found")
+    model = fit(held)
     none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
 
     def personal(f: str) -> Column:
         """Spans of a family, from the running sum of gaps and lengths; only those that count are collected."""
         kind = KIND.get(f, f)
-        flagged = F.transform(F.col(f), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("long"), is_personal(model, _pattern_of(f, x["m"], x["before"], x["after"])).alias("hit")))
+        flagged = F.transform(F.col(f), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("long"), model.holds(f, x).alias("hit")))
 
         def add(s: Column, x: Column) -> Column:
             start = s["at"] + x["gap"]
@@ -278,9 +352,8 @@ def redact(docs: DataFrame) -> DataFrame:
         piece = F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
         return F.struct(F.when(inside, s["out"]).otherwise(F.concat(s["out"], piece)).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
-    more = [f for f in FAMILIES if f not in BASE and any(p.startswith(f"{f},") for p in model.added)]
-    out = candidates(docs, [F.struct(*docs.columns).alias("_row")])
-    out = out.withColumn("_base", F.concat(*map(personal, BASE)))
+    more = model.families
+    out = held.withColumn("_base", F.concat(*map(personal, BASE)))
     spans = F.col("_base")
     if more:
         out = out.withColumn("_more", F.concat(*map(personal, more)))

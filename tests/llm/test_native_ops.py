@@ -156,3 +156,30 @@ def test_model_adds_what_labelers_agree_on(spark):
     assert all([x.kind for x in rows[i].spans] == ["phone"] and not rows[i].base for i in range(300))
     assert all(not rows[i].spans for i in range(300, 400))
     assert all([x.kind for x in rows[i].spans] == ["email"] for i in range(400, 700))
+
+
+def test_added_families_are_found_and_nothing_else(spark):
+    """Spans planted in writings that the base rules do not know, beside look-alikes that are no personal data."""
+    ends = ("com", "org", "net", "de")
+    yes = [("email", f"please mail anna.{i} at host{i} dot {ends[i % 4]} about it", f"anna.{i} at host{i} dot {ends[i % 4]}") for i in range(60)]
+    yes += [("ip", f"login from host 10.{i % 200}.7.9 and server {i % 250}[.]2[.]3[.]4 today", f"{i % 250}[.]2[.]3[.]4") for i in range(2, 62)]
+    yes += [("card", f"pay by card 4111.1111.1111.1111 number {'x' * (i % 5)}", "4111.1111.1111.1111") for i in range(60)]
+    yes += [("phone", f"call the phone 0049 30 12345{10 + i} now", f"0049 30 12345{10 + i}") for i in range(60)]
+    no = [f"version {i}.{i % 7}.0 was built at 2023 dot matrix" for i in range(60)] + [f"card 4111.1111.1111.1{i:03} is wrong" for i in range(112, 170) if not luhn(f"4111111111111{i:03}")] + [f"isbn 0030 {1000 + i} 22{i:02} page {i}" for i in range(60)] + [f"server {300 + i}[.]2[.]3[.]4 is none" for i in range(60)]
+    plain = [f"mail a{i}@b.com, call +1 (212) 555-{1000 + i} or pay by card 4111 1111 1111 1111 from host 10.1.1.{i % 200}" for i in range(200)]
+    texts = [t for _, t, _ in yes] + no + plain
+    rows = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {i: {(x.kind, texts[i][x.start : x.end]) for x in rows[i]} for i in rows}
+    hits = sum((kind, m) in found[i] for i, (kind, _, m) in enumerate(yes))
+    wrong = sum(len(found[i]) for i in range(len(yes), len(yes) + len(no)))
+    assert hits >= 0.9 * len(yes) and wrong <= 0.02 * len(no), (hits, len(yes), wrong, len(no))
+    assert all(len(found[i]) == 4 for i in range(len(yes) + len(no), len(texts)))
+
+
+def test_long_text_and_empty_table(spark):
+    text = "word " * 60_000 + "a@b.co " + "1 2 " * 60_000 + "+1 (743) 555-3824"
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    rows = pii.detect(df).collect()
+    assert len(rows) == 2 and all([(x.start, x.end, x.kind) for x in r.spans] == [(x[0], x[2], x[3]) for x in plain_spans(text)] for r in rows)
+    assert pii.detect(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+    assert len(mixing.mix(df.selectExpr("doc_id", "text", "'s' as source")).collect()) == 2
