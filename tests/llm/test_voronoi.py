@@ -44,8 +44,30 @@ def test_equals_brute_force(spark, monkeypatch, kind):
     assert set(got) == brute(rows, 20)
 
 
-def test_bounds_prune(spark):
-    # far clusters on a circle: rows of other clusters are not needed
+def share(spark, rows, **how):
+    """Share of (row, group of queries) pairs that the bounds leave."""
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", voronoi.integers().alias("v"))
+    placed, _, n, _, bounds, _ = voronoi.plan(df, F.col("vec_id") % 20 == 0, 5, **how)
+    at = placed.select("cell", "far").toPandas()
+    return sum(len(bounds.needed(g, at.cell.to_numpy(), at.far.to_numpy())) for g in range(len(bounds.low))) / (n * len(bounds.low))
+
+
+def test_bounds_prune(spark, monkeypatch):
+    # far clusters on a sphere, of equal norms: a group of queries needs the rows of its own cluster and few others
+    monkeypatch.setattr(voronoi, "QUERIES", 5)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 16))
+    v = centres[rng.integers(0, 8, 800)] * 6 + rng.normal(size=(800, 16)) * 0.05
+    v = 3 * v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
+    assert set(run(spark, rows, 5, pivots=32)) == brute(rows, 5)
+    assert share(spark, rows, pivots=32) < 0.35
+    # repeated ids widen the bounds by as many rows and do not end them
+    assert share(spark, rows + rows[::7], pivots=32) < 0.4
+    assert set(run(spark, rows + rows[::7], 5, pivots=32)) == brute(rows + rows[::7], 5)
+
+
+def test_empty_and_large_values(spark):
     rng = np.random.default_rng(2)
     assert run(spark, [], 5) == []
     rows = [(i, [1.0, 2.0]) for i in range(1, 20)]
