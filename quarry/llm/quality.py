@@ -127,12 +127,14 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Learns from at most `rows` labelled documents that are not held out. Only their features come to the driver.
 
-    Labels other than 0 and 1 and ids that are null are passed over; an id with both labels counts as 0.
+    Labels other than 0 and 1 and ids that are null are passed over; an id with both labels counts as 0. Of rows that share an id the least
+    text counts, so never more than `rows` feature rows reach the driver. Without labels every score is 0.5.
     """
     small_batches(docs.sparkSession)
     chosen = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")  # `rows` rows
+    picked = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # `rows` ids
+    picked = picked.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")
 
     def run(batches):
         for batch in batches:
@@ -150,7 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
 
 
 def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
-    """docs with a score between 0 and 1 for each row, from its whole text alone; a null text counts as empty. Nothing is shuffled."""
+    """docs with a score between 0 and 1 for each row, from its whole text alone; a null text counts as empty. Nothing is shuffled.
+
+    Very long texts are scored whole, repeated rows each, and an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != name]
     schema = docs.select(*others).schema.add(name, "double")
