@@ -43,10 +43,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- scans, listing, delete
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, strlen(text) AS file_size, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS node_count FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, strlen(text) AS file_size, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS node_count FROM documents ORDER BY doc_id DESC")
 def documents_listing(spark, sf):
+    """The newest first; ids stand for the time of creation, which the table lacks."""
     n = F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != ""))
-    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("long").alias("file_size"), n.cast("long").alias("node_count"))
+    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("long").alias("file_size"), n.cast("long").alias("node_count")).orderBy(F.col("document_id").cast("long").desc())
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")

@@ -66,6 +66,13 @@ def block_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def write_report(blocks: DataFrame, path: str) -> dict[str, int]:
+    """Writes every block as JSON to path/blocks, and the number of blocks of each document and kind to path/counts. Gives the number of each kind."""
+    blocks_as_json(blocks).write.mode("overwrite").json(f"{path}/blocks")
+    blocks.groupBy("document_id", "block_type").agg(F.count(F.lit(1)).alias("blocks")).write.mode("overwrite").json(f"{path}/counts")
+    return {r.block_type: r.blocks for r in block_counts(blocks).collect()}  # a row for each kind
+
+
 def metadata() -> Column:
     box = F.array(*(F.col(f"bbox.{c}") for c in ("x0", "top", "x1", "bottom")))
     own = ["category", "element_id", "filetype", "parent_id", "title", "column", "languages"]

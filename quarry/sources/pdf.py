@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.schema import ELEMENTS
+from quarry.schema import BLOCKS, ELEMENTS
 
 
 class LayoutParseError(ValueError):
@@ -26,22 +26,33 @@ def read_pdfs(spark: SparkSession, path: str, most_bytes: int | None = None) ->
     return files.select(F.sha2(F.concat(name.cast("binary"), F.unhex(F.sha2("content", 256))), 256).alias("document_id"), name.alias("filename"), F.col("length").cast("int").alias("file_size"), "content")
 
 
-def partition_elements(content: bytes, filename: str, partitioner: Callable | None, strategy: str = "auto", infer_tables: bool = True) -> list:
-    """Elements by the partitioner; if a strategy other than 'fast' fails, once more by 'fast' without table inference."""
-    if partitioner is None:
-        raise LayoutParseError("PDF parsing needs a partitioner such as that of the 'unstructured' package.")
+def default_partitioner() -> Callable | None:
+    """The partitioner of the optional package 'unstructured', or None where it is not installed."""
     try:
-        return partitioner(file=io.BytesIO(content), strategy=strategy, infer_table_structure=infer_tables)
-    except Exception as e:
-        if strategy == "fast":
-            raise LayoutParseError(f"Failed to parse PDF: {e}") from e
+        from unstructured.partition.pdf import partition_pdf
+    except ImportError:
+        return None
+    return partition_pdf
+
+
+def partition_elements(content: bytes, filename: str, partitioner: Callable | None = None, strategy: str = "auto", infer_tables: bool = True) -> list:
+    """Elements by the partitioner, or by the default one, for which 'auto' means 'hi_res'; if a strategy other than 'fast' fails, once more by 'fast'
+    without table inference."""
+    chosen = partitioner or default_partitioner()
+    if chosen is None:
+        raise LayoutParseError("PDF parsing needs a partitioner such as that of the 'unstructured' package.")
+    first = "hi_res" if strategy == "auto" and partitioner is None else strategy
+    steps = [(first, infer_tables)] + ([] if strategy == "fast" else [("fast", False)])
+    for at, (how, tables) in enumerate(steps, 1):
         try:
-            return partitioner(file=io.BytesIO(content), strategy="fast", infer_table_structure=False)
-        except Exception as again:
-            raise LayoutParseError(f"Failed to parse PDF: {again}") from again
+            return chosen(file=io.BytesIO(content), strategy=how, infer_table_structure=tables)
+        except Exception as e:
+            if at == len(steps):
+                raise LayoutParseError(f"Failed to parse PDF: {e}") from e
+    return []
 
 
-def partition_file(content: bytes, filename: str, partitioner: Callable | None, other: Callable | None = None, **how) -> list:
+def partition_file(content: bytes, filename: str, partitioner: Callable | None = None, other: Callable | None = None, **how) -> list:
     """A PDF by name goes to the PDF partitioner; other files to `other`, if there is one."""
     if filename.lower().endswith(".pdf"):
         return partition_elements(content, filename, partitioner, **how)
@@ -50,6 +61,45 @@ def partition_file(content: bytes, filename: str, partitioner: Callable | None,
     return other(file=io.BytesIO(content), metadata_filename=filename)
 
 
+def pypdf_pages(content: bytes):
+    """(width, [(x, y, text), ...]) of each page, by the optional package 'pypdf'."""
+    from pypdf import PdfReader
+
+    for page in PdfReader(io.BytesIO(content)).pages:
+        spans: list[tuple[float, float, str]] = []
+
+        def seen(text, _matrix, place, _font, _size, spans=spans):
+            if text.strip() and len(place) >= 6:
+                spans.append((float(place[4]), float(place[5]), text))
+
+        page.extract_text(visitor_text=seen)
+        yield float(getattr(page.mediabox, "width", 0) or 0), spans
+
+
+SPANS = "document_id string, page_number int, page_width double, x double, y double, text string, filename string, status_code int, message string"
+
+
+def read_spans(files: DataFrame, pages: Callable = pypdf_pages) -> DataFrame:
+    """Positioned text spans of all files (document_id, filename, content), a row each with status_code 200; a file that cannot be read, or has no
+    text, gives one row with 422 and a message. Each file is read once."""
+    columns = [c.split()[0] for c in SPANS.split(", ")]
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for d, name, content in zip(batch["document_id"], batch["filename"], batch["content"], strict=True):
+                try:
+                    found = [(d, number, width, x, y, text, name, 200, None) for number, (width, spans) in enumerate(pages(bytes(content)), 1) for x, y, text in spans]
+                    problem = None if found else "This PDF has no extractable text."
+                except Exception as e:  # noqa: BLE001 - whatever a broken file does to the reader
+                    found, problem = [], f"Failed to parse PDF text: {e}"
+                rows += found if problem is None else [(d, None, None, None, None, None, name, 422, problem)]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("document_id", "filename", "content").mapInPandas(read, SPANS)
+
+
 def element_row(element, ordinal: int, document_id: str, filename: str) -> dict:
     meta = getattr(element, "metadata", None)
     get = lambda name: getattr(meta, name, None)
@@ -62,27 +112,37 @@ def element_row(element, ordinal: int, document_id: str, filename: str) -> dict:
     }
 
 
-def parse_files(files: DataFrame, partitioner: Callable | None, other: Callable | None = None, **how) -> tuple[DataFrame, DataFrame]:
-    """Elements of all files (document_id, filename, content), and rejects (document_id, filename, status_code, message).
+PARSED = f"{ELEMENTS}, status_code int, message string"
 
-    Each file is parsed once for each of the two; write the elements before both are used if parsing is dear.
-    """
-    columns = [c.split()[0] for c in ELEMENTS.split(", ")]
 
-    def parsed(batches, good: bool):
-        for pdf in batches:
+def parse_all(files: DataFrame, partitioner: Callable | None = None, other: Callable | None = None, **how) -> DataFrame:
+    """Elements of all files (document_id, filename, content), a row each with status_code 200; a file that cannot be parsed gives one row with
+    422, one without elements one with 400, and a message. Each file is parsed once."""
+    columns = [c.split()[0] for c in PARSED.split(", ")]
+
+    def parsed(batches):
+        for batch in batches:
             rows = []
-            for d, name, content in zip(pdf["document_id"], pdf["filename"], pdf["content"], strict=True):
+            for d, name, content in zip(batch["document_id"], batch["filename"], batch["content"], strict=True):
                 try:
-                    found = partition_file(content, name, partitioner, other, **how)
-                    rows += [element_row(e, i, d, name) for i, e in enumerate(found)] if good else ([] if found else [{"document_id": d, "filename": name, "status_code": 400, "message": "Unable to extract text, table, or image content from PDF."}])
+                    found = [element_row(e, i, d, name) | {"status_code": 200} for i, e in enumerate(partition_file(bytes(content), name, partitioner, other, **how))]
+                    rows += found or [{"document_id": d, "filename": name, "status_code": 400, "message": "Unable to extract text, table, or image content from PDF."}]
                 except LayoutParseError as e:
-                    rows += [] if good else [{"document_id": d, "filename": name, "status_code": 422, "message": str(e)}]
+                    rows.append({"document_id": d, "filename": name, "status_code": 422, "message": str(e)})
             if rows:
-                yield pd.DataFrame(rows, columns=columns if good else ["document_id", "filename", "status_code", "message"])
+                yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+    return files.select("document_id", "filename", "content").mapInPandas(parsed, PARSED)
+
 
-    slim = files.select("document_id", "filename", "content")
-    return slim.mapInPandas(lambda b: parsed(b, True), ELEMENTS), slim.mapInPandas(lambda b: parsed(b, False), "document_id string, filename string, status_code int, message string")
+def parse_files(files: DataFrame, partitioner: Callable | None = None, other: Callable | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """Elements of all files, and rejects (document_id, filename, status_code, message). Write `parse_all` where both are used."""
+    return split_parsed(parse_all(files, partitioner, other, **how))
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was read and what was not, of a table of `parse_all` or `read_spans`."""
+    return parsed.where("status_code = 200").drop("status_code", "message"), parsed.where("status_code <> 200").select("document_id", "filename", "status_code", "message")
 
 
 def spans_to_blocks(spans: DataFrame) -> DataFrame:
@@ -137,3 +197,13 @@ def spans_to_blocks(spans: DataFrame) -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "place")) - 1
     return both.withColumn("block_ordinal", ordinal.cast("int")).drop("place")
 
+
+def complete(blocks: DataFrame) -> DataFrame:
+    """blocks with every column of the schema; those that are not there are null."""
+    wanted, depth, start = [], 0, 0
+    for at, c in enumerate(BLOCKS + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            wanted.append(BLOCKS[start:at].strip().split(" ", 1))
+            start = at + 1
+    return blocks.select(*(F.col(n) if n in blocks.columns else F.lit(None).cast(kind).alias(n) for n, kind in wanted))
