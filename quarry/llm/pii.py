@@ -278,11 +278,13 @@ def train(buckets: np.ndarray, target: np.ndarray, steps: int = 300) -> list[flo
 
 def fit(found: DataFrame) -> Model:
     """The model of the candidates of a table. The driver gets a count for each vote pattern, and features of TRAIN_SPANS candidates at most: all
-    candidates count for the labelers, and the classifier learns from those of smallest hash."""
+    candidates count for the labelers, and the classifier learns from different ones of a share of the hashes that follows from their number."""
     every = seen(found)
     counts = every.groupBy("pattern").count().collect()  # bounded by the number of patterns
     posterior, reliabilities = weigh([(r["pattern"], r["count"]) for r in counts])
-    rows = every.orderBy("chance", "pattern", "features").limit(TRAIN_SPANS).collect()
+    step = max(1, sum(r["count"] for r in counts) // (2 * TRAIN_SPANS))  # so that no more than is needed leaves the tasks
+    chosen = every.where(F.pmod("chance", F.lit(step)) == 0).select("chance", "pattern", "features").distinct()
+    rows = chosen.orderBy("chance", "pattern", "features").limit(TRAIN_SPANS).collect()
     buckets = np.array([r.features for r in rows], "i8").reshape(len(rows), FEATURES)
     return Model(posterior, reliabilities, train(buckets, np.array([posterior[r.pattern] for r in rows])))
 
