@@ -262,9 +262,9 @@ def _solve(percent: int):
 def parted(members: DataFrame, percent: int) -> DataFrame:
     """members (class, hood, size, tokens, ...) with large neighbourhoods parted into those that similar sets need; sets that are alone then are left out.
 
-    In a neighbourhood each shingle is counted exactly. Shingles that one set only holds meet nothing; of the others each set gives the rarest,
-    as many as a linked set could not lack, and sets that share one of these stay together. Only large neighbourhoods are exploded, into one row for
-    each shingle of each set; the lists that are collected have the length of one set.
+    Each shingle of these neighbourhoods is counted exactly. Shingles that one set only holds meet nothing; of the others each set gives the rarest,
+    as many as a linked set could not lack, and sets that share one of these stay together. Only large neighbourhoods are exploded, into one slim
+    row for each shingle of each set; the lists that are collected have the length of one set.
     """
     sizes = members.groupBy("hood").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     large = sizes.where((F.col("n") > PARTED) | (F.col("shingles") > PARTED_SHINGLES)).select("hood", F.lit(True).alias("large"))
@@ -275,19 +275,21 @@ def parted(members: DataFrame, percent: int) -> DataFrame:
 
     def explode(batches):
         for batch in batches:
-            n = np.array([len(t) // 8 for t in batch.column(3).to_pylist()])
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
+            n = np.array([len(t) // 8 for t in batch.column(1).to_pylist()])
+            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+            name = np.repeat(batch.column(0).to_numpy(), n)
             for at in range(0, len(tokens), 1 << 18):
-                row = pa.array(np.repeat(np.arange(len(n)), n)[at : at + (1 << 18)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), pa.array(tokens[at : at + (1 << 18)])], names=["class", "hood", "size", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)]) for x in (name, tokens)], names=["class", "token"])
 
-    rows = written(big.select("class", "hood", "size", "tokens").mapInArrow(explode, "class long, hood long, size long, token long"), "shingles")
-    held = rows.groupBy("hood", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(sorted_join(held), ["hood", "token"]).groupBy("class", "hood", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # neighbourhoods are counted together: any order of the shingles that all sets share would do, and no row needs to name its neighbourhood
+    rows = big.select("class", "tokens").mapInArrow(explode, "class long, token long")
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(sorted_join(held), "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = shared.join(big.select("class", "size"), "class")
     least = F.floor((F.col("size") * percent + 99) / 100)
     due = F.col("size") - least + 1 - (F.col("size") - F.size("shared"))  # of the first ones, those that others hold as well
-    signed = shared.where(due > 0).select("class", "hood", F.explode(F.slice("shared", F.lit(1), F.least(due, F.size("shared")).cast("int"))).alias("s"))
-    signed = written(signed.select("class", F.xxhash64("hood", "s.token").alias("signature")), "rarest")
+    signed = shared.where(due > 0).select("class", F.explode(F.slice("shared", F.lit(1), F.least(due, F.size("shared")).cast("int"))).alias("s"))
+    signed = written(signed.select("class", F.col("s.token").alias("signature")), "rarest")
     found = components(stars_of(signed)).select(F.col("a").alias("class"), F.col("component").alias("part"))
     apart = big.drop("large").join(sorted_join(found), "class").withColumn("hood", F.col("part")).drop("part")
     rest = marked.where("large is null").drop("large")
@@ -433,14 +435,15 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows without words are linked with nothing and all stay. Rows with a null doc_id give way to any other; of several rows alike in
     doc_id and text one stays.
     """
-    marked = docs.withColumn("mark_of_text", F.xxhash64("text"))
-    found = similar_documents(marked, k, percent, ("mark_of_text",)).where("component is not null")
+    row = F.struct(*docs.columns).alias("row")  # so that no column of docs meets a name of ours
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark_of_text"), row)
+    found = similar_documents(marked.drop("row"), k, percent, ("mark_of_text",)).where("component is not null")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark_of_text")).alias("first")
     stay = found.groupBy("component").agg(first).select(F.coalesce("first.doc_id", F.lit(-1)).alias("own_id"), F.col("first.doc_id").isNull().alias("own_null"), F.col("first.mark_of_text").alias("own_mark"))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    full = marked.where(~wordless).withColumn("own_id", F.coalesce("doc_id", F.lit(-1))).withColumn("own_null", F.col("doc_id").isNull()).withColumn("own_mark", F.col("mark_of_text"))
+    full = marked.where(~wordless).select(F.coalesce("doc_id", F.lit(-1)).alias("own_id"), F.col("doc_id").isNull().alias("own_null"), F.col("mark_of_text").alias("own_mark"), "row")
     kept = full.join(sorted_join(stay), ["own_id", "own_null", "own_mark"]).dropDuplicates(["own_id", "own_null", "own_mark"])
-    return kept.select(*docs.columns).unionByName(docs.where(wordless))
+    return kept.select("row.*").unionByName(docs.where(wordless))
 
 
 def op4_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,18 @@ def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, given, sf_dir)
         assert out.count() == 0
+
+
+def test_other_columns_and_clashing_names_go_along(spark, sf_dir, docs):
+    """Names that the stages use themselves are columns of the table here."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "class", "hood", "tokens", "row", "kind", "size", "number", "block", "taken", "copies", "own_id", "email", "pattern"]
+    few = docs.limit(60).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, few, sf_dir)
+        rows = out.collect()
+        if name != "tokens":
+            assert out.columns == few.columns and rows and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in rows), name
+        else:
+            assert len(rows) == 60 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)

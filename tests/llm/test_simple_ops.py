@@ -154,3 +154,69 @@ def test_byte_shards(spark, some):
     by = {r.doc_id: r for r in rows}
     assert all(by[i].text_crc32 == zlib.crc32((t or "").encode()) and by[i].size == len((t or "").encode()) + 1 for i, t in zip(ids, texts, strict=True))
     assert sharding.shard_by_bytes(table(spark, []), 8, size).count() == 0
+
+
+def plain_phrases(data: bytes) -> set[bytes]:
+    """The phrases of an LZ78 parse, by the definition: the shortest prefix of the rest that is no phrase yet."""
+    seen, at = set(), 0
+    while at < len(data):
+        n = 1
+        while data[at : at + n] in seen and at + n <= len(data):
+            n += 1
+        if at + n > len(data):
+            break
+        seen.add(data[at : at + n])
+        at += n
+    return seen
+
+
+def plain_hash(phrase: bytes) -> int:
+    m = (1 << 64) - 1
+    h, power = 0, 1
+    for b in phrase:
+        h = (h + (b + 1) * power) & m
+        power = power * 0x9E3779B97F4A7C15 & m
+    h ^= len(phrase) << 48 & m
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & m
+    h ^= h >> 29
+    return (h * 0xC4CEB9FE1A85EC53 & m) >> 32
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    texts = ["", "a", "abababab", "é😀 and more, é😀 and more", "x" * 3000, "the cat sat on the mat " * 40, "one " * 20_000] + [f"row {i} " * (i % 7) for i in range(20)]
+    rows = sorted(lzprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    prints = [sorted({plain_hash(p) for p in plain_phrases(t.encode())})[:64] for t in texts]
+    assert [r.fingerprint for r in rows] == ["".join(f"{h:08x}" for h in p) for p in prints]
+    for i, r in enumerate(rows):
+        after = texts[(i + 1) % len(texts)]
+        edited = texts[i][: len(texts[i]) - len(texts[i]) // 2] + after[: len(texts[i]) // 2]
+        other = sorted({plain_hash(p) for p in plain_phrases(edited.encode())})[:64]
+        assert r.edited_fingerprint == "".join(f"{h:08x}" for h in other)
+        least = sorted({*prints[i], *other})[:64]
+        assert abs(r.near_edited - (sum(h in prints[i] and h in other for h in least) / len(least) if least else 1.0)) < 1e-9
+
+
+def test_empty_tables(spark):
+    import public_tokenizers as P
+
+    none = spark.createDataFrame([], "doc_id long, text string, ids string")
+    coded = bpe.encode(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert coded.count() == 0 and bpe.decode(coded, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+    assert lzprint.fingerprints(none).count() == 0
+
+
+def test_bloom_filter_holds_every_key():
+    from pyarrow import fs
+
+    import tempfile
+
+    path = f"{tempfile.mkdtemp()}/a.sst"
+    w = sstable.Writer(fs.LocalFileSystem(), path, 2)
+    for i in range(5000):
+        w.add(sstable.key_of(3 * i), np.array([i % 60000, 1]))
+    w.close()
+    r = sstable.Reader(fs.LocalFileSystem(), path)
+    assert all(r.get(sstable.key_of(3 * i))[0][0] == i % 60000 for i in range(0, 5000, 97))
+    there = sum(all(r.bloom[b >> 3] >> (b & 7) & 1 for b in sstable._bits(sstable.key_of(3 * i + 1), r.bits)) for i in range(5000))
+    assert there < 150 and not any(r.get(sstable.key_of(3 * i + 1)) for i in range(0, 5000, 301))
