@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """docs without `text`, with `ids` array<int>; with `offsets`, also array<int>: the character at which each token begins;
     with `packed`, also binary: the ids as little-endian unsigned 32-bit integers; with `data`, also binary: the ids decoded.
 
-    Null or empty text: no ids. A token may begin inside a character; its offset is then that character's.
+    Null or empty text: no ids. Repeated rows are rows of their own, an empty table gives no rows, and a long text is encoded whole. A token may begin inside a character; its offset is then that character's.
     Every other column is carried along; nothing is shuffled.
     """
     small_batches(docs.sparkSession)

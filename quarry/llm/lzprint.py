@@ -110,7 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the next row in ascending doc_id; the one after the last is the first. Null doc_ids come first; rows
     with equal doc_id are ordered by text, so repeated rows follow each other. Null text counts as empty; an empty text has an
-    empty fingerprint. A single row is its own next. Other columns are ignored.
+    empty fingerprint. A single row is its own next, and an empty table gives no rows. Other columns are ignored. Very long texts are parsed whole.
+    Rows that share a doc_id, or have none, stay in one bucket, as ids alone set the bounds.
 
     Texts move once: to ordered buckets between sampled ids. The row that begins a bucket goes to the bucket before it as well,
     as a guest, so every task has all neighbours it needs. A task holds two documents at a time.

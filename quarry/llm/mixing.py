@@ -102,7 +102,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     size counts words (null text: 0). Each source's documents are shuffled by a hash of seed and doc_id and laid end to end; the
     stream is cut into equal blocks of `block` words or less, and `schedule` takes blocks. taken: the document's words in the blocks taken,
     counted as often as they are taken; at most cap times its size. Null sources form one source, the last. Rows with equal
-    doc_id are rows of their own. A document without words takes 0; so does every one if there are no words at all. Reruns agree.
+    doc_id are rows of their own. A document without words takes 0; so does every one if there are no words at all, and an empty table gives no
+    rows. A very long document spans many blocks. Other columns are ignored. Reruns agree.
 
     Texts are read once, for their sizes; what is shuffled is slim. A source's stream is summed in hash ranges, as many as the
     square root of the rows, so a source with a third of all rows is spread like the others.
@@ -138,9 +139,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """
     taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     taken = taken.withColumn("copies", F.round(F.col("taken") / (F.col("rows") * F.greatest("size", F.lit(1)))).cast("int"))
-    left, right = docs.withColumn("words_of_text", n_words()), taken.select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.col("size").alias("own_size"), "copies")
-    same = left["doc_id"].eqNullSafe(right["own_id"]) & left["source"].eqNullSafe(right["own_source"]) & (left["words_of_text"] == right["own_size"])
-    return left.join(sorted_join(right.where("copies > 0")), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # docs as one column, so that no column of it meets a name of ours
+    left = docs.select("doc_id", "source", n_words().alias("words"), F.struct(*docs.columns).alias("row"))
+    right = taken.where("copies > 0").select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.col("size").alias("own_size"), "copies")
+    same = left["doc_id"].eqNullSafe(right["own_id"]) & left["source"].eqNullSafe(right["own_source"]) & (left["words"] == right["own_size"])
+    return left.join(sorted_join(right), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ empty key and comes first. Keys may repeat.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import re
@@ -51,8 +52,12 @@ def id_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
 def _bits(key: bytes, n: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+    a, b = _hashes(key)
     return [(a + i * b) % n for i in range(BLOOM_HASHES)]
 
 
@@ -63,7 +68,7 @@ class Writer:
         self.files, self.path, self.tmp = files, path, f"{path}.{uuid.uuid4().hex}.tmp"
         self.out, self.dtype = files.open_output_stream(self.tmp), np.dtype({2: "<u2", 4: "<u4"}[width])
         self.zstd = zstandard.ZstdCompressor(level=1)
-        self.block, self.index, self.keys, self.last, self.first = bytearray(), [], [], b"", b""
+        self.block, self.index, self.hashes, self.last, self.first = bytearray(), [], array.array("Q"), b"", b""
         self.entries = self.ids = self.block_entries = self.block_ids = self.place = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
@@ -77,7 +82,7 @@ class Writer:
         value = ids.astype(self.dtype).tobytes()
         self.block += struct.pack("<HHI", shared, len(key) - shared, len(ids)) + key[shared:] + value
         self.last, self.block_entries, self.block_ids = key, self.block_entries + 1, self.block_ids + len(ids)
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -91,11 +96,12 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        size = max(64, len(self.keys) * BLOOM_BITS)
+        size = max(64, len(self.hashes) // 2 * BLOOM_BITS)
         bloom = np.zeros((size + 7) // 8, "u1")
-        for key in self.keys:
-            for bit in _bits(key, size):
-                bloom[bit >> 3] |= 1 << (bit & 7)
+        first, step = (np.frombuffer(self.hashes, "u8")[i::2] % np.uint64(size) for i in (0, 1))
+        for i in range(BLOOM_HASHES):
+            bit = (first + np.uint64(i) * step) % np.uint64(size)
+            np.bitwise_or.at(bloom, (bit >> np.uint64(3)).astype("i8"), np.uint8(1) << (bit & np.uint64(7)).astype("u1"))
         index = b"".join(INDEX.pack(len(k), *rest) + k for k, *rest in self.index)
         self.out.write(bloom.tobytes() + index)
         self.out.write(FOOTER.pack(self.place, size, self.place + len(bloom), len(self.index), self.entries, self.ids, self.dtype.itemsize, MAGIC))
@@ -197,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     """Encodes every text of docs (doc_id, text), appends end_id and writes shards to `folder`, ids ascending over all shards.
 
     One range exchange of the texts by doc_id; each task sorts its range (with spilling), encodes it in Arrow batches and
-    streams it into its own file, so memory holds one block. Gives a row for each shard: shard, path, entries, ids.
+    streams it into its own file, so memory holds one block, and 16 bytes for each document until the Bloom filter is written. Gives a row for each shard: shard, path, entries, ids.
     Null text: empty. Null doc_id: before all others. Rows with the same doc_id follow each other, ordered by their text.
     Columns other than doc_id and text are ignored. An empty table gives no shard.
     width: bytes of an id in the files (2 for vocabularies up to 65,536 ids).
