@@ -5,6 +5,9 @@
 3. personal_data  spans of personal data become <KIND>; n_chars follows
 4. mix            sources come in their target shares: a document is there as often as its words are taken, rounded
 5. tokens         byte-level BPE ids, and a digest of the bytes that they decode to
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows and empty tables; what it does with each is said at
+its operator. Columns beside doc_id, text, lang, source and n_chars go along up to the mix; the last stage returns its own.
 """
 
 from __future__ import annotations
@@ -19,23 +22,28 @@ SHINGLE, PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null text counts as empty and is scored like any other; rows with equal doc_id are judged each by its own text."""
     machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, machine, "score_of_quality").where(F.col("score_of_quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words are near copies of nothing and all stay; of rows alike in doc_id and text one stays."""
     return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null text stays null, and its n_chars is null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The null source is a source; a row without words is in no mix."""
     return mixing.mixed(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null text has no ids; each row of the mix is a row."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
