@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,14 +37,23 @@ def _version(spark: SparkSession, path: str) -> tuple:
     return files.getContentSummary(p).getLength(), files.getFileStatus(p).getModificationTime()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session has already gone
+        pass
+
+
 def line_store(spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, dimension: int = 256) -> Store:
     """A store of the line nodes of the documents at path (doc_id, text), with offline embeddings unless `embed` is given.
 
-    It is published at the first call of a session and used again as long as the documents stay as they are.
+    It is published at the first call of a session, used again as long as the documents stay as they are, and removed when the process ends.
     """
     key = spark.sparkContext.applicationId, path, _version(spark, path), dimension, embed
     if key not in _STORES:
-        store = Store(spark, f"{shared_folder(spark)}/lines-{abs(hash(key)):x}")
+        store = Store(spark, f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}")
+        atexit.register(_remove, spark, store.path)
         documents = spark.read.parquet(path)
         nodes = embedding.embed_nodes(retrieval.line_nodes(documents), embed or (lambda c: embedding.mock_embedding(c, dimension)))
         about = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("int").alias("file_size"), F.lit("txt").alias("file_type"))
