@@ -9,6 +9,7 @@ from quarry.functions import embedding, fulltext
 from quarry.functions import text as T
 from quarry.operators import context, layout, search, store
 from quarry.plans import generation, prepared, retrieval
+from quarry.schema import REQUESTS
 from quarry.sources import pdf
 
 QUERIES: dict = {}
@@ -284,7 +285,7 @@ def document_postings(spark, sf) -> DataFrame:
 
 def asked(spark, *queries: str, top_k: int = 5, kind: str = "hybrid") -> DataFrame:
     rows = [(i, q, top_k, kind, None, None) for i, q in enumerate(queries)]
-    return search.validate(spark.createDataFrame(rows, "query_id long, query string, top_k int, search_type string, document_id string, system_instruction string")).where("problem is null").drop("problem")
+    return search.validate(spark.createDataFrame(rows, REQUESTS)).where("problem is null").drop("problem")
 
 
 _DOC_TOKENS = r"tokens AS (SELECT doc_id, l[p] AS t, p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM documents) d, unnest(range(1, len(l) + 1)) AS u(p))"

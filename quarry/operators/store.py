@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fulltext
 from quarry.operators import search
-from quarry.schema import NODES
+from quarry.schema import DOCUMENTS, NODES
 
 #: Rows of a file at most; what a bulk insert flushes at once.
 RECORDS_PER_FILE = 1_000_000
@@ -67,11 +67,11 @@ class Store:
         written = self.spark.read.parquet(f"{self.path}/nodes").where(F.col("attempt_id") == attempt).drop("attempt_id")
         counts = written.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         whole = documents.drop("chunk_count").join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        kinds = {"document_id": "string", "filename": "string", "file_type": "string", "file_size": "int", "deleted_at": "timestamp_ntz"}
-        for c, kind in kinds.items():
-            whole = whole.withColumn(c, F.col(c).cast(kind) if c in whole.columns else F.lit(None).cast(kind))
-        whole = whole.withColumn("created_at", (F.col("created_at") if "created_at" in whole.columns else F.current_timestamp()).cast("timestamp_ntz"))
-        self._append(whole, "documents", attempt)
+        if "created_at" not in whole.columns:
+            whole = whole.withColumn("created_at", F.current_timestamp())
+        kinds = dict(c.split() for c in DOCUMENTS.split(", "))
+        known = [(F.col(c) if c in whole.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+        self._append(whole.select(*known, *(c for c in whole.columns if c not in kinds)), "documents", attempt)
         self._append(search.normalised(written), "vectors", attempt)
         self._append(fulltext.postings(written, ["node_id", "document_id", "node_index"]).repartitionByRange("lexeme", "node_id").sortWithinPartitions("lexeme", "document_id", "node_index"), "postings", attempt)
         n = written.count()

@@ -1,4 +1,4 @@
-"""Explicit schemas and settings of the document-retrieval tables. Nothing is inferred at read time."""
+"""Names and types of the document-retrieval tables, and settings. Sources, the store and requests take their columns from here."""
 
 from __future__ import annotations
 
