@@ -27,9 +27,10 @@ from quarry.llm.common import documents, partitions, small_batches, sorted_join,
 from quarry.llm.components import components
 
 #: Sets in a group of the matrix; sets and shingles in a tile at most, so a task holds two tiles whatever the size of a neighbourhood.
-GROUP, TILE, TILE_SHINGLES = 64, 1024, 1_500_000
-#: Sets and shingles up to which a neighbourhood is one task, and beyond which it is parted first.
-WHOLE, WHOLE_SHINGLES, PARTED, PARTED_SHINGLES = 512, 500_000, 4096, 4_000_000
+GROUP, TILE, TILE_SHINGLES = 64, 4096, 1_500_000
+#: Sets and shingles up to which a neighbourhood is one task, and beyond which it is parted first. Parting moves each shingle twice with the name of its
+#: set, 32 bytes; comparing tiles moves 8 bytes of it to each tile of its own and the next band of sizes, which is more from about 40 tiles on.
+WHOLE, WHOLE_SHINGLES, PARTED, PARTED_SHINGLES = 512, 500_000, 160_000, 60_000_000
 #: From this similarity on, in percent, equal parts of the hash space hold enough shingles to tell sets apart; below, rare shingles do.
 PARTS_FROM = 88
 
