@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, mixing, pii, quality, repeats, sharding, sstable, voronoi
+from quarry.llm import bpe, jaccard, lzprint, mixing, periodic, pii, quality, repeats, sharding, sstable, voronoi
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         pii.op8_weak_supervision_pii,
         sharding.op9_byte_shards,
         bpe.op10_byte_bpe,
+        periodic.op11_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
