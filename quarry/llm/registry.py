@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, mixing, periodic, pii, quality, repeats, sharding, sstable, voronoi
+from quarry.llm import bpe, jaccard, lzprint, merkle, mixing, periodic, pii, quality, repeats, sharding, sstable, voronoi
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         sharding.op9_byte_shards,
         bpe.op10_byte_bpe,
         periodic.op11_periodic_runs,
+        merkle.op12_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
