@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, jaccard, lzprint, merkle, mixing, periodic, pii, quality, repeats, sharding, sstable, voronoi
+from quarry.llm import bpe, jaccard, leaks, lzprint, merkle, mixing, periodic, pii, quality, repeats, sharding, sstable, voronoi
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         bpe.op10_byte_bpe,
         periodic.op11_periodic_runs,
         merkle.op12_merkle_manifest,
+        leaks.op13_trigram_secrets,
     ]
     return {f.__name__: f for f in found}
 
