@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import embedding, fulltext
+from quarry.functions import embedding
 from quarry.functions import text as T
-from quarry.operators import context, layout, search, store
+from quarry.operators import context, grid, layout, search, segments, store
 from quarry.plans import generation, prepared, retrieval
 from quarry.schema import REQUESTS
 from quarry.sources import pdf
@@ -46,9 +46,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id, strlen(text) AS file_size, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS node_count FROM documents ORDER BY doc_id DESC")
 def documents_listing(spark, sf):
-    """The newest first; ids stand for the time of creation, which the table lacks."""
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != ""))
-    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("long").alias("file_size"), n.cast("long").alias("node_count")).orderBy(F.col("document_id").cast("long").desc())
+    """The newest first; ids stand for the time of creation, which the table lacks. Counts are the store's, so no text is read."""
+    d = prepared.line_store(spark, f"{sf}/documents.parquet").table("documents")
+    return d.select("document_id", F.col("file_size").cast("long").alias("file_size"), F.col("chunk_count").cast("long").alias("node_count")).orderBy(F.col("document_id").cast("long").desc())
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
@@ -249,8 +249,14 @@ def embedding_requests(spark, sf, ids: str, only: bool = False, top_k: int = 5)
     return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(top_k).alias("top_k"), (F.col("label").cast("string") if only else F.lit(None).cast("string")).alias("document_id"))
 
 
+def embedding_packs(spark, sf) -> DataFrame:
+    """Packs of unit vectors, written once, clustered by label."""
+    path = f"{sf}/embeddings.parquet"
+    return prepared.table(spark, "packs", path, lambda _: grid.packed(search.normalised(embedding_nodes(spark, sf)).repartitionByRange("document_id", "node_index")))
+
+
 def _vector(spark, sf, ids, only=False):
-    top = search.vector_top_k(search.normalised(embedding_nodes(spark, sf)), embedding_requests(spark, sf, ids, only))
+    top = search.vector_top_k(embedding_packs(spark, sf), embedding_requests(spark, sf, ids, only))
     return top.select("query_id", F.col("node_index").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -279,8 +285,13 @@ def vector_topk_batch(spark, sf):
 # ---- full text
 
 def document_postings(spark, sf) -> DataFrame:
-    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("node_index"), F.col("text").alias("content"))
-    return fulltext.postings(d, ["node_id", "document_id", "node_index"])
+    """Posting blocks with each document as a node, written once."""
+
+    def make(d: DataFrame) -> DataFrame:
+        nodes = d.select(F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("node_index"), F.col("text").alias("content"))
+        return segments.blocks(segments.numbered(nodes, "documents", nodes.count())).repartitionByRange("lexeme", "segment").sortWithinPartitions("lexeme", "segment")
+
+    return prepared.table(spark, "blocks", f"{sf}/documents.parquet", make)
 
 
 def asked(spark, *queries: str, top_k: int = 5, kind: str = "hybrid") -> DataFrame:
@@ -333,22 +344,24 @@ def fts_rank_three_terms(spark, sf):
 # ---- fusion, hybrid search, contexts
 
 @query("""
-WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings), t AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS r FROM embeddings)
-SELECT CAST(coalesce(v.vec_id, t.vec_id) AS VARCHAR) AS node_id, CAST(row_number() OVER (ORDER BY coalesce(1::DOUBLE / (60 + v.r), 0) + coalesce(1::DOUBLE / (60 + t.r), 0) DESC, v.r NULLS LAST, t.r) AS INTEGER) AS rank,
- round(coalesce(1::DOUBLE / (60 + v.r), 0) + coalesce(1::DOUBLE / (60 + t.r), 0), 9) AS score FROM v FULL JOIN t USING (vec_id) QUALIFY rank <= 10""")
+WITH v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings), t AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[2] DESC, vec_id) AS r FROM embeddings)
+SELECT CAST(label AS BIGINT) AS query_id, CAST(vec_id AS VARCHAR) AS node_id, CAST(row_number() OVER (PARTITION BY label ORDER BY 1::DOUBLE / (60 + v.r) + 1::DOUBLE / (60 + t.r) DESC, v.r, t.r) AS INTEGER) AS rank,
+ round(1::DOUBLE / (60 + v.r) + 1::DOUBLE / (60 + t.r), 9) AS score FROM v JOIN t USING (label, vec_id) QUALIFY rank <= 10""")
 def rrf_fusion(spark, sf):
+    """Each label is a query with two ranked lists of its own."""
+    one = read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").cast("string").alias("node_id"), F.lit("d").alias("document_id"), F.col("vec_id").cast("int").alias("node_index"), "vec_id", "embedding")
+
     def ranked(i):
         w = Window.partitionBy("query_id").orderBy(F.element_at("embedding", i).desc(), "vec_id")
-        one = read(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").cast("string").alias("node_id"), F.lit("d").alias("document_id"), F.col("vec_id").cast("int").alias("node_index"), "vec_id", "embedding")
         return one.withColumn("rank", F.row_number().over(w)).drop("vec_id", "embedding")
 
-    out = search.fuse(ranked(1), ranked(2), asked(spark, "x", top_k=10))
-    return out.select("node_id", F.col("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
+    out = search.fuse([ranked(1), ranked(2)], one.select("query_id").distinct().withColumn("top_k", F.lit(10)))
+    return out.select("query_id", "node_id", F.col("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
 
 
-def _hybrid(spark, sf, *queries, top_k=5):
+def _hybrid(spark, sf, *queries, top_k=5, kind="hybrid"):
     """Nodes, vectors and postings from the store of the lines, and requests with vectors."""
-    requests = retrieval.embedded(asked(spark, *queries, top_k=top_k), lambda c: embedding.mock_embedding(c, 256))
+    requests = retrieval.embedded(asked(spark, *queries, top_k=top_k, kind=kind), lambda c: embedding.mock_embedding(c, 256))
     return *prepared.search_tables(prepared.line_store(spark, f"{sf}/documents.parquet")), requests
 
 
@@ -356,8 +369,8 @@ def _hybrid(spark, sf, *queries, top_k=5):
 WITH {LINES}, hits AS (SELECT document_id, node_index, node_id, len(list_filter({TOKENS}, lambda x: x = 'licensed')) AS tf FROM lines)
 SELECT node_id, round(0.1::DOUBLE * tf, 6) AS score, CAST(row_number() OVER (ORDER BY tf DESC, document_id, node_index) AS INTEGER) AS rank FROM hits WHERE tf > 0 QUALIFY rank <= 10""")
 def fulltext_topk(spark, sf):
-    postings = fulltext.postings(lines(spark, sf), ["node_id", "document_id", "node_index"])
-    return search.fulltext_top_k(postings, asked(spark, "Licensed")).select("node_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    blocks = prepared.line_store(spark, f"{sf}/documents.parquet").postings()
+    return search.fulltext_top_k(blocks, asked(spark, "Licensed")).select("node_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def _offline(text: str, kind: str) -> str:
@@ -402,6 +415,13 @@ def hybrid_search(spark, sf):
     return search.hits(search.retrieve(vectors, postings, requests), nodes).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "content")
 
 
+@query(f"""{_hybrid_sql("licensed under", "!!!")} SELECT query_id, CAST(v AS INTEGER) AS rank, node_id AS chunk_id, round(list_cosine_similarity(u, q), 6) AS score, content FROM near JOIN wanted USING (query_id) JOIN units USING (node_id) JOIN lines USING (node_id) WHERE v <= 5""")
+def vector_search(spark, sf):
+    """Requests of the kind `vector`: hits keep their cosines."""
+    nodes, vectors, postings, requests = _hybrid(spark, sf, "licensed under", "!!!", kind="vector")
+    return search.hits(search.retrieve(vectors, postings, requests), nodes).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "content")
+
+
 def every_seed(spark, sf) -> DataFrame:
     """Seeds a quarter and half way down and at the end of every document; each ten documents that follow one another are a request."""
     n = F.col("last") + 1

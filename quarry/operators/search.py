@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding as E
-from quarry.functions import fulltext
+from quarry.operators import grid, segments
 from quarry.schema import SETTINGS
 
-#: Requests that are sent to every task at once; more are answered block by block.
-REQUESTS_AT_ONCE = 2000
-#: Distinct words of a block of requests up to which they prune the scan of postings.
-LEXEMES_TO_PRUNE = 4000
-
 
 def validate(requests: DataFrame) -> DataFrame:
     """requests with `problem`, null if good: query not blank, top_k 1 to 100, search_type vector or hybrid."""
@@ -25,210 +18,70 @@ def validate(requests: DataFrame) -> DataFrame:
     return known.withColumn("problem", problem)
 
 
-def _wanted(document_id: Column, asked: Column) -> Column:
-    """A request without a document, or with an empty one, takes all."""
-    return F.coalesce(asked, F.lit("")).eqNullSafe("") | (document_id == asked)
-
-
 def normalised(nodes: DataFrame) -> DataFrame:
     """node_vectors: keys and unit vectors of nodes that have one; scoring is then one dot product. Written once for many queries."""
     return nodes.where("embedding is not null").select("node_id", "document_id", "node_index", E.unit(F.col("embedding")).alias("unit"))
 
 
-def _blocks(requests: DataFrame) -> list[list[Row]]:
-    """The requests in blocks of at most REQUESTS_AT_ONCE rows, each small enough to be held whole by the driver and by every task."""
-    n = requests.count()
-    if n <= REQUESTS_AT_ONCE:
-        return [requests.collect()] if n else []
-    parts = -(-2 * n // REQUESTS_AT_ONCE)
-    numbered = requests.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    blocks = []
-    for i in range(parts):
-        rows = numbered.where(F.col("_block") == i).drop("_block").collect()
-        blocks += [rows[at : at + REQUESTS_AT_ONCE] for at in range(0, len(rows), REQUESTS_AT_ONCE)]
-    return blocks
-
-
-HIT = "query_id long, node_id string, document_id string, node_index int, score double"
-#: Rows of vectors that are scored at once, and how far a score of the matrix product may be from the exact sum.
-ROWS_AT_ONCE, ROUNDING = 2048, 1e-9
-
-
-class Best:
-    """The best rows of each request so far: `wanted` of them by score (NaN last), document_id and node_index."""
-
-    def __init__(self, asked: np.ndarray, wanted: np.ndarray, only: list[str | None]):
-        self.asked, self.wanted = asked, wanted
-        self.only = [o or None for o in only]
-        self.rows: list[list[tuple]] = [[] for _ in only]
-        self.low = np.full(len(only), -np.inf)
-
-    def add(self, unit: np.ndarray, batch: pa.RecordBatch) -> None:
-        """Scores of all requests by one matrix product; only rows that may be among the best are scored exactly and kept."""
-        with np.errstate(invalid="ignore"):
-            score = np.nan_to_num(self.asked @ unit.T, nan=-2.0)
-        keys = [batch.column(c) for c in ("node_id", "document_id", "node_index")]
-        documents = np.array(keys[1].to_pylist(), object) if any(self.only) else None
-        for i in np.flatnonzero(score.max(1, initial=-np.inf) >= self.low - ROUNDING).tolist():
-            own = score[i] if self.only[i] is None else np.where(documents == self.only[i], score[i], -np.inf)
-            k = int(self.wanted[i])
-            floor = max(self.low[i], np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
-            at = np.flatnonzero((own >= floor - ROUNDING) & (own > -np.inf))
-            exact = (unit[at] * self.asked[i]).sum(1)
-            nodes, docs, places = (c.take(pa.array(at)).to_pylist() for c in keys)
-            self.rows[i] += [(np.isnan(x), -x, d, p, n) if not np.isnan(x) else (True, 0.0, d, p, n) for x, d, p, n in zip(exact.tolist(), docs, places, nodes, strict=True)]
-            if len(self.rows[i]) >= k:
-                self.rows[i] = sorted(self.rows[i])[:k]
-                last = self.rows[i][-1]
-                self.low[i] = -2.0 if last[0] else -last[1]
-
-    def table(self, queries: list[int]) -> pa.RecordBatch:
-        rows = [(q, n, d, p, float("nan") if blank else -x) for q, own in zip(queries, self.rows, strict=True) for blank, x, d, p, n in own]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=[c.split()[0] for c in HIT.split(", ")])
-
-
-def _scan(block: list[Row], factor: int):
-    """A function from Arrow batches of unit vectors to the best rows of the task for each request of the block."""
-    width = max(len(r.vector) for r in block)
-    asked = np.array([[*r.vector, *[np.nan] * (width - len(r.vector))] for r in block], "f8")
-    norm = np.sqrt((asked * asked).sum(1, keepdims=True))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        asked = np.where(norm == 0, np.nan, asked / norm)
-    queries, wanted, only = [r.query_id for r in block], np.array([r.top_k * factor for r in block]), [r.document_id for r in block]
-
-    def run(batches):
-        best = Best(asked, wanted, only)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                column = batch.column("unit")
-                flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
-                if (sizes == width).all():
-                    unit = flat.reshape(batch.num_rows, width)
-                else:  # vectors of another width have no score
-                    unit = np.full((batch.num_rows, width), np.nan)
-                    ends = np.cumsum(sizes)
-                    for i in np.flatnonzero(sizes == width).tolist():
-                        unit[i] = flat[ends[i] - width : ends[i]]
-                best.add(unit, batch)
-        yield best.table(queries)
-
-    return run
-
-
 def vector_top_k(vectors: DataFrame, requests: DataFrame, factor: int = 1) -> DataFrame:
-    """query_id, node_id, document_id, node_index, score, rank: the top_k * factor nodes of highest cosine.
-
-    vectors: as of `normalised`; requests: query_id, vector, top_k, document_id. Ties go to the smaller document_id and node_index;
-    NaN (a zero vector) comes last. The requests, of a checked number, are what is sent to the tasks. A task scores Arrow batches by one
-    matrix product each and hands on its own best, so what is shuffled are tasks times requests times top_k rows. If all
-    requests of a block name a document, only those documents are read.
-    """
-    return _vector_top_k(vectors, _blocks(requests.select("query_id", "vector", "top_k", "document_id")), factor)
+    """The top_k * factor nodes of highest cosine for each request; see `grid.top_k`."""
+    return grid.top_k(vectors, requests, factor)
 
 
-def _vector_top_k(vectors: DataFrame, blocks: list[list[Row]], factor: int) -> DataFrame:
-    spark, out = vectors.sparkSession, None
-    for block in blocks:
-        rows = vectors.select("node_id", "document_id", F.col("node_index").cast("int").alias("node_index"), "unit")
-        if all(r.document_id for r in block):
-            rows = rows.where(F.col("document_id").isin(sorted({r.document_id for r in block})))
-        wanted = spark.createDataFrame([(r.query_id, r.top_k * factor) for r in block], "query_id long, wanted int")
-        top = ranked(rows.mapInArrow(_scan(block, factor), HIT), F.broadcast(wanted), max(r.top_k for r in block) * factor, F.isnan("score"))
-        out = top if out is None else out.unionByName(top)
-    return out if out is not None else spark.createDataFrame([], f"{HIT}, rank int")
+def fulltext_hits(blocks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every node that holds every lexeme of the query, with its cover-density rank; see `segments.fulltext_hits`."""
+    return segments.fulltext_hits(blocks, requests)
 
 
-def ranked(scored: DataFrame, wanted: DataFrame, most: int, *first: Column) -> DataFrame:
-    """scored with rank, by `first`, falling score, document_id and node_index, up to each request's `wanted`; `most` is the largest of them, by which
-    tasks cut their rows before the exchange."""
-    best = Window.partitionBy("query_id").orderBy(*first, F.col("score").desc(), "document_id", "node_index")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-    return top.join(wanted, "query_id").where("rank <= wanted").select("query_id", "node_id", "document_id", "node_index", "score", "rank")
+def fulltext_top_k(blocks: DataFrame, requests: DataFrame, factor: int = 2) -> DataFrame:
+    """The top_k * factor nodes of highest rank for each request; see `segments.fulltext_top_k`."""
+    return segments.fulltext_top_k(blocks, requests, factor)
 
 
-def fulltext_hits(postings: DataFrame, requests: DataFrame) -> DataFrame:
-    """query_id, node_id, document_id, node_index, score: nodes that hold every lexeme of the query, with their cover-density rank.
+def fuse(lists: list[DataFrame], requests: DataFrame, k: int = SETTINGS.rrf_k) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists: score is the sum of 1 / (k + rank), ties to the first list's order, then the second's, and so on.
 
-    postings: node_id, document_id, node_index, lexeme, position. The lexemes of a block of requests are few: they prune the scan of postings
-    that are sorted by lexeme, and are joined without moving a posting, so a common word is no hot key. What is grouped are a
-    node's hits for one query.
-    """
-    out = None
-    for block in _blocks(requests.select("query_id", "query", "document_id")):
-        hits = _fulltext_hits(postings, block)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else postings.sparkSession.createDataFrame([], HIT)
-
-
-def _fulltext_hits(postings: DataFrame, block: list[Row]) -> DataFrame:
-    spark = postings.sparkSession
-    asked = spark.createDataFrame([(r.query_id, r.query, r.document_id) for r in block], "query_id long, query string, document_id string")
-    found = fulltext.query_terms(asked).collect()  # the words of at most REQUESTS_AT_ONCE queries
-    terms = spark.createDataFrame(found, "query_id long, only string, term int, lexeme string, n_terms int")
-    lexemes = sorted({r.lexeme for r in found})
-    postings = postings.where(F.col("lexeme").isin(lexemes) if len(lexemes) <= LEXEMES_TO_PRUNE else F.lit(True))
-    hits = postings.join(F.broadcast(terms), "lexeme").where(_wanted(F.col("document_id"), F.col("only")))
-    places = hits.groupBy("query_id", "node_id", "document_id", "node_index", "n_terms").agg(F.count_distinct("term").alias("found"), F.sort_array(F.collect_list(F.struct("position", "term"))).alias("hits"))
-    return places.where("found = n_terms").select("query_id", "node_id", "document_id", "node_index", fulltext.cover_density(F.col("hits"), F.col("n_terms")).alias("score"))
-
-
-def fulltext_top_k(postings: DataFrame, requests: DataFrame, factor: int = 2) -> DataFrame:
-    """The top_k * factor nodes of highest rank for each request."""
-    return _fulltext_top_k(postings, _blocks(requests.select("query_id", "query", "top_k", "document_id")), factor)
-
-
-def _fulltext_top_k(postings: DataFrame, blocks: list[list[Row]], factor: int) -> DataFrame:
-    spark, out = postings.sparkSession, None
-    for block in blocks:
-        wanted = spark.createDataFrame([(r.query_id, r.top_k * factor) for r in block], "query_id long, wanted int")
-        top = ranked(_fulltext_hits(postings, block), F.broadcast(wanted), max(r.top_k for r in block) * factor)
-        out = top if out is None else out.unionByName(top)
-    return out if out is not None else spark.createDataFrame([], f"{HIT}, rank int")
-
-
-def fuse(vector: DataFrame, text: DataFrame, requests: DataFrame, k: int = SETTINGS.rrf_k) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists: score is the sum of 1 / (k + rank), ties to the vector list's order, then the text list's.
-
-    A node in both lists keeps the vector list's columns. rank counts from 1, and the request's top_k of each stay.
+    rank counts from 1, and the request's top_k of each stay. Requests whose search_type is vector, if they have one, keep the first list and its scores.
     """
     keys = ["query_id", "node_id"]
-    v = vector.select(*keys, "document_id", "node_index", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("text_rank"))
-    t = text.select(*keys, "document_id", "node_index", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("text_rank"))
-    both = v.unionByName(t).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("document_id", "node_index", "vector_rank", "text_rank")))
-    part = lambda c: F.coalesce(F.lit(1).cast("double") / (F.lit(k) + F.col(c)), F.lit(0.0))
-    fused = both.withColumn("score", part("vector_rank") + part("text_rank"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_rank").asc_nulls_last(), F.col("text_rank").asc_nulls_last())
-    fused = fused.withColumn("rank", F.row_number().over(best))
-    return fused.join(requests.select("query_id", "top_k"), "query_id").where("rank <= top_k").drop("top_k")
-
-
-def hybrid_top_k(vectors: DataFrame, postings: DataFrame, requests: DataFrame) -> DataFrame:
+    ranks = [f"rank_{i}" for i in range(len(lists))]
+    every = None
+    for i, one in enumerate(lists):
+        own = [(F.col("rank") if j == i else F.lit(None)).cast("int").alias(r) for j, r in enumerate(ranks)]
+        one = one.select(*keys, "document_id", "node_index", *own, (F.col("score") if not i and "score" in one.columns else F.lit(None)).cast("double").alias("first_score"))
+        every = one if every is None else every.unionByName(one)
+    both = every.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("document_id", "node_index", "first_score", *ranks)))
+    parts = [F.coalesce(F.lit(1).cast("double") / (F.lit(k) + F.col(r)), F.lit(0.0)) for r in ranks]
+    score = parts[0]
+    for part in parts[1:]:
+        score = score + part
+    kinds = requests.select("query_id", "top_k", *(["search_type"] if "search_type" in requests.columns else []))
+    both = both.join(kinds, "query_id")
+    if "search_type" in kinds.columns:
+        plain = F.col("search_type") == "vector"
+        both = both.where(~plain | F.col("rank_0").isNotNull())
+        score = F.when(plain, F.coalesce("first_score", F.lit(float("nan")))).otherwise(score)
+        order = [F.when(~plain, score).desc_nulls_last()]
+    else:
+        order = [score.desc()]
+    best = Window.partitionBy("query_id").orderBy(*order, *(F.col(r).asc_nulls_last() for r in ranks))
+    fused = both.withColumn("rank", F.row_number().over(best)).where("rank <= top_k").withColumn("score", score)
+    return fused.select(*keys, "document_id", "node_index", *ranks, "score", "rank")
+
+
+def hybrid_top_k(vectors: DataFrame, blocks: DataFrame, requests: DataFrame) -> DataFrame:
     """Fusion of twice top_k hits of either search; without lexemes in the query the vector order remains, with fused scores."""
-    return fuse(vector_top_k(vectors, requests, 2), fulltext_top_k(postings, requests, 2), requests)
+    return fuse([vector_top_k(vectors, requests, 2), fulltext_top_k(blocks, requests, 2)], requests.drop("search_type"))
 
 
-def retrieve(vectors: DataFrame, postings: DataFrame, requests: DataFrame) -> DataFrame:
+def retrieve(vectors: DataFrame, blocks: DataFrame, requests: DataFrame) -> DataFrame:
     """Hits of every request by its search_type: query_id, node_id, document_id, node_index, score, rank.
 
     Both kinds share one pass over the vectors, with twice top_k hits; the requests of kind 'vector' take the first half of theirs.
     """
-    columns = ["query_id", "node_id", "document_id", "node_index", "score", "rank"]
-    blocks = _blocks(requests.select("query_id", "query", "vector", "top_k", "document_id", "search_type"))
-    spark = vectors.sparkSession
-    out = spark.createDataFrame([], f"{HIT}, rank int")
-    for block in blocks:
-        kinds = spark.createDataFrame([(r.query_id, r.top_k, r.search_type) for r in block], "query_id long, top_k int, search_type string")
-        by_vector = _vector_top_k(vectors, [block], 2)
-        mixed = [r for r in block if r.search_type == "hybrid"]
-        if len(mixed) < len(block):
-            own = by_vector.join(F.broadcast(kinds.where("search_type = 'vector'")), "query_id").where("rank <= top_k")
-            out = out.unionByName(own.select(*columns))
-        if mixed:
-            own = by_vector.join(F.broadcast(kinds.where("search_type = 'hybrid'").select("query_id")), "query_id") if len(mixed) < len(block) else by_vector
-            out = out.unionByName(fuse(own, _fulltext_top_k(postings, [mixed], 2), F.broadcast(kinds)).select(*columns))
-    return out
+    by_vector = vector_top_k(vectors, requests, 2)
+    by_text = fulltext_top_k(blocks, requests.where("search_type = 'hybrid'"), 2)
+    return fuse([by_vector, by_text], requests).select("query_id", "node_id", "document_id", "node_index", "score", "rank")
 
 
 def hits(found: DataFrame, nodes: DataFrame) -> DataFrame:

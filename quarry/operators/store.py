@@ -1,36 +1,66 @@
-"""A document store on plain tables: batches become visible when their manifest is written, and deletes are batches too."""
+"""A document store on plain tables: a numbered log says which batches count, so writers are ordered and readers see whole batches."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import fulltext
-from quarry.operators import search
+from quarry.operators import grid, search, segments
+from quarry.operators.log import Log
 from quarry.schema import DOCUMENTS, NODES
 
 #: Rows of a file at most; what a bulk insert flushes at once.
 RECORDS_PER_FILE = 1_000_000
-TABLES = ("documents", "nodes", "vectors", "postings")
-MANIFEST = "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long, committed_at timestamp"
+TABLES = ("documents", "nodes", "vectors", "segments", "blocks")
+MANIFEST = "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long, version long"
+#: Seconds after which files that no entry of the log names are taken for the remains of a failed attempt.
+LEFT_FOR = 24 * 3600
 
 
 class DocumentNotFound(KeyError):
     status_code = 404
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What counts after an entry of the log: attempts that hold rows and attempts that delete, each with the version from which it does."""
+
+    version: int
+    adds: dict[str, int]
+    deletes: dict[str, int]
+
+    @classmethod
+    def of(cls, entries: dict[int, dict]) -> Snapshot:
+        adds: dict[str, int] = {}
+        deletes: dict[str, int] = {}
+        for number, e in entries.items():
+            if e["kind"] == "add":
+                adds[e["attempt_id"]] = number
+            elif e["kind"] == "delete":
+                deletes[e["attempt_id"]] = number
+            elif e["kind"] == "compact":  # its rows are as of the entry that it read up to; what was deleted since still hides them
+                for old in e["replaces"]:
+                    adds.pop(old, None)
+                    deletes.pop(old, None)
+                adds[e["attempt_id"]] = e["as_of"]
+        return cls(max(entries, default=0), adds, deletes)
+
+
 class Store:
-    """Tables under one path, partitioned by the attempt that wrote them. Readers take the attempts that the manifest names, so a failed ingest leaves
+    """Tables under one path, partitioned by the attempt that wrote them. Readers take the attempts that the log names, so a failed ingest leaves
     nothing visible, and a batch that is tried again writes under a new attempt and never beside its own remains.
 
-    This is weaker than a database transaction: two writers that delete and add the same document at once are not ordered. Two attempts of
-    one batch that both end count once: the manifest's first row of a batch holds.
+    The log's numbers order all writers: a delete hides what was added before it and not what is added after. Of two attempts of one batch the first
+    in the log holds, and the second one puts nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = Log(spark, f"{self.path}/log")
 
     def _exists(self, name: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -39,43 +69,53 @@ class Store:
     def _append(self, df: DataFrame, name: str, attempt: str) -> None:
         df.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy("attempt_id").option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(f"{self.path}/{name}")
 
-    def _commit(self, batch: str, attempt: str, kind: str, documents: int, nodes: int) -> None:
-        row = self.spark.createDataFrame([(batch, attempt, kind, documents, nodes)], "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long")
-        row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+    def _written(self, name: str, attempt: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("attempt_id") == attempt).drop("attempt_id")
+
+    def _commit(self, batch: str, attempt: str, kind: str, documents: int, nodes: int) -> int | None:
+        """The entry's number; None if the batch is there already."""
+        entry = {"batch_id": batch, "attempt_id": attempt, "kind": kind, "n_documents": documents, "n_nodes": nodes}
+        return self.log.append(lambda entries: None if any(e["batch_id"] == batch for e in entries.values()) else entry)
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot.of(self.log.entries())
 
     def manifest(self) -> DataFrame:
-        """A row for each committed batch: the first that was written for it."""
-        if not self._exists("manifest"):
-            return self.spark.createDataFrame([], MANIFEST)
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-        names = [c.split()[0] for c in MANIFEST.split(", ")]
-        first = F.min(F.struct("committed_at", "attempt_id", *(c for c in names if c not in ("committed_at", "attempt_id", "batch_id")))).alias("m")
-        return rows.groupBy("batch_id").agg(first).select(*(F.col(c if c == "batch_id" else f"m.{c}") for c in names))
+        """A row for each entry of the log."""
+        rows = [(e["batch_id"], e["attempt_id"], e["kind"], e["n_documents"], e["n_nodes"], number) for number, e in self.log.entries().items()]
+        return self.spark.createDataFrame(rows, MANIFEST)
 
     def publish(self, documents: DataFrame, nodes: DataFrame, batch_id: str | None = None) -> int:
-        """Writes documents and nodes (with embeddings), their unit vectors and postings, then the manifest row. Gives the number of nodes.
+        """Writes documents and nodes (with embeddings), their packed unit vectors and posting blocks, then the log's entry. Gives the number of nodes.
 
-        Nodes and vectors are clustered by document, postings by lexeme, so lookups skip most row groups. A batch_id that is committed already
+        Nodes and vectors are clustered by document, posting blocks by lexeme, so lookups skip most row groups. A batch_id that is committed already
         is left as it is, so a repeated call does nothing.
         """
         batch, attempt = batch_id or uuid.uuid4().hex, uuid.uuid4().hex
-        if batch_id and self.manifest().where(F.col("batch_id") == batch).count():
+        if batch_id and any(e["batch_id"] == batch for e in self.log.entries().values()):
             return 0
-        own = NODES.split(", ")
-        nodes = nodes.select(*(c.split()[0] for c in own if c.split()[0] in nodes.columns), *(c for c in nodes.columns if c not in {x.split()[0] for x in own}))
+        own = {c.split()[0] for c in NODES.split(", ")}
+        nodes = nodes.select(*(c for c in nodes.columns if c in own), *(c for c in nodes.columns if c not in own))
         self._append(nodes.repartition("document_id").sortWithinPartitions("document_id", "node_index"), "nodes", attempt)
-        written = self.spark.read.parquet(f"{self.path}/nodes").where(F.col("attempt_id") == attempt).drop("attempt_id")
-        counts = written.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        counts = self._written("nodes", attempt).groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         whole = documents.drop("chunk_count").join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         if "created_at" not in whole.columns:
             whole = whole.withColumn("created_at", F.current_timestamp())
         kinds = dict(c.split() for c in DOCUMENTS.split(", "))
         known = [(F.col(c) if c in whole.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
         self._append(whole.select(*known, *(c for c in whole.columns if c not in kinds)), "documents", attempt)
-        self._append(search.normalised(written), "vectors", attempt)
-        self._append(fulltext.postings(written, ["node_id", "document_id", "node_index"]).repartitionByRange("lexeme", "node_id").sortWithinPartitions("lexeme", "document_id", "node_index"), "postings", attempt)
+        n = self._index(attempt)
+        committed = self._commit(batch, attempt, "add", self._written("documents", attempt).count(), n)
+        return n if committed else 0
+
+    def _index(self, attempt: str) -> int:
+        """Vectors, segments and posting blocks of the nodes that an attempt has written; gives their number."""
+        written = self._written("nodes", attempt)
         n = written.count()
-        self._commit(batch, attempt, "add", documents.count(), n)
+        self._append(grid.packed(search.normalised(written)), "vectors", attempt)
+        rows = segments.numbered(written, attempt, n)
+        self._append(segments.segments(rows), "segments", attempt)
+        self._append(segments.blocks(rows).repartitionByRange("lexeme", "segment").sortWithinPartitions("lexeme", "segment"), "blocks", attempt)
         return n
 
     def delete(self, document_ids: list[str] | DataFrame) -> None:
@@ -84,21 +124,49 @@ class Store:
         missing = gone.join(self.table("documents"), "document_id", "left_anti").limit(1).collect()
         if missing:
             raise DocumentNotFound(missing[0].document_id)
-        batch = uuid.uuid4().hex
-        self._append(gone.distinct(), "deleted", batch)
-        self._commit(batch, batch, "delete", gone.count(), 0)
-
-    def table(self, name: str, hide_deleted_at: bool = False) -> DataFrame:
-        """Committed rows whose document has not been deleted by a later batch. hide_deleted_at also leaves out softly deleted documents."""
-        known = self.manifest().select("attempt_id", "kind", "committed_at")
-        rows = self.spark.read.parquet(f"{self.path}/{name}").join(known.where("kind = 'add'").drop("kind"), "attempt_id")
-        if self._exists("deleted"):
-            gone = self.spark.read.parquet(f"{self.path}/deleted").join(known.where("kind = 'delete'").select("attempt_id", F.col("committed_at").alias("gone_at")), "attempt_id")
-            gone = gone.groupBy("document_id").agg(F.max("gone_at").alias("gone_at"))
-            rows = rows.join(gone, "document_id", "left").where("gone_at is null or gone_at < committed_at").drop("gone_at")
-        rows = rows.drop("attempt_id", "committed_at")
+        attempt = uuid.uuid4().hex
+        self._append(gone.distinct(), "deleted", attempt)
+        self._commit(attempt, attempt, "delete", self._written("deleted", attempt).count(), 0)
+
+    def _rows(self, name: str, now: Snapshot) -> DataFrame:
+        """All rows of a table's attempts; the names of the attempts prune its files."""
+        rows = self.spark.read.parquet(f"{self.path}/{name}")
+        return rows.where(F.col("attempt_id").isin(list(now.adds)))
+
+    def _since(self, attempts: dict[str, int]) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(list(attempts.items()), "attempt_id string, since long"))  # a row for each attempt of the log
+
+    def _gone(self, now: Snapshot) -> DataFrame | None:
+        """document_id, gone: the last version at which each document was deleted."""
+        if not now.deletes:
+            return None
+        deleted = self.spark.read.parquet(f"{self.path}/deleted").where(F.col("attempt_id").isin(list(now.deletes))).join(self._since(now.deletes), "attempt_id")
+        return deleted.groupBy("document_id").agg(F.max("since").alias("gone"))
+
+    def table(self, name: str, hide_deleted_at: bool = False, now: Snapshot | None = None) -> DataFrame:
+        """Rows of documents or nodes whose document has not been deleted by a later batch. hide_deleted_at also leaves out softly deleted documents."""
+        if name in ("vectors", "blocks", "segments"):
+            return self._with_gone(name, now or self.snapshot())
+        now = now or self.snapshot()
+        rows, gone = self._rows(name, now), self._gone(now)
+        if gone is not None:
+            rows = rows.join(self._since(now.adds), "attempt_id").join(gone, "document_id", "left").where("gone is null or gone < since").drop("gone", "since")
+        rows = rows.drop("attempt_id")
         return rows.where("deleted_at is null") if hide_deleted_at and "deleted_at" in rows.columns else rows
 
+    def _with_gone(self, name: str, now: Snapshot) -> DataFrame:
+        """Rows that hold many documents each, with `gone`: those of their documents that have been deleted."""
+        rows, gone = self._rows(name, now), self._gone(now)
+        if gone is None:
+            return rows.drop("attempt_id").withColumn("gone", F.lit(None).cast("array<string>"))
+        key = F.get("node_ids", F.lit(0)) if name == "vectors" else F.col("segment")
+        rows = rows.withColumn("of_key", key)
+        held = rows if name == "vectors" else self._rows("segments", now).withColumn("of_key", F.col("segment"))
+        held = held.select("attempt_id", "of_key", F.explode(F.array_distinct("document_ids")).alias("document_id"))
+        dead = held.join(gone, "document_id").join(self._since(now.adds), "attempt_id").where("gone > since")
+        lists = dead.groupBy("attempt_id", "of_key").agg(F.collect_set("document_id").alias("gone"))
+        return rows.join(lists, ["attempt_id", "of_key"], "left").drop("attempt_id", "of_key")
+
     def documents(self) -> DataFrame:
         return self.table("documents").orderBy(F.col("created_at").desc(), "document_id")
 
@@ -109,12 +177,48 @@ class Store:
         return self.table("nodes").where(F.col("document_id") == document_id).orderBy("node_index")
 
     def vectors(self) -> DataFrame:
-        """Unit vectors of the nodes, as vector search takes them."""
+        """Packs of the nodes' unit vectors, as vector search takes them."""
         return self.table("vectors")
 
     def postings(self) -> DataFrame:
-        """Postings of the nodes, sorted by lexeme, as full-text search takes them."""
-        return self.table("postings")
+        """Posting blocks of the nodes, sorted by lexeme, as full-text search takes them."""
+        return self.table("blocks")
+
+    def compact(self) -> int | None:
+        """Writes all rows that count now as one attempt, without what has been deleted, and puts it in place of the attempts it read. Gives the entry's
+        number; None if there was nothing to do. Batches that others add or delete meanwhile stay as they are."""
+        now = self.snapshot()
+        if len(now.adds) + len(now.deletes) < 2:
+            return None
+        attempt = uuid.uuid4().hex
+        self._append(self.table("nodes", now=now).repartition("document_id").sortWithinPartitions("document_id", "node_index"), "nodes", attempt)
+        self._append(self.table("documents", now=now).coalesce(max(1, self.spark.sparkContext.defaultParallelism)), "documents", attempt)
+        n = self._index(attempt)
+        replaces = [*now.adds, *now.deletes]
+        entry = {"batch_id": attempt, "attempt_id": attempt, "kind": "compact", "as_of": now.version, "replaces": replaces, "n_documents": self._written("documents", attempt).count(), "n_nodes": n}
+
+        def unless_done(entries: dict[int, dict]) -> dict | None:
+            """Another compaction may have replaced the same attempts."""
+            held = Snapshot.of(entries)
+            return entry if set(now.adds) <= set(held.adds) and set(now.deletes) <= set(held.deletes) else None
+
+        return self.log.append(unless_done)
+
+    def clean(self, left_for: float = LEFT_FOR) -> int:
+        """Removes the files of attempts that count no more, once nothing has been written to them for `left_for` seconds: those that a compaction replaced,
+        and the remains of failed ones. Longer than any write or read takes, it takes nothing from anyone. Gives the number of folders removed."""
+        now, removed = self.snapshot(), 0
+        used = {*now.adds, *now.deletes}
+        for name in (*TABLES, "deleted"):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in files.listStatus(folder) if files.exists(folder) else []:
+                attempt = status.getPath().getName().removeprefix("attempt_id=")
+                newest = max([status.getModificationTime(), *(f.getModificationTime() for f in files.listStatus(status.getPath()))]) if status.isDirectory() else 0
+                if status.isDirectory() and attempt != status.getPath().getName() and attempt not in used and newest <= (time.time() - left_for) * 1000:
+                    files.delete(status.getPath(), True)
+                    removed += 1
+        return removed
 
     def health(self) -> DataFrame:
         """probe, healthy for the engine, each table, and what a probe finds wrong makes unhealthy."""
@@ -137,7 +241,6 @@ def delete_cascade(documents: DataFrame, nodes: DataFrame, gone: DataFrame) -> t
     return documents.join(gone, "document_id", "left_anti"), nodes.join(gone, "document_id", "left_anti")
 
 
-def envelope(data, message: str = "OK", success: bool = True):
+def envelope(data: Column, message: str = "OK", success: bool = True) -> Column:
     """A struct column as responses are wrapped."""
     return F.struct(F.lit(success).alias("success"), F.lit(message).alias("message"), data.alias("data"), F.lit("now").alias("timestamp"))
-

@@ -15,6 +15,7 @@ from quarry.operators.store import Store
 from quarry.plans import retrieval
 
 _STORES: dict[tuple, Store] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 _OWN: list[str] = []
 
 
@@ -62,6 +63,17 @@ def line_store(spark: SparkSession, path: str, embed: Callable[[Column], Column]
     return _STORES[key]
 
 
+def table(spark: SparkSession, name: str, path: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(table at path), written at the first call of a session and read from there as long as the table at path stays as it is."""
+    key = spark.sparkContext.applicationId, name, path, _version(spark, path)
+    if key not in _TABLES:
+        own = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, own)
+        make(spark.read.parquet(path)).write.parquet(own)
+        _TABLES[key] = spark.read.parquet(own)
+    return _TABLES[key]
+
+
 def search_tables(store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, vectors and postings of a store, as `retrieval.contexts` takes them."""
+    """Nodes, packs of vectors and posting blocks of a store, as `retrieval.contexts` takes them."""
     return store.table("nodes"), store.vectors(), store.postings()

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import embedding, fulltext
+from quarry.functions import embedding
 from quarry.functions import text as T
-from quarry.operators import context, layout, search
+from quarry.operators import context, grid, layout, search, segments
 from quarry.operators.store import Store
 from quarry.plans import generation
 from quarry.schema import SETTINGS
@@ -88,7 +88,7 @@ def chat(nodes: DataFrame, vectors: DataFrame, postings: DataFrame, requests: Da
     return generation.answer(generation.build_prompts(requests, contexts(nodes, vectors, postings, requests)), make)
 
 
-def prepared(nodes: DataFrame, embed: Callable[[Column], Column] = embedding.mock_embedding) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors and postings of nodes. Written, they serve any number of queries."""
+def prepared(nodes: DataFrame, embed: Callable[[Column], Column] = embedding.mock_embedding, name: str = "nodes") -> tuple[DataFrame, DataFrame]:
+    """Packs of unit vectors and posting blocks of nodes. Written, they serve any number of queries."""
     vectors = search.normalised(nodes if "embedding" in nodes.columns else embedding.embed_nodes(nodes, embed))
-    return vectors, fulltext.postings(nodes, ["node_id", "document_id", "node_index"])
+    return grid.packed(vectors), segments.blocks(segments.numbered(nodes, name, nodes.count()))

@@ -15,6 +15,11 @@ def made(spark, *ids):
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("f.pdf").alias("filename")), nodes
 
 
+def hits(store) -> int:
+    """Number of words in the store's posting blocks."""
+    return sum(len(r.gaps) for r in store.postings().collect())
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert not all(r.healthy for r in store.health().collect())
@@ -26,7 +31,7 @@ def test_store(spark, tmp_path):
     store._append(made(spark, 9)[1], "nodes", "never-committed")
     assert store.table("nodes").count() == 6 and all(r.healthy for r in store.health().collect())
     store.delete(["2"])
-    assert {r.document_id for r in store.table("nodes").collect()} == {"1", "3"} == {r.document_id for r in store.table("postings").collect()}
+    assert {r.document_id for r in store.table("nodes").collect()} == {"1", "3"} == {d for r in store.table("blocks").collect() for d in set(r.document_ids) - set(r.gone or ())}
     with pytest.raises(DocumentNotFound):
         store.delete(["77"])
     assert missing_columns({"nodes": store.table("nodes")}, {"nodes": ["node_id", "zz"], "other": ["a"]}) == {"nodes": ["zz"], "other": ["a"]}
@@ -47,10 +52,10 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, "e f"), (3, "g")], "doc_id long, text string").coalesce(1).write.parquet(other)
     stream = ingest.stream_documents(spark, other, "doc_id long, text string")
     ingest.publish_stream(stream, store, as_docs, as_nodes, str(tmp_path / "c2")).awaitTermination(120)
-    assert {r.document_id: r.chunk_count for r in store.documents().collect()} == {"1": 2, "2": 1, "3": 1} and store.table("postings").count() == 7
+    assert {r.document_id: r.chunk_count for r in store.documents().collect()} == {"1": 2, "2": 1, "3": 1} and hits(store) == 7
 
 
-@pytest.mark.parametrize("fails", ["documents", "nodes", "vectors", "postings", "manifest"])
+@pytest.mark.parametrize("fails", ["documents", "nodes", "vectors", "segments", "blocks", "manifest"])
 def test_retry_after_a_failure_counts_once(spark, tmp_path, monkeypatch, fails):
     store = Store(spark, str(tmp_path / "s"))
     append, commit, failures = store._append, store._commit, [fails]
@@ -63,7 +68,7 @@ def test_retry_after_a_failure_counts_once(spark, tmp_path, monkeypatch, fails):
     def uncommitted(*args):
         if failures:
             raise OSError(failures.pop())
-        commit(*args)
+        return commit(*args)
 
     monkeypatch.setattr(store, "_append", broken)
     monkeypatch.setattr(store, "_commit", uncommitted)
@@ -71,4 +76,5 @@ def test_retry_after_a_failure_counts_once(spark, tmp_path, monkeypatch, fails):
         store.publish(*made(spark, 1), batch_id="b")
     assert store.manifest().count() == 0
     assert store.publish(*made(spark, 1), batch_id="b") == 2 and store.publish(*made(spark, 1), batch_id="b") == 0
-    assert [store.table(t).count() for t in ("documents", "nodes", "vectors", "postings")] == [1, 2, 2, 7]
+    assert [store.table(t).count() for t in ("documents", "nodes", "segments")] == [1, 2, 1] and hits(store) == 7
+    assert store.vectors().select(F.explode("node_ids")).count() == 2
