@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import embedding
 from quarry.functions import text as T
-from quarry.operators import context, grid, layout, search, segments, store
+from quarry.operators import cells, context, evaluation, grid, layout, rerank, search, segments, store
+from quarry.operators.cache import VectorCache
 from quarry.plans import generation, prepared, retrieval
 from quarry.schema import REQUESTS
 from quarry.sources import pdf
@@ -238,6 +239,17 @@ def mock_embedding_head(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.posexplode(v).alias("place", "x")).select("item_id", "place", F.round("x", 6).alias("value"))
 
 
+@query(f"""WITH h AS (SELECT conv_id, turn, text, sha256(text) AS h FROM conversations), raw AS (SELECT conv_id, turn, text, i, (({_BYTE} + 17 * i) % 256)::DOUBLE / 255.0::DOUBLE - 0.5::DOUBLE AS x FROM h, range(0, 32) r(i))
+SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN NULL ELSE round(min(CASE WHEN i = 0 THEN x END) / sqrt(sum(x * x)), 5) END AS head FROM raw GROUP BY conv_id, turn, text""")
+def cached_embeddings(spark, sf):
+    """Every turn's vector, in two batches by a cache: texts of the second that the first had are not embedded again."""
+    turns = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("node_id"), "conv_id", "turn", F.col("text").alias("content"))
+    cache = VectorCache(spark, prepared.own_folder(spark, "vectors"), "offline-32")
+    offline = lambda c: embedding.mock_embedding(c, 32)
+    halves = [cache.embed(turns.where(F.col("turn") % 2 == i), offline) for i in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("conv_id", "turn", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("head"))
+
+
 # ---- vector search
 
 def embedding_nodes(spark, sf) -> DataFrame:
@@ -282,6 +294,25 @@ def vector_topk_batch(spark, sf):
     return _vector(spark, sf, "vec_id % 50 = 0")
 
 
+def _index(spark, sf) -> cells.Index:
+    return prepared.vector_index(spark, f"{sf}/embeddings.parquet", lambda _: search.normalised(embedding_nodes(spark, sf)))
+
+
+@query()
+def vector_topk_index(spark, sf):
+    """Every row whose id is divisible by 50 against all rows, by the inverted lists."""
+    top = _index(spark, sf).top_k(embedding_requests(spark, sf, "vec_id % 50 = 0"))
+    return top.select("query_id", F.col("node_index").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS n_queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS n_hits, true AS nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf):
+    """Of the exact hits of those requests, whether the inverted lists find nine tenths at least."""
+    requests = embedding_requests(spark, sf, "vec_id % 50 = 0")
+    told = cells.recall(_index(spark, sf).top_k(requests), search.vector_top_k(embedding_packs(spark, sf), requests))
+    return told.select("n_queries", "n_hits", (F.col("recall") >= 0.9).alias("nine_tenths"))
+
+
 # ---- full text
 
 def document_postings(spark, sf) -> DataFrame:
@@ -422,6 +453,100 @@ def vector_search(spark, sf):
     return search.hits(search.retrieve(vectors, postings, requests), nodes).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "content")
 
 
+def _bm25_sql(top_k: int) -> str:
+    """SQL of by_words(query_id, node_id, document_id, node_index, score, b): BM25 over the lines for the queries of ask."""
+    return f"""asked_words AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'))) AS t FROM ask),
+line_words AS (SELECT node_id, document_id, node_index, {TOKENS} AS l FROM lines), numbers AS (SELECT count(*)::DOUBLE AS n, sum(len(l)) / count(*)::DOUBLE AS mean FROM line_words),
+times AS (SELECT node_id, document_id, node_index, len(l) AS length, t, count(*) AS tf FROM line_words, unnest(l) AS u(t) WHERE t IN (SELECT t FROM asked_words) GROUP BY ALL),
+weights AS (SELECT t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS w, mean FROM (SELECT t, count(*) AS df FROM times GROUP BY t), numbers),
+by_words AS (SELECT query_id, node_id, document_id, node_index, sum(w * tf * {segments.K1 + 1}::DOUBLE / (tf + {segments.K1}::DOUBLE * (1 - {segments.B}::DOUBLE + {segments.B}::DOUBLE * length / mean))) AS score,
+ row_number() OVER (PARTITION BY query_id ORDER BY sum(w * tf * {segments.K1 + 1}::DOUBLE / (tf + {segments.K1}::DOUBLE * (1 - {segments.B}::DOUBLE + {segments.B}::DOUBLE * length / mean))) DESC, document_id, node_index) AS b
+ FROM times JOIN weights USING (t) JOIN asked_words USING (t) GROUP BY query_id, node_id, document_id, node_index QUALIFY b <= {top_k})"""
+
+
+@query(f"""WITH {LINES}, ask(query_id, query) AS (VALUES (0, 'licensed under'), (1, 'the and'), (2, 'unheardof')), {_bm25_sql(10)} SELECT query_id, node_id, CAST(b AS INTEGER) AS rank, round(score, 6) AS score FROM by_words""")
+def bm25_topk(spark, sf):
+    own = prepared.line_store(spark, f"{sf}/documents.parquet")
+    top = segments.bm25_top_k(own.postings(), own.table("segments"), asked(spark, "licensed under", "the and", "unheardof", top_k=10))
+    return top.select("query_id", "node_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"""{_hybrid_sql("licensed under", "the and")}, {_bm25_sql(10)},
+three AS (SELECT query_id, node_id, v, t, b, coalesce(1::DOUBLE / (60 + v), 0) + coalesce(1::DOUBLE / (60 + t), 0) + coalesce(1::DOUBLE / (60 + b), 0) AS s
+ FROM near FULL JOIN said USING (query_id, node_id) FULL JOIN (SELECT query_id, node_id, b FROM by_words) USING (query_id, node_id))
+SELECT query_id, node_id, round(s, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v NULLS LAST, t NULLS LAST, b) AS INTEGER) AS rank FROM three QUALIFY rank <= 5""")
+def three_way_search(spark, sf):
+    """Vector, cover density and BM25, fused."""
+    own = prepared.line_store(spark, f"{sf}/documents.parquet")
+    _, vectors, blocks, requests = _hybrid(spark, sf, "licensed under", "the and")
+    top = search.three_way_top_k(vectors, blocks, own.table("segments"), requests)
+    return top.select("query_id", "node_id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query()
+def fulltext_segments_opened(spark, sf):
+    """How many segments have all words of a query, and how many of them were opened for its ten best hits."""
+    blocks = prepared.line_store(spark, f"{sf}/documents.parquet").postings()
+    return segments.plan(blocks, asked(spark, "licensed under", "the and", "que de la", "the"), 2)[1]
+
+
+def shared_words():
+    """A scorer that needs no model: the share of a text's different words that the query has."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{N}]+")
+
+    def score(queries: list[str], texts: list[str]) -> list[float]:
+        pairs = ((set(word.findall(q.lower())), set(word.findall(t.lower()))) for q, t in zip(queries, texts, strict=True))
+        return [len(q & t) / len(t) if t else 0.0 for q, t in pairs]
+
+    return score
+
+
+_SHARED = r"(SELECT CASE WHEN len(t) > 0 THEN len(list_intersect(q, t)) / len(t)::DOUBLE ELSE 0 END FROM (SELECT list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS q, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS t))"
+
+
+@query(f"""{_hybrid_sql("licensed under", "the and", top_k=20)}, again AS (SELECT query_id, node_id, rank, {_SHARED} AS s FROM hits JOIN ask USING (query_id))
+SELECT query_id, node_id AS chunk_id, round(s, 9) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM again QUALIFY rank <= 5""".replace("QUALIFY rank <= 5", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, again.rank) <= 5"))
+def reranked_search(spark, sf):
+    """Twenty hits of each request, scored again; the best five."""
+    nodes, vectors, blocks, requests = _hybrid(spark, sf, "licensed under", "the and", top_k=20)
+    found = search.hits(search.retrieve(vectors, blocks, requests), nodes)
+    best = rerank.rerank(found, requests.withColumn("top_k", F.lit(5)), shared_words)
+    return best.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.col("rank").cast("int").alias("rank"))
+
+
+_DRAWN = "('0x' || substr(md5(query_id || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _times_sql() -> str:
+    """SQL of `evaluation.times_drawn`."""
+    upto, part, cases = 0.0, 0.36787944117144233, []
+    for n in range(8):
+        upto += part
+        cases.append(f"WHEN {_DRAWN} < {upto!r}::DOUBLE THEN {n}")
+        part /= n + 1
+    return f"CASE {' '.join(cases)} ELSE 8 END"
+
+
+@query(f"""WITH hits AS ({_vector_sql("q.vec_id % 50 = 0")}), asked AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 50 = 0),
+due AS (SELECT query_id, count(*) AS n FROM asked JOIN embeddings USING (label) GROUP BY query_id),
+met AS (SELECT h.query_id, h.rank, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS good FROM hits h JOIN asked a USING (query_id) JOIN embeddings e ON e.vec_id = h.vec_id AND e.label = a.label),
+own AS (SELECT query_id, count(*) AS found, sum(1 / log2(1.0::DOUBLE + rank)) AS gain, avg(good / rank::DOUBLE) AS cp FROM met GROUP BY query_id),
+scores AS (SELECT query_id, coalesce(found / n::DOUBLE, 0) AS recall, coalesce(gain / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(1.0::DOUBLE + i))), 0) AS ndcg, coalesce(cp, 0) AS context_precision FROM due LEFT JOIN own USING (query_id)),
+tall AS (SELECT query_id, 'recall' AS metric, recall AS value FROM scores UNION ALL SELECT query_id, 'ndcg', ndcg FROM scores UNION ALL SELECT query_id, 'context_precision', context_precision FROM scores),
+means AS (SELECT metric, count(*) AS n_queries, avg(value) AS mean FROM tall GROUP BY metric),
+drawn AS (SELECT metric, r, sum(value * times) / sum(times) AS value FROM (SELECT metric, r, value, {_times_sql()} AS times FROM tall, range(1, {evaluation.RESAMPLES} + 1) AS x(r)) GROUP BY metric, r)
+SELECT metric, n_queries, round(any_value(mean), 6) AS mean, round(quantile_cont(value, {(1 - evaluation.SHARE) / 2}), 6) AS low, round(quantile_cont(value, {1 - (1 - evaluation.SHARE) / 2}), 6) AS high FROM means JOIN (SELECT * FROM drawn WHERE NOT isnan(value)) USING (metric) GROUP BY metric, n_queries""")
+def retrieval_metrics(spark, sf):
+    """Vectors of the query's own label are relevant; requests are all rows whose id is divisible by 50."""
+    one = read(spark, sf, "embeddings").select("vec_id", "label")
+    relevant = one.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(one, "label").select("query_id", F.col("vec_id").alias("item"), F.lit(1.0).alias("grade"))
+    hits = vector_topk_batch(spark, sf).select("query_id", F.col("vec_id").alias("item"), "rank")
+    told = evaluation.summary(evaluation.per_request(hits, relevant, 5))
+    return told.select("metric", "n_queries", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
 def every_seed(spark, sf) -> DataFrame:
     """Seeds a quarter and half way down and at the end of every document; each ten documents that follow one another are a request."""
     n = F.col("last") + 1

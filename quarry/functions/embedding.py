@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -70,9 +70,19 @@ class QuotaExceeded(RuntimeError):
         self.headers = {"Retry-After": seconds}
 
 
-#: What providers say when they are asked too often, and how they word a wish to wait.
-OFTEN = re.compile(r"resource_exhausted|429.*(?:quota|rate limit)|(?:quota|rate limit).*429", re.IGNORECASE | re.DOTALL)
-WISH = re.compile(r"(?:retry\s+in\s+|retryDelay['\"]?\s*:\s*['\"])([0-9]+(?:\.[0-9]+)?)s", re.IGNORECASE)
+#: How providers word a wish to wait.
+WISHES = (
+    r"retry\s+in\s+([0-9]+(?:\.[0-9]+)?)s",
+    r"retryDelay['\"]?\s*:\s*['\"]([0-9]+(?:\.[0-9]+)?)s",
+)
+#: What providers say when they are asked too often: one word alone, or the code with one of two others.
+EXHAUSTED, CODE, LIMITS = "resource_exhausted", "429", ("quota", "rate limit")
+
+
+def _too_often(message: str) -> bool:
+    said = message.lower()
+    return EXHAUSTED in said or (CODE in said and any(w in said for w in LIMITS))
+
 
 
 @dataclass(frozen=True)
@@ -96,12 +106,12 @@ class Refusal:
 
     @property
     def too_often(self) -> bool:
-        return 429 in self.codes or any(map(OFTEN.search, self.messages))
+        return 429 in self.codes or any(map(_too_often, self.messages))
 
     def wait(self, usual: float, most: float) -> float:
         """The longest wait that is asked for, else the usual one; `most` at most."""
         numbers = [str(h) for h in self.headers if re.fullmatch(r"\s*[0-9]+(?:\.[0-9]+)?\s*", str(h))]
-        numbers += [x for m in self.messages for x in WISH.findall(m)]
+        numbers += [x for m in self.messages for wish in WISHES for x in re.findall(wish, m, re.IGNORECASE)]
         return min(most, max(map(float, numbers), default=usual))
 
 
@@ -135,25 +145,17 @@ def embed_texts(texts: list[str], embed: Callable, dimension: int, **how) -> lis
 
 
 def provider_embedding(c: Column, make: Callable[[], Callable], dimension: int = SETTINGS.dimension, **how) -> Column:
-    """Vectors from a provider. make() gives one client for each Python worker's partition; each Arrow batch is one call."""
+    """Vectors from a provider. Each task has a client of its own from make(), for all of its Arrow batches; each batch is one call."""
 
     @F.pandas_udf("array<double>")
-    def run(batches: "pd.Series") -> "pd.Series":  # noqa: UP037
-        return pd.Series(embed_texts(batches.tolist(), _client(make), dimension, **how))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = make()
+        for texts in batches:
+            yield pd.Series(embed_texts(texts.tolist(), client, dimension, **how))
 
     return run(c)
 
 
-_CLIENTS: dict = {}
-
-
-def _client(make):
-    key = getattr(make, "__qualname__", repr(make))
-    if key not in _CLIENTS:
-        _CLIENTS[key] = make()
-    return _CLIENTS[key]
-
-
 def openai_client(api_key: str | None, model: str = "text-embedding-3-small") -> Callable[[], Callable]:
     """For provider_embedding. The key is asked for at once; the package only on the workers."""
     if not api_key:

@@ -20,6 +20,10 @@ class Answer:
     headers: dict[str, str] = field(default_factory=dict)
 
 
+#: Messages that tell nothing of a cause.
+INVALID, UNEXPECTED = "Request validation failed.", "An unexpected server error occurred."
+
+
 def answer_of(error: BaseException) -> Answer:
     """Errors with a status code keep it, with their message and headers; a wrong value is 422; anything else is 500 and tells nothing of its cause."""
     code = getattr(error, "status_code", None)
@@ -27,5 +31,5 @@ def answer_of(error: BaseException) -> Answer:
         text = error.args[0] if error.args and isinstance(error.args[0], str) else str(error)
         return Answer(code, text, dict(getattr(error, "headers", None) or {}))
     if isinstance(error, ValueError):
-        return Answer(422, "Request validation failed.")
-    return Answer(500, "An unexpected server error occurred.")
+        return Answer(422, INVALID)
+    return Answer(500, UNEXPECTED)

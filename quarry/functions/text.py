@@ -1,4 +1,4 @@
-"""Text functions as columns. Only Unicode normalisation and HTML tables need Python, and both get Arrow batches."""
+"""Text functions as columns. Unicode normalisation, HTML tables and overlaps need Python, and all get Arrow batches."""
 
 from __future__ import annotations
 
@@ -128,12 +128,74 @@ def html_rows(c: Column) -> Column:
     return parse(c)
 
 
+#: Places that are tried one by one before the prefix function is worked out.
+TRIED = 64
+
+
+def overlap(left: str, right: str, cap: int = SETTINGS.overlap_cap) -> int:
+    """Length of the longest end of left that right begins with, cap characters at most, in linear time.
+
+    An overlap begins where the first letter of right stands in the end of left; where that is often, the prefix function of right's head,
+    carried on over left's tail, tells the longest one.
+    """
+    most = min(len(left), len(right), cap)
+    if not most:
+        return 0
+    head, tail = right[:most], left[-most:]
+    at = tail.find(head[0])
+    for _ in range(TRIED):
+        if at < 0:
+            return 0
+        if head.startswith(tail[at:]):
+            return most - at
+        at = tail.find(head[0], at + 1)
+    border, k = [0] * most, 0
+    for i in range(1, most):
+        while k and head[i] != head[k]:
+            k = border[k - 1]
+        k += head[i] == head[k]
+        border[i] = k
+    k = 0
+    for c in tail:
+        while k and (k == most or c != head[k]):
+            k = border[k - 1]
+        k += c == head[k]
+    return k
+
+
+def joined(left: str, right: str, cap: int = SETTINGS.overlap_cap) -> str:
+    """left and right joined at their overlap, else with a line end between."""
+    k = overlap(left, right, cap)
+    return left + right[k:] if k else f"{left}\n{right}"
+
+
 def join_overlap(left: Column, right: Column, cap: int = SETTINGS.overlap_cap) -> Column:
-    """left and right joined at their longest common end and beginning (cap characters at most), else with a line end between."""
-    most = F.least(F.length(left), F.length(right), F.lit(cap))
-    lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    k = F.try_element_at(F.filter(lengths, lambda n: F.right(left, n) == F.left(right, n)), F.lit(1))
-    return F.when(k.isNull(), F.concat(left, F.lit("\n"), right)).otherwise(F.concat(left, F.substr(right, k + 1)))
+    """left and right joined at their longest common end and beginning (cap characters at most), else with a line end between; null if one is."""
+
+    @F.pandas_udf("string")
+    def join(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else joined(x, y, cap) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return join(left, right)
+
+
+def fold_overlaps(texts: Column, cap: int = SETTINGS.overlap_cap) -> Column:
+    """The texts of an array joined one after the other, each at its overlap with what is there; only the last `cap` characters of that are looked at."""
+
+    @F.pandas_udf("string")
+    def fold(lists: pd.Series) -> pd.Series:
+        return pd.Series([folded(list(x), cap) for x in lists], dtype=object)
+
+    return fold(texts)
+
+
+def folded(texts: list[str], cap: int = SETTINGS.overlap_cap) -> str:
+    pieces, end = [texts[0]], texts[0][-cap:]
+    for text in texts[1:]:
+        k = overlap(end, text, cap)
+        pieces.append(text[k:] if k else f"\n{text}")
+        end = (end + pieces[-1])[-cap:]
+    return "".join(pieces)
 
 
 def citations(c: Column) -> Column:

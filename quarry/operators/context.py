@@ -41,8 +41,7 @@ def merge(expanded: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(part)).alias("parts"), F.max("score").alias("score"), F.min("retrieval_rank").alias("retrieval_rank"), F.min("document_rank").alias("document_rank"),
         F.min_by("metadata", "chunk_index").alias("metadata"), F.min("chunk_index").alias("chunk_index"),
     )
-    rest = F.slice("parts", 2, 1 << 30)
-    content = F.aggregate(rest, F.element_at("parts", 1)["content"], lambda text, p: T.join_overlap(text, p["content"]))
+    content = T.fold_overlaps(F.transform("parts", lambda p: p["content"]))
     ids = F.transform("parts", lambda p: p["chunk_id"])
     several = F.size("parts") > 1
     order = Window.partitionBy("query_id").orderBy("retrieval_rank", "document_rank", "document_id", "chunk_index")

@@ -7,6 +7,8 @@ holds no request, and the plan is the same for any number of them.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +28,7 @@ ASKED = "width int, asked binary, query_ids array<long>, wanted array<int>, only
 HIT = "query_id long, node_id string, document_id string, node_index int, score double, wanted int"
 
 
-def _packs(lists: list[tuple[str, str, pa.DataType]], matrix: str, by: str | None = None, size: int = PACK):
+def _packs(lists: list[tuple[str, str, pa.DataType]], matrix: str, by: str | None, size: int):
     """A function from Arrow batches with `unit` to packs of rows of one width (and of one value of `by`, an int). lists: column, name in the pack, type."""
 
     def run(batches):
@@ -74,12 +76,12 @@ def packed(vectors: DataFrame, by: str | None = None) -> DataFrame:
     """Packs of node_id, document_id, node_index, unit (and `by`). Rows of one task share packs, so rows that are clustered stay so."""
     lists = [("node_id", "node_ids", pa.string()), ("document_id", "document_ids", pa.string()), ("node_index", "places", pa.int32())]
     rows = vectors.select("node_id", "document_id", F.col("node_index").cast("int").alias("node_index"), F.col("unit").cast("array<double>").alias("unit"), *([by] if by else []))
-    return rows.mapInArrow(_packs(lists, "units", by), VECTORS + (f", {by} int" if by else ""))
+    return rows.mapInArrow(_packs(lists, "units", by, PACK), VECTORS + (f", {by} int" if by else ""))
 
 
-def _asked(requests: DataFrame, by: str | None = None) -> DataFrame:
+def asked_packs(requests: DataFrame, by: str | None = None) -> DataFrame:
     lists = [("query_id", "query_ids", pa.int64()), ("wanted", "wanted", pa.int32()), ("only", "only", pa.string())]
-    return requests.mapInArrow(_packs(lists, "asked", by), ASKED + (f", {by} int" if by else ""))
+    return requests.mapInArrow(_packs(lists, "asked", by, PACK), ASKED + (f", {by} int" if by else ""))
 
 
 class Best:
@@ -118,11 +120,11 @@ class Best:
 
 def _score(batches):
     """Pairs of packs to the best rows of each request. Packs of requests that come again find their best so far, of eight packs at most."""
-    held: dict[int, Best] = {}
+    held: dict[bytes, Best] = {}
     for batch in batches:
         columns = {c: batch.column(c) for c in batch.schema.names}
         for i in range(batch.num_rows):
-            key = columns["query_ids"][i].values[0].as_py()  # a request is in one pack
+            key = columns["query_ids"][i].values.to_numpy().tobytes()
             width = columns["width"][i].as_py()
             if key not in held:
                 if len(held) == 8:
@@ -147,7 +149,22 @@ def scored(packs: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
     return met.select("width", "asked", "query_ids", "wanted", "only", "units", "node_ids", "document_ids", "places", "gone").mapInArrow(_score, HIT)
 
 
-def top_k(vectors: DataFrame, requests: DataFrame, factor: int = 1) -> DataFrame:
+class Size(NamedTuple):
+    """How much is asked: requests, numbers of their vectors, hits of one request at most, requests that name a document."""
+
+    requests: int
+    numbers: int
+    most: int
+    named: int
+
+    @classmethod
+    def of(cls, requests: DataFrame, factor: int = 1) -> Size:
+        """One job over requests (vector, top_k, document_id)."""
+        named = F.count(F.nullif(F.col("document_id"), F.lit("")))
+        return cls(*(x or 0 for x in requests.agg(F.count(F.lit(1)), F.sum(F.size("vector")), F.max("top_k") * factor, named).first()))
+
+
+def top_k(vectors: DataFrame, requests: DataFrame, factor: int = 1, size: Size | None = None) -> DataFrame:
     """query_id, node_id, document_id, node_index, score, rank: the top_k * factor nodes of highest cosine.
 
     vectors: packs, or rows of node_id, document_id, node_index, unit; requests: query_id, vector, top_k, document_id. Ties go to the smaller
@@ -157,22 +174,22 @@ def top_k(vectors: DataFrame, requests: DataFrame, factor: int = 1) -> DataFrame
     """
     packs = vectors if "units" in vectors.columns else packed(vectors)
     asked = asked_of(requests, factor)
-    n, numbers, most, named = asked.agg(F.count(F.lit(1)), F.sum(F.size("unit")), F.max("wanted"), F.count("only")).first()
+    n, numbers, most, named = size or Size.of(requests, factor)
     if not n:
         return vectors.sparkSession.createDataFrame([], f"{HIT}, rank int").drop("wanted")
     if named == n:
         names = [r.only for r in asked.select("only").distinct().limit(NAMES + 1).collect()]
         if len(names) <= NAMES:
             packs = packs.where(any_of([(F.col("first_document") <= d) & (F.col("last_document") >= d) for d in names]))
-    if 8 * (numbers or 0) <= AT_ONCE:
-        hits = scored(packs, F.broadcast(_asked(asked.coalesce(1))), [])  # AT_ONCE bytes at most
+    if 8 * numbers <= AT_ONCE:
+        hits = scored(packs, F.broadcast(asked_packs(asked.coalesce(1))), [])  # AT_ONCE bytes at most
     else:
         across = -(-8 * numbers // (BAND * PACK))
         down = -(-packs.count() // BAND)
         place = lambda c, parts: F.pmod(F.xxhash64(F.get(c, F.lit(0))), F.lit(parts)).cast("int")
         every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
         dealt = packs.withColumn("down", place("node_ids", max(1, down))).withColumn("across", every(across))
-        asked = _asked(asked.repartition(across, "query_id")).withColumn("across", place("query_ids", across)).withColumn("down", every(max(1, down)))
+        asked = asked_packs(asked.repartition(across, "query_id")).withColumn("across", place("query_ids", across)).withColumn("down", every(max(1, down)))
         hits = scored(dealt, asked, ["across", "down"])
     return ranked(hits, most, F.isnan("score"))
 

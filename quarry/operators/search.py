@@ -9,6 +9,8 @@ from quarry.functions import embedding as E
 from quarry.operators import grid, segments
 from quarry.schema import SETTINGS
 
+#: Requests up to which they, and their hits (100 of each at most), are small enough to be sent to every task.
+AT_ONCE = 500
 
 def validate(requests: DataFrame) -> DataFrame:
     """requests with `problem`, null if good: query not blank, top_k 1 to 100, search_type vector or hybrid."""
@@ -74,14 +76,24 @@ def hybrid_top_k(vectors: DataFrame, blocks: DataFrame, requests: DataFrame) ->
     return fuse([vector_top_k(vectors, requests, 2), fulltext_top_k(blocks, requests, 2)], requests.drop("search_type"))
 
 
+def three_way_top_k(vectors: DataFrame, blocks: DataFrame, totals: DataFrame, requests: DataFrame) -> DataFrame:
+    """Fusion of twice top_k hits by vector, by cover density and by BM25."""
+    by_words = segments.bm25_top_k(blocks, totals, requests, 2)
+    return fuse([vector_top_k(vectors, requests, 2), fulltext_top_k(blocks, requests, 2), by_words], requests.drop("search_type"))
+
+
 def retrieve(vectors: DataFrame, blocks: DataFrame, requests: DataFrame) -> DataFrame:
     """Hits of every request by its search_type: query_id, node_id, document_id, node_index, score, rank.
 
-    Both kinds share one pass over the vectors, with twice top_k hits; the requests of kind 'vector' take the first half of theirs.
+    Both kinds share one pass over the vectors, with twice top_k hits; the requests of kind 'vector' take the first half of theirs. The hits of
+    AT_ONCE requests at most are sent to the tables that they are joined with, which then do not move.
     """
-    by_vector = vector_top_k(vectors, requests, 2)
+    size = grid.Size.of(requests, 2)
+    by_vector = grid.top_k(vectors, requests, 2, size)
     by_text = fulltext_top_k(blocks, requests.where("search_type = 'hybrid'"), 2)
-    return fuse([by_vector, by_text], requests).select("query_id", "node_id", "document_id", "node_index", "score", "rank")
+    few = size.requests <= AT_ONCE
+    found = fuse([by_vector, by_text], F.broadcast(requests) if few else requests).select("query_id", "node_id", "document_id", "node_index", "score", "rank")
+    return F.broadcast(found) if few else found
 
 
 def hits(found: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -202,3 +202,47 @@ def fulltext_top_k(table: DataFrame, requests: DataFrame, factor: int = 1) -> Da
     """
     hits, _, most = plan(table, requests, factor)
     return ranked(hits, most)
+
+
+# ---- BM25
+
+#: How soon repeats of a term stop to count, and how far the length of a node counts.
+K1, B = 1.2, 0.75
+
+
+def _parts_of_bm25(batches):
+    """A block of a query's term to what the term adds to the score of each of its nodes."""
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            one = {c: batch.column(c)[i].as_py() for c in ("query_id", "only", "gone", "wanted", "weight", "mean")}
+            lists = {c: batch.column(c)[i].values for c in ("gaps", "lengths", "node_ids", "document_ids", "places")}
+            gaps = lists["gaps"].to_numpy()
+            times = np.diff(np.append(np.flatnonzero(np.append(True, gaps[1:] > 0)), len(gaps)))
+            score = one["weight"] * times * (K1 + 1) / (times + K1 * (1 - B + B * lists["lengths"].to_numpy() / one["mean"]))
+            gone = set(one["gone"] or ())
+            keys = (lists[c].to_pylist() for c in ("node_ids", "document_ids", "places"))
+            out += [(one["query_id"], n, d, p, s, one["wanted"]) for n, d, p, s in zip(*keys, score.tolist(), strict=True) if d not in gone and one["only"] in (None, d)]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=[c.split()[0] for c in HIT.split(", ")])
+
+
+def bm25_top_k(table: DataFrame, totals: DataFrame, requests: DataFrame, factor: int = 1) -> DataFrame:
+    """query_id, node_id, document_id, node_index, score, rank: the top_k * factor nodes of highest BM25 for each request; one word of the query is enough.
+
+    table: as of `blocks`; totals: as of `segments`. Each batch of a store has its own numbers of nodes, lexemes and nodes of each lexeme; they are summed
+    when they are read. Nodes of deleted documents are never hits, but count in these numbers until the store is compacted.
+    """
+    terms, lexemes, most = _terms(requests, F.col("top_k") * factor)
+    if lexemes is not None:
+        terms, table = F.broadcast(terms), table.where(F.col("lexeme").isin(lexemes))
+    n, words = totals.agg(F.sum("n_nodes"), F.sum("n_lexemes")).first()
+    n, mean = n or 0, (words or 0) / n if n else 1.0
+    held = table.groupBy("lexeme").agg(F.sum("n").alias("df"))
+    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(held, "lexeme").select("query_id", "only", "wanted", "lexeme", weight.alias("weight"), F.lit(mean or 1.0).alias("mean"))
+    table = table if "gone" in table.columns else table.withColumn("gone", F.lit(None).cast("array<string>"))
+    met = table.join(F.broadcast(weighed) if lexemes is not None else weighed, "lexeme")  # as many rows as terms
+    parts = met.select("query_id", "only", "gone", "wanted", "weight", "mean", "gaps", "lengths", "node_ids", "document_ids", "places").mapInArrow(_parts_of_bm25, HIT)
+    whole = parts.groupBy("query_id", "node_id", "document_id", "node_index", "wanted").agg(F.sum("score").alias("score"))
+    return ranked(whole, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,16 +84,17 @@ def response_text(response) -> str:
 
 
 def answer(prompts: DataFrame, make: Callable[[], Callable] | None = None) -> DataFrame:
-    """prompts with answer, citations, citations_valid. make() gives a function from (system, human) to a response, once for each batch of
-    rows; without it the offline answer is given by built-in functions."""
+    """prompts with answer, citations, citations_valid. make() gives a function from (system, human) to a response, once for each task;
+    without it the offline answer is given by built-in functions."""
     if make is None:
         said = mock_answer(prompt_text())
     else:
 
         @F.pandas_udf("string")
-        def ask(system: pd.Series, human: pd.Series) -> pd.Series:
+        def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             client = make()
-            return pd.Series([response_text(client(s, h)) for s, h in zip(system, human, strict=True)])
+            for system, human in batches:
+                yield pd.Series([response_text(client(s, h)) for s, h in zip(system, human, strict=True)])
 
         said = ask(F.col("system"), F.col("human"))
     out = prompts.withColumn("answer", said).withColumn("citations", T.citations(F.col("answer")))

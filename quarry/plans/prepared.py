@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding
+from quarry.operators import cells
 from quarry.operators.store import Store
 from quarry.plans import retrieval
 
 _STORES: dict[tuple, Store] = {}
 _TABLES: dict[tuple, DataFrame] = {}
+_INDEXES: dict[tuple, cells.Index] = {}
 _OWN: list[str] = []
 
 
@@ -31,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _version(spark: SparkSession, path: str) -> tuple:
     """Length and time of change of what lies at path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -53,8 +62,7 @@ def line_store(spark: SparkSession, path: str, embed: Callable[[Column], Column]
     """
     key = spark.sparkContext.applicationId, path, _version(spark, path), dimension, embed
     if key not in _STORES:
-        store = Store(spark, f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}")
-        atexit.register(_remove, spark, store.path)
+        store = Store(spark, own_folder(spark, "lines"))
         documents = spark.read.parquet(path)
         nodes = embedding.embed_nodes(retrieval.line_nodes(documents), embed or (lambda c: embedding.mock_embedding(c, dimension)))
         about = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("int").alias("file_size"), F.lit("txt").alias("file_type"))
@@ -67,13 +75,21 @@ def table(spark: SparkSession, name: str, path: str, make: Callable[[DataFrame],
     """make(table at path), written at the first call of a session and read from there as long as the table at path stays as it is."""
     key = spark.sparkContext.applicationId, name, path, _version(spark, path)
     if key not in _TABLES:
-        own = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, own)
+        own = own_folder(spark, name)
         make(spark.read.parquet(path)).write.parquet(own)
         _TABLES[key] = spark.read.parquet(own)
     return _TABLES[key]
 
 
+def vector_index(spark: SparkSession, path: str, rows: Callable[[DataFrame], DataFrame]) -> cells.Index:
+    """The inverted lists of rows(table at path), built at the first call of a session."""
+    key = spark.sparkContext.applicationId, path, _version(spark, path)
+    if key not in _INDEXES:
+        own = own_folder(spark, "cells")
+        _INDEXES[key] = cells.build(rows(spark.read.parquet(path)), own)
+    return _INDEXES[key]
+
+
 def search_tables(store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, packs of vectors and posting blocks of a store, as `retrieval.contexts` takes them."""
     return store.table("nodes"), store.vectors(), store.postings()

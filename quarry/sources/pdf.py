@@ -20,8 +20,18 @@ class LayoutParseError(ValueError):
 def read_pdfs(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
     """document_id, filename, file_size, content. The id follows from name and bytes, so a recomputation gives it again. Files beyond
     most_bytes are told by their length before any byte is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.col("length") <= most_bytes) if most_bytes else files
+    files = binary_files(spark.read, path)
+    return named(files.where(F.col("length") <= most_bytes) if most_bytes else files)
+
+
+def binary_files(reader, path: str) -> DataFrame:
+    """PDF files under path by Spark's binary source; reader: spark.read or spark.readStream."""
+    fields = "path string, modificationTime timestamp, length long, content binary"
+    return reader.format("binaryFile").schema(fields).option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
+
+
+def named(files: DataFrame) -> DataFrame:
+    """document_id, filename, file_size, content."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.sha2(F.concat(name.cast("binary"), F.unhex(F.sha2("content", 256))), 256).alias("document_id"), name.alias("filename"), F.col("length").cast("int").alias("file_size"), "content")
 

@@ -5,24 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators.store import Store
+from quarry.plans import retrieval
+from quarry.sources import pdf
+
+#: How long the content of a file is remembered after it was last taken in.
+REMEMBERED = "30 days"
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def publish_stream(stream: DataFrame, store: Store, to_documents: Callable[[DataFrame], DataFrame], to_nodes: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest"):
-    """Every operator up to node building works document by document, so the stream keeps no state. A batch is named by the id of the query, which its
-    checkpoint keeps, and its number there: one that is tried again after a failure is published once, and a new checkpoint begins new batches."""
+def stream_files(spark: SparkSession, path: str, files_per_batch: int = 100, remembered: str = REMEMBERED) -> DataFrame:
+    """PDF files as they come, as of `pdf.read_pdfs`; a file whose bytes came before, under whatever name, is left out.
+
+    The state holds a hash for each content, and drops those that are older than `remembered` by the time of the batch that saw them: files
+    are never late, however old they are.
+    """
+    files = pdf.named(pdf.binary_files(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path))
+    seen = files.withColumn("content_hash", F.sha2("content", 256)).withColumn("seen_at", F.current_timestamp())
+    return seen.withWatermark("seen_at", remembered).dropDuplicatesWithinWatermark(["content_hash"]).drop("content_hash", "seen_at")
 
-    def publish(batch: DataFrame, number: int) -> None:
+
+def _each_batch(stream: DataFrame, checkpoint: str, name: str, work: Callable[[DataFrame, str], None]):
+    """A batch is named by the id of the query, which its checkpoint keeps, and its number there: one that is tried again after a failure has its name again,
+    and a new checkpoint begins new batches."""
+
+    def run(batch: DataFrame, number: int) -> None:
         query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
         batch.persist()
         try:
-            store.publish(to_documents(batch), to_nodes(batch), f"{name}-{query}-{number}")
+            work(batch, f"{name}-{query}-{number}")
         finally:
             batch.unpersist()
 
-    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start()
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start()
+
+
+def publish_stream(stream: DataFrame, store: Store, to_documents: Callable[[DataFrame], DataFrame], to_nodes: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest"):
+    """Every operator up to node building works document by document, so the stream keeps no state. A batch that is tried again is published once."""
+    return _each_batch(stream, checkpoint, name, lambda batch, batch_id: store.publish(to_documents(batch), to_nodes(batch), batch_id))
+
+
+def ingest_stream(stream: DataFrame, store: Store, checkpoint: str, name: str = "files", **how):
+    """Files of `stream_files` into the store, as `retrieval.ingest_files` does; its report of each batch lies under store.path/reports."""
+
+    def work(batch: DataFrame, batch_id: str) -> None:
+        report = retrieval.ingest_files(store, batch, batch_id=batch_id, **how)
+        report.coalesce(1).write.mode("overwrite").json(f"{store.path}/reports/{batch_id}")
+
+    return _each_batch(stream, checkpoint, name, work)

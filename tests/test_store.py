@@ -1,11 +1,17 @@
 """The store: publish, list, delete, failed batches, health, and streaming ingest."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding
+from quarry.operators import search
+from quarry.operators.log import Log, Taken
 from quarry.operators.store import DocumentNotFound, Store, missing_columns
 from quarry.plans import retrieval
+from quarry.schema import REQUESTS
 from quarry.streaming import ingest
 
 
@@ -78,3 +84,143 @@ def test_retry_after_a_failure_counts_once(spark, tmp_path, monkeypatch, fails):
     assert store.publish(*made(spark, 1), batch_id="b") == 2 and store.publish(*made(spark, 1), batch_id="b") == 0
     assert [store.table(t).count() for t in ("documents", "nodes", "segments")] == [1, 2, 1] and hits(store) == 7
     assert store.vectors().select(F.explode("node_ids")).count() == 2
+
+
+def told(store):
+    """All that a reader can see of a store."""
+    nodes = sorted((r.document_id, r.node_index, r.content) for r in store.table("nodes").collect())
+    packs = sorted((n, d) for p in store.vectors().collect() for n, d in zip(p.node_ids, p.document_ids, strict=True) if d not in (p.gone or ()))
+    words = sorted((b.lexeme, n) for b in store.postings().collect() for n, d in zip(b.node_ids, b.document_ids, strict=True) if d not in (b.gone or ()))
+    return nodes, sorted((r.document_id, r.chunk_count) for r in store.table("documents").collect()), packs, words
+
+
+def found(spark, store, query):
+    ask = spark.createDataFrame([(1, query, 50, "hybrid", None, None)], REQUESTS)
+    requests = retrieval.embedded(ask, lambda c: embedding.mock_embedding(c, 256))
+    return {(r.document_id, r.node_index) for r in search.retrieve(store.vectors(), store.postings(), requests).collect()}
+
+
+def test_two_writers_are_ordered_by_the_log_and_not_by_clocks(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    a.publish(*made(spark, 1, 2))
+    # b has read the log before a adds again; its delete comes later in the log and hides both
+    assert b.snapshot().version == 1
+    a.publish(*made(spark, 1))
+    b.delete(["1"])
+    assert {r.document_id for r in a.table("nodes").collect()} == {"2"}
+    a.publish(*made(spark, 1))
+    assert {r.document_id for r in b.table("nodes").collect()} == {"1", "2"} and b.table("nodes").count() == 4
+    assert [r.version for r in a.manifest().orderBy("version").collect()] == [1, 2, 3, 4]
+    # an entry that another writer puts between the look and the put is looked at first
+    put, raced = a.log.put, []
+
+    def late(number, entry):
+        if not raced:
+            raced.append(b.publish(*made(spark, 7), batch_id="same"))
+        return put(number, entry)
+
+    a.log.put = late
+    assert a.publish(*made(spark, 7), batch_id="same") == 0 and raced == [2]
+    assert a.table("nodes").where("document_id = 7").count() == 2 and a.snapshot().version == 5
+
+
+def test_many_writers_of_one_log(spark, tmp_path):
+    logs = [Log(spark, str(tmp_path / "log")) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: logs[k % 4].append(lambda _: {"k": k}), range(24)))
+    assert sorted(numbers) == list(range(1, 25)) and sorted(e["k"] for e in Log(spark, str(tmp_path / "log")).entries().values()) == list(range(24))
+    with pytest.raises(Taken):
+        logs[0].put(3, {})
+
+
+def files_in(path):
+    return [str(p) for p in path.rglob("*.parquet")]
+
+
+def test_compaction_leaves_the_same_rows_in_fewer_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for i in range(1, 7):
+        store.publish(*made(spark, i, 10 + i))
+    store.delete(["2", "13"])
+    store.publish(*made(spark, 2))
+    store._append(made(spark, 99)[1], "nodes", "never-committed")
+    seen, hit, files = told(store), found(spark, store, "line one"), len(files_in(tmp_path / "s"))
+    assert ("13", 0) not in hit and ("2", 0) in hit
+    version = store.compact()
+    assert version == store.snapshot().version and len(store.snapshot().adds) == 1 and not store.snapshot().deletes
+    assert told(store) == seen and found(spark, store, "line one") == hit
+    assert store.clean(3600) == 0
+    assert store.clean(0) > 7 and told(store) == seen and len(files_in(tmp_path / "s")) < files / 3
+    assert told(Store(spark, store.path)) == seen and store.compact() is None
+    store.delete(["1"])
+    assert {d for d, *_ in told(store)[0]} == {d for d, *_ in seen[0]} - {"1"} and ("1", 0) not in found(spark, store, "line one")
+
+
+def test_what_others_do_during_a_compaction_stays(spark, tmp_path):
+    store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    store.publish(*made(spark, 1))
+    store.publish(*made(spark, 2))
+    put = store.log.put
+
+    def late(number, entry):
+        store.log.put = put
+        other.delete(["1"])
+        other.publish(*made(spark, 3))
+        return put(number, entry)
+
+    store.log.put = late
+    assert store.compact() == 5
+    assert {d for d, *_ in told(store)[0]} == {"2", "3"} == {d for d, *_ in told(other)[0]}
+    # of two compactions of the same attempts the second gives up
+    seen, put = told(store), store.log.put
+    store.log.put = lambda number, entry: (setattr(store.log, "put", put), other.compact(), put(number, entry))[2]
+    assert store.compact() is None and told(store) == seen == told(other)
+    assert store.clean(0) > 0 and told(store) == seen
+
+
+def pages(content):
+    for line in content.decode().split("/"):
+        yield 600.0, [(75.0, 800.0, line)]
+
+
+def test_files_are_streamed_once_whatever_their_name(spark, tmp_path):
+    source, store = tmp_path / "in", Store(spark, str(tmp_path / "s"))
+    source.mkdir()
+    (source / "a.pdf").write_bytes(b"first words/second page")
+    (source / "b.pdf").write_bytes(b"other words")
+    (source / "c.txt").write_bytes(b"no pdf")
+
+    def run():
+        stream = ingest.stream_files(spark, str(source), files_per_batch=1)
+        how = {"embed": lambda c: embedding.mock_embedding(c, 256), "pages": pages}
+        ingest.ingest_stream(stream, store, str(tmp_path / "c"), **how).awaitTermination(240)
+        return sorted((r.filename, r.chunk_count) for r in store.documents().collect())
+
+    assert run() == [("a.pdf", 2), ("b.pdf", 1)]
+    # after a restart: the same bytes under other names, old files, and one that is new
+    (source / "again.pdf").write_bytes(b"other words")
+    (source / "new.pdf").write_bytes(b"third")
+    os.utime(source / "new.pdf", (1, 1))
+    assert run() == [("a.pdf", 2), ("b.pdf", 1), ("new.pdf", 1)] == run()
+    reports = [r.status_code for p in (tmp_path / "s/reports").iterdir() for r in spark.read.schema("status_code int, filename string").json(str(p)).collect()]
+    assert reports == [200, 200, 200]
+
+
+def test_a_batch_of_files_that_failed_is_ingested_when_it_is_tried_again(spark, tmp_path, monkeypatch):
+    source, store = tmp_path / "in", Store(spark, str(tmp_path / "s"))
+    source.mkdir()
+    (source / "a.pdf").write_bytes(b"first words")
+    how = {"embed": lambda c: embedding.mock_embedding(c, 256), "pages": pages}
+    commit, failures = store._commit, [1]
+
+    def once(*args):
+        if failures:
+            failures.pop()
+            raise OSError("gone")
+        return commit(*args)
+
+    monkeypatch.setattr(store, "_commit", once)
+    with pytest.raises(Exception, match="gone"):
+        ingest.ingest_stream(ingest.stream_files(spark, str(source)), store, str(tmp_path / "c"), **how).awaitTermination(240)
+    ingest.ingest_stream(ingest.stream_files(spark, str(source)), store, str(tmp_path / "c"), **how).awaitTermination(240)
+    assert [(r.filename, r.chunk_count) for r in store.documents().collect()] == [("a.pdf", 1)] and store.snapshot().version == 1
