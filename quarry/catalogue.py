@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quarry.operators.cache import VectorCache
 from quarry.plans import generation, prepared, retrieval
 from quarry.schema import REQUESTS
 from quarry.sources import pdf
+from quarry.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,12 +57,15 @@ def documents_listing(spark, sf):
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
 def document_lookup(spark, sf):
-    return read(spark, sf, "documents").where("doc_id = 7").select("doc_id", "lang", "source", "n_chars")
+    """From the store, which keeps the table's own columns."""
+    found = prepared.line_store(spark, f"{sf}/documents.parquet").document("7")
+    return found.select(F.col("document_id").cast("long").alias("doc_id"), "lang", "source", "n_chars")
 
 
 @query(f"WITH {LINES} SELECT node_id, node_index, content FROM lines WHERE document_id = '7' ORDER BY node_index")
 def document_nodes_ordered(spark, sf):
-    return lines(spark, sf).where("document_id = '7'").select("node_id", "node_index", "content").orderBy("node_index")
+    """From the store, clustered by document."""
+    return prepared.line_store(spark, f"{sf}/documents.parquet").nodes_of("7").select("node_id", "node_index", "content")
 
 
 @query(f"WITH {LINES} SELECT node_id, content FROM lines WHERE CAST(document_id AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -69,6 +75,38 @@ def delete_cascade(spark, sf):
     return store.delete_cascade(docs, lines(spark, sf), gone)[1].select("node_id", "content")
 
 
+def _small(c):
+    return embedding.mock_embedding(c, 32)
+
+
+def _about(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("txt").alias("file_type"))
+
+
+@query(f"WITH {LINES} SELECT node_id, content FROM lines WHERE CAST(document_id AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def compacted_store(spark, sf):
+    """Documents in two batches of a store, toxic ones deleted, then all batches made one."""
+    own, docs = store.Store(spark, prepared.own_folder(spark, "compacted")), read(spark, sf, "documents")
+    for i in (0, 1):
+        half = docs.where(F.pmod("doc_id", F.lit(2)) == i)
+        own.publish(_about(half), embedding.embed_nodes(retrieval.line_nodes(half), _small))
+    toxic = read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
+    own.delete(toxic.join(own.table("documents"), "document_id", "left_semi").distinct())
+    own.compact()
+    return own.table("nodes").select("node_id", "content")
+
+
+@query(f"WITH {LINES} SELECT document_id, CAST(count(*) AS INTEGER) AS chunk_count, sum(length(content)) AS characters FROM lines GROUP BY document_id")
+def streamed_store(spark, sf):
+    """The table as a stream into a store, batch by batch; read back by document."""
+    own = store.Store(spark, prepared.own_folder(spark, "streamed"))
+    stream = ingest.stream_documents(spark, sf, read(spark, sf, "documents").schema, pattern="documents.parquet")
+    nodes = lambda docs: embedding.embed_nodes(retrieval.line_nodes(docs), _small)
+    ingest.publish_stream(stream, own, _about, nodes, prepared.own_folder(spark, "checkpoint"), f"lines-{uuid.uuid4().hex}").awaitTermination()
+    counts = own.table("nodes").groupBy("document_id").agg(F.sum(F.length("content")).alias("characters"))
+    return own.table("documents").select("document_id", "chunk_count").join(counts, "document_id")
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def event_totals(spark, sf):
     return read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -644,5 +682,3 @@ def schema_health(spark, sf):
 def conversation_nodes(spark, sf):
     c = read(spark, sf, "conversations").where("role = 'user'")
     return c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("node_index"), F.col("text").alias("content"))
-
-

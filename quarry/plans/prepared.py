@@ -65,7 +65,7 @@ def line_store(spark: SparkSession, path: str, embed: Callable[[Column], Column]
         store = Store(spark, own_folder(spark, "lines"))
         documents = spark.read.parquet(path)
         nodes = embedding.embed_nodes(retrieval.line_nodes(documents), embed or (lambda c: embedding.mock_embedding(c, dimension)))
-        about = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("int").alias("file_size"), F.lit("txt").alias("file_type"))
+        about = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("int").alias("file_size"), F.lit("txt").alias("file_type"), *(c for c in documents.columns if c not in ("doc_id", "text")))
         store.publish(about, nodes, "lines")
         _STORES[key] = store
     return _STORES[key]

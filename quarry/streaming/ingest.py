@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators.store import Store
 from quarry.plans import retrieval
 from quarry.sources import pdf
 
-#: How long the content of a file is remembered after it was last taken in.
-REMEMBERED = "30 days"
+#: How long the content of a file is remembered after it was last taken in, and how old a file may be, against the newest one, to be taken in at all.
+REMEMBERED, OLDEST = "30 days", "40000d"
 
 
-def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_documents(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 100, pattern: str = "*.parquet") -> DataFrame:
+    """Rows of the Parquet files of a folder as they come; pattern: names of files that are taken."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(path)
 
 
 def stream_files(spark: SparkSession, path: str, files_per_batch: int = 100, remembered: str = REMEMBERED) -> DataFrame:
@@ -25,7 +27,7 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int = 100, rem
     The state holds a hash for each content, and drops those that are older than `remembered` by the time of the batch that saw them: files
     are never late, however old they are.
     """
-    files = pdf.named(pdf.binary_files(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path))
+    files = pdf.named(pdf.binary_files(spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", OLDEST), path))
     seen = files.withColumn("content_hash", F.sha2("content", 256)).withColumn("seen_at", F.current_timestamp())
     return seen.withWatermark("seen_at", remembered).dropDuplicatesWithinWatermark(["content_hash"]).drop("content_hash", "seen_at")
 
@@ -38,7 +40,8 @@ def _each_batch(stream: DataFrame, checkpoint: str, name: str, work: Callable[[D
         query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
         batch.persist()
         try:
-            work(batch, f"{name}-{query}-{number}")
+            if not batch.isEmpty():  # a batch that only lets state go
+                work(batch, f"{name}-{query}-{number}")
         finally:
             batch.unpersist()
 
