@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,44 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once for each row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """name, or, if it is taken, one like it that is not."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"{name}_"
+    return name
+
+
+#: Elements of an array that are worked through one after the other; more are taken block by block.
+_BLOCK = 256
+
+
+def before(values: Column, op: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each of the values, op over all values before it, beginning with `first`. An array grows by being copied, so that is done in blocks of _BLOCK
+    values and over the blocks: for n values the work is n * (_BLOCK + n / _BLOCK^2) and not n^2."""
+
+    def scan(v: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("seen"))
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen"))
+        return F.aggregate(v, none, step, lambda s: s["seen"])
+
+    def of_blocks(blocks: Column) -> Column:
+        starts = scan(F.transform(blocks, lambda b: F.aggregate(b, F.lit(first), lambda s, x: op(s, x))), F.lit(first))
+        return F.flatten(F.zip_with(blocks, starts, scan))
+
+    def cut(v: Column) -> Column:
+        n = F.ceil(F.size(v) / _BLOCK).cast("int")
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: F.slice(v, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    return let(values, lambda v: let(cut(v), of_blocks))
+
+
 def id_bounds(ids: DataFrame, buckets: int, per_bucket: int = 24) -> list[int]:
     """Ascending ids that begin buckets of nearly equal row counts; the first is the smallest id. ids: one column, `id`.
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, text_of, written
+from quarry.llm.common import before, documents, let, text_of, written
 
 # Possessive repeats and look-behinds keep every search linear: a match can begin only where a run begins or the last match ended,
 # which is where the leftmost match of the plain pattern begins too.
@@ -203,7 +203,7 @@ class Model:
     weights: list[float]
 
     def score(self, buckets: Column) -> Column:
-        known = F.array(*map(F.lit, self.weights[:-1]))
+        known = F.split(F.lit(",".join(map(repr, self.weights[:-1]))), ",").cast("array<double>")  # one constant, not a node of the plan for each weight
         raw = F.aggregate(buckets, F.lit(self.weights[-1]), lambda s, i: s + F.element_at(known, i + 1))
         return 1 / (1 + F.exp(-raw))
 
@@ -325,45 +325,82 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+SPAN = "struct<start:int,no:int,end:int,kind:string,is_base:boolean>"
+#: Characters of the pieces that a text is taken apart into before it is cut: a piece is looked through from its own beginning.
+PIECE = 1024
+
+
+def _placed(family: str, model: Model) -> Column:
+    """Spans of a family that count, as SPAN, from the sums of all gaps and lengths before."""
+    kind = KIND.get(family, family)
+    found = _of_family(family)
+    moves = F.transform(found, lambda x: x["gap"] + F.length(x["m"]))
+
+    def one(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(BASE.index(kind) + 1).alias("no"), (start + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), F.lit(family in BASE).alias("is_base"), model.holds(family, x).alias("hit"))
+
+    placed = F.filter(F.zip_with(found, before(moves, lambda a, b: a + b, 0), one), lambda x: x["hit"])
+    spans = F.transform(placed, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "no", "end", "kind", "is_base"))))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _without_overlaps(spans: Column) -> Column:
+    """Sorted spans without the added ones that overlap a base span: one that begins before reaches over their start, or the next one begins before their end."""
+    far = 1 << 30
+
+    def kept(every: Column) -> Column:
+        reach = before(F.transform(every, lambda x: F.when(x["is_base"], x["end"]).otherwise(0)), F.greatest, 0)
+        following = F.reverse(before(F.reverse(F.transform(every, lambda x: F.when(x["is_base"], x["start"]).otherwise(far))), F.least, far))
+        told = F.arrays_zip(every.alias("x"), reach.alias("reach"), following.alias("following"))
+        free = F.filter(told, lambda t: t["x"]["is_base"] | ((t["reach"] <= t["x"]["start"]) & (t["following"] >= t["x"]["end"])))
+        return F.transform(free, lambda t: t["x"])
+
+    return let(F.sort_array(spans), kept)
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """text with each of the sorted spans replaced by its kind; spans that overlap go as one, under the kind of the first."""
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """Characters from a to b, which may lie in several pieces."""
+        places = F.when(b > a, F.sequence(F.floor(a / PIECE), F.floor((b - 1) / PIECE))).otherwise(F.array().cast("array<bigint>"))
+
+        def part(k: Column) -> Column:
+            low = F.greatest(a - k * PIECE, F.lit(0))
+            return F.substring(F.get(pieces, k), low.cast("int") + 1, (F.least(b - k * PIECE, F.lit(PIECE)) - low).cast("int"))
+
+        return F.array_join(F.transform(places, part), "")
+
+    def joined(pieces: Column, every: Column) -> Column:
+        reach = before(F.transform(every, lambda x: x["end"]), F.greatest, 0)
+        first = F.filter(F.arrays_zip(every.alias("x"), reach.alias("reach")), lambda t: t["x"]["start"] >= t["reach"])
+        marked = F.transform(first, lambda t: F.concat(between(pieces, t["reach"], t["x"]["start"]), F.lit("<"), F.upper(t["x"]["kind"]), F.lit(">")))
+        last = F.array_max(F.transform(every, lambda x: x["end"]))
+        return F.concat(F.array_join(marked, ""), let(last, lambda a: between(pieces, a, F.length(text))))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(pieces, lambda p: let(spans, lambda every: joined(p, every)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of `detect` in `text` replaced by <KIND>, and n_chars, if there, brought up to date. Null text stays null.
 
     All families are searched in the text as given, once: what they find is written beside the row, the model is fitted on it, and each text
     is cut from that table. Spans that overlap go as one, under the kind of the first (by start, then by the order of families). No text
-    is shuffled. An empty table gives no rows, repeated rows are rows of their own, and other columns go along as they are.
+    is shuffled. The work on a text grows with its length and the number of its spans. An empty table gives no rows, repeated rows are rows of
+    their own, and other columns, whatever their names, go along as they are.
     """
-    held = written(candidates(docs, [F.struct(*docs.columns).alias("_row")]), "found")
+    held = written(candidates(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_as_given")]), "found")
     model = fit(held)
-    none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
-
-    def personal(f: str) -> Column:
-        """Spans of a family, from the running sum of gaps and lengths; only those that count are collected."""
-        kind = KIND.get(f, f)
-        flagged = F.transform(F.col(f), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("long"), model.holds(f, x).alias("hit")))
-
-        def add(s: Column, x: Column) -> Column:
-            start = s["at"] + x["gap"]
-            end = start + x["long"]
-            one = F.struct(start.alias("start"), F.lit(BASE.index(kind) + 1).alias("no"), end.alias("end"), F.lit(kind).alias("kind"))
-            return F.struct(end.alias("at"), F.when(x["hit"], F.concat(s["spans"], F.array(one))).otherwise(s["spans"]).alias("spans"))
-
-        return F.coalesce(F.aggregate(flagged, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"]), none)
-
-    def cut(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["at"]
-        piece = F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.when(inside, s["out"]).otherwise(F.concat(s["out"], piece)).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
-
-    more = model.families
-    out = held.withColumn("_base", F.concat(*map(personal, BASE)))
-    spans = F.col("_base")
-    if more:
-        out = out.withColumn("_more", F.concat(*map(personal, more)))
-        spans = F.concat("_base", F.filter("_more", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
-    out = out.select("_row.*", F.sort_array(spans).alias("_spans"))
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).drop("_spans")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    row = F.col("row_as_given")
+    spans = F.concat(*(_placed(f, model) for f in (*BASE, *model.families)))
+    out = held.select("row_as_given", (_without_overlaps(spans) if model.families else F.sort_array(spans)).alias("spans"))
+    text = row.getField("text")
+    out = out.select("row_as_given", F.when(F.size("spans") > 0, _cut(text, F.col("spans"))).otherwise(text).alias("redacted"))
+    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted")}
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return out.select(*((changed[c].cast(kinds[c]) if c in changed else row.getField(c)).alias(c) for c in docs.columns))
 
 
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing, units
-from quarry.llm.common import documents, small_batches, text_of
+from quarry.llm.common import documents, free_name, small_batches, text_of
 
 #: Labelled rows that the model learns from at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 6000
@@ -159,7 +159,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != name]
     schema = docs.select(*others).schema.add(name, "double")
-    rows = docs.select(*others, text_of().alias("text_to_score"))  # the last column; `text` itself goes along unchanged
+    rows = docs.select(*others, text_of().alias(free_name(docs.columns, "text_to_score")))  # the last column; `text` itself goes along unchanged
 
     def run(batches):
         for batch in batches:

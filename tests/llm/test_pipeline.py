@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -131,7 +132,7 @@ def test_other_columns_and_clashing_names_go_along(spark, sf_dir, docs):
     """Names that the stages use themselves are columns of the table here."""
     from pyspark.sql import functions as F
 
-    names = ["score", "class", "hood", "tokens", "row", "kind", "size", "number", "block", "taken", "copies", "own_id", "email", "pattern"]
+    names = ["score", "class", "hood", "tokens", "row", "kind", "size", "number", "block", "taken", "copies", "own_id", "email", "pattern", "_spans", "spans", "_text", "_row", "row_as_given", "redacted", "score_of_quality", "score_of_quality_", "text_to_score", "partition_of_range"]
     few = docs.limit(60).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, few, sf_dir)
@@ -140,3 +141,12 @@ def test_other_columns_and_clashing_names_go_along(spark, sf_dir, docs):
             assert out.columns == few.columns and rows and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in rows), name
         else:
             assert len(rows) == 60 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_a_text_of_very_many_spans_is_cut_in_linear_time(spark, sf_dir):
+    many = "".join(f"é{i} a{i}@b.co, " for i in range(100_000))
+    rows = [(1, many, "en", "s", 0), (2, "x 1.2.3.4 y", "en", "s", 0)]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in corpus_pipeline.redact_personal_data(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].text == "".join(f"é{i} <EMAIL>, " for i in range(100_000)) and got[1].n_chars == len(got[1].text) and got[2].text == "x <IP> y"
