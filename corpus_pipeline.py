@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, jaccard, mixing, pii, quality
-from quarry.llm.common import documents, written
+from quarry.llm.common import documents, free_name, written
 
 SHINGLE, PERCENT = 5, 80
 
@@ -24,7 +24,8 @@ SHINGLE, PERCENT = 5, 80
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null text counts as empty and is scored like any other; rows with equal doc_id are judged each by its own text."""
     machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, machine, "score_of_quality").where(F.col("score_of_quality") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "score_of_quality")
+    return quality.scored(docs, machine, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
