@@ -25,6 +25,8 @@ from quarry.llm.common import documents, partitions, small_batches, sorted_join,
 
 #: Bytes of an anchor; bytes scanned at once (positions within must fit in 22 bits); segments of one anchor that a task compares at once.
 GRAM, SCAN, TOGETHER = 32, 1 << 21, 20_000
+#: Bytes of segments up to which all residues are taken together; bytes whose symbols are hashed at once.
+AT_ONCE, NAMED = 1 << 20, 1 << 20
 #: Segments from which an anchor is a group of its own; shards of a group; rows of an anchor for each part of a hot class, and parts at most.
 ALONE, SHARDS, PART, PARTS = 200, 8, 4096, 64
 
@@ -140,67 +142,100 @@ def interleave(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndar
     return shard, interval
 
 
+def _strings(sizes: np.ndarray, starts: np.ndarray, shift: np.ndarray, residues: np.ndarray, step: int, least: int) -> tuple[np.ndarray, ...]:
+    """The strings of `least` symbols or more whose symbols begin at places that leave one of the residues, by segment: segment, first position and number
+    of symbols of each."""
+    first = (residues[None, :] + shift[:, None]) % step
+    count = (sizes[:, None] - first) // step
+    segment, r = np.nonzero(count >= least)
+    return segment, starts[segment] + first[segment, r], count[segment, r]
+
+
+def _names(data: np.ndarray, position: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of the symbols at ascending positions, a slice of the data at a time."""
+    out = np.empty(len(position), "u8")
+    at = 0
+    while at < len(position):
+        to = int(np.searchsorted(position, position[at] + NAMED, "right"))
+        a = int(position[at])
+        own = position[at:to] - a
+        out[at:to] = hashing.Ranges(data[a : int(own[-1]) + a + step]).of(own, own + step)
+        at = to
+    return out
+
+
 def repeated_windows(segments: list[bytes], length: int, group: np.ndarray | None = None, offset: np.ndarray | None = None) -> list[np.ndarray]:
     """For each segment, which of its windows of `length` bytes start anywhere else in the segments too.
 
     group, offset: the anchor of each segment and its place there, if any; then windows are held against those of the same anchor alone.
-    As equal windows lie at equal distances from it, symbols of different distance differ.
+    As equal windows lie at equal distances from it, symbols of different distance differ, and strings whose distances leave different
+    residues never meet: beyond AT_ONCE bytes they are taken residue by residue, so memory does not grow with the group as a whole.
     """
     sizes = np.array([len(s) for s in segments], "i8")
     if not len(sizes):
         return []
     step = symbol_bytes(length)
+    need = length // step
     data = np.frombuffer(b"".join(segments), "u1")
     starts = np.cumsum(sizes) - sizes
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(data)) - starts[own]
-    left = sizes[own] - place  # bytes from each place to the end of its segment
-    begins = np.flatnonzero(left >= step)
-    name = hashing.Ranges(data).grams(step)[begins] if len(begins) else np.zeros(0, "u8")
-    if group is not None:
-        of = own[begins]
-        name ^= hashing.mix(group.astype("u8")[of] + (place[begins] - offset[of]).astype("u8") * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(name)
-    symbol = np.zeros(len(data), "u4")
-    if len(name):
-        symbol[begins[order]] = _numbered(np.diff(name[order]) != 0) + 1
-
-    # a window with a symbol that occurs once is not repeated; strings without any other window stay out
-    good = (np.bincount(symbol)[symbol] > 1) & (symbol > 0)
-    windows = left >= length
-    for at in range(0, length, step):
-        windows[: len(data) - at] &= good[at:]
-    string = own * step + place % step
-    kept = np.zeros(len(sizes) * step, bool)
-    kept[string[windows]] = True
-    begins = begins[kept[string[begins]]]
-
-    # segments in shards of about equal bytes
-    share = np.minimum((starts * SHARDS) // max(1, len(data)), SHARDS - 1)
     out = np.zeros(len(data), bool)
-    shards, positions = [], []
-    for k in np.unique(share).tolist():
-        of = np.flatnonzero(share == k)
-        a, b = starts[of[0]], starts[of[-1]] + sizes[of[-1]]
-        at = begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)]
-        ends = at[left[at] < 2 * step]  # the last symbol of each string
-        index = np.empty(b - a, "i8")
-        index[at - a] = np.arange(len(at))
-        after = np.empty(len(at) + len(ends), "i8")
-        after[: len(at)] = index[np.minimum(at + step, b - 1) - a]
-        after[index[ends - a]] = after[len(at) :] = len(at) + np.arange(len(ends))
-        before = np.concatenate([np.where(place[at] >= step, symbol[at - step], np.uint32(0)), symbol[ends]])
-        shards.append(Transform(np.concatenate([symbol[at], np.zeros(len(ends), "u4")]), after, before, length // step))
-        positions.append(np.concatenate([at, np.full(len(ends), -1)])[shards[-1].suffixes])
-    shard, interval = interleave(shards, length // step)
-    position = np.empty(len(shard), "i8")
-    position[np.argsort(shard, kind="stable")] = np.concatenate(positions)
-    whole = (position >= 0) & (left[position] >= length)
-    position, interval = position[whole], interval[whole]
-    out[position] = np.bincount(interval)[interval] > 1
+    shift = np.zeros(len(sizes), "i8") if offset is None else np.asarray(offset, "i8")
+    passes = 1 if group is None else min(step, -(-len(data) // AT_ONCE) or 1)
+    for residues in np.array_split(np.arange(step), passes):
+        segment, begin, count = _strings(sizes, starts, shift, residues, step, need)
+        if not len(count):
+            continue
+        string = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+        position = begin[string] + step * place
+        order = np.argsort(position, kind="stable")
+        name = np.empty(len(position), "u8")
+        name[order] = _names(data, position[order], step)
+        if group is not None:
+            of = segment[string]
+            away = (position - starts[of] - shift[of]).astype("u8")
+            name ^= hashing.mix(np.asarray(group)[of].astype("u8") + away * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(name)
+        symbol = np.empty(len(name), "u4")
+        symbol[order] = _numbered(np.diff(name[order]) != 0) + 1
+        # a window with a symbol that occurs once is not repeated; strings without any other window stay out
+        good = np.bincount(symbol)[symbol] > 1
+        windows = count[string] - place >= need
+        for k in range(need):
+            windows[: len(good) - k] &= good[k:]
+        kept = np.bincount(string[windows], minlength=len(count)) > 0
+        inside = kept[string]
+        out[_repeated(symbol[inside], position[inside], count[kept], starts[segment[kept]] * SHARDS // max(1, len(data)), need)] = True
     return [out[a : a + max(0, s - length + 1)] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def _repeated(symbol: np.ndarray, position: np.ndarray, count: np.ndarray, share: np.ndarray, need: int) -> np.ndarray:
+    """Positions at which `need` symbols begin that also begin elsewhere. symbol, position: of strings of `count` symbols each, one after the other; share: the
+    shard of each string, ascending."""
+    if not len(count):
+        return position[:0]
+    ends = np.cumsum(count)
+    shards, positions, lefts = [], [], []
+    for k in np.unique(share).tolist():
+        own = np.flatnonzero(share == k)
+        a, b = ends[own[0]] - count[own[0]], ends[own[-1]]
+        n, last = b - a, ends[own] - a - 1
+        after = np.arange(1, n + len(own) + 1)
+        after[last] = after[n:] = n + np.arange(len(own))  # an empty suffix ends each string
+        before = np.concatenate([[0], symbol[a : b - 1], symbol[ends[own] - 1]]).astype("u4")
+        before[(ends[own] - count[own] - a)] = 0
+        shards.append(Transform(np.concatenate([symbol[a:b], np.zeros(len(own), "u4")]), after, before, need))
+        left = np.repeat(ends[own], count[own]) - np.arange(a, b)
+        positions.append(np.concatenate([position[a:b], np.full(len(own), -1)])[shards[-1].suffixes])
+        lefts.append(np.concatenate([left, np.zeros(len(own), "i8")])[shards[-1].suffixes])
+    shard, interval = interleave(shards, need)
+    order = np.argsort(shard, kind="stable")
+    where, left = np.empty(len(shard), "i8"), np.empty(len(shard), "i8")
+    where[order], left[order] = np.concatenate(positions), np.concatenate(lefts)
+    whole = left >= need
+    return where[whole][np.bincount(interval[whole])[interval[whole]] > 1]
+
+
 def spans(windows: np.ndarray, length: int, shift: int = 0) -> list[tuple[int, int]]:
     """Maximal runs of bytes under the windows that are set."""
     at = np.flatnonzero(windows)

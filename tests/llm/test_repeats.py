@@ -1,6 +1,8 @@
 """Op 6 against brute force."""
 
 import collections
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -71,5 +73,41 @@ def test_refinement_equals_counting():
         assert all(g.tolist() == [count[s[p : p + 20]] > 1 for p in range(len(s) - 19)] for s, g in zip(segments, got, strict=True))
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 100, 10])
+def test_windows_of_anchors_equal_counting_by_anchor_and_distance(monkeypatch, at_once):
+    monkeypatch.setattr(repeats, "AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    word = lambda n, low=97, high=99: bytes(rng.integers(low, high, n, dtype="u1"))
+    for _ in range(20):
+        anchors = [word(6), word(6)]
+        rows = [(g, left, left + anchors[g] + word(rng.integers(0, 14))) for g in rng.integers(0, 2, 40).tolist() for left in [word(rng.integers(0, 14))]]
+        segments, group, offset = [s for *_, s in rows], np.array([g for g, *_ in rows]), np.array([len(left) for _, left, _ in rows])
+        count = collections.Counter((g, p - len(left), s[p : p + 20]) for g, left, s in rows for p in range(len(s) - 19))
+        got = repeats.repeated_windows(segments, 20, group, offset)
+        assert all(w.tolist() == [count[g, p - len(left), s[p : p + 20]] > 1 for p in range(max(0, len(s) - 19))] for (g, left, s), w in zip(rows, got, strict=True))
+
+
+CROWDED = """
+import resource
+import numpy as np
+from quarry.llm import repeats
+rng = np.random.default_rng(0)
+base, segments = bytes(rng.integers(97, 123, 768, dtype="u1")), []
+for i in range(20_000):
+    b = bytearray(base)
+    for low in (0, 400):
+        b[low + rng.integers(0, 368)] = rng.integers(65, 90)
+    segments.append(bytes(b))
+repeats.repeated_windows(segments, 400, np.zeros(20_000, "i8"), np.full(20_000, 368))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_one_anchor_of_very_many_near_copies_takes_little_memory():
+    """20,000 segments of 768 bytes that differ in a place before and one after their anchor."""
+    done = subprocess.run([sys.executable, "-c", CROWDED], check=True, capture_output=True, text=True, timeout=300, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(done.stdout) < 500
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
