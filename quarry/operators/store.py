@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import grid, search, segments
+from quarry.operators import cells, grid, search, segments
 from quarry.operators.log import Log
 from quarry.schema import DOCUMENTS, NODES
 
@@ -162,13 +162,48 @@ class Store:
         key = F.get("node_ids", F.lit(0)) if name == "vectors" else F.col("segment")
         rows = rows.withColumn("of_key", key)
         held = rows if name == "vectors" else self._rows("segments", now).withColumn("of_key", F.col("segment"))
-        held = held.select("attempt_id", "of_key", F.explode(F.array_distinct("document_ids")).alias("document_id"))
-        dead = held.join(gone, "document_id").join(self._since(now.adds), "attempt_id").where("gone > since")
-        lists = dead.groupBy("attempt_id", "of_key").agg(F.collect_set("document_id").alias("gone"))
-        return rows.join(lists, ["attempt_id", "of_key"], "left").drop("attempt_id", "of_key")
-
-    def documents(self) -> DataFrame:
-        return self.table("documents").orderBy(F.col("created_at").desc(), "document_id")
+        return _marked(rows, held.join(self._since(now.adds), "attempt_id"), gone, ["attempt_id", "of_key"]).drop("attempt_id", "of_key")
+
+    def build_cells(self, recall: float = 0.95) -> int:
+        """Inverted lists of the vectors that count now (see `cells.build`), kept in the store. Gives the entry's number."""
+        now, attempt = self.snapshot(), uuid.uuid4().hex
+        cells.build(search.normalised(self.table("nodes", now=now)), f"{self.path}/cells/attempt_id={attempt}", recall)
+        entry = {"batch_id": attempt, "attempt_id": attempt, "kind": "cells", "as_of": now.version, "of": list(now.adds), "n_documents": 0, "n_nodes": 0}
+        return self.log.append(lambda _: entry)
+
+    def _cells(self, now: Snapshot) -> dict | None:
+        """The newest entry of inverted lists whose batches all count still."""
+        return next((e for e in reversed(self.log.entries().values()) if e["kind"] == "cells" and set(e["of"]) <= set(now.adds)), None)
+
+    def nearest(self, requests: DataFrame, factor: int = 1) -> DataFrame:
+        """As `grid.top_k` over `vectors`, by the inverted lists: what came later is searched exactly, and what was deleted later is no hit. Without lists, or
+        once a compaction has replaced what they are of, the search is exact as a whole."""
+        now = self.snapshot()
+        entry = self._cells(now)
+        if entry is None:
+            return grid.top_k(self._with_gone("vectors", now), requests, factor)
+        index, gone = cells.load(self.spark, f"{self.path}/cells/attempt_id={entry['attempt_id']}"), self._gone(now)
+        if gone is not None:
+            packs = index.packs.withColumn("of_key", F.get("node_ids", F.lit(0)))
+            index = replace(index, packs=_marked(packs, packs.withColumn("since", F.lit(entry["as_of"])), gone, ["of_key"]).drop("of_key"))
+        hits = index.top_k(requests, factor)
+        later = {a: v for a, v in now.adds.items() if a not in entry["of"]}
+        if not later:
+            return hits
+        size = grid.Size.of(requests, factor)
+        hits = hits.unionByName(grid.top_k(self._with_gone("vectors", replace(now, adds=later)), requests, factor, size)).drop("rank")
+        wanted = requests.select("query_id", (F.col("top_k") * factor).alias("wanted"))
+        return grid.ranked(hits.join(wanted, "query_id"), size.most, F.isnan("score"))
+
+    def documents(self, limit: int | None = None, after: tuple | None = None) -> DataFrame:
+        """The newest first; of these at most `limit`, from behind the document with `after`'s created_at and document_id on. A page is a top-k of slim rows and
+        no sort of all."""
+        rows = self.table("documents")
+        if after is not None:
+            at, last = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
+            rows = rows.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("document_id") > last)))
+        rows = rows.orderBy(F.col("created_at").desc(), "document_id")
+        return rows if limit is None else rows.limit(limit)
 
     def document(self, document_id: str) -> DataFrame:
         return self.table("documents").where(F.col("document_id") == document_id).limit(1)
@@ -208,8 +243,8 @@ class Store:
         """Removes the files of attempts that count no more, once nothing has been written to them for `left_for` seconds: those that a compaction replaced,
         and the remains of failed ones. Longer than any write or read takes, it takes nothing from anyone. Gives the number of folders removed."""
         now, removed = self.snapshot(), 0
-        used = {*now.adds, *now.deletes}
-        for name in (*TABLES, "deleted"):
+        used = {*now.adds, *now.deletes, (self._cells(now) or {}).get("attempt_id")}
+        for name in (*TABLES, "deleted", "cells"):
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in files.listStatus(folder) if files.exists(folder) else []:
@@ -231,6 +266,12 @@ class Store:
         return self.spark.createDataFrame(rows, "probe string, healthy boolean")
 
 
+def _marked(rows: DataFrame, held: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `gone`: of the documents that held names for their keys, those that were deleted after `since`."""
+    dead = held.select(*keys, "since", F.explode(F.array_distinct("document_ids")).alias("document_id")).join(gone, "document_id").where("gone > since")
+    return rows.join(dead.groupBy(*keys).agg(F.collect_set("document_id").alias("gone")), keys, "left")
+
+
 def missing_columns(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> dict[str, list[str]]:
     """Required columns that tables lack, by table."""
     return {t: gone for t, cols in required.items() if (gone := sorted(set(cols) - set(tables[t].columns if t in tables else [])))}

@@ -43,6 +43,19 @@ def test_store(spark, tmp_path):
     assert missing_columns({"nodes": store.table("nodes")}, {"nodes": ["node_id", "zz"], "other": ["a"]}) == {"nodes": ["zz"], "other": ["a"]}
 
 
+def test_pages_of_the_listing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for ids in ((1, 2, 3, 4), (5, 6, 7)):
+        store.publish(*made(spark, *ids))
+    whole = [r.document_id for r in store.documents().collect()]
+    assert whole == ["5", "6", "7", "1", "2", "3", "4"]
+    pages, after = [], None
+    while page := store.documents(3, after).collect():
+        pages.append([r.document_id for r in page])
+        after = page[-1].created_at, page[-1].document_id
+    assert pages == [whole[:3], whole[3:6], whole[6:]]
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string").write.parquet(source)
@@ -178,6 +191,28 @@ def test_what_others_do_during_a_compaction_stays(spark, tmp_path):
     assert store.clean(0) > 0 and told(store) == seen
 
 
+def test_inverted_lists_of_a_store_follow_what_is_added_and_deleted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    some = lambda a, b: spark.createDataFrame([(i, "\n".join(f"line {j} of {i} {i * j % 7}" for j in range(8))) for i in range(a, b)], "doc_id long, text string")
+    as_docs = lambda d: d.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("x").alias("filename"))
+    add = lambda a, b: store.publish(as_docs(some(a, b)), embedding.embed_nodes(retrieval.line_nodes(some(a, b)), lambda c: embedding.mock_embedding(c, 32)))
+    add(0, 60)
+    ask = some(0, 90).where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), embedding.mock_embedding(F.col("text"), 32).alias("vector"), F.lit(6).alias("top_k"), F.lit(None).cast("string").alias("document_id"))
+    exact = lambda: {(r.query_id, r.document_id, r.node_index) for r in search.vector_top_k(store.vectors(), ask).collect()}
+    near = lambda: {(r.query_id, r.document_id, r.node_index) for r in store.nearest(ask).collect()}
+    assert near() == exact()  # no lists yet
+    store.build_cells(0.97)
+    assert len(near() & exact()) >= 0.9 * len(exact()) and len(near()) == len(exact())
+    add(60, 90)
+    store.delete([str(i) for i in range(0, 60, 5)])
+    add(0, 5)
+    got, want = near(), exact()
+    assert len(got & want) >= 0.9 * len(want) and not {d for _, d, _ in got} & {str(i) for i in range(5, 60, 5)} and any(int(d) >= 60 for _, d, _ in got)
+    assert store.clean(0) == 0
+    store.compact()
+    assert near() == exact() == want and store.clean(0) > 0
+
+
 def pages(content):
     for line in content.decode().split("/"):
         yield 600.0, [(75.0, 800.0, line)]
