@@ -52,7 +52,11 @@ DIALLING = r"^\+(?:1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 ADDED_FROM = 0.9
 LABELERS = ("rule", "shape", "gazetteer", "context", "beside", "against")
 #: Candidates that the classifier is fitted on at most: those of smallest hash. Buckets of its features; features of a candidate.
-TRAIN_SPANS, BUCKETS, FEATURES = 8192, 1024, 11
+TRAIN_SPANS, BUCKETS, FEATURES = 8192, 1024, 12
+#: How often each labeler votes 1 on personal data and on other candidates, before anything is seen, and for how many candidates that counts. Of labelers that
+#: only ever vote one way an abstention is the other vote.
+PRIORS = {"rule": (0.98, 0.2), "shape": (0.9, 0.5), "gazetteer": (0.9, 0.4), "context": (0.6, 0.1), "beside": (0.1, 0.03), "against": (0.98, 0.6)}
+PRIOR_COUNT, ONE_WAY = 20, {"context": 0, "beside": 0, "against": 1}
 
 
 def _octets(m: Column) -> Column:
@@ -111,7 +115,8 @@ def votes(family: str, m: Column, before: Column, after: Column) -> list[Column]
 
 
 def features(family: str, m: Column, before: Column, after: Column) -> Column:
-    """Buckets of what the classifier sees: kind, family, shape, signs, length and digits of the span, and the words and signs beside it."""
+    """Buckets of what the classifier sees: whether the digits could be such data at all, kind, family, shape, signs, length and digits of the span, and the words
+    and signs beside it."""
 
     def sign(c: Column) -> Column:
         return F.when(c == "", "").when(c.rlike(r"\p{L}"), "a").when(c.rlike(r"\p{N}"), "0").when(c.rlike(r"\s"), " ").otherwise(c)
@@ -119,7 +124,7 @@ def features(family: str, m: Column, before: Column, after: Column) -> Column:
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "0"), "[A-Za-z]+", "a"), "(?:a[._-]?)+a", "a")
     near = F.lower(before)
     seen = [
-        F.lit(KIND.get(family, family)), F.lit(family), shape, F.regexp_replace(m, "[A-Za-z0-9]+", ""), F.floor(F.length(m) / 4).cast("string"), F.length(F.regexp_replace(m, "[^0-9]", "")).cast("string"),
+        valid(family, m).cast("string"), F.lit(KIND.get(family, family)), F.lit(family), shape, F.regexp_replace(m, "[A-Za-z0-9]+", ""), F.floor(F.length(m) / 4).cast("string"), F.length(F.regexp_replace(m, "[^0-9]", "")).cast("string"),
         F.regexp_extract(near, r"(\p{L}+)[^\p{L}]*$", 1), F.regexp_extract(near, r"(\p{L}+)[^\p{L}]+\p{L}+[^\p{L}]*$", 1), sign(F.right(before, F.lit(1))), F.regexp_extract(F.lower(after), r"^[^\p{L}]*(\p{L}+)", 1), sign(F.left(after, F.lit(1))),
     ]
     return F.array(*(F.pmod(F.xxhash64(F.lit(i), x), F.lit(BUCKETS)).cast("int") for i, x in enumerate(seen)))
@@ -129,18 +134,31 @@ def matches(text: Column, family: str) -> Column:
     return F.regexp_extract_all(text, F.lit(FAMILIES[family]), F.lit(0))
 
 
+#: What is kept of a candidate: characters since the last match of its family, its own, whether a base rule holds, its vote pattern, the classifier's
+#: features, and a hash that orders candidates.
+ONE = "struct<gap:int,long:int,good:boolean,pattern:string,features:array<int>,chance:bigint>"
+
+
 def candidates(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """keep, and an array of candidates for each family: gap (characters since the last match of the family), m, before, after.
+    """keep, and an array of candidates (ONE) for each family; null if it has none.
 
-    What stands between the matches comes from splitting the text by the same pattern, so positions are sums of lengths.
+    What stands between the matches comes from splitting the text by the same pattern, so positions are sums of lengths. Votes and features of a
+    candidate are worked out here, once; what follows reads them.
     """
     base = docs.select(*keep, text_of().alias("_text"))
     with_m = base.withColumns({f"_m_{f}": _guard(f, matches(F.col("_text"), f)) for f in FAMILIES})
 
     def spans(f: str) -> Column:
         between = F.split(F.col("_text"), FAMILIES[f], -1)
-        pair = F.transform(F.arrays_zip(F.col(f"_m_{f}").alias("m"), between.alias("b"), F.slice(between, 2, 1 << 30).alias("a")), lambda x: F.struct(F.length(x["b"]).alias("gap"), x["m"].alias("m"), F.right(x["b"], F.lit(32)).alias("before"), F.left(x["a"], F.lit(24)).alias("after")))
-        return F.when(F.size(f"_m_{f}") > 0, F.filter(pair, lambda x: x["m"].isNotNull()))
+        zipped = F.slice(F.arrays_zip(F.col(f"_m_{f}").alias("m"), between.alias("b"), F.slice(between, 2, 1 << 30).alias("a")), 1, F.size(f"_m_{f}"))
+        placed = F.transform(zipped, lambda x: F.struct(F.length(x["b"]).alias("gap"), x["m"].alias("m"), F.right(x["b"], F.lit(32)).alias("before"), F.left(x["a"], F.lit(24)).alias("after")))
+
+        def one(x: Column) -> Column:
+            args = x["m"], x["before"], x["after"]
+            good = valid(f, x["m"]) if f in BASE else F.lit(False)
+            return F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("long"), good.alias("good"), _pattern_of(f, *args).alias("pattern"), features(f, *args).alias("features"), F.xxhash64(*args).alias("chance"))
+
+        return F.when(F.size(f"_m_{f}") > 0, F.transform(placed, one))
 
     return with_m.select(*[c for c in base.columns if c != "_text"], *(spans(f).alias(f) for f in FAMILIES))
 
@@ -152,28 +170,18 @@ def _guard(f: str, found: Column) -> Column:
 
 
 def _pattern_of(f: str, m: Column, before: Column, after: Column) -> Column:
-    """Family, votes and length class of a candidate: all that the model sees of it."""
+    """Family, votes and length class of a candidate: all that the votes' model sees of it."""
     length = F.when(F.length(m) > 30, "l").otherwise("s")
     return F.concat_ws(",", F.lit(f), *(v.cast("string") for v in votes(f, m, before, after)), length)
 
 
-ONE = "struct<gap:int,m:string,before:string,after:string>"
-
-
 def _of_family(f: str) -> Column:
     return F.coalesce(F.col(f), F.array().cast(f"array<{ONE}>"))
 
 
 def seen(found: DataFrame) -> DataFrame:
-    """pattern, features, chance (a hash that orders candidates) of every candidate of `candidates`."""
-
-    def listed_as(f: str) -> Column:
-        def one(x: Column) -> Column:
-            args = x["m"], x["before"], x["after"]
-            return F.struct(_pattern_of(f, *args).alias("pattern"), features(f, *args).alias("features"), F.xxhash64(*args).alias("chance"))
-
-        return F.transform(_of_family(f), one)
-
+    """pattern, features, chance of every candidate of `candidates`."""
+    listed_as = lambda f: F.transform(_of_family(f), lambda x: F.struct(x["pattern"].alias("pattern"), x["features"].alias("features"), x["chance"].alias("chance")))
     return found.select(F.explode(F.concat(*map(listed_as, FAMILIES))).alias("c")).select("c.*")
 
 
@@ -183,11 +191,11 @@ def spans_of(found: DataFrame, key: list[str], model: Model) -> DataFrame:
 
     def listed_as(f: str) -> Column:
         def one(x: Column, i: Column) -> Column:
-            return F.struct(F.lit(f).alias("family"), i.alias("at"), x["gap"].alias("gap"), F.length(x["m"]).alias("long"), model.holds(f, x).alias("hit"))
+            return F.struct(F.lit(f).alias("family"), i.alias("at"), x["gap"].alias("gap"), x["long"].alias("long"), model.holds(f, x).alias("hit"))
 
         return F.transform(_of_family(f), one)
 
-    every = F.concat(*map(listed_as, FAMILIES))
+    every = F.concat(*map(listed_as, (*BASE, *model.families)))
     rows = found.select(*key, F.explode(every).alias("c")).select(*key, "c.*")
     upto = F.sum(F.col("gap") + F.col("long")).over(Window.partitionBy(*key, "family").orderBy("at"))
     return rows.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.col("long")).where("hit").select(*key, "family", "start", "end")
@@ -208,32 +216,30 @@ class Model:
         return 1 / (1 + F.exp(-raw))
 
     def holds(self, family: str, x: Column) -> Column:
-        """A base candidate whose rule holds; any other one that the classifier takes, that is likely by the votes, and that neither the
-        rule nor the words around it speak against."""
-        if family in BASE:
-            return valid(family, x["m"])
-        args = x["m"], x["before"], x["after"]
-        likely = sorted(p for p, q in self.posterior.items() if p.startswith(f"{family},") and q >= 0.5 and "0" not in (p.split(",")[1], p.split(",")[len(LABELERS)]))
-        if not likely:
-            return F.lit(False)
-        return F.when(_pattern_of(family, *args).isin(likely), self.score(features(family, *args)) >= ADDED_FROM).otherwise(F.lit(False))
+        """A base candidate whose rule holds; any other one that the classifier takes. The votes have no say here: they are what it has learned from."""
+        return x["good"] if family in BASE else self.score(x["features"]) >= ADDED_FROM
 
     @property
     def families(self) -> list[str]:
-        """Families beyond the base of which a candidate can hold."""
-        return [f for f in FAMILIES if f not in BASE and any(p.startswith(f"{f},") and q >= 0.5 for p, q in self.posterior.items())]
+        """Families beyond the base that have candidates."""
+        return [f for f in FAMILIES if f not in BASE and any(p.startswith(f"{f},") for p in self.posterior)]
 
 
 def weigh(pattern_counts: list[tuple[str, int]], rounds: int = 60) -> tuple[dict[str, float], dict[str, float]]:
     """Probabilities of the vote patterns and reliabilities of the labelers, by expectation-maximisation.
 
     A pattern is a family, a vote of each labeler and a length class: a bounded number, whatever the input. Each labeler has, for each
-    kind of data, a chance to vote 1 on personal data and on other candidates; abstentions say nothing. What the base rules say of their own
-    families is known and stays; it ties the estimates down, as labelers that always agree could else stand for either side.
+    kind of data, a chance to vote 1 on personal data and on other candidates, with PRIORS. What the base rules say of their own
+    families is known and stays, and so is a candidate whose digits fail the rule of its kind; that ties the estimates down, as labelers that always
+    agree could else stand for either side.
     """
-    rows = [(p, p.split(",")[0], [int(v) for v in p.split(",")[1 : len(LABELERS) + 1]], n) for p, n in sorted(pattern_counts)]
+
+    def counted(vote: int, labeler: str) -> int:
+        return ONE_WAY.get(labeler, -1) if vote < 0 else vote
+
+    rows = [(p, p.split(",")[0], [counted(int(v), k) for v, k in zip(p.split(",")[1:], LABELERS, strict=False)], n) for p, n in sorted(pattern_counts)]
     posterior = {p: min(0.95, max(0.05, 0.5 + 0.15 * sum(1 if x == 1 else -1 if x == 0 else 0 for x in v))) for p, _, v, _ in rows}
-    known = {p: 0.99 if v[0] == 1 else 0.01 for p, f, v, _ in rows if f in BASE}
+    known = {p: 0.99 if v[0] == 1 else 0.01 for p, f, v, _ in rows if f in BASE or v[0] == 0}
     posterior |= known
     right: dict = {}
     kinds = sorted({KIND.get(f, f) for _, f, *_ in rows})
@@ -242,11 +248,10 @@ def weigh(pattern_counts: list[tuple[str, int]], rounds: int = 60) -> tuple[dict
         for kind in kinds:
             own = [(posterior[p], n) for p, f, _, n in rows if KIND.get(f, f) == kind]
             prior[kind] = (sum(q * n for q, n in own) + 1) / (sum(n for _, n in own) + 2)
-            for k in range(len(LABELERS)):
+            for k, labeler in enumerate(LABELERS):
                 one = [(posterior[p], v[k], n) for p, f, v, n in rows if KIND.get(f, f) == kind and v[k] >= 0]
-                # smoothed towards labelers that are right four times in five
-                yes = (sum(q * n for q, v, n in one if v == 1) + 8) / (sum(q * n for q, _, n in one) + 10)
-                no = (sum((1 - q) * n for q, v, n in one if v == 1) + 2) / (sum((1 - q) * n for q, _, n in one) + 10)
+                yes = (sum(q * n for q, v, n in one if v == 1) + PRIORS[labeler][0] * PRIOR_COUNT) / (sum(q * n for q, _, n in one) + PRIOR_COUNT)
+                no = (sum((1 - q) * n for q, v, n in one if v == 1) + PRIORS[labeler][1] * PRIOR_COUNT) / (sum((1 - q) * n for q, _, n in one) + PRIOR_COUNT)
                 right[kind, k] = yes, no
         for p, f, v, _ in rows:
             if p in known:
@@ -334,11 +339,11 @@ def _placed(family: str, model: Model) -> Column:
     """Spans of a family that count, as SPAN, from the sums of all gaps and lengths before."""
     kind = KIND.get(family, family)
     found = _of_family(family)
-    moves = F.transform(found, lambda x: x["gap"] + F.length(x["m"]))
+    moves = F.transform(found, lambda x: x["gap"] + x["long"])
 
     def one(x: Column, at: Column) -> Column:
         start = at + x["gap"]
-        return F.struct(start.alias("start"), F.lit(BASE.index(kind) + 1).alias("no"), (start + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), F.lit(family in BASE).alias("is_base"), model.holds(family, x).alias("hit"))
+        return F.struct(start.alias("start"), F.lit(BASE.index(kind) + 1).alias("no"), (start + x["long"]).alias("end"), F.lit(kind).alias("kind"), F.lit(family in BASE).alias("is_base"), model.holds(family, x).alias("hit"))
 
     placed = F.filter(F.zip_with(found, before(moves, lambda a, b: a + b, 0), one), lambda x: x["hit"])
     spans = F.transform(placed, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "no", "end", "kind", "is_base"))))
