@@ -21,7 +21,7 @@ from quarry.llm.common import written
 
 #: Pivots at most, queries in a group unless that makes more than GROUPS groups. What the driver holds follows PIVOTS squared and PIVOTS times GROUPS.
 PIVOTS, QUERIES, GROUPS = 512, 2048, 1024
-#: Rows with a query's own id that the bounds allow for; with more of them the bounds are given up.
+#: Rows with a query's own id that the bounds allow for; a cell with a query that has more of them needs all rows, and the other cells keep their bounds.
 REPEATS = 200
 
 
@@ -178,16 +178,19 @@ def plan(rows: DataFrame, is_query: Column, k: int = 20, pivots: int | None = No
     asked = written(asked.withColumn("query", F.xxhash64("vec_id", "v")), "queries")
 
     # summaries: of each cell its queries' reach, and the distances of its nearest rows: k, and as many as can have the query's own id
-    own = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.max("is_query").alias("asked")).where("asked").agg(F.max("n")).first()[0]
-    near_rows = k + min(own, REPEATS)
-    reach = {r.q_cell: (r.reach, r.n) for r in asked.groupBy("q_cell").agg(F.max("q_far").alias("reach"), F.count(F.lit(1)).alias("n")).collect()}
+    ids = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"), F.max("is_query").alias("asked")).where("asked").select("vec_id", "own")
+    repeats = asked.join(ids.where("own > 1"), "vec_id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
+    cells = repeats.groupBy("q_cell").agg(F.max("q_far").alias("reach"), F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).collect()
+    reach, own = {r.q_cell: (r.reach, r.n) for r in cells}, {r.q_cell: r.own for r in cells}
+    near_rows = k + min(max(own.values()), REPEATS)
     in_cell = Window.partitionBy("cell").orderBy("far")
     near = placed.select("cell", "far").withColumn("r", F.row_number().over(in_cell)).where(F.col("r") <= near_rows).groupBy("cell").agg(F.collect_list("far").alias("far")).collect()
     apart, planes = space.between(), midplanes(asked, space)
     within: dict[int, float] = {}  # a query's distance to its pivot and this: as far off are k rows of other ids at most
     for i in reach:
         upper = np.concatenate([apart[i, r.cell] + np.array(r.far) for r in near])
-        within[i] = float(np.partition(upper, near_rows - 1)[near_rows - 1]) if len(upper) >= near_rows and own <= REPEATS else math.inf
+        due = k + own[i]
+        within[i] = float(np.partition(upper, due - 1)[due - 1]) if len(upper) >= due and own[i] <= REPEATS else math.inf
 
     # groups: cells in order of nearness, cut into nearly equal numbers of queries; a cell with more is cut by hash
     each = max(QUERIES, -(-sum(count for _, count in reach.values()) // GROUPS))

@@ -67,6 +67,18 @@ def test_bounds_prune(spark, monkeypatch):
     assert set(run(spark, rows + rows[::7], 5, pivots=32)) == brute(rows + rows[::7], 5)
 
 
+def test_one_query_of_very_many_rows_leaves_the_bounds_of_others(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "QUERIES", 5)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 16))
+    v = centres[rng.integers(0, 8, 800)] * 6 + rng.normal(size=(800, 16)) * 0.05
+    v = 3 * v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
+    many = rows + [rows[20]] * 300
+    assert share(spark, many, pivots=32) < 0.5
+    assert set(run(spark, many, 5, pivots=32)) == brute(many, 5)
+
+
 def test_empty_and_large_values(spark):
     rng = np.random.default_rng(2)
     assert run(spark, [], 5) == []
