@@ -679,10 +679,24 @@ def chat_answers(spark, sf):
 
 # ---- parents, health, conversations
 
-@query(f"WITH {LINES}, c AS (SELECT node_id AS id, document_id, node_index FROM lines) SELECT c.id AS node_id, p.id AS parent_id FROM c JOIN c p ON c.document_id = p.document_id AND p.node_index = c.node_index - c.node_index % 4")
+_PARENTS = """groups AS (SELECT document_id, node_index // 4 AS g, document_id || '-parent-' || CAST(node_index // 4 AS VARCHAR) AS parent_id, string_agg(content, chr(10) ORDER BY node_index) AS body FROM lines GROUP BY document_id, node_index // 4)"""
+
+
+@query(f"WITH {LINES}, {_PARENTS} SELECT parent_id AS node_id, document_id, CAST(g AS INTEGER) AS node_index, body AS content FROM groups")
 def parent_chunks(spark, sf):
-    n = lines(spark, sf).select("node_id", F.concat_ws("-", "document_id", (F.col("node_index") - F.col("node_index") % 4).cast("string")).alias("parent_id"))
-    return n.join(n.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id", "parent_id")
+    """Every four lines one parent."""
+    return context.grouped(lines(spark, sf)).select("node_id", "document_id", "node_index", "content")
+
+
+@query(f"""{_hybrid_sql("licensed under", "the and", "que de la")}, {_PARENTS}, met AS (SELECT query_id, parent_id, max(score) AS score, min(rank) AS first, string_agg(node_id, ',' ORDER BY rank) AS child_ids, any_value(body) AS content
+ FROM hits h JOIN groups g ON h.document_id = g.document_id AND h.node_index // 4 = g.g GROUP BY query_id, parent_id)
+SELECT query_id, parent_id AS chunk_id, round(score, 9) AS score, child_ids, content, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS rank FROM met""")
+def parent_contexts(spark, sf):
+    """Lines are searched, and the four lines that each hit belongs to are what is read."""
+    nodes, vectors, blocks, requests = _hybrid(spark, sf, "licensed under", "the and", "que de la")
+    found = search.retrieve(vectors, blocks, requests)
+    out = context.to_parents(found, nodes.withColumn("parent_id", context.parent_of()), context.grouped(nodes))
+    return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.array_join("child_ids", ",").alias("child_ids"), "content", F.col("rank").cast("int").alias("rank"))
 
 
 @query("""

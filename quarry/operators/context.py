@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -49,3 +49,32 @@ def merge(expanded: DataFrame) -> DataFrame:
         "query_id", F.when(several, F.concat(F.element_at(ids, 1), F.lit(".."), F.element_at(ids, -1))).otherwise(F.element_at(ids, 1)).alias("chunk_id"), "document_id", "chunk_index", content.alias("content"), "metadata",
         "score", F.transform("parts", lambda p: p["chunk_index"]).alias("chunk_indexes"), ids.alias("chunk_ids"), several.alias("expanded_context"), F.row_number().over(order).alias("place"),
     )
+
+
+def grouped(nodes: DataFrame, many: int = SETTINGS.children) -> DataFrame:
+    """Parents of nodes: `many` neighbours each, their texts a line apart. node_id is what `parent_of` names; node_type is parent."""
+    own = nodes.withColumn("parent_id", parent_of(many)).groupBy("document_id", "parent_id").agg(
+        F.sort_array(F.collect_list(F.struct("node_index", "content"))).alias("parts"), F.min_by("metadata", "node_index").alias("metadata"), (F.floor(F.min("node_index") / many)).cast("int").alias("node_index")
+    )
+    content = F.array_join(F.transform("parts", lambda x: x["content"]), "\n")
+    return own.select(F.col("parent_id").alias("node_id"), "document_id", F.lit("parent").alias("node_type"), "node_index", content.alias("content"), "metadata")
+
+
+def parent_of(many: int = SETTINGS.children) -> Column:
+    """The id of the parent of a node with document_id and node_index."""
+    return F.concat(F.col("document_id"), F.lit("-parent-"), F.floor(F.col("node_index") / many).cast("string"))
+
+
+def to_parents(found: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Hits (query_id, node_id, score, rank) to their parents, each once for a query: chunk_id, document_id, content, metadata, score, rank, child_ids.
+
+    children: node_id, parent_id; parents: nodes. A parent has the best rank and the highest score of its hits, and child_ids in their order; ranks are numbered
+    anew. A hit without a parent, or whose parent is not there, is left out. Hits are few against nodes, so they are what should be sent.
+    """
+    own = found.join(children.select("node_id", "parent_id").where("parent_id is not null"), "node_id")
+    best = own.groupBy("query_id", "parent_id").agg(F.max("score").alias("score"), F.min("rank").alias("first"), F.sort_array(F.collect_list(F.struct("rank", "node_id"))).alias("hits"))
+    met = best.join(parents.select(F.col("node_id").alias("parent_id"), "document_id", "content", "metadata"), "parent_id")
+    order = Window.partitionBy("query_id").orderBy("first")
+    return met.select(
+        "query_id", F.col("parent_id").alias("chunk_id"), "document_id", "content", "metadata", "score", F.row_number().over(order).alias("rank"), F.transform("hits", lambda h: h["node_id"]).alias("child_ids")
+    )

@@ -27,27 +27,32 @@ class DocumentNotFound(KeyError):
 
 @dataclass(frozen=True)
 class Snapshot:
-    """What counts after an entry of the log: attempts that hold rows and attempts that delete, each with the version from which it does."""
+    """What counts after an entry of the log: attempts that hold rows, that delete, and that hide documents or show them again, each with the version from
+    which it does."""
 
     version: int
     adds: dict[str, int]
     deletes: dict[str, int]
+    hides: dict[str, int]
 
     @classmethod
     def of(cls, entries: dict[int, dict]) -> Snapshot:
         adds: dict[str, int] = {}
         deletes: dict[str, int] = {}
+        hides: dict[str, int] = {}
         for number, e in entries.items():
             if e["kind"] == "add":
                 adds[e["attempt_id"]] = number
             elif e["kind"] == "delete":
                 deletes[e["attempt_id"]] = number
+            elif e["kind"] == "hide":
+                hides[e["attempt_id"]] = number
             elif e["kind"] == "compact":  # its rows are as of the entry that it read up to; what was deleted since still hides them
                 for old in e["replaces"]:
                     adds.pop(old, None)
                     deletes.pop(old, None)
                 adds[e["attempt_id"]] = e["as_of"]
-        return cls(max(entries, default=0), adds, deletes)
+        return cls(max(entries, default=0), adds, deletes, hides)
 
 
 class Store:
@@ -136,27 +141,56 @@ class Store:
     def _since(self, attempts: dict[str, int]) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(list(attempts.items()), "attempt_id string, since long"))  # a row for each attempt of the log
 
-    def _gone(self, now: Snapshot) -> DataFrame | None:
-        """document_id, gone: the last version at which each document was deleted."""
-        if not now.deletes:
+    def hide(self, document_ids: list[str], at: str | None = None) -> None:
+        """Soft deletion: from the next read on, readers that ask for it do not see these documents, whose deleted_at is `at` (now, if it is null)."""
+        self._set_hidden(document_ids, F.coalesce(F.lit(at).cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz")))
+
+    def show(self, document_ids: list[str]) -> None:
+        """The documents are not hidden any more."""
+        self._set_hidden(document_ids, F.lit(None).cast("timestamp_ntz"))
+
+    def _set_hidden(self, document_ids: list[str], at: Column) -> None:
+        attempt = uuid.uuid4().hex
+        self._append(self.spark.createDataFrame([(d,) for d in sorted(set(document_ids))], "document_id string").withColumn("hidden_at", at), "hidden", attempt)
+        self._commit(attempt, attempt, "hide", len(set(document_ids)), 0)
+
+    def _hidden(self, now: Snapshot) -> DataFrame | None:
+        """document_id, hidden_at of the documents that are hidden: the last entry that names a document holds."""
+        if not now.hides:
             return None
-        deleted = self.spark.read.parquet(f"{self.path}/deleted").where(F.col("attempt_id").isin(list(now.deletes))).join(self._since(now.deletes), "attempt_id")
-        return deleted.groupBy("document_id").agg(F.max("since").alias("gone"))
+        rows = self.spark.read.parquet(f"{self.path}/hidden").where(F.col("attempt_id").isin(list(now.hides))).join(self._since(now.hides), "attempt_id")
+        return rows.groupBy("document_id").agg(F.max_by("hidden_at", "since").alias("hidden_at")).where("hidden_at is not null")
+
+    def _gone(self, now: Snapshot, hide_deleted_at: bool = False) -> DataFrame | None:
+        """document_id, gone: the last version at which each document was deleted; of hidden ones, if they are not to be seen, a version behind all."""
+        lists = []
+        if now.deletes:
+            deleted = self.spark.read.parquet(f"{self.path}/deleted").where(F.col("attempt_id").isin(list(now.deletes))).join(self._since(now.deletes), "attempt_id")
+            lists.append(deleted.select("document_id", "since"))
+        if hide_deleted_at and now.hides:
+            lists.append(self._hidden(now).select("document_id", F.lit((1 << 62)).alias("since")))
+        if not lists:
+            return None
+        every = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+        return every.groupBy("document_id").agg(F.max("since").alias("gone"))
 
     def table(self, name: str, hide_deleted_at: bool = False, now: Snapshot | None = None) -> DataFrame:
-        """Rows of documents or nodes whose document has not been deleted by a later batch. hide_deleted_at also leaves out softly deleted documents."""
-        if name in ("vectors", "blocks", "segments"):
-            return self._with_gone(name, now or self.snapshot())
+        """Rows of documents or nodes whose document has not been deleted by a later batch. hide_deleted_at also leaves out softly deleted documents, with all
+        that belongs to them."""
         now = now or self.snapshot()
-        rows, gone = self._rows(name, now), self._gone(now)
+        if name in ("vectors", "blocks", "segments"):
+            return self._with_gone(name, now, hide_deleted_at)
+        rows, gone = self._rows(name, now), self._gone(now, hide_deleted_at)
         if gone is not None:
             rows = rows.join(self._since(now.adds), "attempt_id").join(gone, "document_id", "left").where("gone is null or gone < since").drop("gone", "since")
         rows = rows.drop("attempt_id")
+        if name == "documents" and now.hides:
+            rows = rows.join(self._hidden(now), "document_id", "left").withColumn("deleted_at", F.coalesce("deleted_at", "hidden_at")).drop("hidden_at")
         return rows.where("deleted_at is null") if hide_deleted_at and "deleted_at" in rows.columns else rows
 
-    def _with_gone(self, name: str, now: Snapshot) -> DataFrame:
-        """Rows that hold many documents each, with `gone`: those of their documents that have been deleted."""
-        rows, gone = self._rows(name, now), self._gone(now)
+    def _with_gone(self, name: str, now: Snapshot, hide_deleted_at: bool = False) -> DataFrame:
+        """Rows that hold many documents each, with `gone`: those of their documents that have been deleted, or are hidden."""
+        rows, gone = self._rows(name, now), self._gone(now, hide_deleted_at)
         if gone is None:
             return rows.drop("attempt_id").withColumn("gone", F.lit(None).cast("array<string>"))
         key = F.get("node_ids", F.lit(0)) if name == "vectors" else F.col("segment")
@@ -211,13 +245,13 @@ class Store:
     def nodes_of(self, document_id: str) -> DataFrame:
         return self.table("nodes").where(F.col("document_id") == document_id).orderBy("node_index")
 
-    def vectors(self) -> DataFrame:
+    def vectors(self, hide_deleted_at: bool = False) -> DataFrame:
         """Packs of the nodes' unit vectors, as vector search takes them."""
-        return self.table("vectors")
+        return self.table("vectors", hide_deleted_at)
 
-    def postings(self) -> DataFrame:
+    def postings(self, hide_deleted_at: bool = False) -> DataFrame:
         """Posting blocks of the nodes, sorted by lexeme, as full-text search takes them."""
-        return self.table("blocks")
+        return self.table("blocks", hide_deleted_at)
 
     def compact(self) -> int | None:
         """Writes all rows that count now as one attempt, without what has been deleted, and puts it in place of the attempts it read. Gives the entry's
@@ -227,9 +261,10 @@ class Store:
             return None
         attempt = uuid.uuid4().hex
         self._append(self.table("nodes", now=now).repartition("document_id").sortWithinPartitions("document_id", "node_index"), "nodes", attempt)
-        self._append(self.table("documents", now=now).coalesce(max(1, self.spark.sparkContext.defaultParallelism)), "documents", attempt)
+        self._append(self.table("documents", now=replace(now, hides={})).coalesce(max(1, self.spark.sparkContext.defaultParallelism)), "documents", attempt)
         n = self._index(attempt)
         replaces = [*now.adds, *now.deletes]
+        # hidden documents are rows like others, and what hides them stays in the log
         entry = {"batch_id": attempt, "attempt_id": attempt, "kind": "compact", "as_of": now.version, "replaces": replaces, "n_documents": self._written("documents", attempt).count(), "n_nodes": n}
 
         def unless_done(entries: dict[int, dict]) -> dict | None:
@@ -243,8 +278,8 @@ class Store:
         """Removes the files of attempts that count no more, once nothing has been written to them for `left_for` seconds: those that a compaction replaced,
         and the remains of failed ones. Longer than any write or read takes, it takes nothing from anyone. Gives the number of folders removed."""
         now, removed = self.snapshot(), 0
-        used = {*now.adds, *now.deletes, (self._cells(now) or {}).get("attempt_id")}
-        for name in (*TABLES, "deleted", "cells"):
+        used = {*now.adds, *now.deletes, *now.hides, (self._cells(now) or {}).get("attempt_id")}
+        for name in (*TABLES, "deleted", "hidden", "cells"):
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in files.listStatus(folder) if files.exists(folder) else []:

@@ -20,6 +20,7 @@ class Settings:
     chunk_overlap: int = 50
     top_k: int = 5
     neighbor_window: int = 1
+    children: int = 4
     dimension: int = 1536
     rrf_k: int = 60
     overlap_cap: int = 2000

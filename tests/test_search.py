@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import catalogue
 from quarry.functions import embedding
 from quarry.functions import text as T
-from quarry.operators import cells, evaluation, grid, rerank, search, segments
+from quarry.operators import cells, context, evaluation, grid, rerank, search, segments
 from quarry.operators.cache import VectorCache
 from quarry.plans import generation
 
@@ -183,6 +183,14 @@ def test_opened_segments_of_the_table(spark, sf_dir):
     assert set(rows) == {0, 1, 2, 3} and all(1 <= r.opened <= r.segments for r in rows.values())
 
 
+def test_hits_of_one_parent_are_one_context(spark):
+    nodes = spark.createDataFrame([("d", i, f"d-{i}", f"t{i}", "m") for i in range(10)] + [("e", 0, "e-0", "u", "m")], "document_id string, node_index int, node_id string, content string, metadata string")
+    found = spark.createDataFrame([(1, "d-5", 0.9, 1), (1, "e-0", 0.8, 2), (1, "d-4", 0.95, 3), (1, "d-9", 0.1, 4), (2, "d-0", 0.5, 1), (2, "gone", 0.4, 2)], "query_id long, node_id string, score double, rank int")
+    rows = context.to_parents(found, nodes.withColumn("parent_id", context.parent_of(4)), context.grouped(nodes, 4)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.rank, r.score, r.child_ids) for r in rows] == [(1, "d-parent-1", 1, 0.95, ["d-5", "d-4"]), (1, "e-parent-0", 2, 0.8, ["e-0"]), (1, "d-parent-2", 3, 0.1, ["d-9"]), (2, "d-parent-0", 1, 0.5, ["d-0"])]
+    assert rows[0].content == "t4\nt5\nt6\nt7" and rows[2].content == "t8\nt9"
+
+
 # ---- rerank, metrics, overlaps, caches, clients
 
 

@@ -169,6 +169,25 @@ def test_compaction_leaves_the_same_rows_in_fewer_files(spark, tmp_path):
     assert {d for d, *_ in told(store)[0]} == {d for d, *_ in seen[0]} - {"1"} and ("1", 0) not in found(spark, store, "line one")
 
 
+def test_soft_deletion_hides_from_those_who_ask_and_can_be_taken_back(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(*made(spark, 1, 2))
+    store.publish(*made(spark, 3))
+    store.hide(["1", "3"], "2024-05-01 10:00:00")
+    store.show(["3"])
+    ids = lambda name, hidden: {r.document_id for r in store.table(name, hidden).collect()}
+    assert ids("documents", True) == {"2", "3"} == ids("nodes", True) and ids("documents", False) == {"1", "2", "3"} == ids("nodes", False)
+    assert {r.document_id: str(r.deleted_at) for r in store.documents().collect()} == {"1": "2024-05-01 10:00:00", "2": "None", "3": "None"}
+    ask = retrieval.embedded(spark.createDataFrame([(1, "line one", 50, "hybrid", None, None)], REQUESTS), lambda c: embedding.mock_embedding(c, 256))
+    seen = lambda hidden: {r.document_id for r in search.retrieve(store.vectors(hidden), store.postings(hidden), ask).collect()}
+    assert seen(True) == {"2", "3"} and seen(False) == {"1", "2", "3"}
+    store.compact()
+    store.clean(0)
+    assert ids("nodes", True) == {"2", "3"} == seen(True) and ids("documents", False) == {"1", "2", "3"}
+    store.show(["1"])
+    assert seen(True) == {"1", "2", "3"}
+
+
 def test_what_others_do_during_a_compaction_stays(spark, tmp_path):
     store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
     store.publish(*made(spark, 1))
