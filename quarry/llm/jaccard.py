@@ -163,7 +163,10 @@ class Members:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.groups = [(g, min(g + GROUP, len(sets))) for g in range(0, len(sets), GROUP)]
         # the matrix, by token: which groups hold it
-        pairs = np.unique(self.tokens * len(self.groups) + np.repeat(np.arange(len(sets)) // GROUP, self.sizes))
+        pairs = self.tokens * len(self.groups)
+        pairs += np.repeat(np.arange(len(sets)) // GROUP, self.sizes)
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
         self.by_token = pairs % len(self.groups)
         self.first = np.searchsorted(pairs // len(self.groups), np.arange(len(vocabulary) + 1))
 
@@ -212,7 +215,9 @@ def _solve(percent: int):
     def run(table: pa.Table) -> pa.Table:
         first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         itself = any(table.column("itself").to_pylist())  # the first tile is held against itself, too
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("hood", "side", "order", "class", "copies", "tokens")), strict=True), key=lambda r: r[:4])
+        # tokens stay where Arrow has them
+        keys = (table.column(c).to_pylist() for c in ("hood", "side", "order", "class", "copies"))
+        rows = sorted(zip(*keys, table.column("tokens"), strict=True), key=lambda r: r[:4])
         out: dict[int, list] = {}
         at = 0
         while at < len(rows):
@@ -225,7 +230,7 @@ def _solve(percent: int):
             for _, side, _, name, copies, tokens in hood:
                 if (side, name) not in seen:
                     seen.add((side, name))
-                    sides[side].append((name, copies, np.frombuffer(tokens, "u8")))
+                    sides[side].append((name, copies, np.frombuffer(tokens.as_buffer(), "u8")))
             parent = {r[0]: r[0] for s in sides for r in s}
 
             def root(x, parent=parent):
