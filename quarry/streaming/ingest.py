@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,9 +48,9 @@ def _each_batch(stream: DataFrame, checkpoint: str, name: str, work: Callable[[D
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start()
 
 
-def publish_stream(stream: DataFrame, store: Store, to_documents: Callable[[DataFrame], DataFrame], to_nodes: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest"):
+def publish_stream(stream: DataFrame, store: Store, to_documents: Callable[[DataFrame], DataFrame], to_nodes: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "ingest", embed: Callable[[Column], Column] | None = None):
     """Every operator up to node building works document by document, so the stream keeps no state. A batch that is tried again is published once."""
-    return _each_batch(stream, checkpoint, name, lambda batch, batch_id: store.publish(to_documents(batch), to_nodes(batch), batch_id))
+    return _each_batch(stream, checkpoint, name, lambda batch, batch_id: store.publish(to_documents(batch), to_nodes(batch), batch_id, embed))
 
 
 def ingest_stream(stream: DataFrame, store: Store, checkpoint: str, name: str = "files", **how):
