@@ -40,6 +40,40 @@ def test_names_lie_once_in_a_segment_and_texts_move_once(spark):
     assert sorted(found.node_ids) == sorted(f"n{i}" for i in range(200) if i % 5) and found.n == 160 and found.best == 8
 
 
+def most(work) -> float:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_scores_of_many_requests_are_worked_out_in_parts():
+    rng = np.random.default_rng(1)
+    unit, asked = rng.normal(size=(4000, 8)), rng.normal(size=(4000, 8))
+    names, places = pa.array([f"n{i}" for i in range(4000)]), pa.array(range(4000), pa.int32())
+    best = grid.Best(asked, list(range(4000)), [3] * 4000, [None] * 4000)
+    assert most(lambda: best.add(unit, names, names, places, set())) < 100  # one product has 128 MB
+    exact = np.argsort(-(asked[:50] @ unit.T), axis=1)[:, :3]
+    assert [[r[4] for r in own] for own in best.rows[:50]] == [[f"n{i}" for i in row] for row in exact]
+
+
+def test_rows_that_are_dealt_to_many_cells_leave_in_parts():
+    rng = np.random.default_rng(2)
+    centres, units = rng.normal(size=(400, 16)), rng.normal(size=(3000, 16))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(3001, dtype="i4") * 16), pa.array(units.ravel()))
+    batches = list(cells._nearest(centres, 300)([pa.RecordBatch.from_arrays([pa.array(range(3000)), lists], names=["query_id", "unit"])]))
+    assert sum(b.num_rows for b in batches) == 3000 * 300 and max(b.num_rows for b in batches) * 16 <= cells.NUMBERS
+
+
+def test_unfinished_packs_are_bounded(monkeypatch):
+    monkeypatch.setattr(grid, "HELD", 8 * 4 * 10)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(101, dtype="i4") * 4), pa.array(np.arange(400.0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), lists, pa.array([i % 50 for i in range(100)], pa.int32())], names=["query_id", "unit", "cell"])
+    out = list(grid._packs([("query_id", "query_ids", pa.int64())], "asked", "cell", grid.PACK)([batch.slice(0, 50), batch.slice(50)]))
+    assert sorted(q for b in out for q in b.column("query_ids")[0].as_py()) == list(range(100)) and len(out) > 50
+
+
 def test_a_table_of_many_files_is_streamed_as_a_whole(spark, sf_dir, tmp_path):
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     whole.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
