@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,33 @@ def recursive_chunks(text: str | None, size: int, overlap: int, separators: tupl
     return out + (_pack(small, size, overlap) if small else [])
 
 
+#: Characters of chunks that leave a task at once.
+AT_ONCE = 4 << 20
+
+
+def chunk_rows(size: int, overlap: int):
+    """A function from Arrow batches of document_id and text to a row for each chunk: document_id, node_index, content. A task holds the chunks of AT_ONCE
+    characters, and of one text, whatever the batch has. A wrong window is an error at once."""
+    check_window(size, overlap)
+    names = ["document_id", "node_index", "content"]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=names)
+
+    def run(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, d = recursive_chunks(batch.column("text")[i].as_py(), size, overlap), batch.column("document_id")[i].as_py()
+                rows += [(d, k, c) for k, c in enumerate(own)]
+                held += sum(map(len, own))
+                if held > AT_ONCE:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
 def chunks(c: Column, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> Column:
     """array<string>; blank texts give none. A wrong window is an error when the plan is built."""
     check_window(size, overlap)

@@ -28,7 +28,7 @@ def chunk_nodes(documents: DataFrame, size: int = SETTINGS.chunk_size, overlap:
     """The same with recursive chunks instead of lines."""
     from quarry.functions import chunking
 
-    rows = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(chunking.chunks(F.col("text"), size, overlap)).alias("node_index", "content"))
+    rows = documents.select(F.col("doc_id").cast("string").alias("document_id"), "text").mapInArrow(chunking.chunk_rows(size, overlap), "document_id string, node_index int, content string")
     return rows.select(F.concat_ws("-", "document_id", "node_index").alias("node_id"), "document_id", F.lit("text").alias("node_type"), "node_index", "content", F.struct(F.col("document_id").alias("source"), F.lit(1).alias("page_number")).alias("metadata"))
 
 

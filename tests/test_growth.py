@@ -78,3 +78,17 @@ def test_a_table_of_many_files_is_streamed_as_a_whole(spark, sf_dir, tmp_path):
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     whole.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.document_id for r in catalogue.QUERIES["streamed_store"](spark, str(tmp_path)).collect()} == {str(r.doc_id) for r in whole.collect()}
+
+
+def test_only_texts_that_may_not_be_composed_go_to_python(spark):
+    texts = ["plain", "caf\u00e9", "cafe\u0301", "\u1112\u1161\u11ab", "\u4e2d", "", None, "\u0344", "\u212b", "x\u02ff"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(T.nfc(F.col("t")).alias("n")).collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert "CASE WHEN" in df.select(T.nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_leave_a_task_in_parts(monkeypatch):
+    monkeypatch.setattr(chunking, "AT_ONCE", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(40)]), pa.array(["word " * 60, None] * 20)], names=["document_id", "text"])
+    out = list(chunking.chunk_rows(100, 10)([batch]))
+    assert len(out) > 3 and [r for b in out for r in b.column("content").to_pylist()] == [c for t in ["word " * 60] * 20 for c in chunking.recursive_chunks(t, 100, 10)]
