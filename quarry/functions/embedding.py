@@ -22,15 +22,20 @@ def mock_embedding(c: Column, dimension: int = SETTINGS.dimension) -> Column:
     cosines are those of the first 256.
     """
     digest = F.sha2(F.coalesce(c, F.lit("")), 256)
-    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    # a character for each byte; let keeps the digest from being worked out for every one of them
+    bytes_ = let(F.decode(F.unhex(digest), "ISO-8859-1"), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.ascii(F.substring(d, i + 1, F.lit(1)))))
 
     def component(b: Column, i: Column) -> Column:
         return F.pmod(F.element_at(b, i % 32 + 1) + i * 17, F.lit(256)) / F.lit(255.0) - F.lit(0.5)
 
     raw = let(bytes_, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: component(b, i)))
     scaled = let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: x / n)))
-    blank = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "") == ""
-    return F.when(blank, F.array_repeat(F.lit(0.0), dimension)).otherwise(scaled)
+    return F.when(blank(c), F.array_repeat(F.lit(0.0), dimension)).otherwise(scaled)
+
+
+def blank(c: Column) -> Column:
+    """Null, empty or white space alone; looks no further than the first other character."""
+    return ~F.coalesce(F.rlike(c, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -196,5 +201,4 @@ def embedder(provider: str, api_key: str | None = None, **how) -> Callable[[Colu
 
 def embed_nodes(nodes: DataFrame, embed: Callable[[Column], Column] = mock_embedding) -> DataFrame:
     """nodes with `embedding` (array<float>); null where the content is blank, as of images."""
-    some = F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", "") != ""
-    return nodes.withColumn("embedding", F.when(some, embed(F.col("content")).cast("array<float>")))
+    return nodes.withColumn("embedding", F.when(~blank(F.col("content")), embed(F.col("content")).cast("array<float>")))

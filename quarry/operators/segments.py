@@ -8,6 +8,7 @@ reach the score of the last hit wanted.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,15 @@ TERMS, FIRST = 4000, 4
 
 #: Lexemes of a segment that leave its task at once.
 AT_ONCE = 20_000
+#: Segments of a task, as many as another one has, where there are enough of them for all cores.
+OF_A_TASK = 4
+#: Nodes that are looked at for bounds between files of posting blocks; keys of a file that are drawn from them, and of all files; hits of a file.
+LOOKED_AT, DRAWN, DRAWN_IN_ALL, HITS = 16_384, 200, 1_000_000, 1 << 20
 
 POSTINGS = "segment long, lexeme string, n int, best int, gaps array<int>, steps array<int>, nodes array<int>"
+INDEXED = POSTINGS + ", n_nodes long, n_lexemes long, document_ids array<string>, node_ids array<string>, places array<int>, lengths array<int>"
 BLOCKS = "segment long, lexeme string, n int, best int, gaps array<int>, steps array<int>, lengths array<int>, node_ids array<string>, document_ids array<string>, places array<int>"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 HIT = "query_id long, node_id string, document_id string, node_index int, score double, wanted int"
 
 
@@ -34,10 +41,11 @@ def numbered(nodes: DataFrame, name: str, n_nodes: int, dealt: bool = True) -> D
     """nodes (node_id, document_id, node_index, content) with lexemes and segment, dealt by segment and in order inside it: a node's ordinal is its place there.
     name makes segments of batches differ. Texts move once; their lexemes are found behind the exchange. Not dealt, rows stay where they are; `segments` needs no more."""
     parts = max(1, -(-n_nodes // SEGMENT))
+    tasks = min(parts, max(nodes.sparkSession.sparkContext.defaultParallelism, -(-parts // OF_A_TASK)))
     number = F.pmod(F.xxhash64("document_id", F.floor(F.col("node_index") / NEIGHBOURS)), F.lit(parts))
-    rows = nodes.select("node_id", "document_id", F.col("node_index").cast("int").alias("node_index"), "content", F.xxhash64(F.lit(name), number).alias("segment"), F.xxhash64("content").alias("tie"))
+    rows = nodes.select("node_id", "document_id", F.col("node_index").cast("int").alias("node_index"), "content", F.xxhash64(F.lit(name), number).alias("segment"), F.xxhash64("content").alias("tie"), (number % tasks).cast("int").alias("task"))
     if dealt:
-        rows = rows.repartition("segment").sortWithinPartitions("segment", "document_id", "node_index", "node_id", "tie")
+        rows = rows.repartitionById(tasks, "task").sortWithinPartitions("segment", "document_id", "node_index", "node_id", "tie")
     return rows.select("segment", "document_id", "node_index", "node_id", "tie", fulltext.lexemes(F.col("content")).alias("lexemes"))
 
 
@@ -55,22 +63,78 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("segment", "lexemes").mapInArrow(_postings, POSTINGS)
 
 
-def _postings(batches):
-    """Rows in order of segment to a row for each of a segment's lexemes."""
+def clustered(nodes: DataFrame, name: str, n_nodes: int) -> DataFrame:
+    """`postings` and `segments` of nodes in one pass, clustered by lexeme and then segment: a row without lexeme holds what is known of its segment. To be written
+    as it is, and taken apart by `parted`. An exchange by range would run its input twice, once to draw its bounds; these come from some of the nodes."""
+    parts, bounds = _bounds(nodes, name, n_nodes)
+    rows = numbered(nodes, name, n_nodes).select("segment", "lexemes", "document_id", "node_id", "node_index").mapInArrow(_indexed(parts, bounds), f"{INDEXED}, part int")
+    return rows.repartitionById(parts, "part").sortWithinPartitions("lexeme", "segment").drop("part")
+
+
+def _bounds(nodes: DataFrame, name: str, n_nodes: int) -> tuple[int, list[tuple[str, int]]]:
+    """How many parts the blocks of nodes are dealt to, and the lexemes and segments where each but the first begins, so that parts have some HITS hits."""
+    some = numbered(nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(max(1, n_nodes // LOOKED_AT))) == 0), name, n_nodes, False).select("segment", "node_id", "lexemes")
+    found, words = some.agg(F.count(F.lit(1)), F.sum(F.size("lexemes"))).first()
+    parts = max(1, round((words or 0) / max(1, found) * n_nodes / HITS))
+    if parts == 1:
+        return 1, []
+    each = some.select("segment", "node_id", F.posexplode("lexemes").alias("position", "lexeme"))
+    one_in = max(1, words // min(DRAWN * parts, DRAWN_IN_ALL))
+    drawn = sorted((r.lexeme, r.segment) for r in each.where(F.pmod(F.xxhash64("node_id", "position", "lexeme"), F.lit(one_in)) == 0).select("lexeme", "segment").collect())
+    return parts, [drawn[len(drawn) * i // parts] for i in range(1, parts)] if drawn else []
+
+
+def parted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows as of `segments` and as of `postings` from those of `clustered`, and what else the table has."""
+    rest = [c for c in table.columns if c not in [p.split()[0] for p in INDEXED.split(", ")]]
+    known = table.where("lexeme is null").select("segment", "n_nodes", "n_lexemes", "document_ids", "node_ids", "places", "lengths", *rest)
+    return known, table.where("lexeme is not null").select(*(c.split()[0] for c in POSTINGS.split(", ")), *rest)
+
+
+def _grouped(batches):
+    """Rows in order of segment to each segment and its parts of batches."""
     now, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        own, lists = batch.column("segment").to_numpy(), batch.column("lexemes")
+        own = batch.column("segment").to_numpy()
         cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if held and own[a] != now:
-                yield from _segment(now, held)
+                yield now, held
                 held = []
             now = own[a]
-            held.append(lists.slice(a, b - a))
+            held.append(batch.slice(a, b - a))
     if held:
-        yield from _segment(now, held)
+        yield now, held
+
+
+def _postings(batches):
+    """Rows in order of segment to a row for each of a segment's lexemes."""
+    for segment, parts in _grouped(batches):
+        yield from _segment(segment, [p.column("lexemes") for p in parts])
+
+
+def _indexed(parts: int, bounds: list[tuple[str, int]]):
+    """Rows in order of segment to its blocks and one row of what is known of it; rows of the latter kind are dealt to all parts."""
+    schema = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in f"{INDEXED}, part int".split(", ")])
+
+    def filled(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        for segment, held in _grouped(batches):
+            segment, lists = int(segment), [p.column("lexemes") for p in held]
+            for found in _segment(segment, lists):
+                part = pa.array([bisect_right(bounds, (w, segment)) for w in found.column("lexeme").to_pylist()], pa.int32())
+                yield filled(dict(zip(found.schema.names, found.columns, strict=True)) | {"part": part}, found.num_rows)
+            lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+            names = {n: pa.concat_arrays([p.column(c) for p in held]) for n, c in (("document_ids", "document_id"), ("node_ids", "node_id"), ("places", "node_index"))}
+            whole = {n: pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), x) for n, x in (names | {"lengths": pa.array(lengths, pa.int32())}).items()}
+            sums = {"segment": segment, "n_nodes": len(lengths), "n_lexemes": int(lengths.sum()), "part": segment % parts}
+            yield filled({n: pa.array([x]) for n, x in sums.items()} | whole, 1)
+
+    return run
 
 
 def _segment(segment: int, parts: list[pa.ListArray]):

@@ -18,6 +18,8 @@ from quarry.schema import DOCUMENTS, NODES
 #: Rows of a file at most; what a bulk insert flushes at once.
 RECORDS_PER_FILE = 1_000_000
 TABLES = ("documents", "nodes", "vectors", "segments", "blocks")
+#: Tables that lie in the folder of another one: a segment's row is among its posting blocks, as both come from one pass.
+FOLDERS = {"segments": "blocks"}
 #: What is derived from the nodes of a batch; blocks come with their segments.
 INDEXES = ("vectors", "blocks")
 MANIFEST = "batch_id string, attempt_id string, kind string, n_documents long, n_nodes long, version long"
@@ -133,9 +135,7 @@ class Store:
             vectors = vectors if vectors is not None else self.spark.createDataFrame([], "node_id string, document_id string, node_index int, embedding array<float>")
             self._append(grid.packed(vectors.where("embedding is not null")), "vectors", attempt)
         if "blocks" in indexes:
-            self._append(segments.segments(segments.numbered(written, attempt, n, False)), "segments", attempt)
-            found = segments.postings(segments.numbered(written, attempt, n))
-            self._append(found.repartitionByRange("lexeme", "segment").sortWithinPartitions("lexeme", "segment"), "blocks", attempt)
+            self._append(segments.clustered(written, attempt, n), "blocks", attempt)
         return n
 
     def delete(self, document_ids: list[str] | DataFrame) -> None:
@@ -150,8 +150,10 @@ class Store:
 
     def _rows(self, name: str, now: Snapshot) -> DataFrame:
         """All rows of a table's attempts; the names of the attempts prune its files."""
-        rows = self.spark.read.parquet(f"{self.path}/{name}")
+        rows = self.spark.read.parquet(f"{self.path}/{FOLDERS.get(name, name)}")
         rows = rows.where(F.col("attempt_id").isin(list(now.adds)))
+        if name in ("segments", "blocks"):
+            return segments.parted(rows)[name == "blocks"]
         return rows.drop("embedding") if name == "nodes" else rows
 
     def _since(self, attempts: dict[str, int]) -> DataFrame:
@@ -314,7 +316,7 @@ class Store:
         rows = [("engine", self.spark.sql("select 1").first()[0] == 1)]
         for name in TABLES:
             try:
-                rows.append((name, bool(self._exists(name) and self.table(name).columns)))
+                rows.append((name, bool(self._exists(FOLDERS.get(name, name)) and self.table(name).columns)))
             except Exception:  # noqa: BLE001 - any error is an unhealthy probe
                 rows.append((name, False))
         return self.spark.createDataFrame(rows, "probe string, healthy boolean")

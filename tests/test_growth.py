@@ -1,5 +1,6 @@
 """What a task holds, and what is moved and written, stays in proportion to the input."""
 
+import os
 import tracemalloc
 import unicodedata
 
@@ -92,3 +93,37 @@ def test_chunks_leave_a_task_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(40)]), pa.array(["word " * 60, None] * 20)], names=["document_id", "text"])
     out = list(chunking.chunk_rows(100, 10)([batch]))
     assert len(out) > 3 and [r for b in out for r in b.column("content").to_pylist()] == [c for t in ["word " * 60] * 20 for c in chunking.recursive_chunks(t, 100, 10)]
+
+
+def test_blocks_are_clustered_in_one_pass_and_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(segments, "HITS", 500)
+    monkeypatch.setattr(segments, "SEGMENT", 50)
+    nodes = spark.createDataFrame([(f"n{i}", f"d{i // 3}", i % 3, "the " * (i % 4) + " ".join(f"w{i * k % 389}" for k in range(1, i % 17))) for i in range(400)], "node_id string, document_id string, node_index int, content string")
+    table = segments.clustered(nodes, "x", 400)
+    assert "rangepartitioning" not in table._jdf.queryExecution().executedPlan().toString()
+    rows = segments.numbered(nodes, "x", 400)
+    known, held = segments.parted(table)
+    for found, plain in ((known, segments.segments(rows)), (held, segments.postings(rows))):
+        keys = [c for c in ("segment", "lexeme") if c in plain.columns]
+        assert sorted(map(repr, found.orderBy(*keys).select(*plain.columns).collect())) == sorted(map(repr, plain.collect())) and plain.count() > 3
+    parts = [r.k for r in held.select(F.struct(F.spark_partition_id().alias("p"), "lexeme", "segment", F.size("gaps").alias("hits")).alias("k")).collect()]
+    of = {p: [r for r in parts if r.p == p] for p in {r.p for r in parts}}
+    assert len(of) > 4 and max(sum(r.hits for r in own) for own in of.values()) < 3 * sum(r.hits for r in parts) / len(of)
+    assert [(r.lexeme, r.segment) for p in sorted(of) for r in of[p]] == sorted((r.lexeme, r.segment) for r in parts)
+
+
+def test_a_store_runs_each_text_through_its_lexemes_once(spark, tmp_path, monkeypatch):
+    whole = []
+    monkeypatch.setattr(segments, "numbered", lambda nodes, name, n, dealt=True, f=segments.numbered: (whole.append(dealt), f(nodes, name, n, dealt))[1])
+    monkeypatch.setattr(segments, "LOOKED_AT", 5)
+    docs = spark.createDataFrame([(i, f"line one of {i}\nthe second {i}") for i in range(40)], "doc_id long, text string")
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(docs.select(F.col("doc_id").cast("string").alias("document_id")), retrieval.line_nodes(docs), indexes=("blocks",))
+    assert whole.count(True) == 1 and not os.path.exists(tmp_path / "s" / "segments")
+    assert store.table("segments").agg(F.sum("n_nodes")).first()[0] == 80 and sum(len(r.gaps) for r in store.postings().collect()) == 280
+    assert all(r.healthy for r in store.health().collect() if r.probe in ("segments", "blocks"))
+
+
+def test_the_digest_of_a_text_is_no_part_of_what_is_done_for_each_byte(spark):
+    plan = spark.range(1).select(embedding.mock_embedding(F.col("id").cast("string"), 32)).select("*")._jdf.queryExecution().analyzed().toString()
+    assert "substring(hex" not in plan and "substring(sha2" not in plan and "sha2(" in plan
