@@ -109,5 +109,18 @@ def test_one_anchor_of_very_many_near_copies_takes_little_memory():
     assert int(done.stdout) < 500
 
 
+def test_planted_passages_of_over_50_words_are_caught_from_400_bytes_on(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n, low, high: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(low, high))) for _ in range(n))
+    passages = [words(60, 7, 12) for _ in range(10)] + [words(55, 3, 6) for _ in range(10)]
+    texts = [f"{words(150, 2, 9)} {p} {words(150, 2, 9)}" for p in passages for _ in range(3)] + [words(360, 2, 9) for _ in range(60)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        p = passages[i // 3] if i < 60 else ""
+        assert got[i].n_bytes == len(t)
+        assert (got[i].n_removed >= len(p) and p.encode() not in got[i].kept) if len(p) >= 400 else got[i].n_removed == 0
+    assert sum(len(p) >= 400 for p in passages) == 10 and max(map(len, passages[10:])) < 390
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
