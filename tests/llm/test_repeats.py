@@ -122,5 +122,24 @@ def test_planted_passages_of_over_50_words_are_caught_from_400_bytes_on(spark):
     assert sum(len(p) >= 400 for p in passages) == 10 and max(map(len, passages[10:])) < 390
 
 
+def test_rows_that_repeat_as_a_whole_give_their_segments_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefgh"), 900))
+    near = [base[:p] + "#" + base[p + 1 :] for p in (300, 450, 600)]
+    rows = [*[(None, base)] * 200, *[(7, near[0])] * 200, *enumerate(near[1:])]
+    sizes, real = {}, repeats.written
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "written", counted)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 400), strict=True)]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == sorted(want, key=str)
+    assert 0 < sizes["segments"] < 100
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
