@@ -1,4 +1,4 @@
-"""Embeddings: a native deterministic one for tests and benchmarks, and a wrapper that sends Arrow batches to any provider."""
+"""Embeddings: a deterministic one for tests and benchmarks, and a wrapper that sends Arrow batches to any provider."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,31 @@ from quarry.schema import SETTINGS
 def mock_embedding(c: Column, dimension: int = SETTINGS.dimension) -> Column:
     """Unit vector from the SHA-256 of the text: component i is ((b[i mod 32] + 17 i) mod 256) / 255 - 1/2 before it is scaled. Blank: zeros.
 
-    Built-in functions only. The unscaled components repeat every 256 places, so for dimensions that are multiples of 256
-    cosines are those of the first 256.
+    The digest is a built-in function; only its 32 bytes go to Python, where a batch of them becomes a matrix: as functions of arrays the components took
+    a third of a millisecond for each text. The unscaled components repeat every 256 places, so for dimensions that are multiples of 256 cosines are those of
+    the first 256.
     """
-    digest = F.sha2(F.coalesce(c, F.lit("")), 256)
-    # a character for each byte; let keeps the digest from being worked out for every one of them
-    bytes_ = let(F.decode(F.unhex(digest), "ISO-8859-1"), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.ascii(F.substring(d, i + 1, F.lit(1)))))
 
-    def component(b: Column, i: Column) -> Column:
-        return F.pmod(F.element_at(b, i % 32 + 1) + i * 17, F.lit(256)) / F.lit(255.0) - F.lit(0.5)
-
-    raw = let(bytes_, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: component(b, i)))
-    scaled = let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: x / n)))
-    return F.when(blank(c), F.array_repeat(F.lit(0.0), dimension)).otherwise(scaled)
+    @F.arrow_udf("array<double>")
+    def scaled(digests: pa.Array) -> pa.Array:
+        return _scaled(digests, dimension)
+
+    return F.when(blank(c), F.array_repeat(F.lit(0.0), dimension)).otherwise(scaled(F.unhex(F.sha2(F.coalesce(c, F.lit("")), 256))))
+
+
+def _scaled(digests: pa.Array, dimension: int) -> pa.Array:
+    """The unit vectors of digests. Squares are added in the order of the components."""
+    held = np.frombuffer(b"".join(digests.to_pylist()), "u1").reshape(-1, 32)
+    out = np.empty((len(held), dimension))
+    places = np.arange(dimension)
+    numbers = np.arange(256) / 255.0 - 0.5
+    for a in range(0, len(held), 1024):
+        raw = numbers[held[a : a + 1024].T[places % 32] + (17 * places % 256).astype("u1")[:, None]]  # bytes wrap at 256
+        total = np.zeros(raw.shape[1])
+        for row in raw:
+            total += row * row
+        out[a : a + 1024] = (raw / np.sqrt(total)).T
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype="i4") * dimension), pa.array(out.ravel()))
 
 
 def blank(c: Column) -> Column:

@@ -82,17 +82,21 @@ def three_way_top_k(vectors: DataFrame, blocks: DataFrame, totals: DataFrame, re
     return fuse([vector_top_k(vectors, requests, 2), fulltext_top_k(blocks, requests, 2), by_words], requests.drop("search_type"))
 
 
-def retrieve(vectors: DataFrame, blocks: DataFrame, requests: DataFrame) -> DataFrame:
+def retrieve(vectors: DataFrame, blocks: DataFrame | None, requests: DataFrame) -> DataFrame:
     """Hits of every request by its search_type: query_id, node_id, document_id, node_index, score, rank.
 
     Both kinds share one pass over the vectors, with twice top_k hits; the requests of kind 'vector' take the first half of theirs. The hits of
-    AT_ONCE requests at most are sent to the tables that they are joined with, which then do not move.
+    AT_ONCE requests at most are sent to the tables that they are joined with, which then do not move. Where all requests are of kind 'vector', no blocks
+    are needed; a 'hybrid' one is then an error.
     """
+    if blocks is None:
+        told = F.assert_true(F.col("search_type") == "vector", "search_type hybrid needs posting blocks")
+        requests = requests.withColumn("search_type", F.when(told.isNull(), F.col("search_type")))
     size = grid.Size.of(requests, 2)
     by_vector = grid.top_k(vectors, requests, 2, size)
-    by_text = fulltext_top_k(blocks, requests.where("search_type = 'hybrid'"), 2)
+    lists = [by_vector] if blocks is None else [by_vector, fulltext_top_k(blocks, requests.where("search_type = 'hybrid'"), 2)]
     few = size.requests <= AT_ONCE
-    found = fuse([by_vector, by_text], F.broadcast(requests) if few else requests).select("query_id", "node_id", "document_id", "node_index", "score", "rank")
+    found = fuse(lists, F.broadcast(requests) if few else requests).select("query_id", "node_id", "document_id", "node_index", "score", "rank")
     return F.broadcast(found) if few else found
 
 

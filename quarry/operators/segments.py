@@ -30,6 +30,9 @@ OF_A_TASK = 4
 #: Nodes that are looked at for bounds between files of posting blocks; keys of a file that are drawn from them, and of all files; hits of a file.
 LOOKED_AT, DRAWN, DRAWN_IN_ALL, HITS = 16_384, 200, 1_000_000, 1 << 20
 
+#: Files of posting blocks have small pages, so that the blocks of a lexeme are read without many others.
+PAGES = {"parquet.page.row.count.limit": "2000"}
+
 POSTINGS = "segment long, lexeme string, n int, best int, gaps array<int>, steps array<int>, nodes array<int>"
 INDEXED = POSTINGS + ", n_nodes long, n_lexemes long, document_ids array<string>, node_ids array<string>, places array<int>, lengths array<int>"
 BLOCKS = "segment long, lexeme string, n int, best int, gaps array<int>, steps array<int>, lengths array<int>, node_ids array<string>, document_ids array<string>, places array<int>"
@@ -71,6 +74,14 @@ def clustered(nodes: DataFrame, name: str, n_nodes: int) -> DataFrame:
     return rows.repartitionById(parts, "part").sortWithinPartitions("lexeme", "segment").drop("part")
 
 
+def by_segment(nodes: DataFrame, name: str, n_nodes: int) -> DataFrame:
+    """The same rows as `clustered` gives, where they are made: in order of lexeme and segment inside a task's segments. Texts move once and blocks, which take more
+    room than texts, not at all; a reader passes over the pages of a task's file that lack its lexemes. PAGES is how a file is to be written. nodes, a third of
+    a block's bytes, are left out: `parted` has them from gaps."""
+    rows = numbered(nodes, name, n_nodes).select("segment", "lexemes", "document_id", "node_id", "node_index").mapInArrow(_indexed(1, []), f"{INDEXED}, part int")
+    return rows.drop("part", "nodes").sortWithinPartitions("lexeme", "segment")
+
+
 def _bounds(nodes: DataFrame, name: str, n_nodes: int) -> tuple[int, list[tuple[str, int]]]:
     """How many parts the blocks of nodes are dealt to, and the lexemes and segments where each but the first begins, so that parts have some HITS hits."""
     some = numbered(nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(max(1, n_nodes // LOOKED_AT))) == 0), name, n_nodes, False).select("segment", "node_id", "lexemes")
@@ -87,10 +98,23 @@ def _bounds(nodes: DataFrame, name: str, n_nodes: int) -> tuple[int, list[tuple[
 def parted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows as of `segments` and as of `postings` from those of `clustered`, and what else the table has."""
     rest = [c for c in table.columns if c not in [p.split()[0] for p in INDEXED.split(", ")]]
+    table = table if "nodes" in table.columns else table.withColumn("nodes", F.arrow_udf(_ordinals, "array<int>")("gaps"))
     known = table.where("lexeme is null").select("segment", "n_nodes", "n_lexemes", "document_ids", "node_ids", "places", "lengths", *rest)
     return known, table.where("lexeme is not null").select(*(c.split()[0] for c in POSTINGS.split(", ")), *rest)
 
 
+def _ordinals(gaps: pa.Array) -> pa.Array:
+    """The ordinals of the nodes of blocks, each once."""
+    ends = gaps.offsets.to_numpy() - gaps.offsets[0].as_py()
+    sizes, flat = np.diff(ends), gaps.flatten().to_numpy()
+    begins = ends[:-1][sizes > 0]
+    new = flat > 0
+    new[begins] = True
+    sums = np.cumsum(flat, dtype="i8")
+    sums -= np.repeat((sums - flat)[begins], sizes[sizes > 0])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new))[ends].astype("i4")), pa.array(sums[new].astype("i4")))
+
+
 def _grouped(batches):
     """Rows in order of segment to each segment and its parts of batches."""
     now, held = None, []
@@ -126,7 +150,7 @@ def _indexed(parts: int, bounds: list[tuple[str, int]]):
         for segment, held in _grouped(batches):
             segment, lists = int(segment), [p.column("lexemes") for p in held]
             for found in _segment(segment, lists):
-                part = pa.array([bisect_right(bounds, (w, segment)) for w in found.column("lexeme").to_pylist()], pa.int32())
+                part = pa.array([bisect_right(bounds, (w, segment)) for w in found.column("lexeme").to_pylist()] if bounds else np.zeros(found.num_rows, "i4"), pa.int32())
                 yield filled(dict(zip(found.schema.names, found.columns, strict=True)) | {"part": part}, found.num_rows)
             lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
             names = {n: pa.concat_arrays([p.column(c) for p in held]) for n, c in (("document_ids", "document_id"), ("node_ids", "node_id"), ("places", "node_index"))}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import embedding
 from quarry.operators import cells
+from quarry.operators.settings import shuffles_end_with_their_job
 from quarry.operators.store import INDEXES, Store
 from quarry.plans import retrieval
 
@@ -58,15 +59,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 def line_store(spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, dimension: int = 256, needs: tuple[str, ...] = INDEXES) -> Store:
     """A store of the line nodes of the documents at path (doc_id, text), with offline embeddings unless `embed` is given, and with the indexes of `needs` at least.
 
-    It is published at the first call of a session, used again as long as the documents stay as they are, and removed when the process ends.
+    It is published at the first call of a session, used again as long as the documents stay as they are, and removed when the process ends. Indexes that a later
+    call needs are added to it.
     """
     key = spark.sparkContext.applicationId, path, _version(spark, path), dimension, embed
-    if key not in _STORES or not set(needs) <= _STORES[key][1]:
+    embed_own = embed or (lambda c: embedding.mock_embedding(c, dimension))
+    if key not in _STORES:
         store = Store(spark, own_folder(spark, "lines"))
         documents = spark.read.parquet(path)
         about = documents.select(F.col("doc_id").cast("string").alias("document_id"), F.octet_length("text").cast("int").alias("file_size"), F.lit("txt").alias("file_type"), *(c for c in documents.columns if c not in ("doc_id", "text")))
-        store.publish(about, retrieval.line_nodes(documents), "lines", embed or (lambda c: embedding.mock_embedding(c, dimension)), needs)
+        store.publish(about, retrieval.line_nodes(documents), "lines", embed_own, needs)
         _STORES[key] = store, frozenset(needs)
+    elif not set(needs) <= _STORES[key][1]:
+        _STORES[key][0].complete(needs, embed_own)
+        _STORES[key] = _STORES[key][0], _STORES[key][1] | set(needs)
     return _STORES[key][0]
 
 
@@ -75,7 +81,8 @@ def table(spark: SparkSession, name: str, path: str, make: Callable[[DataFrame],
     key = spark.sparkContext.applicationId, name, path, _version(spark, path)
     if key not in _TABLES:
         own = own_folder(spark, name)
-        make(spark.read.parquet(path)).write.parquet(own)
+        with shuffles_end_with_their_job(spark):
+            make(spark.read.parquet(path)).write.parquet(own)
         _TABLES[key] = spark.read.parquet(own)
     return _TABLES[key]
 
@@ -89,6 +96,6 @@ def vector_index(spark: SparkSession, path: str, rows: Callable[[DataFrame], Dat
     return _INDEXES[key]
 
 
-def search_tables(store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, packs of vectors and posting blocks of a store, as `retrieval.contexts` takes them."""
-    return store.table("nodes"), store.vectors(), store.postings()
+def search_tables(store: Store, blocks: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes, packs of vectors and posting blocks of a store, as `retrieval.contexts` takes them; without blocks, None for these."""
+    return store.table("nodes"), store.table("vectors"), store.postings() if blocks else None
