@@ -78,3 +78,20 @@ def to_parents(found: DataFrame, children: DataFrame, parents: DataFrame) -> Dat
     return met.select(
         "query_id", F.col("parent_id").alias("chunk_id"), "document_id", "content", "metadata", "score", F.row_number().over(order).alias("rank"), F.transform("hits", lambda h: h["node_id"]).alias("child_ids")
     )
+
+
+def parents_of(found: DataFrame, nodes: DataFrame, many: int = SETTINGS.children) -> DataFrame:
+    """As `to_parents` where parents are as of `grouped`, which are put together for the hits alone: hits meet their parents' nodes, and no other node moves.
+
+    found: query_id, node_id, document_id, node_index, score, rank.
+    """
+    keys = ["query_id", "document_id", "parent_id"]
+    best = found.withColumn("parent_id", parent_of(many)).groupBy(*keys).agg(F.max("score").alias("score"), F.min("rank").alias("first"), F.sort_array(F.collect_list(F.struct("rank", "node_id"))).alias("hits"))
+    own = nodes.select("document_id", parent_of(many).alias("parent_id"), "node_index", "content", "metadata").join(best, ["document_id", "parent_id"])
+    part = F.sort_array(F.collect_list(F.struct("node_index", "content"))).alias("parts")
+    met = own.groupBy(*keys).agg(part, F.min_by("metadata", "node_index").alias("metadata"), *(F.first(c).alias(c) for c in ("score", "first", "hits")))
+    order = Window.partitionBy("query_id").orderBy("first")
+    content = F.array_join(F.transform("parts", lambda x: x["content"]), "\n")
+    return met.select(
+        "query_id", F.col("parent_id").alias("chunk_id"), "document_id", content.alias("content"), "metadata", "score", F.row_number().over(order).alias("rank"), F.transform("hits", lambda h: h["node_id"]).alias("child_ids")
+    )

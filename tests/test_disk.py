@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import catalogue
 from quarry.functions import embedding
-from quarry.operators import grid, settings
+from quarry.operators import context, grid, settings
 from quarry.operators.store import Store
 from quarry.plans import prepared, retrieval
 
@@ -100,3 +100,14 @@ def test_ordinals_follow_from_gaps():
     for own in (gaps, gaps.slice(1), gaps.slice(2, 1)):
         want = [segments.hits_of(np.array(g or [], "i4"), np.zeros(len(g or []), "i4"))[0].tolist() for g in own.to_pylist()]
         assert segments._ordinals(own).to_pylist() == want
+
+
+def test_parents_are_put_together_for_hits_alone(spark, docs):
+    nodes = retrieval.line_nodes(docs)
+    hits = [(1, "3-0", "3", 0, 0.5, 2), (1, "3-3", "3", 3, 0.9, 1), (1, "3-5", "3", 5, 0.4, 3), (2, "3-1", "3", 1, 0.7, 1), (2, "59-4", "59", 4, 0.2, 2), (2, "x-1", "x", 1, 0.1, 3)]
+    found = spark.createDataFrame(hits, "query_id long, node_id string, document_id string, node_index int, score double, rank int")
+    own = context.parents_of(F.broadcast(found), nodes)
+    plain = context.to_parents(found, nodes.withColumn("parent_id", context.parent_of()), context.grouped(nodes))
+    assert sorted(map(repr, own.select(*plain.columns).collect())) == sorted(map(repr, plain.collect())) and plain.count() == 4
+    told = own._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in told and "SortMergeJoin" not in told  # nodes meet the hits before any exchange
