@@ -111,3 +111,23 @@ def test_parents_are_put_together_for_hits_alone(spark, docs):
     assert sorted(map(repr, own.select(*plain.columns).collect())) == sorted(map(repr, plain.collect())) and plain.count() == 4
     told = own._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in told and "SortMergeJoin" not in told  # nodes meet the hits before any exchange
+
+
+def test_cells_hold_embeddings_as_small_as_the_store_does_and_find_the_same(spark, docs, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(about(docs), retrieval.line_nodes(docs), embed=small, indexes=("vectors",))
+    store.build_cells()
+    held = spark.read.parquet(f"{store.path}/cells/*/packs").collect()
+    assert sum(len(p.node_ids) for p in held) == 360 and sum(len(p.units) for p in held) < 40 * 360  # unit vectors have 256 bytes each
+    asked = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), small(F.col("text")).alias("vector"), F.lit(5).alias("top_k"), F.lit(None).cast("string").alias("document_id"))
+    exact = {(r.query_id, r.node_id): r.score for r in grid.top_k(store.vectors(), asked).collect()}
+    near = {(r.query_id, r.node_id): r.score for r in store.nearest(asked).collect()}
+    both = near.keys() & exact.keys()
+    assert len(both) >= 0.9 * len(exact) == 54 and all(near[k] == exact[k] for k in both)
+
+
+def test_cells_query_makes_no_posting_blocks(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(prepared, "own_folder", lambda spark, name: str(tmp_path / name))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    told = catalogue.QUERIES["store_cells_recall"](spark, str(tmp_path)).first()
+    assert (told.n_queries, told.n_hits, told.nine_tenths) == (2, 10, True) and not os.path.exists(tmp_path / "cells/blocks")
