@@ -131,3 +131,17 @@ def test_cells_query_makes_no_posting_blocks(spark, docs, tmp_path, monkeypatch)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     told = catalogue.QUERIES["store_cells_recall"](spark, str(tmp_path)).first()
     assert (told.n_queries, told.n_hits, told.nine_tenths) == (2, 10, True) and not os.path.exists(tmp_path / "cells/blocks")
+
+
+def test_rounds_of_blocks_hold_every_segment_once_and_leave_other_texts_out_before_the_exchange(spark, monkeypatch):
+    from quarry.operators import segments
+
+    monkeypatch.setattr(segments, "SEGMENT", 16)
+    monkeypatch.setattr(segments, "NEIGHBOURS", 4)
+    nodes = spark.createDataFrame([(f"n{i}", f"d{i // 3}", i % 3, f"a b{i % 7} a c{i}") for i in range(300)], "node_id string, document_id string, node_index int, content string")
+    held = lambda df: sorted((r.segment, r.lexeme or "", tuple(r.gaps or ()), tuple(r.node_ids or ())) for r in df.collect())
+    parts = [segments.by_segment(nodes, "x", 300, i, 3) for i in range(3)]
+    assert sorted(x for p in parts for x in held(p)) == held(segments.by_segment(nodes, "x", 300)) and all(held(p) for p in parts)
+    plan = parts[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.rindex("Filter") > plan.rindex("Repartition")
+    assert segments.rounds(300, 1) == 4 and segments.rounds(300, 2) == 2 and segments.rounds(3, 8) == 1
